@@ -1,0 +1,18 @@
+"""Broadcast only what is measured to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# side tables (subject tree, discontinued journals, institutions, preferred names)
+# are bounded by the number of journals / institutions, not by the corpus; above
+# this bound the join stays a shuffle join (and AQE may still broadcast at runtime)
+SMALL_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` if it has at most ``max_rows`` rows (checked with a
+    bounded count that stops reading after max_rows + 1 rows)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload is a batch recomputation over a corpus snapshot: no stream source,
+watermark, stateful operator or streaming sink exists in it, so none is built
+here. A snapshot refresh is a new batch run (see ``plans.pipeline.run``).
+"""
