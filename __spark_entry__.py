@@ -46,6 +46,7 @@ def _round(df: DataFrame) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str, cfg=CAREER, **kw) -> Run:
+    kw.setdefault("inputs_key", sf_dir)
     return Run(spark, build_inputs(spark, sf_dir), cfg, **kw)
 
 
@@ -196,6 +197,150 @@ def q_dup_check(spark, d):
     return A.dup_check(_run(spark, d).authorship, ["eid", "auid"])
 
 
+def _result(spark, d, cfg=CAREER, **kw):
+    return _run(spark, d, cfg, **kw).result
+
+
+def q_author_profile(spark, d):
+    p = _run(spark, d).profile
+    return _round(p.select("author_id", "authfull", "inst_name", "cntry", "firstyr", "lastyr", "np", "c_ns", "c_ws"))
+
+
+def q_global_rank(spark, d):
+    r = R.global_rank(_run(spark, d).profile, CAREER)
+    return _round(r.select("author_id", "c_ns", "c_ws", "rank_ns", "rank_ws"))
+
+
+def _ratios(spark, d, cfg):
+    r = R.citation_ratios(_run(spark, d, cfg).profile)
+    return _round(r.select("author_id", "self_p", "cprat_ns", "cprat_ws"))
+
+
+def q_citation_ratios(spark, d):
+    return _ratios(spark, d, CAREER)
+
+
+def q_citation_ratios_sparse(spark, d):
+    return _ratios(spark, d, SPARSE)
+
+
+def q_subfield_rank(spark, d):
+    return _result(spark, d).select(
+        "author_id", "sm_subfield_1", "rank_sm_subfield_1_ws", "rank_sm_subfield_1_ns", "count_sm_subfield_1"
+    )
+
+
+def q_top_list(spark, d):
+    return R.top_list(_result(spark, d), CAREER).select(
+        "author_id", "rank_ns", "rank_ws", "rank_sm_subfield_1_ws", "rank_sm_subfield_1_ns", "count_sm_subfield_1"
+    )
+
+
+def q_top_n_either(spark, d):
+    return R.top_n_either(_result(spark, d, EDITION2017), EDITION2017).select(
+        "author_id", "rank_ns", "rank_ws", "inst_name", "cntry",
+        "sm_subfield_1", "sm_subfield_1_name", "sm_field", "sm_field_name",
+    )
+
+
+def q_subject_cutoffs(spark, d):
+    return _round(CO.subject_cutoffs(_result(spark, d), CAREER))
+
+
+def q_toplist_cutoffs(spark, d):
+    return _round(CO.toplist_cutoffs(_result(spark, d), CAREER))
+
+
+def q_toplist_above(spark, d):
+    return CO.toplist_above(_result(spark, d), CAREER)
+
+
+def q_cutoffs_lower(spark, d):
+    return _round(CO.cutoffs_lower(_result(spark, d, EDITION2017), EDITION2017))
+
+
+def q_subfield_report_2017(spark, d):
+    r = _run(spark, d, EDITION2017)
+    return _round(RP.subfield_report_2017(CO.cutoffs_lower(r.result, EDITION2017), r.inputs.subject_tree))
+
+
+def q_field_report(spark, d):
+    r = _run(spark, d)
+    return _round(RP.field_report(CO.cutoff_table(r.result, CAREER), SJ.subject_dictionary(r.inputs.smc), CAREER))
+
+
+def q_subfield_report(spark, d):
+    r = _run(spark, d)
+    return _round(RP.subfield_report(CO.cutoff_table(r.result, CAREER), SJ.subject_dictionary(r.inputs.smc), CAREER))
+
+
+def q_dropout_stats(spark, d):
+    res = _result(spark, d)
+    return _round(RP.dropout_stats(res, CO.cutoff_table(res, CAREER), CAREER))
+
+
+DRILL_SUBFIELD = "NATION_9"
+
+
+def q_cprat_percentile(spark, d):
+    return _round(RP.cprat_percentile(_result(spark, d), DRILL_SUBFIELD, CAREER))
+
+
+def q_null_rank(spark, d):
+    return _round(RP.null_rank(_result(spark, d, SPARSE), "cprat_ws", SPARSE))
+
+
+def q_corpus_summary(spark, d):
+    return RP.corpus_summary(_result(spark, d))
+
+
+def q_publish_table(spark, d):
+    return _round(P.publish(_result(spark, d), CAREER))
+
+
+def q_career_top(spark, d):
+    return _round(P.publish(_run(spark, d, CAREER).top, CAREER))
+
+
+def q_single_year_top(spark, d):
+    return _round(P.publish(_run(spark, d, SINGLE_YEAR).top, SINGLE_YEAR))
+
+
+def q_csv_roundtrip(spark, d):
+    cut = q_subject_cutoffs(spark, d)
+    path = IO.scratch_path(spark, "subject_cutoffs.csv")
+    IO.write_report(cut, path)
+    return IO.read_report(spark, path, cut.schema)
+
+
+def q_table_roundtrip(spark, d):
+    import uuid
+
+    db = f"sm_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{IO.scratch_path(spark, db)}'")
+    A.eligible_authors(_run(spark, d).authorship, CAREER).write.mode("overwrite").saveAsTable(f"{db}.temp_eligible")
+    return IO.read_table(spark, db, "temp_eligible")
+
+
+def q_stage_reuse(spark, d):
+    r = _run(spark, d, CAREER, stage=True)
+    first = r.metrics  # written (or found) under the config key
+    again = _run(spark, d, CAREER, stage=True).metrics  # found: read back, not rebuilt
+    assert first.inputFiles() == again.inputFiles()
+    return _round(again.select(*METRIC_COLS))
+
+
+def q_latest_table(spark, d):
+    import uuid
+
+    db = f"sm_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{IO.scratch_path(spark, db)}'")
+    im = build_inputs(spark, d).inst_map
+    im.withColumn("institution_id", F.col("institution_id") + 1000).write.saveAsTable(f"{db}.institution_affiliation_20200101")
+    im.write.saveAsTable(f"{db}.institution_affiliation_20200506")
+    return IO.read_table(spark, db, IO.latest_table(spark, db, "institution_affiliation_"))
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
 

@@ -378,4 +378,226 @@ def base_oracles() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     d = base_oracles()
+    d.update(result_oracles())
+    return d
+
+
+# ---------------------------------------------------------------------------
+# Result table (profile + ranks + ratios + subfield ranks + top-list flag)
+# ---------------------------------------------------------------------------
+
+
+def _f(x) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def result_ctes(cfg) -> list[str]:
+    return [
+        f"""o_prof AS (
+  SELECT s.auid AS author_id, s.* EXCLUDE (auid), n.* EXCLUDE (auid), a.* EXCLUDE (auid)
+  FROM o_scored s LEFT JOIN o_names n ON n.auid = s.auid LEFT JOIN o_aff a ON a.auid = s.auid
+  WHERE s.np >= {cfg.min_papers})""",
+        """o_res0 AS (
+  SELECT *, rank() OVER (ORDER BY c_ns DESC NULLS LAST) AS rank_ns, rank() OVER (ORDER BY c_ws DESC NULLS LAST) AS rank_ws,
+         CAST(nc_ws - nc_ns AS DOUBLE) / NULLIF(nc_ws, 0) AS self_p,
+         CAST(nc_ns AS DOUBLE) / NULLIF(ncp_ns, 0) AS cprat_ns, CAST(nc_ws AS DOUBLE) / NULLIF(ncp_ws, 0) AS cprat_ws
+  FROM o_prof)""",
+        """o_res1 AS (
+  SELECT *,
+    CASE WHEN sm_subfield_1 IS NOT NULL THEN rank() OVER (PARTITION BY sm_subfield_1 ORDER BY c_ws DESC NULLS LAST) END AS rank_sm_subfield_1_ws,
+    CASE WHEN sm_subfield_1 IS NOT NULL THEN rank() OVER (PARTITION BY sm_subfield_1 ORDER BY c_ns DESC NULLS LAST) END AS rank_sm_subfield_1_ns,
+    CASE WHEN sm_subfield_1 IS NOT NULL THEN count(*) OVER (PARTITION BY sm_subfield_1) END AS count_sm_subfield_1
+  FROM o_res0)""",
+        f"""o_res AS (
+  SELECT *, COALESCE((rank_ws <= {cfg.top_n} OR rank_ns <= {cfg.top_n})
+         OR (CAST(rank_sm_subfield_1_ws AS DOUBLE) / count_sm_subfield_1 <= {_f(cfg.top_frac)})
+         OR (CAST(rank_sm_subfield_1_ns AS DOUBLE) / count_sm_subfield_1 <= {_f(cfg.top_frac)}), false) AS top_listed
+  FROM o_res1)""",
+    ]
+
+
+def _pct(p) -> str:
+    return f"{int(round(p * 100)):02d}"
+
+
+def _pass_upper(n, r, p) -> str:
+    return f"CAST({n} - ({r} - 1) AS DOUBLE) / NULLIF({n}, 0) >= {_f(p)}"
+
+
+def cutoff_ctes(cfg) -> list[str]:
+    lv = """o_lv AS (
+  SELECT 'field' AS level, sm_field AS subject, * FROM o_res
+  UNION ALL SELECT 'subfield', sm_subfield_1, * FROM o_res
+  UNION ALL SELECT 'total', 'TOTAL', * FROM o_res)"""
+    allm = ("nc_ws", "c_ws", "self_p", "cprat_ws", "cprat_ns")
+    topm = ("self_p", "cprat_ws", "cprat_ns")
+    win = ", ".join(
+        f"count({m}) OVER (PARTITION BY level, subject) AS n_{m}, "
+        f"rank() OVER (PARTITION BY level, subject ORDER BY {m} DESC NULLS LAST) AS r_{m}"
+        for m in allm
+    )
+    twin = ", ".join(
+        f"count({m}) OVER (PARTITION BY level, subject) AS tn_{m}, "
+        f"rank() OVER (PARTITION BY level, subject ORDER BY {m} DESC NULLS LAST) AS tr_{m}"
+        for m in topm
+    )
+    names = {"nc_ws": "cites", "c_ws": "c", "self_p": "selfp", "cprat_ws": "cprat", "cprat_ns": "cprat_ns"}
+    aggs = [
+        "count(*) AS auth",
+        f"count(CASE WHEN w.rank_ns <= {cfg.top_n} THEN 1 END) AS auth_top_ns",
+        f"count(CASE WHEN w.rank_ws <= {cfg.top_n} THEN 1 END) AS auth_top",
+        "NULLIF(count(CASE WHEN w.top_listed THEN 1 END), 0) AS auth_in_top_list",
+    ]
+    for m in allm:
+        ps = cfg.percentiles if m in ("nc_ws", "c_ws") else cfg.ratio_percentiles
+        for p in ps:
+            e = f"min(CASE WHEN {_pass_upper('w.n_' + m, 'w.r_' + m, p)} THEN w.{m} END)"
+            if m == "nc_ws":
+                e = f"CAST({e} AS BIGINT)"
+            aggs.append(f"{e} AS {names[m]}_{_pct(p)}")
+    for m in topm:
+        for p in cfg.ratio_percentiles:
+            ok = _pass_upper("t.tn_" + m, "t.tr_" + m, p)
+            aggs.append(f"min(CASE WHEN {ok} THEN w.{m} END) AS top_list_{names[m]}_{_pct(p)}")
+            aggs.append(f"count(CASE WHEN t.tn_{m} IS NOT NULL AND {ok} THEN w.author_id END) AS auth_in_top_list_{names[m]}_{_pct(p)}")
+    return [
+        lv,
+        f"o_cw AS (SELECT level, subject, author_id, top_listed, rank_ns, rank_ws, {', '.join(allm)}, {win} FROM o_lv)",
+        f"o_tw AS (SELECT level, subject, author_id, {twin} FROM o_lv WHERE top_listed)",
+        f"""o_cut AS (
+  SELECT w.level, w.subject, {', '.join(aggs)}
+  FROM o_cw w LEFT JOIN o_tw t ON t.level = w.level AND t.subject IS NOT DISTINCT FROM w.subject AND t.author_id = w.author_id
+  GROUP BY w.level, w.subject)""",
+        "o_dict AS (SELECT subfield, min(field) AS field, min(domain) AS domain FROM fx_smc GROUP BY subfield)",
+    ]
+
+
+def cut_cols(cfg, kind: str) -> list[str]:
+    from scholarmetrics.operators.cutoffs import _cols
+
+    return _cols(cfg, kind)
+
+
+def lower_ctes(cfg) -> list[str]:
+    aggs = [
+        "max(subject_name) AS subject_name", "count(*) AS auth",
+        f"count(CASE WHEN rank_ns <= {cfg.top_n} THEN 1 END) AS auth_top_ns",
+        f"count(CASE WHEN rank_ws <= {cfg.top_n} THEN 1 END) AS auth_top",
+    ]
+    for m, n in (("nc_ws", "cites"), ("c_ws", "c")):
+        for p in cfg.percentiles:
+            e = f"min(CASE WHEN CAST(r_{m} AS DOUBLE) / rc >= {_f(p)} THEN {m} END)"
+            if m == "nc_ws":
+                e = f"CAST({e} AS BIGINT)"
+            aggs.append(f"{e} AS {n}_{_pct(p)}")
+    return [
+        """o_lv17 AS (
+  SELECT 'field' AS level, CAST(sm_field AS VARCHAR) AS subject, sm_field_name AS subject_name, * FROM o_res
+  UNION ALL SELECT 'subfield', CAST(sm_subfield_1 AS VARCHAR), sm_subfield_1_name, * FROM o_res
+  UNION ALL SELECT 'total', '', 'TOTAL', * FROM o_res)""",
+        """o_lw AS (
+  SELECT level, subject, subject_name, rank_ns, rank_ws, nc_ws, c_ws, count(*) OVER (PARTITION BY level, subject) AS rc,
+         rank() OVER (PARTITION BY level, subject ORDER BY nc_ws ASC NULLS FIRST) AS r_nc_ws,
+         rank() OVER (PARTITION BY level, subject ORDER BY c_ws ASC NULLS FIRST) AS r_c_ws
+  FROM o_lv17)""",
+        f"o_lcut AS (SELECT level, subject, {', '.join(aggs)} FROM o_lw GROUP BY level, subject)",
+    ]
+
+
+def pct_sql(n: str, d: str, suffix: str = "%") -> str:
+    bp = f"((20000 * CAST({n} AS BIGINT) + {d}) // (2 * {d}))"
+    return (f"CASE WHEN {d} IS NULL OR {d} = 0 OR {n} IS NULL THEN NULL "
+            f"ELSE printf('%d.%02d{suffix.replace('%', '%%')}', {bp} // 100, {bp} % 100) END")
+
+
+def report_select(cfg) -> str:
+    cuts = [c for c in cut_cols(cfg, "all") if c.startswith("cites_") or c.startswith("c_")]
+    cols = ["c.auth", "c.auth_top_ns", f"{pct_sql('c.auth_top_ns', 'c.auth')} AS pct_top_ns", "c.auth_top",
+            f"{pct_sql('c.auth_top', 'c.auth')} AS pct_top", "c.auth_in_top_list",
+            f"{pct_sql('c.auth_in_top_list', 'c.auth')} AS pct_in_top_list"]
+    dbl = {f"c_{_pct(p)}" for p in cfg.percentiles} | set(cut_cols(cfg, "top"))
+    cols += [f"round(c.{x}, 6) AS {x}" if x in dbl else f"c.{x}" for x in cuts + cut_cols(cfg, "top")]
+    return ", ".join(cols)
+
+
+def publish_sql(cfg, where: str = "") -> str:
+    from scholarmetrics.plans.publish import publish_names
+
+    special = {
+        "authfull": "replace(authfull, '\"', '')",
+        "inst_name": "replace(inst_name, '\"', '')",
+        "self%": pct_sql("nc_ws - nc_ns", "nc_ws", " %"),
+    }
+    doubles = {"hm_ns", "hm_ws", "c_ns", "c_ws", "cprat_ns", "cprat_ws", "sm_subfield_1_frac", "sm_subfield_2_frac", "sm_field_frac"}
+    cols = []
+    for label, src in publish_names(cfg):
+        if label in special:
+            e = special[label]
+        else:
+            e = f"round({src}, 6)" if src in doubles else src
+        cols.append(f'{e} AS "{label}"')
+    return f"SELECT {', '.join(cols)} FROM o_res {where}"
+
+
+def result_oracles() -> dict[str, str]:
+    c, y, s17, sp = CAREER, SINGLE_YEAR, EDITION2017, SPARSE
+
+    def qr(cfg, select, extra=()):
+        return q(cfg, select, labels=True, extra=tuple(result_ctes(cfg)) + tuple(extra))
+
+    allc = ", ".join(
+        f"round({x}, 6) AS {x}" if x.startswith("c_") or x.startswith("selfp") or x.startswith("cprat") else x
+        for x in cut_cols(c, "all")
+    )
+    d = {
+        "author_profile": qr(c, "SELECT author_id, authfull, inst_name, cntry, firstyr, lastyr, np, round(c_ns, 6) AS c_ns, round(c_ws, 6) AS c_ws FROM o_res"),
+        "global_rank": qr(c, "SELECT author_id, round(c_ns, 6) AS c_ns, round(c_ws, 6) AS c_ws, rank_ns, rank_ws FROM o_res"),
+        "citation_ratios": qr(c, "SELECT author_id, round(self_p, 6) AS self_p, round(cprat_ns, 6) AS cprat_ns, round(cprat_ws, 6) AS cprat_ws FROM o_res"),
+        "citation_ratios_sparse": qr(sp, "SELECT author_id, round(self_p, 6) AS self_p, round(cprat_ns, 6) AS cprat_ns, round(cprat_ws, 6) AS cprat_ws FROM o_res"),
+        "subfield_rank": qr(c, "SELECT author_id, sm_subfield_1, rank_sm_subfield_1_ws, rank_sm_subfield_1_ns, count_sm_subfield_1 FROM o_res"),
+        "top_list": qr(c, "SELECT author_id, rank_ns, rank_ws, rank_sm_subfield_1_ws, rank_sm_subfield_1_ns, count_sm_subfield_1 FROM o_res WHERE top_listed"),
+        "top_n_either": qr(s17, f"""SELECT author_id, rank_ns, rank_ws, inst_name, cntry, sm_subfield_1, sm_subfield_1_name, sm_field, sm_field_name
+                                    FROM o_res WHERE rank_ws <= {s17.top_n} OR rank_ns <= {s17.top_n}"""),
+        "subject_cutoffs": qr(c, f"SELECT level, subject, {allc} FROM o_cut", cutoff_ctes(c)),
+        "toplist_cutoffs": qr(c, f"SELECT level, subject, {r6(cut_cols(c, 'top'))} FROM o_cut", cutoff_ctes(c)),
+        "toplist_above": qr(c, f"SELECT level, subject, {', '.join(cut_cols(c, 'above'))} FROM o_cut", cutoff_ctes(c)),
+        "cutoffs_lower": qr(s17, "SELECT * REPLACE (" + ", ".join(f"round(c_{_pct(p)}, 6) AS c_{_pct(p)}" for p in s17.percentiles) + ") FROM o_lcut", lower_ctes(s17)),
+        "subfield_report_2017": qr(s17, "SELECT t.field_code AS sm22, l.subject AS sm176, l.subject_name AS sm176_name, l.* EXCLUDE (level, subject, subject_name) REPLACE ("
+                                   + ", ".join(f"round(l.c_{_pct(p)}, 6) AS c_{_pct(p)}" for p in s17.percentiles)
+                                   + ") FROM o_lcut l JOIN fx_tree t ON CAST(t.subfield_code AS VARCHAR) = l.subject WHERE l.level = 'subfield'", lower_ctes(s17)),
+        "field_report": qr(c, f"""SELECT d.domain, COALESCE(c.subject, 'Unassigned') AS field, {report_select(c)}
+                                 FROM o_cut c LEFT JOIN (SELECT DISTINCT domain, field FROM o_dict) d ON d.field = c.subject
+                                 WHERE c.level IN ('field', 'total')""", cutoff_ctes(c)),
+        "subfield_report": qr(c, f"""SELECT d.domain, d.field, COALESCE(c.subject, 'Unassigned') AS subfield, {report_select(c)}
+                                    FROM o_cut c LEFT JOIN o_dict d ON d.subfield = c.subject
+                                    WHERE c.level IN ('subfield', 'total')""", cutoff_ctes(c)),
+        "dropout_stats": qr(c, f"""SELECT *, round(CAST(auths_top2p_ws_not_ns AS DOUBLE) / NULLIF(auths_top2p_ws, 0), 6) AS x1_fraction_2p_ws_2p_ns_dropout,
+                                    round(CAST(auths_top2p_ws_not_top_10p_ns AS DOUBLE) / NULLIF(auths_top2p_ws, 0), 6) AS x2_fraction_2p_ws_10p_ns_dropout
+            FROM (SELECT count(*) AS totalcount, count(CASE WHEN top_listed THEN 1 END) AS toplist_count,
+                   count(CASE WHEN top_listed THEN sm_subfield_1 END) AS toplist_count_w_subfield,
+                   count(CASE WHEN f_ws <= {_f(c.top_frac)} THEN 1 END) AS auths_top2p_ws,
+                   count(CASE WHEN f_ws <= {_f(c.top_frac)} AND f_ns > {_f(c.top_frac)} THEN 1 END) AS auths_top2p_ws_not_ns,
+                   count(CASE WHEN f_ws <= {_f(c.top_frac)} AND f_ns > {_f(0.1)} THEN 1 END) AS auths_top2p_ws_not_top_10p_ns,
+                   count(CASE WHEN top_listed AND cprat_ws >= p99 THEN 1 END) AS x3_cprat_above_p99_top_list,
+                   count(CASE WHEN top_listed AND sm_subfield_1 IS NOT NULL AND cprat_ws IS NOT NULL THEN 1 END) AS toplist_count_w_subfield_w_ws_cprat
+                  FROM (SELECT r.*, CAST(rank_sm_subfield_1_ws AS DOUBLE) / count_sm_subfield_1 AS f_ws,
+                               CAST(rank_sm_subfield_1_ns AS DOUBLE) / count_sm_subfield_1 AS f_ns, x.top_list_cprat_99 AS p99
+                        FROM o_res r LEFT JOIN (SELECT subject, top_list_cprat_99 FROM o_cut WHERE level = 'subfield') x
+                        ON x.subject = r.sm_subfield_1)) """, cutoff_ctes(c)),
+        "cprat_percentile": qr(c, """SELECT author_id, round(cprat_ws, 6) AS cprat_ws,
+                   round(CASE WHEN cprat_ws IS NOT NULL THEN CAST(r AS DOUBLE) / n END, 6) AS cprat_perc, nc_ws, ncp_ws, top_listed
+            FROM (SELECT *, rank() OVER (ORDER BY cprat_ws ASC NULLS FIRST) AS r, count(*) OVER () AS n
+                  FROM o_res WHERE sm_subfield_1 = 'NATION_9') WHERE cprat_ws < 4"""),
+        "null_rank": qr(sp, """SELECT author_id, round(cprat_ws, 6) AS cprat_ws,
+                   CASE WHEN cprat_ws IS NOT NULL THEN rank() OVER (ORDER BY cprat_ws ASC NULLS FIRST) END AS rank_asc,
+                   CASE WHEN cprat_ws IS NOT NULL THEN rank() OVER (ORDER BY cprat_ws DESC NULLS LAST) END AS rank_desc FROM o_res"""),
+        "corpus_summary": qr(c, "SELECT count(*) AS n_authors, count(sm_field) AS n_with_field FROM o_res"),
+        "publish_table": qr(c, publish_sql(c)),
+        "career_top": qr(c, publish_sql(c, "WHERE top_listed")),
+        "single_year_top": qr(y, publish_sql(y, "WHERE top_listed")),
+    }
+    d["csv_roundtrip"] = d["subject_cutoffs"]
+    d["table_roundtrip"] = base_oracles()["eligible_authors"]
+    d["stage_reuse"] = base_oracles()["author_metrics"]
+    d["latest_table"] = with_fixtures(select="SELECT * FROM fx_inst_map")
     return d

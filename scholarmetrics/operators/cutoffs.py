@@ -1 +1,176 @@
-"""Percentile cut-offs per subject."""
+"""Percentile cut-offs per subject and in total.
+
+The notebooks rank every metric in a window per subject (five ranks per
+grouping, three more for the top-list subset, the TOTAL in one task) and take
+a conditional ``min``. Here all groupings and metrics are stacked into one long
+table (level, subject, scope, metric, value); the values are pre-aggregated to a
+histogram and ranked once with ``ordered_prefix``, so no subject and not the
+TOTAL is ever sorted in a single task. The conditional ``min`` / ``count`` then
+run as one grouped aggregate over the histogram.
+
+2019 (upper-bound form): value v is within the top fraction p when
+``(n - (rank_desc - 1)) / n >= p`` with n = non-null values of the group;
+the cut-off is the smallest such v. 2017 (lower-bound form): ``rank_asc / N >=
+p`` with N = all rows of the group, NULL values ranked first.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..config import Config
+from .ordered import ordered_prefix
+from .small import broadcast_if_small
+
+LEVELS_2019 = (("field", "sm_field"), ("subfield", "sm_subfield_1"), ("total", None))
+ALL_METRICS = ("nc_ws", "c_ws", "self_p", "cprat_ws", "cprat_ns")
+TOP_METRICS = ("self_p", "cprat_ws", "cprat_ns")
+TOTAL = "TOTAL"
+
+
+def _pct(p: float) -> str:
+    return f"{int(round(p * 100)):02d}"
+
+
+def _levels(res: DataFrame, levels, cast_subject: bool = False) -> Column:
+    def subj(col):
+        if col is None:
+            return F.lit(TOTAL)
+        c = F.col(col)
+        return c.cast("string") if cast_subject else c
+
+    return F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), subj(c).alias("subject")) for lv, c in levels]))
+
+
+def _stack_2019(res: DataFrame, cfg: Config) -> DataFrame:
+    vals = [F.struct(F.lit("all").alias("scope"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+            for m in ALL_METRICS]
+    vals += [F.when(F.col("top_listed"), F.struct(F.lit("top").alias("scope"), F.lit(m).alias("metric"),
+                                                   F.col(m).cast("double").alias("value")))
+             for m in TOP_METRICS]
+    return (
+        res.select(*ALL_METRICS, "top_listed", _levels(res, LEVELS_2019).alias("g"))
+        .select("g.level", "g.subject", F.explode(F.filter(F.array(*vals), lambda x: x.isNotNull())).alias("v"))
+        .select("level", "subject", "v.scope", "v.metric", "v.value")
+    )
+
+
+def _group_counts(res: DataFrame, cfg: Config, levels, cast_subject=False) -> DataFrame:
+    return (
+        res.select("rank_ns", "rank_ws", "top_listed", _levels(res, levels, cast_subject).alias("g"))
+        .groupBy("g.level", "g.subject")
+        .agg(
+            F.count(F.lit(1)).alias("auth"),
+            F.count(F.when(F.col("rank_ns") <= cfg.top_n, True)).alias("auth_top_ns"),
+            F.count(F.when(F.col("rank_ws") <= cfg.top_n, True)).alias("auth_top"),
+            F.nullif(F.count(F.when(F.col("top_listed"), True)), F.lit(0)).alias("auth_in_top_list"),
+        )
+    )
+
+
+def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    s = small.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = big[k].eqNullSafe(s[f"_j{i}"])
+        cond = c if cond is None else cond & c
+    return big.join(broadcast_if_small(s), cond, "left").drop(*[f"_j{i}" for i in range(len(keys))])
+
+
+def cutoff_table(res: DataFrame, cfg: Config) -> DataFrame:
+    """All 2019 cut-off columns per (level, subject); level in field/subfield/total."""
+    long = _stack_2019(res, cfg)
+    keys = ["scope", "level", "subject", "metric"]
+    hist = ordered_prefix(long, keys, [("value", False)], skew_safe=cfg.skew_safe)
+    nonnull = hist.groupBy(*keys).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(0)).alias("_cnt"))
+    hist = _join_small(hist, nonnull, keys)
+
+    def passes(p):
+        return F.try_divide((F.col("_cnt") - (F.col("_rank") - 1)).cast("double"), F.col("_cnt").cast("double")) >= F.lit(p)
+
+    aggs = []
+    names = {"nc_ws": "cites", "c_ws": "c", "self_p": "selfp", "cprat_ws": "cprat", "cprat_ns": "cprat_ns"}
+    for m in ALL_METRICS:
+        ps = cfg.percentiles if m in ("nc_ws", "c_ws") else cfg.ratio_percentiles
+        for p in ps:
+            v = F.min(F.when((F.col("scope") == "all") & (F.col("metric") == m) & passes(p), F.col("value")))
+            aggs.append((v.cast("long") if m == "nc_ws" else v).alias(f"{names[m]}_{_pct(p)}"))
+    for m in TOP_METRICS:
+        for p in cfg.ratio_percentiles:
+            sel = (F.col("scope") == "top") & (F.col("metric") == m) & passes(p) & F.col("value").isNotNull()
+            aggs.append(F.min(F.when(sel, F.col("value"))).alias(f"top_list_{names[m]}_{_pct(p)}"))
+            aggs.append(F.sum(F.when(sel, F.col("_n")).otherwise(0)).cast("long").alias(f"auth_in_top_list_{names[m]}_{_pct(p)}"))
+    cut = hist.groupBy("level", "subject").agg(*aggs)
+    counts = _group_counts(res, cfg, LEVELS_2019)
+    return _join_small(counts, cut, ["level", "subject"])
+
+
+def _cols(cfg: Config, kind: str) -> list[str]:
+    if kind == "all":
+        return (
+            ["auth", "auth_top_ns", "auth_top", "auth_in_top_list"]
+            + [f"cites_{_pct(p)}" for p in cfg.percentiles]
+            + [f"c_{_pct(p)}" for p in cfg.percentiles]
+            + [f"{n}_{_pct(p)}" for n in ("selfp", "cprat", "cprat_ns") for p in cfg.ratio_percentiles]
+        )
+    if kind == "top":
+        return [f"top_list_{n}_{_pct(p)}" for n in ("selfp", "cprat", "cprat_ns") for p in cfg.ratio_percentiles]
+    return [f"auth_in_top_list_{n}_{_pct(p)}" for n in ("selfp", "cprat", "cprat_ns") for p in cfg.ratio_percentiles]
+
+
+def subject_cutoffs(res: DataFrame, cfg: Config) -> DataFrame:
+    """Authors, top-N counts, cites and c at the percentiles, self-share and
+    cites-per-citing-paper at the ratio percentiles, per field, subfield and total."""
+    return cutoff_table(res, cfg).select("level", "subject", *_cols(cfg, "all"))
+
+
+def toplist_cutoffs(res: DataFrame, cfg: Config) -> DataFrame:
+    """The ratio cut-offs computed inside the top list only."""
+    return cutoff_table(res, cfg).select("level", "subject", *_cols(cfg, "top"))
+
+
+def toplist_above(res: DataFrame, cfg: Config) -> DataFrame:
+    """Top-listed authors at or above each top-list cut-off."""
+    return cutoff_table(res, cfg).select("level", "subject", *_cols(cfg, "above"))
+
+
+# ---- 2017 (lower-bound form) ---------------------------------------------------------
+
+LEVELS_2017 = (("field", "sm_field"), ("subfield", "sm_subfield_1"), ("total", None))
+
+
+def cutoffs_lower(res: DataFrame, cfg: Config) -> DataFrame:
+    """2017 cut-offs of cites and c: smallest value whose ascending rank over all
+    rows of the group (NULL first) reaches the fraction p."""
+    names = {"field": "sm_field_name", "subfield": "sm_subfield_1_name"}
+    lv = F.explode(F.array(*[
+        F.struct(
+            F.lit(lv).alias("level"),
+            (F.col(c).cast("string") if c else F.lit("")).alias("subject"),
+            (F.col(names[lv]) if c else F.lit(TOTAL)).alias("subject_name"),
+        )
+        for lv, c in LEVELS_2017
+    ]))
+    base = res.select("rank_ns", "rank_ws", "nc_ws", "c_ws", lv.alias("g")).select("g.*", "rank_ns", "rank_ws", "nc_ws", "c_ws")
+    counts = base.groupBy("level", "subject").agg(
+        F.max("subject_name").alias("subject_name"),
+        F.count(F.lit(1)).alias("auth"),
+        F.count(F.when(F.col("rank_ns") <= cfg.top_n, True)).alias("auth_top_ns"),
+        F.count(F.when(F.col("rank_ws") <= cfg.top_n, True)).alias("auth_top"),
+    )
+    long = base.select(
+        "level", "subject",
+        F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                            for m in ("nc_ws", "c_ws")])).alias("v"),
+    ).select("level", "subject", "v.metric", "v.value")
+    hist = ordered_prefix(long, ["level", "subject", "metric"], [("value", True)], skew_safe=cfg.skew_safe)
+    hist = _join_small(hist, counts.select("level", "subject", "auth"), ["level", "subject"])
+    aggs = []
+    for m, n in (("nc_ws", "cites"), ("c_ws", "c")):
+        for p in cfg.percentiles:
+            ok = F.try_divide(F.col("_rank").cast("double"), F.col("auth").cast("double")) >= F.lit(p)
+            v = F.min(F.when((F.col("metric") == m) & ok, F.col("value")))
+            aggs.append((v.cast("long") if m == "nc_ws" else v).alias(f"{n}_{_pct(p)}"))
+    cut = hist.groupBy("level", "subject").agg(*aggs)
+    return _join_small(counts, cut, ["level", "subject"])

@@ -1 +1,128 @@
-"""Reports."""
+"""Report tables built from the result table and the cut-offs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..functions import percent_label, ratio
+from .cutoffs import TOTAL, _cols
+from .ordered import rank_rows
+from .small import broadcast_if_small
+
+UNASSIGNED = "Unassigned"
+
+
+def _pcts(df: DataFrame) -> dict:
+    return {
+        "pct_top_ns": percent_label("auth_top_ns", "auth", "%"),
+        "pct_top": percent_label("auth_top", "auth", "%"),
+        "pct_in_top_list": percent_label("auth_in_top_list", "auth", "%"),
+    }
+
+
+def _report_cols(cfg: Config) -> list[str]:
+    counts = ["auth", "auth_top_ns", "pct_top_ns", "auth_top", "pct_top", "auth_in_top_list", "pct_in_top_list"]
+    cuts = [c for c in _cols(cfg, "all") if c.startswith("cites_") or c.startswith("c_")]
+    return counts + cuts + _cols(cfg, "top")
+
+
+def field_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFrame:
+    """Per field plus TOTAL: counts, shares (text), cut-offs; unclassified authors
+    form the 'Unassigned' row. Ordered by domain (none last), field, TOTAL last."""
+    labels = broadcast_if_small(dictionary.select("domain", F.col("field").alias("_f")).distinct())
+    rows = cut.filter(F.col("level").isin("field", "total"))
+    out = (
+        rows.join(labels, rows["subject"] == labels["_f"], "left")
+        .withColumns(_pcts(rows))
+        .withColumn("field", F.coalesce("subject", F.lit(UNASSIGNED)))
+        .select("domain", "field", *_report_cols(cfg))
+    )
+    return out.orderBy(F.coalesce("domain", F.lit("ZZ")), F.when(F.col("field") == TOTAL, "ZZ").otherwise(F.col("field")))
+
+
+def subfield_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFrame:
+    """Per subfield plus TOTAL, labelled with field and domain."""
+    labels = broadcast_if_small(dictionary.select(F.col("subfield").alias("_s"), "field", "domain"))
+    rows = cut.filter(F.col("level").isin("subfield", "total"))
+    out = (
+        rows.join(labels, rows["subject"] == labels["_s"], "left")
+        .withColumns(_pcts(rows))
+        .withColumn("subfield", F.coalesce("subject", F.lit(UNASSIGNED)))
+        .select("domain", "field", "subfield", *_report_cols(cfg))
+    )
+    return out.orderBy(
+        F.coalesce("domain", F.lit("ZZ")), F.col("field").asc_nulls_first(),
+        F.when(F.col("subfield") == TOTAL, "ZZ").otherwise(F.col("subfield")),
+    )
+
+
+def subfield_report_2017(cut_lower: DataFrame, tree: DataFrame) -> DataFrame:
+    """2017: subfield cut-offs joined (inner) to the subject hierarchy, so the
+    unclassified group is not reported."""
+    t = broadcast_if_small(tree.select(F.col("field_code").alias("sm22"), F.col("subfield_code").cast("string").alias("_s")))
+    rows = cut_lower.filter(F.col("level") == "subfield")
+    return rows.join(t, rows["subject"] == t["_s"], "inner").select(
+        "sm22", F.col("subject").alias("sm176"), F.col("subject_name").alias("sm176_name"),
+        *[c for c in rows.columns if c not in ("level", "subject", "subject_name")],
+    )
+
+
+def dropout_stats(res: DataFrame, cut: DataFrame, cfg: Config) -> DataFrame:
+    """One row: share of the top fraction of a subfield (ws) that drops out of it
+    without self-citations (x1), out of the top 10 % (x2), and top-listed authors
+    above their subfield's top-list p99 of cites per citing paper (x3)."""
+    p99 = f"top_list_cprat_{int(round(max(cfg.ratio_percentiles) * 100)):02d}"
+    c = broadcast_if_small(
+        cut.filter(F.col("level") == "subfield").select(F.col("subject").alias("_s"), F.col(p99).alias("_p99"))
+    )
+    j = res.join(c, res["sm_subfield_1"] == c["_s"], "left")
+    fws = F.try_divide(F.col("rank_sm_subfield_1_ws").cast("double"), F.col("count_sm_subfield_1").cast("double"))
+    fns = F.try_divide(F.col("rank_sm_subfield_1_ns").cast("double"), F.col("count_sm_subfield_1").cast("double"))
+    top = F.col("top_listed")
+    agg = j.agg(
+        F.count(F.lit(1)).alias("totalcount"),
+        F.count(F.when(top, True)).alias("toplist_count"),
+        F.count(F.when(top, F.col("sm_subfield_1"))).alias("toplist_count_w_subfield"),
+        F.count(F.when(fws <= cfg.top_frac, True)).alias("auths_top2p_ws"),
+        F.count(F.when((fws <= cfg.top_frac) & (fns > cfg.top_frac), True)).alias("auths_top2p_ws_not_ns"),
+        F.count(F.when((fws <= cfg.top_frac) & (fns > 0.1), True)).alias("auths_top2p_ws_not_top_10p_ns"),
+        F.count(F.when(top & (F.col("cprat_ws") >= F.col("_p99")), True)).alias("x3_cprat_above_p99_top_list"),
+        F.count(F.when(top & F.col("sm_subfield_1").isNotNull() & F.col("cprat_ws").isNotNull(), True)).alias(
+            "toplist_count_w_subfield_w_ws_cprat"
+        ),
+    )
+    return agg.withColumns({
+        "x1_fraction_2p_ws_2p_ns_dropout": ratio("auths_top2p_ws_not_ns", "auths_top2p_ws"),
+        "x2_fraction_2p_ws_10p_ns_dropout": ratio("auths_top2p_ws_not_top_10p_ns", "auths_top2p_ws"),
+    })
+
+
+def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float = 4.0) -> DataFrame:
+    """Drill-down into one subfield: ascending percentile of cites per citing
+    paper (NULL ratios still take the lowest ranks and count in the size), for
+    authors below ``ceiling``."""
+    s = res.filter(F.col("sm_subfield_1") == subfield)
+    r = rank_rows(s, [], [("cprat_ws", True)], "_r", skew_safe=cfg.skew_safe)
+    n = s.agg(F.count(F.lit(1)).alias("_size"))
+    r = r.crossJoin(F.broadcast(n))  # one row
+    return r.filter(F.col("cprat_ws") < ceiling).select(
+        "author_id", "cprat_ws",
+        F.when(F.col("cprat_ws").isNotNull(), ratio("_r", "_size")).alias("cprat_perc"),
+        "nc_ws", "ncp_ws", "top_listed",
+    )
+
+
+def null_rank(res: DataFrame, col: str, cfg: Config) -> DataFrame:
+    """Ranks of a nullable column, ascending and descending, NULL rows unranked
+    (ascending puts NULL first, so the first ranked value gets rank #NULL + 1)."""
+    r = rank_rows(res.select("author_id", col), [], [(col, True)], "_ra", skew_safe=cfg.skew_safe)
+    r = rank_rows(r, [], [(col, False)], "_rd", skew_safe=cfg.skew_safe)
+    has = F.col(col).isNotNull()
+    return r.select("author_id", col, F.when(has, F.col("_ra")).alias("rank_asc"), F.when(has, F.col("_rd")).alias("rank_desc"))
+
+
+def corpus_summary(res: DataFrame) -> DataFrame:
+    """Authors in the result and those with a field."""
+    return res.agg(F.count(F.lit(1)).alias("n_authors"), F.count("sm_field").alias("n_with_field"))

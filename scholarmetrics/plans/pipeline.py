@@ -33,13 +33,13 @@ class Run:
     inputs: Inputs
     cfg: Config
     maxima_override: DataFrame | None = None
-    stage: bool = False
+    stage: bool = True
     inputs_key: str = ""
 
     def _maybe_stage(self, name: str, build) -> DataFrame:
         if not self.stage:
             return build()
-        return _stage(self.spark, build, name, self.cfg, self.inputs_key)
+        return _stage(self.spark, build, name, f"{self.cfg.fingerprint()}|{self.inputs_key}")
 
     @property
     def pubs(self) -> DataFrame:

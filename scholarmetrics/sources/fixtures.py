@@ -59,7 +59,22 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
-def build_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+def build_inputs(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Inputs:
+    """The input tables derived from ``sf_dir``; with ``materialize`` each is written
+    once to the shared folder (like the production inputs, which are parquet
+    tables) and read back, so that queries scan it instead of re-deriving it."""
+    raw = _derive(spark, sf_dir)
+    if not materialize:
+        return raw
+    from .io import stage
+
+    return Inputs(**{
+        name: stage(spark, (lambda df=df: df), f"input_{name}", f"fixture|{sf_dir}")
+        for name, df in raw.__dict__.items()
+    })
+
+
+def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"
     )

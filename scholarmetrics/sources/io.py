@@ -110,22 +110,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scholarmetrics/{uuid.uuid4().hex}/{name}"
 
 
+def code_version() -> str:
+    """Hash of the library source, so a staged result is never reused across code changes."""
+    import hashlib
+    import pathlib
+
+    h = hashlib.sha256()
+    root = pathlib.Path(__file__).resolve().parents[1]
+    for f in sorted(root.rglob("*.py")):
+        h.update(f.read_bytes())
+    return h.hexdigest()[:12]
+
+
 def stage(
     spark: SparkSession,
     build: Callable[[], DataFrame],
     name: str,
-    cfg: Config,
-    inputs_key: str = "",
+    key: str,
     base: str | None = None,
 ) -> DataFrame:
-    """Materialise ``build()`` as parquet under a key of (name, config, inputs) and
+    """Materialise ``build()`` as parquet under (name, key) in the shared folder and
     read it back; reuse an earlier complete write (``_SUCCESS`` present). Cuts the
-    lineage, so a lost executor does not recompute the upstream stages."""
+    lineage, so a lost executor does not recompute the upstream stages, and lets
+    several reports share one computation."""
     import hashlib
 
-    key = hashlib.sha256(f"{cfg.fingerprint()}|{inputs_key}".encode()).hexdigest()[:16]
+    k = hashlib.sha256(f"{key}|{code_version()}".encode()).hexdigest()[:16]
     root = (base or f"{shared_dir(spark)}/scholarmetrics/stages").rstrip("/")
-    path = f"{root}/{name}_{key}"
+    path = f"{root}/{name}_{k}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
