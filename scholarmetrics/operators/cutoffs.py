@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from .ordered import ordered_prefix
-from .small import broadcast_if_small
 
 LEVELS_2019 = (("field", "sm_field"), ("subfield", "sm_subfield_1"), ("total", None))
 ALL_METRICS = ("nc_ws", "c_ws", "self_p", "cprat_ws", "cprat_ns")
@@ -75,7 +74,9 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     for i, k in enumerate(keys):
         c = big[k].eqNullSafe(s[f"_j{i}"])
         cond = c if cond is None else cond & c
-    return big.join(broadcast_if_small(s), cond, "left").drop(*[f"_j{i}" for i in range(len(keys))])
+    # the small side is derived (one row per group): AQE broadcasts it from its
+    # measured size instead of a counting pre-pass that would re-run the plan
+    return big.join(s, cond, "left").drop(*[f"_j{i}" for i in range(len(keys))])
 
 
 def cutoff_table(res: DataFrame, cfg: Config) -> DataFrame:

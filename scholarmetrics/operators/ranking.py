@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import ratio
 from .ordered import rank_rows
-from .small import broadcast_if_small
 
 
 def author_profile(scored: DataFrame, names: DataFrame, affiliation: DataFrame, cfg: Config) -> DataFrame:
@@ -50,7 +49,7 @@ def subfield_rank(p: DataFrame, cfg: Config, subject: str = "sm_subfield_1") ->
     r = distributed_rank(p, "c_ws", "_rws", by=subject, skew_safe=cfg.skew_safe)
     r = distributed_rank(r, "c_ns", "_rns", by=subject, skew_safe=cfg.skew_safe)
     sizes = p.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count(F.lit(1)).alias("_cnt"))
-    r = r.join(broadcast_if_small(sizes), subject, "left")
+    r = r.join(sizes, subject, "left")  # one row per subject; AQE broadcasts by measured size
     has = F.col(subject).isNotNull()
     return r.withColumns({
         "rank_sm_subfield_1_ws": F.when(has, F.col("_rws")),

@@ -74,9 +74,7 @@ def dropout_stats(res: DataFrame, cut: DataFrame, cfg: Config) -> DataFrame:
     without self-citations (x1), out of the top 10 % (x2), and top-listed authors
     above their subfield's top-list p99 of cites per citing paper (x3)."""
     p99 = f"top_list_cprat_{int(round(max(cfg.ratio_percentiles) * 100)):02d}"
-    c = broadcast_if_small(
-        cut.filter(F.col("level") == "subfield").select(F.col("subject").alias("_s"), F.col(p99).alias("_p99"))
-    )
+    c = cut.filter(F.col("level") == "subfield").select(F.col("subject").alias("_s"), F.col(p99).alias("_p99"))
     j = res.join(c, res["sm_subfield_1"] == c["_s"], "left")
     fws = F.try_divide(F.col("rank_sm_subfield_1_ws").cast("double"), F.col("count_sm_subfield_1").cast("double"))
     fns = F.try_divide(F.col("rank_sm_subfield_1_ns").cast("double"), F.col("count_sm_subfield_1").cast("double"))

@@ -49,7 +49,8 @@ def subject_volume(auth: DataFrame, key: str = "subfield") -> DataFrame:
     all given authors in that subject. NULL is a subject of its own here."""
     mine = auth.groupBy("auid", key).agg(F.count(F.lit(1)).alias("n_author"))
     overall = auth.groupBy(key).agg(F.count(F.lit(1)).alias("n_overall"))
-    o = broadcast_if_small(overall.select(F.col(key).alias("_k"), "n_overall"))
+    # one row per subject (bounded by the classification); AQE broadcasts it by measured size
+    o = overall.select(F.col(key).alias("_k"), "n_overall")
     return mine.join(o, mine[key].eqNullSafe(o["_k"]), "left").drop("_k")
 
 

@@ -2,8 +2,10 @@
 
 The same code serves the career and the single-year tables (they differ only
 in ``min_cite_year``) and the 2017 edition (``edition="2017"``). Stages are
-lazy; with ``stage_dir`` (or ``stage=True``) the four heavy ones are written
-as parquet and read back, which cuts the lineage between them.
+lazy; with ``stage=True`` (the default) the heavy ones (edges, eligible
+authorship, author metrics, profile, ranked result) are written as parquet to
+the shared folder and read back, which cuts the lineage between them and lets
+every report reuse them.
 """
 
 from __future__ import annotations
@@ -135,9 +137,12 @@ class Run:
 
     @cached_property
     def result(self) -> DataFrame:
-        r = R.citation_ratios(R.global_rank(self.profile, self.cfg))
-        r = R.subfield_rank(r, self.cfg)
-        return r.withColumn("top_listed", R.top_list_predicate(self.cfg))
+        def build():
+            r = R.citation_ratios(R.global_rank(self.profile, self.cfg))
+            r = R.subfield_rank(r, self.cfg)
+            return r.withColumn("top_listed", R.top_list_predicate(self.cfg))
+
+        return self._maybe_stage("result", build)
 
     @cached_property
     def top(self) -> DataFrame:
