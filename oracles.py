@@ -524,15 +524,15 @@ def publish_sql(cfg, where: str = "") -> str:
     from scholarmetrics.plans.publish import publish_names
 
     special = {
-        "authfull": "replace(authfull, '\"', '')",
-        "inst_name": "replace(inst_name, '\"', '')",
-        "self%": pct_sql("nc_ws - nc_ns", "nc_ws", " %"),
+        "strip:authfull": "replace(authfull, '\"', '')",
+        "strip:inst_name": "replace(inst_name, '\"', '')",
+        "self_pct": pct_sql("nc_ws - nc_ns", "nc_ws", " %"),
     }
     doubles = {"hm_ns", "hm_ws", "c_ns", "c_ws", "cprat_ns", "cprat_ws", "sm_subfield_1_frac", "sm_subfield_2_frac", "sm_field_frac"}
     cols = []
     for label, src in publish_names(cfg):
-        if label in special:
-            e = special[label]
+        if src in special:
+            e = special[src]
         else:
             e = f"round({src}, 6)" if src in doubles else src
         cols.append(f'{e} AS "{label}"')

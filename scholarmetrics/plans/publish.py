@@ -13,8 +13,9 @@ from ..config import Config
 from ..functions import percent_label
 
 
-def publish_names(cfg: Config) -> list[tuple[str, object]]:
-    """(label, source column or expression) in published order."""
+def publish_names(cfg: Config) -> list[tuple[str, str]]:
+    """(label, source) in published order; a source is a column name, or
+    ``strip:<col>`` (quotes removed) or ``self_pct`` (self-citation share label)."""
     y1, y2, y3 = cfg.y1, cfg.y2, cfg.y3
 
     def block(v: str, sfx: str):
@@ -37,14 +38,14 @@ def publish_names(cfg: Config) -> list[tuple[str, object]]:
 
     head = [
         ("author_id", "author_id"),
-        ("authfull", F.regexp_replace("authfull", '"', "")),
-        ("inst_name", F.regexp_replace("inst_name", '"', "")),
+        ("authfull", "strip:authfull"),
+        ("inst_name", "strip:inst_name"),
         ("cntry", "cntry"),
         (f"np{y1}{y3}", "np"),
         ("firstyr", "firstyr"),
         ("lastyr", "lastyr"),
     ]
-    self_pct = [("self%", percent_label(F.col("nc_ws") - F.col("nc_ns"), "nc_ws", " %"))]
+    self_pct = [("self%", "self_pct")]
     tail = [
         (f"np{y1}{y3}_d", "np_d"),
         (f"nc{y2}{y3}_d", "nc_d"),
@@ -64,5 +65,12 @@ def publish_names(cfg: Config) -> list[tuple[str, object]]:
 def publish(result: DataFrame, cfg: Config) -> DataFrame:
     """Labelled table sorted by rank without self-citations (a range-partitioned
     total sort, not a single task)."""
-    cols = [(F.col(src) if isinstance(src, str) else src).alias(label) for label, src in publish_names(cfg)]
+    def expr(src: str):
+        if src.startswith("strip:"):
+            return F.regexp_replace(src[6:], '"', "")
+        if src == "self_pct":
+            return percent_label(F.col("nc_ws") - F.col("nc_ns"), "nc_ws", " %")
+        return F.col(src)
+
+    cols = [expr(src).alias(label) for label, src in publish_names(cfg)]
     return result.select(*cols).orderBy(F.col("rank (ns)").asc(), F.col("author_id").asc())
