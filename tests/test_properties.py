@@ -23,8 +23,9 @@ def test_ns_not_above_ws(res, spark):
 
     repeated = dup_check(E._run(spark, SF_SMALL).authorship, ["eid", "auid"]).select(F.col("auid").alias("author_id"))
     plain = res.join(repeated, "author_id", "left_anti")
-    for m in ("h", "hm"):
-        assert plain.filter(F.col(f"{m}_ns") > F.col(f"{m}_ws")).count() == 0, m
+    # (hm has no such bound: extra citations can move a many-author paper to the
+    # front, which raises every running sum of 1/n_authors behind it)
+    assert plain.filter(F.col("h_ns") > F.col("h_ws")).count() == 0
 
 
 def test_positions_nested(res):
