@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import ratio
-from .ordered import rank_rows
+from .ordered import add_ranks, rank_rows
 
 
 def author_profile(scored: DataFrame, names: DataFrame, affiliation: DataFrame, cfg: Config) -> DataFrame:
@@ -30,8 +30,28 @@ def distributed_rank(df: DataFrame, col: str, name: str, by: str | None = None,
 
 def global_rank(p: DataFrame, cfg: Config) -> DataFrame:
     """rank_ns / rank_ws: rank by composite c desc over all profiled authors."""
-    r = distributed_rank(p, "c_ns", "rank_ns", skew_safe=cfg.skew_safe)
-    return distributed_rank(r, "c_ws", "rank_ws", skew_safe=cfg.skew_safe)
+    return add_ranks(p, [("rank_ns", [], [("c_ns", False)]), ("rank_ws", [], [("c_ws", False)])], skew_safe=cfg.skew_safe)
+
+
+def ranked_result(profile: DataFrame, cfg: Config) -> DataFrame:
+    """Profile + global ranks + ratios + subfield ranks + top-list flag: all four
+    ranks computed from narrow projections and joined back in one chain."""
+    specs = [
+        ("rank_ns", [], [("c_ns", False)]),
+        ("rank_ws", [], [("c_ws", False)]),
+        ("_rws", ["sm_subfield_1"], [("c_ws", False)]),
+        ("_rns", ["sm_subfield_1"], [("c_ns", False)]),
+    ]
+    r = citation_ratios(add_ranks(profile, specs, skew_safe=cfg.skew_safe))
+    sizes = profile.filter(F.col("sm_subfield_1").isNotNull()).groupBy("sm_subfield_1").agg(F.count(F.lit(1)).alias("_cnt"))
+    r = r.join(sizes, "sm_subfield_1", "left")  # one row per subject; AQE broadcasts by measured size
+    has = F.col("sm_subfield_1").isNotNull()
+    r = r.withColumns({
+        "rank_sm_subfield_1_ws": F.when(has, F.col("_rws")),
+        "rank_sm_subfield_1_ns": F.when(has, F.col("_rns")),
+        "count_sm_subfield_1": F.when(has, F.col("_cnt")),
+    }).drop("_rws", "_rns", "_cnt")
+    return r.withColumn("top_listed", top_list_predicate(cfg))
 
 
 def citation_ratios(p: DataFrame) -> DataFrame:
@@ -46,8 +66,8 @@ def citation_ratios(p: DataFrame) -> DataFrame:
 def subfield_rank(p: DataFrame, cfg: Config, subject: str = "sm_subfield_1") -> DataFrame:
     """Rank by c (ws, ns) and size inside the author's first subfield; NULL for
     authors without a subfield."""
-    r = distributed_rank(p, "c_ws", "_rws", by=subject, skew_safe=cfg.skew_safe)
-    r = distributed_rank(r, "c_ns", "_rns", by=subject, skew_safe=cfg.skew_safe)
+    r = add_ranks(p, [("_rws", [subject], [("c_ws", False)]), ("_rns", [subject], [("c_ns", False)])],
+                  skew_safe=cfg.skew_safe)
     sizes = p.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count(F.lit(1)).alias("_cnt"))
     r = r.join(sizes, subject, "left")  # one row per subject; AQE broadcasts by measured size
     has = F.col(subject).isNotNull()

@@ -137,12 +137,7 @@ class Run:
 
     @cached_property
     def result(self) -> DataFrame:
-        def build():
-            r = R.citation_ratios(R.global_rank(self.profile, self.cfg))
-            r = R.subfield_rank(r, self.cfg)
-            return r.withColumn("top_listed", R.top_list_predicate(self.cfg))
-
-        return self._maybe_stage("result", build)
+        return self._maybe_stage("result", lambda: R.ranked_result(self.profile, self.cfg))
 
     @cached_property
     def top(self) -> DataFrame:

@@ -51,7 +51,7 @@ def run(spark):
     inputs = Inputs(corpus, smc, empty, disc, spark.createDataFrame([], "srcid long, subfield_code int"), tree,
                     spark.createDataFrame([], "institution_id int, afid long"),
                     spark.createDataFrame([], "institution_id int, name string, country_code string"))
-    return Run(spark, inputs, CFG, stage=False)
+    return Run(spark, inputs, CFG, stage=True, inputs_key="hand-made corpus")
 
 
 def test_edges(run):
