@@ -14,40 +14,43 @@ from .ordered import ordered_prefix
 SUM_DIGITS = 9
 
 
-def _ranked_papers(auth: DataFrame, cites: str, cfg: Config) -> DataFrame:
-    """Per (author, paper): rank of the paper among the author's slots by
-    citations desc then eid (SQL rank: a repeated author's slots tie), and the
-    running sum of 1/n_authors with peers included."""
-    slots = auth.select("auid", "eid", F.col(cites).alias("c"), (F.lit(1.0) / F.col("n_authors")).alias("w"))
-    return ordered_prefix(slots, ["auid"], [("c", False), ("eid", True)], ["w"], skew_safe=cfg.skew_safe)
-
-
-def _h_hm(auth: DataFrame, cites: str, suffix: str, cfg: Config) -> DataFrame:
-    r = _ranked_papers(auth, cites, cfg)
-    return r.groupBy("auid").agg(
-        F.max(F.when(F.col("_rank") <= F.col("c"), F.col("_rank")).otherwise(0)).cast("long").alias(f"h_{suffix}"),
-        F.max(F.when(F.round("_cum_w", SUM_DIGITS) <= F.col("c"), F.col("_cum_w")).otherwise(0.0)).alias(
-            f"hm_{suffix}"
-        ),
-    )
+def _ranked_papers(auth: DataFrame, cfg: Config) -> DataFrame:
+    """Per (author, variant, paper), variant ns/ws stacked in one table so that a
+    single ranking pass serves both: rank of the paper among the author's slots
+    by citations desc then eid (SQL rank: a repeated author's slots tie), and
+    the running sum of 1/n_authors with peers included."""
+    slots = auth.select(
+        "auid", "eid", (F.lit(1.0) / F.col("n_authors")).alias("w"),
+        F.explode(F.array(
+            F.struct(F.lit("ns").alias("v"), F.col("cites_ns").alias("c")),
+            F.struct(F.lit("ws").alias("v"), F.col("cites_ws").alias("c")),
+        )).alias("x"),
+    ).select("auid", "x.v", "eid", "x.c", "w")
+    return ordered_prefix(slots, ["auid", "v"], [("c", False), ("eid", True)], ["w"], skew_safe=cfg.skew_safe)
 
 
-def h_index(auth: DataFrame, cfg: Config) -> DataFrame:
-    """h (ns, ws): the largest rank r with at least r citations at that rank."""
-    ns = _h_hm(auth, "cites_ns", "ns", cfg).select("auid", "h_ns")
-    ws = _h_hm(auth, "cites_ws", "ws", cfg).select("auid", "h_ws")
-    return ns.join(ws, "auid")
+def h_and_hm(auth: DataFrame, cfg: Config) -> DataFrame:
+    """h and hm, ns and ws, per author.
 
+    h: the largest rank r with at least r citations at that rank.
+    hm: the largest running sum of 1/n_authors not above the citations."""
+    r = _ranked_papers(auth, cfg)
+    aggs = []
+    for v in ("ns", "ws"):
+        mine = F.col("v") == v
+        aggs.append(F.max(F.when(mine & (F.col("_rank") <= F.col("c")), F.col("_rank")).otherwise(0)).cast("long").alias(f"h_{v}"))
+        aggs.append(F.max(F.when(mine & (F.round("_cum_w", SUM_DIGITS) <= F.col("c")), F.col("_cum_w")).otherwise(0.0)).alias(f"hm_{v}"))
+    return r.groupBy("auid").agg(*aggs)
 
-def hm_index(auth: DataFrame, cfg: Config) -> DataFrame:
-    """hm (ns, ws): the largest running sum of 1/n_authors not above the citations."""
-    ns = _h_hm(auth, "cites_ns", "ns", cfg).select("auid", "hm_ns")
-    ws = _h_hm(auth, "cites_ws", "ws", cfg).select("auid", "hm_ws")
-    return ns.join(ws, "auid")
 
+def h_index(auth: DataFrame, cfg: Config) -> DataFrame:
+    """h (ns, ws)."""
+    return h_and_hm(auth, cfg).select("auid", "h_ns", "h_ws")
 
-def h_and_hm(auth: DataFrame, cfg: Config) -> DataFrame:
-    return _h_hm(auth, "cites_ns", "ns", cfg).join(_h_hm(auth, "cites_ws", "ws", cfg), "auid")
+
+def hm_index(auth: DataFrame, cfg: Config) -> DataFrame:
+    """hm (ns, ws)."""
+    return h_and_hm(auth, cfg).select("auid", "hm_ns", "hm_ws")
 
 
 def _volume_aggs(cfg: Config) -> list:

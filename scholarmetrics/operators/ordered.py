@@ -11,7 +11,9 @@ so that no task holds more than one range partition:
    spread over many partitions, in order;
 3. a window per (group, partition) gives running sums inside each partition;
 4. per (group, partition) totals (at most groups x partitions rows) give, by a
-   small window over the partitions of a group, the offset of each partition;
+   small window over the partitions of a group, the offset of each partition
+   (the range-partitioned table is checkpointed first, so both uses see the
+   same partition ids);
 5. offset + local running sum = running sum over the whole group.
 
 The output has one row per peer key. ``_rank`` is SQL ``rank()`` (ties share,
@@ -78,6 +80,11 @@ def ordered_prefix(
     ranged = peers.repartitionByRange(*[F.col(b).asc_nulls_first() for b in by], *order_cols).withColumn(
         "_pid", F.spark_partition_id()
     )
+    # The partition id is consumed twice (local running sums and per-partition
+    # totals). A reliable checkpoint in the shared folder fixes it once: both
+    # consumers read the same rows whatever the optimizer prunes, and a lost
+    # executor re-reads them instead of re-sampling the range bounds.
+    ranged = _materialize(ranged)
     part = gk + ["_pid"]
     w_local = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(c).over(w_local).alias(f"_run{c}") for c in run_cols])
@@ -94,6 +101,13 @@ def ordered_prefix(
     return _finish(out, sums, offset="_off")
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    from ..sources.io import shared_dir
+
+    shared_dir(df.sparkSession)  # makes sure a checkpoint folder is set (tests: a temporary one)
+    return df.checkpoint(eager=True)
+
+
 def _finish(out: DataFrame, sums: Sequence[str], offset: str | None) -> DataFrame:
     def total(c):
         run = F.col(f"_run{c}")

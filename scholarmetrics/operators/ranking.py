@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import ratio
-from .ordered import add_ranks, rank_rows
+from .ordered import add_ranks, attach, ordered_prefix, rank_rows
 
 
 def author_profile(scored: DataFrame, names: DataFrame, affiliation: DataFrame, cfg: Config) -> DataFrame:
@@ -34,18 +34,30 @@ def global_rank(p: DataFrame, cfg: Config) -> DataFrame:
 
 
 def ranked_result(profile: DataFrame, cfg: Config) -> DataFrame:
-    """Profile + global ranks + ratios + subfield ranks + top-list flag: all four
-    ranks computed from narrow projections and joined back in one chain."""
-    specs = [
-        ("rank_ns", [], [("c_ns", False)]),
-        ("rank_ws", [], [("c_ws", False)]),
-        ("_rws", ["sm_subfield_1"], [("c_ws", False)]),
-        ("_rns", ["sm_subfield_1"], [("c_ns", False)]),
-    ]
-    r = citation_ratios(add_ranks(profile, specs, skew_safe=cfg.skew_safe))
-    sizes = profile.filter(F.col("sm_subfield_1").isNotNull()).groupBy("sm_subfield_1").agg(F.count(F.lit(1)).alias("_cnt"))
+    """Profile + global ranks + ratios + subfield ranks + top-list flag.
+
+    The four ranks (c_ns and c_ws, over all authors and inside the first
+    subfield) are stacked as (scope, group, value) rows and ranked in one
+    skew-safe pass, then pivoted back per author with one aggregate."""
+    sub = F.col("sm_subfield_1")
+    stacked = profile.select(
+        "author_id",
+        F.explode(F.array(
+            F.struct(F.lit("rank_ns").alias("scope"), F.lit(None).cast("string").alias("grp"), F.col("c_ns").alias("value")),
+            F.struct(F.lit("rank_ws").alias("scope"), F.lit(None).cast("string").alias("grp"), F.col("c_ws").alias("value")),
+            F.struct(F.lit("_rns").alias("scope"), sub.alias("grp"), F.col("c_ns").alias("value")),
+            F.struct(F.lit("_rws").alias("scope"), sub.alias("grp"), F.col("c_ws").alias("value")),
+        )).alias("x"),
+    ).select("author_id", "x.*")
+    pre = ordered_prefix(stacked, ["scope", "grp"], [("value", False)], skew_safe=cfg.skew_safe)
+    ranked = attach(stacked, pre.select("scope", "grp", "value", "_rank"), ["scope", "grp", "value"], ["_rank"])
+    ranks = ranked.groupBy("author_id").agg(
+        *[F.max(F.when(F.col("scope") == s, F.col("_rank"))).alias(s) for s in ("rank_ns", "rank_ws", "_rns", "_rws")]
+    )
+    r = citation_ratios(profile.join(ranks, "author_id", "left"))
+    sizes = profile.filter(sub.isNotNull()).groupBy("sm_subfield_1").agg(F.count(F.lit(1)).alias("_cnt"))
     r = r.join(sizes, "sm_subfield_1", "left")  # one row per subject; AQE broadcasts by measured size
-    has = F.col("sm_subfield_1").isNotNull()
+    has = sub.isNotNull()
     r = r.withColumns({
         "rank_sm_subfield_1_ws": F.when(has, F.col("_rws")),
         "rank_sm_subfield_1_ns": F.when(has, F.col("_rns")),
