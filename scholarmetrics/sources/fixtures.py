@@ -38,9 +38,10 @@ EDITION2017 = Config(
     name="edition2017", min_year=1996, min_cite_year=1997, max_year=2000, edition="2017",
     **{**_FIXTURE_COMMON, "min_classified": 5, "auid_floor": None},
 )
-# few citers (only 2001 papers cite) and a low eligibility bar: many authors
-# without citations, with only self-citations, or without a classified paper
-SPARSE = Config(name="sparse", min_year=1996, min_cite_year=2001, max_year=2001, **{**_FIXTURE_COMMON, "min_core_papers": 1})
+# authored span 1995 only, citers from 2001 only, low eligibility bar: authors
+# without citations (sf0.01: 118), with only self-citations (17), without a
+# classified paper (15) or a second subfield (519), below two papers (49)
+SPARSE = Config(name="sparse", min_year=1995, min_cite_year=2001, max_year=1995, **{**_FIXTURE_COMMON, "min_core_papers": 1})
 
 
 @dataclass(frozen=True)
