@@ -33,9 +33,11 @@ class Config:
     # "2019": per-paper subjects, dominant last-year affiliation, upper-bound cut-offs
     # "2017": journal subjects, last-paper affiliation, lower-bound cut-offs
     edition: str = "2019"
-    # ordered metrics and ranks through range-partitioned prefix sums (True)
-    # or one window per group (False, fine when no group is large)
-    skew_safe: bool = True
+    # ordered metrics and ranks: range-partitioned prefix sums (True), one window
+    # per group (False), or decided per call from the measured largest group
+    # ("auto": range path only when a group exceeds max_group_rows)
+    skew_safe: bool | str = "auto"
+    max_group_rows: int = 2_000_000
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):
@@ -56,6 +58,8 @@ class Config:
                 raise ValueError(f"percentile {p} outside (0, 1]")
         if not self.core_types:
             raise ValueError("core_types must not be empty")
+        if self.skew_safe not in (True, False, "auto"):
+            raise ValueError("skew_safe must be True, False or 'auto'")
 
     # year labels used in published column names, e.g. nc9619
     @property

@@ -21,7 +21,8 @@ gaps follow) and ``_cum_<c>`` is the RANGE UNBOUNDED PRECEDING .. CURRENT ROW
 sum (peers included), exactly as the window functions define them.
 
 ``skew_safe=False`` computes the same columns with one window per group, which
-is cheaper when no group is large.
+is cheaper when no group is large; ``"auto"`` measures the largest group first
+(one small aggregate) and takes the range path only above ``max_group_rows``.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ def ordered_prefix(
     sums: Sequence[str] = (),
     *,
     peers_unique: bool = False,
-    skew_safe: bool = True,
+    skew_safe: bool | str = True,
+    max_group_rows: int = 2_000_000,
 ) -> DataFrame:
     """One row per distinct (by, order) key with ``_n`` (peer rows), ``_rank``,
     and per column c in ``sums``: ``_sum_c`` (over peers) and ``_cum_c``."""
@@ -64,6 +66,9 @@ def ordered_prefix(
     order_cols = [_sort_col(c, a) for c, a in order]
     run_cols = ["_n"] + [f"_sum_{s}" for s in sums]
 
+    if skew_safe == "auto":
+        skew_safe = largest_group(df, by) > max_group_rows
+
     if not skew_safe:
         w = Window.partitionBy(*by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = peers.select("*", *[F.sum(c).over(w).alias(f"_run{c}") for c in run_cols])
@@ -101,6 +106,14 @@ def ordered_prefix(
     return _finish(out, sums, offset="_off")
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group (one partial+final aggregate, #groups rows out)."""
+    if not by:
+        return int(df.count())
+    v = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return int(v or 0)
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     from ..sources.io import shared_dir
 
@@ -128,21 +141,24 @@ def attach(df: DataFrame, prefix: DataFrame, keys: Sequence[str], cols: Sequence
 
 
 def rank_rows(
-    df: DataFrame, by: Sequence[str], order: Order, name: str = "rank", *, skew_safe: bool = True
+    df: DataFrame, by: Sequence[str], order: Order, name: str = "rank", *, skew_safe: bool | str = True,
+    max_group_rows: int = 2_000_000,
 ) -> DataFrame:
     """Add SQL ``rank()`` over (PARTITION BY by ORDER BY order) to every row."""
     keys = list(by) + [c for c, _ in order]
-    pre = ordered_prefix(df, by, order, skew_safe=skew_safe).select(*keys, F.col("_rank").alias(name))
+    pre = ordered_prefix(df, by, order, skew_safe=skew_safe, max_group_rows=max_group_rows).select(
+        *keys, F.col("_rank").alias(name))
     return attach(df, pre, keys, [name])
 
 
-def add_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], Order]], *, skew_safe: bool = True) -> DataFrame:
+def add_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], Order]], *, skew_safe: bool | str = True,
+              max_group_rows: int = 2_000_000) -> DataFrame:
     """Add several ranks at once: ``specs`` = [(name, by, order), ...]. Each rank is
     computed from a narrow projection and all are joined back in one chain, so
     the input appears 1 + len(specs) times in the plan instead of doubling per rank."""
     out = df
     for name, by, order in specs:
         keys = list(by) + [c for c, _ in order]
-        pre = ordered_prefix(df.select(*keys), by, order, skew_safe=skew_safe).select(*keys, F.col("_rank").alias(name))
-        out = attach(out, pre, keys, [name])
+        pre = ordered_prefix(df.select(*keys), by, order, skew_safe=skew_safe, max_group_rows=max_group_rows)
+        out = attach(out, pre.select(*keys, F.col("_rank").alias(name)), keys, [name])
     return out

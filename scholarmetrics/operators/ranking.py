@@ -30,7 +30,7 @@ def distributed_rank(df: DataFrame, col: str, name: str, by: str | None = None,
 
 def global_rank(p: DataFrame, cfg: Config) -> DataFrame:
     """rank_ns / rank_ws: rank by composite c desc over all profiled authors."""
-    return add_ranks(p, [("rank_ns", [], [("c_ns", False)]), ("rank_ws", [], [("c_ws", False)])], skew_safe=cfg.skew_safe)
+    return add_ranks(p, [("rank_ns", [], [("c_ns", False)]), ("rank_ws", [], [("c_ws", False)])], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
 
 
 def ranked_result(profile: DataFrame, cfg: Config) -> DataFrame:
@@ -49,7 +49,7 @@ def ranked_result(profile: DataFrame, cfg: Config) -> DataFrame:
             F.struct(F.lit("_rws").alias("scope"), sub.alias("grp"), F.col("c_ws").alias("value")),
         )).alias("x"),
     ).select("author_id", "x.*")
-    pre = ordered_prefix(stacked, ["scope", "grp"], [("value", False)], skew_safe=cfg.skew_safe)
+    pre = ordered_prefix(stacked, ["scope", "grp"], [("value", False)], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
     ranked = attach(stacked, pre.select("scope", "grp", "value", "_rank"), ["scope", "grp", "value"], ["_rank"])
     ranks = ranked.groupBy("author_id").agg(
         *[F.max(F.when(F.col("scope") == s, F.col("_rank"))).alias(s) for s in ("rank_ns", "rank_ws", "_rns", "_rws")]
@@ -79,7 +79,7 @@ def subfield_rank(p: DataFrame, cfg: Config, subject: str = "sm_subfield_1") ->
     """Rank by c (ws, ns) and size inside the author's first subfield; NULL for
     authors without a subfield."""
     r = add_ranks(p, [("_rws", [subject], [("c_ws", False)]), ("_rns", [subject], [("c_ns", False)])],
-                  skew_safe=cfg.skew_safe)
+                  skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
     sizes = p.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count(F.lit(1)).alias("_cnt"))
     r = r.join(sizes, subject, "left")  # one row per subject; AQE broadcasts by measured size
     has = F.col(subject).isNotNull()

@@ -102,7 +102,7 @@ def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float
     paper (NULL ratios still take the lowest ranks and count in the size), for
     authors below ``ceiling``."""
     s = res.filter(F.col("sm_subfield_1") == subfield)
-    r = rank_rows(s, [], [("cprat_ws", True)], "_r", skew_safe=cfg.skew_safe)
+    r = rank_rows(s, [], [("cprat_ws", True)], "_r", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
     n = s.agg(F.count(F.lit(1)).alias("_size"))
     r = r.crossJoin(F.broadcast(n))  # one row
     return r.filter(F.col("cprat_ws") < ceiling).select(
@@ -115,8 +115,8 @@ def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float
 def null_rank(res: DataFrame, col: str, cfg: Config) -> DataFrame:
     """Ranks of a nullable column, ascending and descending, NULL rows unranked
     (ascending puts NULL first, so the first ranked value gets rank #NULL + 1)."""
-    r = rank_rows(res.select("author_id", col), [], [(col, True)], "_ra", skew_safe=cfg.skew_safe)
-    r = rank_rows(r, [], [(col, False)], "_rd", skew_safe=cfg.skew_safe)
+    r = rank_rows(res.select("author_id", col), [], [(col, True)], "_ra", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
+    r = rank_rows(r, [], [(col, False)], "_rd", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
     has = F.col(col).isNotNull()
     return r.select("author_id", col, F.when(has, F.col("_ra")).alias("rank_asc"), F.when(has, F.col("_rd")).alias("rank_desc"))
 

@@ -110,6 +110,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scholarmetrics/{uuid.uuid4().hex}/{name}"
 
 
+# extra key component for a run that must not reuse earlier stages (the benchmark)
+STAGE_NAMESPACE = ""
+
+
+def input_fingerprint(spark: SparkSession, *paths: str) -> str:
+    """(path, length, modification time) of every input file, via the Hadoop FS."""
+    import hashlib
+
+    h = hashlib.sha256()
+    for path in paths:
+        fs, p = _hadoop_fs(spark, path)
+        for st in sorted(fs.listStatus(p), key=lambda x: x.getPath().toString()) if fs.getFileStatus(p).isDirectory() \
+                else [fs.getFileStatus(p)]:
+            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()};".encode())
+    return h.hexdigest()[:16]
+
+
 def code_version() -> str:
     """Hash of the library source, so a staged result is never reused across code changes."""
     import hashlib
@@ -135,7 +152,7 @@ def stage(
     several reports share one computation."""
     import hashlib
 
-    k = hashlib.sha256(f"{key}|{code_version()}".encode()).hexdigest()[:16]
+    k = hashlib.sha256(f"{key}|{code_version()}|{STAGE_NAMESPACE}".encode()).hexdigest()[:16]
     root = (base or f"{shared_dir(spark)}/scholarmetrics/stages").rstrip("/")
     path = f"{root}/{name}_{k}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
