@@ -38,10 +38,13 @@ class Run:
     stage: bool = True
     inputs_key: str = ""
 
-    def _maybe_stage(self, name: str, build) -> DataFrame:
+    def _maybe_stage(self, name: str, build, key: str | None = None) -> DataFrame:
+        """Stage under config + inputs, or under ``key`` + inputs for stages that
+        no config parameter changes (shared by the career and single-year runs)."""
         if not self.stage:
             return build()
-        return _stage(self.spark, build, name, f"{self.cfg.fingerprint()}|{self.inputs_key}")
+        k = self.cfg.fingerprint() if key is None else key
+        return _stage(self.spark, build, name, f"{k}|{self.inputs_key}")
 
     @property
     def pubs(self) -> DataFrame:
@@ -120,13 +123,21 @@ class Run:
     # ---- labels -------------------------------------------------------------------------
     @cached_property
     def names(self) -> DataFrame:
-        return L.author_names(self.pubs)
+        # whole corpus, no year parameter: one stage for every configuration
+        return self._maybe_stage("author_names", lambda: L.author_names(self.pubs), key="names")
 
     @cached_property
     def affiliation(self) -> DataFrame:
+        # whole corpus, depends only on the edition's rule
         if self.cfg.edition == "2017":
-            return L.author_affiliation_latest(self.pubs, self.inputs.inst_map, self.inputs.inst)
-        return L.author_affiliation(self.pubs, self.inputs.ipr)
+            return self._maybe_stage(
+                "author_affiliation_2017",
+                lambda: L.author_affiliation_latest(self.pubs, self.inputs.inst_map, self.inputs.inst),
+                key="affiliation2017",
+            )
+        return self._maybe_stage(
+            "author_affiliation", lambda: L.author_affiliation(self.pubs, self.inputs.ipr), key="affiliation2019"
+        )
 
     # ---- profile, ranks, top list -------------------------------------------------------
     @cached_property

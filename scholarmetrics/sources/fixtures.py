@@ -74,11 +74,27 @@ def build_inputs(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
 
     files = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier", "nation", "region")]
     key = f"fixture|{sf_dir}|{input_fingerprint(spark, *files)}"
+    corpus = stage(spark, lambda: raw.corpus, "input_corpus", key)
+    # the per-paper subjects derive from the written corpus, not from its plan again
+    smc = _smc(corpus, _read(spark, sf_dir, "supplier"), raw.subject_tree)
+    frames = {**raw.__dict__, "corpus": corpus, "smc": smc}
     return Inputs(**{
-        name: stage(spark, (lambda df=df: df), f"input_{name}", key) for name, df in raw.__dict__.items()
+        name: df if name == "corpus" else stage(spark, (lambda df=df: df), f"input_{name}", key)
+        for name, df in frames.items()
     })
 
 
+def _smc(corpus: DataFrame, supplier: DataFrame, tree: DataFrame) -> DataFrame:
+    return (
+        corpus.select("eid", F.col("source.srcid").alias("srcid"))
+        .filter((F.col("srcid") % 10 != 9) & (F.col("eid") % 29 != 0))
+        .join(supplier.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("srcid"))
+        .withColumn("code", (F.col("s_nationkey") + F.when(F.col("eid") % 7 == 0, 1).otherwise(0)) % 25)
+        .join(tree, F.col("code") == F.col("subfield_code"))
+        .select("eid", "subfield", "field", "domain")
+    )
+
+
 def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"
@@ -215,14 +231,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
         F.col("r_name").alias("field"),
         F.when(F.col("n_regionkey") < 2, "DOMAIN_A").otherwise("DOMAIN_B").alias("domain"),
     )
-    smc = (
-        corpus.select("eid", F.col("source.srcid").alias("srcid"))
-        .filter((F.col("srcid") % 10 != 9) & (F.col("eid") % 29 != 0))
-        .join(supplier, F.col("s_suppkey") == F.col("srcid"))
-        .withColumn("code", (F.col("s_nationkey") + F.when(F.col("eid") % 7 == 0, 1).otherwise(0)) % 25)
-        .join(tree, F.col("code") == F.col("subfield_code"))
-        .select("eid", "subfield", "field", "domain")
-    )
+    smc = _smc(corpus, supplier, tree)
     discontinued = supplier.filter(F.col("s_suppkey") % 17 == 3).select(F.col("s_suppkey").alias("srcid"))
     journal_map = supplier.filter(F.col("s_suppkey") % 10 != 9).select(
         F.col("s_suppkey").alias("srcid"), F.col("s_nationkey").alias("subfield_code")
