@@ -244,39 +244,39 @@ def q_top_n_either(spark, d):
 
 
 def q_subject_cutoffs(spark, d):
-    return _round(CO.subject_cutoffs(_result(spark, d), CAREER))
+    return _round(_run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "all")))
 
 
 def q_toplist_cutoffs(spark, d):
-    return _round(CO.toplist_cutoffs(_result(spark, d), CAREER))
+    return _round(_run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "top")))
 
 
 def q_toplist_above(spark, d):
-    return CO.toplist_above(_result(spark, d), CAREER)
+    return _run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "above"))
 
 
 def q_cutoffs_lower(spark, d):
-    return _round(CO.cutoffs_lower(_result(spark, d, EDITION2017), EDITION2017))
+    return _round(_run(spark, d, EDITION2017).cutoffs)
 
 
 def q_subfield_report_2017(spark, d):
     r = _run(spark, d, EDITION2017)
-    return _round(RP.subfield_report_2017(CO.cutoffs_lower(r.result, EDITION2017), r.inputs.subject_tree))
+    return _round(RP.subfield_report_2017(r.cutoffs, r.inputs.subject_tree))
 
 
 def q_field_report(spark, d):
     r = _run(spark, d)
-    return _round(RP.field_report(CO.cutoff_table(r.result, CAREER), SJ.subject_dictionary(r.inputs.smc), CAREER))
+    return _round(RP.field_report(r.cutoffs, SJ.subject_dictionary(r.inputs.smc), CAREER))
 
 
 def q_subfield_report(spark, d):
     r = _run(spark, d)
-    return _round(RP.subfield_report(CO.cutoff_table(r.result, CAREER), SJ.subject_dictionary(r.inputs.smc), CAREER))
+    return _round(RP.subfield_report(r.cutoffs, SJ.subject_dictionary(r.inputs.smc), CAREER))
 
 
 def q_dropout_stats(spark, d):
-    res = _result(spark, d)
-    return _round(RP.dropout_stats(res, CO.cutoff_table(res, CAREER), CAREER))
+    r = _run(spark, d)
+    return _round(RP.dropout_stats(r.result, r.cutoffs, CAREER))
 
 
 DRILL_SUBFIELD = "NATION_9"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import authorship as A
 from ..operators import citations as C
+from ..operators import cutoffs as CO
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import ranking as R
@@ -150,6 +151,14 @@ class Run:
     def result(self) -> DataFrame:
         return self._maybe_stage("result", lambda: R.ranked_result(self.profile, self.cfg))
 
+    @cached_property
+    def cutoffs(self) -> DataFrame:
+        """Cut-off table per field / subfield / TOTAL (2019 upper-bound or 2017
+        lower-bound form), staged once and read by every report."""
+        if self.cfg.edition == "2017":
+            return self._maybe_stage("cutoffs_lower", lambda: CO.cutoffs_lower(self.result, self.cfg))
+        return self._maybe_stage("cutoffs", lambda: CO.cutoff_table(self.result, self.cfg))
+
     @cached_property
     def top(self) -> DataFrame:
         if self.cfg.edition == "2017":
