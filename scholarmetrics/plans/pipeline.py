@@ -38,6 +38,15 @@ class Run:
     maxima_override: DataFrame | None = None
     stage: bool = True
     inputs_key: str = ""
+    # identity of the maxima used for the composite; part of the key of every
+    # stage downstream of it (a fresh one when overriding without a name)
+    maxima_key: str = ""
+
+    def __post_init__(self):
+        if not self.maxima_key:
+            import uuid
+
+            self.maxima_key = "own" if self.maxima_override is None else f"override-{uuid.uuid4().hex}"
 
     def _maybe_stage(self, name: str, build, key: str | None = None) -> DataFrame:
         """Stage under config + inputs, or under ``key`` + inputs for stages that
@@ -144,20 +153,23 @@ class Run:
     @cached_property
     def profile(self) -> DataFrame:
         return self._maybe_stage(
-            "author_profile", lambda: R.author_profile(self.scored, self.names, self.affiliation, self.cfg)
+            "author_profile", lambda: R.author_profile(self.scored, self.names, self.affiliation, self.cfg),
+            key=f"{self.cfg.fingerprint()}|{self.maxima_key}",
         )
 
     @cached_property
     def result(self) -> DataFrame:
-        return self._maybe_stage("result", lambda: R.ranked_result(self.profile, self.cfg))
+        return self._maybe_stage("result", lambda: R.ranked_result(self.profile, self.cfg),
+                                 key=f"{self.cfg.fingerprint()}|{self.maxima_key}")
 
     @cached_property
     def cutoffs(self) -> DataFrame:
         """Cut-off table per field / subfield / TOTAL (2019 upper-bound or 2017
         lower-bound form), staged once and read by every report."""
+        k = f"{self.cfg.fingerprint()}|{self.maxima_key}"
         if self.cfg.edition == "2017":
-            return self._maybe_stage("cutoffs_lower", lambda: CO.cutoffs_lower(self.result, self.cfg))
-        return self._maybe_stage("cutoffs", lambda: CO.cutoff_table(self.result, self.cfg))
+            return self._maybe_stage("cutoffs_lower", lambda: CO.cutoffs_lower(self.result, self.cfg), key=k)
+        return self._maybe_stage("cutoffs", lambda: CO.cutoff_table(self.result, self.cfg), key=k)
 
     @cached_property
     def top(self) -> DataFrame:
