@@ -322,7 +322,8 @@ def q_table_roundtrip(spark, d):
 
     db = f"sm_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{IO.scratch_path(spark, db)}'")
-    A.eligible_authors(_run(spark, d).authorship, CAREER).write.mode("overwrite").saveAsTable(f"{db}.temp_eligible")
+    IO.drop_stage_tables(spark, db, ["temp_eligible"])
+    IO.stage_table(spark, lambda: A.eligible_authors(_run(spark, d).authorship, CAREER), db, "temp_eligible")
     return IO.read_table(spark, db, "temp_eligible")
 
 

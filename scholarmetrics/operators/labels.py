@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from .small import broadcast_if_small
 
 
+def latest_per_key(df: DataFrame, key: list[str] | str, order: list, cols: list[str]) -> DataFrame:
+    """One row per key: ``cols`` of the row with the greatest ``order`` tuple
+    (columns compared left to right; negate a numeric column for ascending).
+    A partial aggregation, not a ranked window over whole rows."""
+    key = [key] if isinstance(key, str) else list(key)
+    ordering = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order)])
+    return df.groupBy(*key).agg(F.max_by(F.struct(*cols), ordering).alias("_best")).select(*key, "_best.*")
+
+
 def _slots(pubs: DataFrame, *cols: str) -> DataFrame:
     return pubs.select(*cols, F.explode("au").alias("a")).withColumn("auid", F.col("a.auid").try_cast("long"))
 

@@ -69,7 +69,8 @@ class Run:
     # ---- citations ------------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
-        return self._maybe_stage("edges", lambda: C.citing_edges(self.pubs, self.disc, self.cfg))
+        f = C.citing_edges_by_join if self.cfg.extra.get("self_citation_by_join") else C.citing_edges
+        return self._maybe_stage("edges", lambda: f(self.pubs, self.disc, self.cfg))
 
     @cached_property
     def cites(self) -> DataFrame:

@@ -158,3 +158,18 @@ def stage(
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_stage_tables(spark: SparkSession, db: str, names: list[str]) -> None:
+    """Start of a run that must rebuild its catalog stages."""
+    for n in names:
+        spark.sql(f"DROP TABLE IF EXISTS {db}.{n}")
+
+
+def stage_table(spark: SparkSession, build: Callable[[], DataFrame], db: str, name: str) -> DataFrame:
+    """Stage as a catalog table: built (saveAsTable) only if absent, then read
+    through the catalog."""
+    full = f"{db}.{name}"
+    if not spark.catalog.tableExists(full):
+        build().write.mode("overwrite").saveAsTable(full)
+    return spark.table(full)

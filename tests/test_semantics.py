@@ -115,3 +115,17 @@ def test_ratios_and_ranks(run):
 def test_discontinued_flags(run):
     got = {r.eid: (r.is_disc_source, r.n_cit_disc) for r in C.discontinued_flags(run.pubs, run.edges, run.disc).collect()}
     assert got[5] == (1, 0) and got[2] == (0, 1)
+
+
+def test_self_citation_by_join_equals_arrays(run):
+    a = {(r.citing, r.cited, r.is_self, r.is_disc) for r in C.citing_edges(run.pubs, run.disc, CFG).collect()}
+    b = {(r.citing, r.cited, r.is_self, r.is_disc) for r in C.citing_edges_by_join(run.pubs, run.disc, CFG).collect()}
+    assert a == b
+
+
+def test_latest_per_key(spark):
+    from scholarmetrics.operators.labels import latest_per_key
+
+    df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, "c"), (2, 1, "d")], "k int, t int, v string")
+    got = {r.k: r.v for r in latest_per_key(df, "k", ["t", "v"], ["v"]).collect()}
+    assert got == {1: "b", 2: "d"}
