@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 200_000
 
 
+_CHECKED: dict[tuple[int, int], bool] = {}
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Broadcast-hint ``df`` if it has at most ``max_rows`` rows (checked with a
-    bounded count that stops reading after max_rows + 1 rows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    bounded count that stops reading after max_rows + 1 rows; the answer is
+    remembered per plan, so a side table used by several operators is counted once)."""
+    try:
+        key = (df.semanticHash(), max_rows)
+    except Exception:
+        key = None
+    if key is None or key not in _CHECKED:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is None:
+            return F.broadcast(df) if small else df
+        _CHECKED[key] = small
+    return F.broadcast(df) if _CHECKED[key] else df
