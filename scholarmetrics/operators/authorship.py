@@ -31,8 +31,11 @@ def authorship(
     ``n_authors`` counts every slot of the paper, placeholders included; a
     repeated author keeps both slots.
     """
+    # only two fields of the author structs travel through the joins; built from the
+    # nested columns so the parquet reader prunes the rest (names, initials)
     papers = pubs.filter(F.col("year") <= cfg.max_year).select(
-        "eid", "year", "publication_type", F.col("source.srcid").alias("srcid"), "au"
+        "eid", "year", "publication_type", F.col("source.srcid").alias("srcid"),
+        F.arrays_zip(F.col("au.auid").alias("auid"), F.col("au.authorseq").alias("authorseq")).alias("au"),
     )
     papers = flag_members(papers, "srcid", disc, "is_disc_source")
     papers = papers.join(cites, "eid", "left")

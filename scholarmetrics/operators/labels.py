@@ -53,8 +53,9 @@ def _own_links(pubs: DataFrame) -> DataFrame:
     """One row per (author slot, own affiliation link): the author-affiliation links
     are filtered inside the row to the slot's position before exploding, so a
     paper with k authors yields k rows, not k x links."""
+    au = F.arrays_zip(F.col("au.auid").alias("auid"), F.col("au.authorseq").alias("authorseq"))  # prunes names
     return (
-        pubs.select("eid", "year", "datesort", "af", "au_af", F.explode("au").alias("a"))
+        pubs.select("eid", "year", "datesort", "af", "au_af", F.explode(au).alias("a"))
         .withColumn("links", F.filter("au_af", lambda l: l["authorseq"] == F.col("a.authorseq")))
         .select("eid", "year", "datesort", "af", "a", F.explode("links").alias("l"))
         .withColumns({
