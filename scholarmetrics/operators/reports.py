@@ -103,11 +103,10 @@ def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float
     authors below ``ceiling``."""
     s = res.filter(F.col("sm_subfield_1") == subfield)
     r = rank_rows(s, [], [("cprat_ws", True)], "_r", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
-    n = s.agg(F.count(F.lit(1)).alias("_size"))
-    r = r.crossJoin(F.broadcast(n))  # one row
+    size = s.count()  # one number: the subfield's size (NULL ratios included)
     return r.filter(F.col("cprat_ws") < ceiling).select(
         "author_id", "cprat_ws",
-        F.when(F.col("cprat_ws").isNotNull(), ratio("_r", "_size")).alias("cprat_perc"),
+        F.when(F.col("cprat_ws").isNotNull(), ratio("_r", F.lit(size))).alias("cprat_perc"),
         "nc_ws", "ncp_ws", "top_listed",
     )
 

@@ -53,16 +53,24 @@ def log_maxima(logs: DataFrame) -> DataFrame:
 
 def composite(logs: DataFrame, maxima: DataFrame) -> DataFrame:
     """c = sum over the six metrics of ln(x+1) / max ln(x+1), for ns and ws (0..6).
-    ``maxima`` has exactly one row, so the cross join is a broadcast of one row."""
-    joined = logs.crossJoin(F.broadcast(maxima.select(*maxima_columns()).limit(1)))
+
+    ``maxima`` is one aggregate row (checked); its 12 values are fetched once and
+    enter the projection as literals, so the composite is a narrow per-row
+    expression over the metrics, with no join at all."""
+    rows = maxima.select(*maxima_columns()).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("maxima must have exactly one row")
+    mx = rows[0].asDict()
     cols = {}
     for v in ("ns", "ws"):
-        parts = [F.try_divide(F.col(f"l{k}_{v}"), F.col(f"max_l{k}_{v}")) for k in COMPOSITE_METRICS]
+        parts = [
+            F.try_divide(F.col(f"l{k}_{v}"), F.lit(mx[f"max_l{k}_{v}"]).cast("double")) for k in COMPOSITE_METRICS
+        ]
         total = parts[0]
         for p in parts[1:]:
             total = total + p
         cols[f"c_{v}"] = F.round(total, C_DIGITS)
-    return joined.withColumns(cols).drop(*maxima_columns())
+    return logs.withColumns(cols)
 
 
 def published_maxima(spark: SparkSession, table: str = "career_2019") -> DataFrame:

@@ -62,8 +62,8 @@ class Run:
 
     @cached_property
     def disc(self) -> DataFrame:
-        if self.cfg.edition == "2017":  # the 2017 edition has no discontinued list
-            return self.inputs.discontinued.limit(0)
+        if self.cfg.edition == "2017":  # the 2017 edition has no discontinued list: an empty one
+            return self.inputs.discontinued.filter(F.lit(False))
         return self.inputs.discontinued
 
     # ---- citations ------------------------------------------------------------
