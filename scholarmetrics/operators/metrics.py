@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import in_span
-from .ordered import ordered_prefix
+from .ordered import ordered_rows
 
 # hm compares a running sum of 1/n_authors with an integer; rounding the sum
 # keeps floating noise (1/3 + 1/3 + 1/3 != 1) from flipping the comparison
@@ -15,7 +15,7 @@ SUM_DIGITS = 9
 
 
 def _ranked_papers(auth: DataFrame, cfg: Config) -> DataFrame:
-    """Per (author, variant, paper), variant ns/ws stacked in one table so that a
+    """Per (author, variant, slot), variant ns/ws stacked in one table so that a
     single ranking pass serves both: rank of the paper among the author's slots
     by citations desc then eid (SQL rank: a repeated author's slots tie), and
     the running sum of 1/n_authors with peers included."""
@@ -26,7 +26,8 @@ def _ranked_papers(auth: DataFrame, cfg: Config) -> DataFrame:
             F.struct(F.lit("ws").alias("v"), F.col("cites_ws").alias("c")),
         )).alias("x"),
     ).select("auid", "x.v", "eid", "x.c", "w")
-    return ordered_prefix(slots, ["auid", "v"], [("c", False), ("eid", True)], ["w"], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
+    return ordered_rows(slots, ["auid", "v"], [("c", False), ("eid", True)], ["w"], skew_safe=cfg.skew_safe,
+                        max_group_rows=cfg.max_group_rows)
 
 
 def h_and_hm(auth: DataFrame, cfg: Config) -> DataFrame:

@@ -140,22 +140,49 @@ def attach(df: DataFrame, prefix: DataFrame, keys: Sequence[str], cols: Sequence
     return df.join(p, cond, "left").drop(*[f"_pk{i}" for i in range(len(keys))])
 
 
+def ordered_rows(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Order,
+    sums: Sequence[str] = (),
+    *,
+    skew_safe: bool | str = True,
+    max_group_rows: int = 2_000_000,
+) -> DataFrame:
+    """Every row of ``df`` with ``_rank`` (SQL rank) and ``_cum_<c>`` (RANGE
+    UNBOUNDED PRECEDING .. CURRENT ROW sum) within ``by`` ordered by ``order``.
+
+    Plain path: one window, exactly the window functions. Range path (a group
+    above ``max_group_rows``, or forced): ``ordered_prefix`` on the peers, joined
+    back to the rows."""
+    by = list(by)
+    keys = by + [c for c, _ in order]
+    if skew_safe == "auto":
+        skew_safe = largest_group(df, by) > max_group_rows
+    if not skew_safe:
+        w = Window.partitionBy(*by).orderBy(*[_sort_col(c, a) for c, a in order])
+        frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({"_rank": F.rank().over(w), **{f"_cum_{s}": F.sum(s).over(frame) for s in sums}})
+    pre = ordered_prefix(df.select(*keys, *sums), by, order, sums, skew_safe=True)
+    cols = ["_rank"] + [f"_cum_{s}" for s in sums]
+    return attach(df, pre.select(*keys, *cols), keys, cols)
+
+
 def rank_rows(
     df: DataFrame, by: Sequence[str], order: Order, name: str = "rank", *, skew_safe: bool | str = True,
     max_group_rows: int = 2_000_000,
 ) -> DataFrame:
     """Add SQL ``rank()`` over (PARTITION BY by ORDER BY order) to every row."""
-    keys = list(by) + [c for c, _ in order]
-    pre = ordered_prefix(df, by, order, skew_safe=skew_safe, max_group_rows=max_group_rows).select(
-        *keys, F.col("_rank").alias(name))
-    return attach(df, pre, keys, [name])
+    return ordered_rows(df, by, order, skew_safe=skew_safe, max_group_rows=max_group_rows).withColumnRenamed(
+        "_rank", name)
 
 
 def add_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], Order]], *, skew_safe: bool | str = True,
               max_group_rows: int = 2_000_000) -> DataFrame:
     """Add several ranks at once: ``specs`` = [(name, by, order), ...]. Each rank is
-    computed from a narrow projection and all are joined back in one chain, so
-    the input appears 1 + len(specs) times in the plan instead of doubling per rank."""
+    computed on the peers of a narrow projection and all are joined back in one
+    chain, so the input appears 1 + len(specs) times in the plan instead of
+    doubling per rank."""
     out = df
     for name, by, order in specs:
         keys = list(by) + [c for c, _ in order]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import ratio
-from .ordered import add_ranks, attach, ordered_prefix, rank_rows
+from .ordered import add_ranks, ordered_rows, rank_rows
 
 
 def author_profile(scored: DataFrame, names: DataFrame, affiliation: DataFrame, cfg: Config) -> DataFrame:
@@ -49,8 +49,8 @@ def ranked_result(profile: DataFrame, cfg: Config) -> DataFrame:
             F.struct(F.lit("_rws").alias("scope"), sub.alias("grp"), F.col("c_ws").alias("value")),
         )).alias("x"),
     ).select("author_id", "x.*")
-    pre = ordered_prefix(stacked, ["scope", "grp"], [("value", False)], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
-    ranked = attach(stacked, pre.select("scope", "grp", "value", "_rank"), ["scope", "grp", "value"], ["_rank"])
+    ranked = ordered_rows(stacked, ["scope", "grp"], [("value", False)], skew_safe=cfg.skew_safe,
+                          max_group_rows=cfg.max_group_rows)
     ranks = ranked.groupBy("author_id").agg(
         *[F.max(F.when(F.col("scope") == s, F.col("_rank"))).alias(s) for s in ("rank_ns", "rank_ws", "_rns", "_rws")]
     )

@@ -53,3 +53,14 @@ def test_no_single_partition_window_on_rows(data):
         if "SinglePartition" in ln:
             above = " ".join(lines[max(0, i - 4):i])
             assert "_tot" in above, above
+
+
+def test_ordered_rows_paths_agree(data):
+    from scholarmetrics.operators.ordered import ordered_rows
+
+    cols = ["g", "v", "e", "w"]
+    a = ordered_rows(data, ["g"], [("v", False), ("e", True)], ["w"], skew_safe=True).select(*cols, "_rank", "_cum_w")
+    b = ordered_rows(data, ["g"], [("v", False), ("e", True)], ["w"], skew_safe=False).select(*cols, "_rank", "_cum_w")
+    ra = sorted((r.g or "", r.v if r.v is not None else -1, r.e, round(r.w, 9), r._rank, round(r._cum_w, 6)) for r in a.collect())
+    rb = sorted((r.g or "", r.v if r.v is not None else -1, r.e, round(r.w, 9), r._rank, round(r._cum_w, 6)) for r in b.collect())
+    assert ra == rb and len(ra) == data.count()
