@@ -15,7 +15,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..config import Config
 
 _AU = T.StructType([
     T.StructField("auid", T.StringType()),
