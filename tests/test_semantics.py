@@ -51,7 +51,10 @@ def run(spark):
     inputs = Inputs(corpus, smc, empty, disc, spark.createDataFrame([], "srcid long, subfield_code int"), tree,
                     spark.createDataFrame([], "institution_id int, afid long"),
                     spark.createDataFrame([], "institution_id int, name string, country_code string"))
-    return Run(spark, inputs, CFG, stage=True, inputs_key="hand-made corpus")
+    import hashlib
+
+    key = "hand-made corpus " + hashlib.sha256(repr((PAPERS, SUBJECTS)).encode()).hexdigest()[:16]
+    return Run(spark, inputs, CFG, stage=True, inputs_key=key)
 
 
 def test_edges(run):
