@@ -21,39 +21,48 @@ def flag_members(df: DataFrame, col: str, members: DataFrame, name: str) -> Data
     )
 
 
-def citing_edges(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataFrame:
+def citing_edges_base(pubs: DataFrame, cfg: Config) -> DataFrame:
     """One row per distinct (citing, cited) pair: the citing paper is from
     ``min_cite_year`` on (no upper bound), the cited paper is in the corpus (any
-    year). ``is_self`` = citing and cited share a known author; ``is_disc`` = the
-    citing paper's journal is discontinued."""
+    year); ``is_self`` = citing and cited share a known author; ``citing_srcid``
+    = journal of the citing paper. Depends on ``min_cite_year`` only."""
     citing = pubs.filter(F.col("year") >= cfg.min_cite_year).select(
         F.col("eid").alias("citing"),
         F.explode(F.array_distinct("references")).alias("cited"),
-        F.col("source.srcid").alias("srcid"),
+        F.col("source.srcid").alias("citing_srcid"),
         as_long_ids("au.auid").alias("citing_auids"),
     )
-    citing = flag_members(citing, "srcid", disc, "is_disc")
     cited = pubs.select(F.col("eid").alias("cited"), as_long_ids("au.auid").alias("cited_auids"))
     return citing.join(cited, "cited").select(
-        "citing",
-        "cited",
+        "citing", "cited",
         shares_author("citing_auids", "cited_auids").cast("int").alias("is_self"),
-        F.col("is_disc").cast("int").alias("is_disc"),
+        "citing_srcid",
     )
 
 
-def citing_edges_by_join(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataFrame:
-    """Same result as ``citing_edges`` without carrying author-id arrays along the
-    edges: (citing paper, author) rows are joined to (cited paper, author) rows on
-    (cited, author), so the cost is edges x authors of the citing paper instead of
-    edges x (authors of both papers) copied into every edge row. For corpora with
-    very large author lists (``Config.extra['self_citation_by_join']``)."""
-    refs = pubs.filter(F.col("year") >= cfg.min_cite_year).select(
-        F.col("eid").alias("citing"), F.explode(F.array_distinct("references")).alias("cited"),
-        F.col("source.srcid").alias("srcid"),
+def with_discontinued(base: DataFrame, disc: DataFrame) -> DataFrame:
+    """Edges with ``is_disc`` = the citing paper's journal is discontinued (a
+    checked broadcast of the journal list, no shuffle of the edges)."""
+    return flag_members(base, "citing_srcid", disc, "is_disc").select(
+        "citing", "cited", "is_self", F.col("is_disc").cast("int").alias("is_disc")
     )
-    refs = flag_members(refs, "srcid", disc, "is_disc")
-    in_corpus = refs.join(pubs.select(F.col("eid").alias("cited")), "cited")
+
+
+def citing_edges(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataFrame:
+    """Citing edges with self-citation and discontinued-journal flags."""
+    return with_discontinued(citing_edges_base(pubs, cfg), disc)
+
+
+def citing_edges_base_by_join(pubs: DataFrame, cfg: Config) -> DataFrame:
+    """Same result as ``citing_edges_base`` without carrying author-id arrays along
+    the edges: (citing paper, author) rows are semi-joined to (cited paper,
+    author) rows on (cited, author), so the cost is edges x authors of the citing
+    paper instead of both papers' author arrays copied into every edge row. For
+    corpora with very large author lists (``Config.extra['self_citation_by_join']``)."""
+    in_corpus = pubs.filter(F.col("year") >= cfg.min_cite_year).select(
+        F.col("eid").alias("citing"), F.explode(F.array_distinct("references")).alias("cited"),
+        F.col("source.srcid").alias("citing_srcid"),
+    ).join(pubs.select(F.col("eid").alias("cited")), "cited")
     authors = pubs.select("eid", F.explode("au.auid").alias("a")).select(
         "eid", F.col("a").try_cast("bigint").alias("auid")
     ).filter(F.col("auid").isNotNull()).distinct()
@@ -65,11 +74,14 @@ def citing_edges_by_join(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataF
         .select("citing", "cited").distinct().withColumn("_shared", F.lit(1))
     )
     return in_corpus.join(shared, ["citing", "cited"], "left").select(
-        "citing", "cited", F.coalesce("_shared", F.lit(0)).cast("int").alias("is_self"),
-        F.col("is_disc").cast("int").alias("is_disc"),
+        "citing", "cited", F.coalesce("_shared", F.lit(0)).cast("int").alias("is_self"), "citing_srcid",
     )
 
 
+def citing_edges_by_join(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataFrame:
+    return with_discontinued(citing_edges_base_by_join(pubs, cfg), disc)
+
+
 def self_citations(edges: DataFrame) -> DataFrame:
     """The self-citation edges (citing and cited paper share an author)."""
     return edges.filter(F.col("is_self") == 1).select("citing", "cited")

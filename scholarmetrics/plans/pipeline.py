@@ -69,8 +69,12 @@ class Run:
     # ---- citations ------------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
-        f = C.citing_edges_by_join if self.cfg.extra.get("self_citation_by_join") else C.citing_edges
-        return self._maybe_stage("edges", lambda: f(self.pubs, self.disc, self.cfg))
+        # the costly part (reference explode, join, shared-author test) depends on
+        # min_cite_year only: staged under that key, shared by runs that cite from
+        # the same year; the discontinued flag is a broadcast join on top
+        f = C.citing_edges_base_by_join if self.cfg.extra.get("self_citation_by_join") else C.citing_edges_base
+        base = self._maybe_stage("edges", lambda: f(self.pubs, self.cfg), key=f"cite_from={self.cfg.min_cite_year}")
+        return C.with_discontinued(base, self.disc)
 
     @cached_property
     def cites(self) -> DataFrame:
