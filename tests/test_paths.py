@@ -57,3 +57,13 @@ def test_auto_takes_range_path_above_bound(run):
     cols = ["auid", "h_ns", "h_ws", "hm_ns", "hm_ws"]
     assert _rows(auto, cols) == _rows(plain, cols)
     assert auto.filter(F.col("h_ws") < 0).count() == 0
+
+
+def test_ranked_result_has_no_single_partition_window_over_authors(run):
+    res = R.ranked_result(run.profile, CAREER.with_(skew_safe=True))
+    res.collect()
+    lines = res._jdf.queryExecution().executedPlan().toString().splitlines()
+    for i, ln in enumerate(lines):
+        if "SinglePartition" in ln:
+            above = " ".join(lines[max(0, i - 4):i])
+            assert "_tot" in above, above  # only the per-partition totals go to one partition
