@@ -11,9 +11,13 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "scholarmetrics") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "scholarmetrics",
+                  extra: dict | None = None) -> SparkSession:
+    b = SparkSession.builder
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        b.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
