@@ -350,12 +350,33 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
 
 
+def _pipeline_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """The training-data operators and the pipeline, if their subpackage is there."""
+    try:
+        from scholarmetrics.llm.queries import ORACLE_SQL, QUERIES
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith("scholarmetrics.llm"):
+            raise
+        return {}, {}
+    found, sql = dict(QUERIES), dict(ORACLE_SQL)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline":
+            raise
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries()
+    return _queries() | _pipeline_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return O.all_oracles()
+    return O.all_oracles() | _pipeline_queries()[1]
 
 
 def entry(spark: SparkSession) -> DataFrame:
