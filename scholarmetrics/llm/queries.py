@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import minhash, quality
 
 QUERIES = {
+    "op1_minhash_dedup": minhash.query,
     "op9_quality_rules": quality.query,
 }
 
