@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, quality
+from . import decontaminate, minhash, quality
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op3_decontamination": decontaminate.query,
     "op9_quality_rules": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE_SQL,
+}
