@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, quality
+from . import decontaminate, minhash, pii, quality
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op3_decontamination": decontaminate.query,
+    "op10_pii": pii.query,
     "op9_quality_rules": quality.query,
 }
 
