@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, pieces, pii, quality
+from . import decontaminate, language, minhash, pieces, pii, quality
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op3_decontamination": decontaminate.query,
     "op10_pii": pii.query,
+    "op4_language_id": language.query,
     "op6_sentencepiece": pieces.query,
     "op9_quality_rules": quality.query,
 }
