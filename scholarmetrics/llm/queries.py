@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, minhash, pieces, pii, quality
+from . import decontaminate, language, minhash, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op3_decontamination": decontaminate.query,
     "op10_pii": pii.query,
     "op4_language_id": language.query,
+    "op5_toxicity": toxicity.query,
     "op6_sentencepiece": pieces.query,
     "op9_quality_rules": quality.query,
 }
