@@ -40,7 +40,7 @@ MAX_LEARN = 10_000
 CONTEXT = 6
 STEM_LENGTHS = range(4, 9)
 LEAST_LENGTH = 4
-LEAST_PRECISION = 0.8
+LEAST_PRECISION = 0.97
 SIGNIFICANCE = 0.01
 MAX_TERMS = 2000  # size bound of the broadcast lexicon; the most frequent terms stay
 MEMO = 400_000  # words remembered by a task; the memo starts anew when full
