@@ -45,3 +45,11 @@ def packed(df: DataFrame, alias: str = "_row") -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str], alias: str = "_row") -> list[Column]:
     return [F.col(alias).getField(c).alias(c) for c in columns]
+
+
+class Numbered(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, minhash, pieces, pii, quality, toxicity
+from . import decontaminate, language, minhash, pieces, pii, quality, tokenfiles, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language.query,
     "op5_toxicity": toxicity.query,
     "op6_sentencepiece": pieces.query,
+    "op7_token_files": tokenfiles.query,
     "op9_quality_rules": quality.query,
 }
 
