@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, minhash, pieces, pii, quality, tokenfiles, toxicity
+from . import decontaminate, language, minhash, pages, pieces, pii, quality, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op2_url_filters": urls.query,
     "op3_decontamination": decontaminate.query,
     "op10_pii": pii.query,
     "op4_language_id": language.query,
     "op5_toxicity": toxicity.query,
     "op6_sentencepiece": pieces.query,
     "op7_token_files": tokenfiles.query,
+    "op8_html_extraction": pages.query,
     "op9_quality_rules": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": urls.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
 }
