@@ -10,10 +10,11 @@ Equal sets collapse to one representative first (the smallest doc_id), so thousa
 copies cost one signature in the buckets. Inside a bucket no all-pairs list is emitted:
 members are linked to one hub of the bucket, links are confirmed on the full shingle sets,
 components are contracted, and the hub round repeats on buckets that still hold several
-components until it adds nothing. What remains are pairs of different components in one
-bucket; they are compared by size and by a 160-bit sketch of the signature inside the join
-(J >= 0.8 fails it with probability below 1e-7) and confirmed on the full sets as well.
-No link is taken from signatures alone.
+components until it adds nothing. What remains are pairs of different components among the
+members of unsettled buckets; an exact prefix join over their shingles finds those that can
+be links, and they are confirmed on the full sets as well. Pairs are dropped unseen only by
+set size (exact) or by a 160-bit sketch of the signature, which a link fails with
+probability below 1e-7. No link is taken from signatures alone.
 
 Defined results: null or empty text (no words) has an empty set and links with nothing; a
 text shorter than a shingle is one shingle; rows that share a doc_id are one document; rows
@@ -187,17 +188,59 @@ def _hub_pairs(members: DataFrame, cfg: DedupConfig) -> DataFrame:
     return j.filter(ok).select(F.col("h.rep").alias("hub"), "rep").distinct()
 
 
-def _cross_pairs(members: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """Pairs of different labels in one bucket that pass the size and sketch conditions; joined by
-    bucket and size class (sets of a link differ by at most one class)."""
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / cfg.percent)) * 0.999).cast("long")
-    a = members.select("key", size.alias("c"), *[F.col(c).alias(f"a_{c}") for c in ("rep", "label", "n", *_SKETCH)])
-    b = members.select("key", F.explode(F.array(size - 1, size, size + 1)).alias("c"),
-                       *[F.col(c).alias(f"b_{c}") for c in ("rep", "label", "n", *_SKETCH)])
-    ok = _similar(F.col("a_n"), F.col("b_n"), [F.col(f"a_{c}") for c in _SKETCH], [F.col(f"b_{c}") for c in _SKETCH], cfg)
-    on = (a["key"] == b["key"]) & (a["c"] == b["c"]) & (F.col("a_rep") < F.col("b_rep")) & (
-        F.col("a_label") != F.col("b_label")) & ok
-    return a.join(b, on).select(F.col("a_rep").alias("hub"), F.col("b_rep").alias("rep")).distinct()
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t.as_py(), k) for t in part.column(3).cast(pa.binary())]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    names=["node", "label", "sketch", "tokens"])
+
+    return run
+
+
+def _rest_pairs(members: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Pairs of different labels among the members of unsettled buckets that can still be links: an
+    exact prefix join. Shingles are ordered by how many of these sets hold them; two sets of
+    similarity t share a shingle in short prefixes of that order, at positions that leave room for
+    the overlap t asks for. A passage that many documents share is frequent, so it stands past the
+    prefixes and makes no pairs."""
+    p = cfg.percent
+    who = members.groupBy("rep").agg(F.min("label").alias("label"), F.min(F.struct(*_SKETCH)).alias("sketch"))
+    rows = (
+        who.join(texts.withColumnRenamed("node", "rep"), "rep")
+        .select(F.col("rep").alias("node"), "label", "sketch", "text")
+        .mapInArrow(_sets(cfg.words), "node long, label long, sketch struct<s0:long,s1:long,s2:long>, tokens array<long>")
+    )
+    rows = materialize(rows, "rest_sets")
+    n = F.size("tokens").cast("long")
+    each = rows.select("node", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # shingles of one set only come first in its order and can never be shared: they only shift positions
+    common = each.join(held, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    ceil = lambda x, d: F.floor((x + (d - 1)) / d).cast("long")
+    base = rows.select("node", "label", "sketch", n.alias("n")).join(common, "node").withColumn("alone", F.col("n") - F.size("common"))
+    probe = F.greatest(F.col("n") - ceil(p * F.col("n"), 100) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    index = F.col("n") - ceil(2 * p * F.col("n"), 100 + p) + 1
+    prefix = (
+        base.select("node", "label", "sketch", "n", "alone", index.alias("index"), F.posexplode(F.slice("common", F.lit(1), probe)).alias("i", "c"))
+        .select("node", "label", "n", "sketch", F.col("c.token").alias("token"), (F.col("alone") + F.col("i")).alias("at"), "index")
+    )
+    prefix = materialize(prefix, "rest_prefixes")
+    mixed = prefix.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+    prefix = prefix.join(mixed, "token", "left_semi")
+    x = prefix.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "sketch", "at")])
+    y = prefix.filter("at < index").select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "sketch", "at")])
+    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    ok = _similar(F.col("x_n"), F.col("y_n"), [F.col(f"x_sketch.{c}") for c in _SKETCH], [F.col(f"y_sketch.{c}") for c in _SKETCH], cfg)
+    smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_node") < F.col("x_node")))
+    on = (x["token"] == y["token"]) & (F.col("x_label") != F.col("y_label")) & smaller & ok & (
+        (100 + p) * room >= p * (F.col("x_n") + F.col("y_n")))
+    return x.join(y, on).select(F.least("x_node", "y_node").alias("hub"), F.greatest("x_node", "y_node").alias("rep")).distinct()
 
 
 def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -243,8 +286,8 @@ def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFr
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         left = materialize(_unsettled(members, labels), f"unsettled_{rounds}")
-    rest = materialize(_cross_pairs(left, cfg).join(tested, ["hub", "rep"], "left_anti"), "cross_pairs")
-    found = materialize(_confirmed(rest, texts, cfg), "cross_links")
+    rest = materialize(_rest_pairs(left, texts, cfg).join(tested, ["hub", "rep"], "left_anti"), "rest_pairs")
+    found = materialize(_confirmed(rest, texts, cfg), "rest_links")
     if not found.isEmpty():
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -271,3 +314,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, DedupConfig(words=4)).select(
         "doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+# Brute force: all pairs of different sets that share a shingle, links by exact counts, reachability.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(4, len(w)) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), sets AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS digest FROM s GROUP BY doc_id
+), cls AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY digest, n) AS rep FROM sets
+), rs AS (
+  SELECT s.doc_id AS rep, g, n FROM s JOIN cls ON s.doc_id = cls.doc_id AND cls.rep = s.doc_id
+), link AS (
+  SELECT a.rep AS a, b.rep AS b FROM rs a JOIN rs b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT DISTINCT a AS node, a AS far FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.far = link.a
+), comp AS (
+  SELECT node, min(far) AS component FROM reach GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(cls.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.component, cls.rep, d.doc_id) AS component_id,
+  d.doc_id = coalesce(comp.component, cls.rep, d.doc_id) AS kept, coalesce(cls.rep, d.doc_id) AS class_id
+FROM d LEFT JOIN cls ON d.doc_id = cls.doc_id LEFT JOIN comp ON comp.node = cls.rep
+"""
