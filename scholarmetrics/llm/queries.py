@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": urls.ORACLE_SQL,
+    "op1_minhash_dedup": minhash.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op9_quality_rules": quality.ORACLE_SQL,
 }
