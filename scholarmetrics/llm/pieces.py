@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Numbered, table
 
 MARK = "▁"
-BLOCK_CHARS = 400_000  # characters of distinct chunks that are indexed at a time
+BLOCK_CHARS = 200_000  # characters of distinct chunks that are indexed at a time
+KNOWN_CHUNKS = 300_000  # distinct chunks whose ids a task remembers; then it starts anew
+STEP = 1000  # texts encoded at a time
 MEMO_BITS = 20  # entries of the table of pairs already decided: 2 ** MEMO_BITS
 NEVER = np.int64(2**40)
 
@@ -129,6 +132,7 @@ class _Encoder:
         self.__dict__.update(model)
         self.memo_key = np.full(1 << MEMO_BITS, -1, np.int64)
         self.memo_ok = np.zeros(1 << MEMO_BITS, bool)
+        self.forget()
 
     # -- which neighbouring pieces BPE leaves side by side ---------------------
     def _cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -273,53 +277,50 @@ class _Encoder:
             ids, chunk_of = out, np.repeat(chunk_of, width)
         return ids.astype(np.int32), np.bincount(chunk_of, minlength=len(chunks))
 
-    def encode(self, texts: list[str | None], step: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Flat ids and the number of ids per text, for each ``step`` texts; every distinct chunk of all
-        the texts is encoded once."""
-
-        class Numbered(dict):
-            def __missing__(self, key):
-                self[key] = n = len(self)
-                return n
-
-        number = Numbered()
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text. Chunks met before are not encoded again."""
+        if len(self.number) > KNOWN_CHUNKS:
+            self.forget()
+        known, find = len(self.number), self.number.__getitem__
         uses = [
-            np.fromiter(map(number.__getitem__, _CHUNK.findall(" " + t.replace(MARK, " "))), np.int32) if t else np.empty(0, np.int32)
+            np.fromiter(map(find, _CHUNK.findall(" " + t.replace(MARK, " "))), np.int32) if t else np.empty(0, np.int32)
             for t in texts
         ]
-        flat, counts, chunks, size = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], 0
-        for c in number:
+        chunks, size = [], 0
+        for c in islice(self.number, known, None):
             chunks.append(c)
             size += len(c)
             if size >= BLOCK_CHARS:
-                for out, part in zip((flat, counts), self.block(chunks), strict=True):
-                    out.append(part)
+                self._remember(*self.block(chunks))
                 chunks, size = [], 0
         if chunks:
-            for out, part in zip((flat, counts), self.block(chunks), strict=True):
-                out.append(part)
-        ids, n = np.concatenate(flat), np.concatenate(counts)
-        starts = np.cumsum(n) - n
-        for at in range(0, len(texts), step):
-            own = uses[at : at + step]
-            use = np.concatenate(own)
-            width = n[use]
-            done = np.concatenate([[0], np.cumsum(width)])
-            gather = np.repeat(starts[use] - done[:-1], width) + np.arange(done[-1])
-            edge = np.concatenate([[0], np.cumsum([len(u) for u in own])])
-            yield ids[gather], np.diff(done[edge])
+            self._remember(*self.block(chunks))
+        use = np.concatenate([np.empty(0, np.int32), *uses])
+        width = self.counts[use]
+        done = np.concatenate([[0], np.cumsum(width)])
+        gather = np.repeat(self.starts[use] - done[:-1], width) + np.arange(done[-1])
+        edge = np.concatenate([[0], np.cumsum([len(u) for u in uses], dtype=np.int64)]).astype(np.int64)
+        return self.flat[gather], np.diff(done[edge])
+
+    def forget(self) -> None:
+        self.number = Numbered()
+        self.flat, self.counts, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _remember(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, counts])
 
 
 def _encoder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _Encoder(model.value)
         for batch in batches:
-            at = 0
-            for ids, n in enc.encode(batch.column(1).to_pylist()):
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                ids, n = enc.encode(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), lists, pa.array(n.astype(np.int64))],
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n.astype(np.int64))],
                                                  names=["_row", "ids", "n_tokens"])
-                at += len(n)
 
     return run
 
@@ -328,12 +329,12 @@ def _decoder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(model.value["bytes"], pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                lists = part.column(1)
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                lists = part.column(0).field("ids")
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32)),
-                    pieces.take(lists.flatten()))
+                    pieces.take(pc.list_flatten(lists)))
                 joined = pc.binary_join(flat, b"")
                 texts = [v[1:].decode("utf-8", "replace") if v else "" for v in joined.to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["_row", "decoded"])
@@ -353,20 +354,21 @@ def encode(docs: DataFrame, keep: list[str] | None = None, model_path: str | Non
     return rows.mapInArrow(_encoder(model), f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, n_tokens long")
 
 
-def decode(tokens: DataFrame, keep: list[str] | None = None, model_path: str | None = None) -> DataFrame:
-    """(_row: struct of the ``keep`` columns, all by default; decoded) of a table with ``ids``."""
+def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
+    """(_row: struct of all columns; decoded) of a table with ``ids``."""
     spark = tokens.sparkSession
     model = spark.sparkContext.broadcast(model_tables(model_path or default_model()))
-    rows = tokens.select(_kept(tokens, tokens.columns if keep is None else keep), F.col("ids").alias("_ids"))
+    rows = tokens.select(_kept(tokens, tokens.columns))
     return rows.mapInArrow(_decoder(model), f"_row {rows.schema['_row'].dataType.simpleString()}, decoded string")
 
 
 def encoded(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, ids, n_tokens, round_trip (the ids decode to the text) of every document."""
-    e = encode(docs.select("doc_id", "text"), model_path=model_path)
+    """doc_id, ids, n_tokens, round_trip (the ids decode to the text, compared by hash) of every document."""
+    text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(MARK), F.lit(" "))
+    rows = docs.select("doc_id", "text", F.xxhash64(text).alias("check"))
+    e = encode(rows, keep=["doc_id", "check"], model_path=model_path)
     d = decode(e.select("_row.*", "ids", "n_tokens"), model_path=model_path)
-    text = F.replace(F.coalesce(F.col("_row.text"), F.lit("")), F.lit(MARK), F.lit(" "))
-    return d.select("_row.doc_id", "_row.ids", "_row.n_tokens", (F.col("decoded") == text).alias("round_trip"))
+    return d.select("_row.doc_id", "_row.ids", "_row.n_tokens", (F.xxhash64("decoded") == F.col("_row.check")).alias("round_trip"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
