@@ -46,7 +46,6 @@ def _round(df: DataFrame) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str, cfg=CAREER, **kw) -> Run:
-    kw.setdefault("inputs_key", sf_dir)
     return Run(spark, build_inputs(spark, sf_dir), cfg, **kw)
 
 
@@ -323,7 +322,8 @@ def q_table_roundtrip(spark, d):
     db = f"sm_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{IO.scratch_path(spark, db)}'")
     IO.drop_stage_tables(spark, db, ["temp_eligible"])
-    IO.stage_table(spark, lambda: A.eligible_authors(_run(spark, d).authorship, CAREER), db, "temp_eligible")
+    r = _run(spark, d)
+    IO.stage_table(spark, lambda: A.eligible_authors(r.authorship, CAREER), db, "temp_eligible", f"{CAREER.fingerprint()}|{r.inputs_key}")
     return IO.read_table(spark, db, "temp_eligible")
 
 

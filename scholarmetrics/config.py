@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,6 @@ class Config:
     # "2019": per-paper subjects, dominant last-year affiliation, upper-bound cut-offs
     # "2017": journal subjects, last-paper affiliation, lower-bound cut-offs
     edition: str = "2019"
-    # ordered metrics and ranks: range-partitioned prefix sums (True), one window
-    # per group (False), or decided per call from the measured largest group
-    # ("auto": range path only when a group exceeds max_group_rows)
-    skew_safe: bool | str = "auto"
-    max_group_rows: int = 2_000_000
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):
         if self.edition not in ("2017", "2019"):
@@ -58,8 +52,6 @@ class Config:
                 raise ValueError(f"percentile {p} outside (0, 1]")
         if not self.core_types:
             raise ValueError("core_types must not be empty")
-        if self.skew_safe not in (True, False, "auto"):
-            raise ValueError("skew_safe must be True, False or 'auto'")
 
     # year labels used in published column names, e.g. nc9619
     @property
@@ -77,11 +69,12 @@ class Config:
     def with_(self, **kw) -> "Config":
         return replace(self, **kw)
 
-    def fingerprint(self) -> str:
-        """Stable hash of every parameter that changes a result."""
+    def fingerprint(self, *names: str) -> str:
+        """Stable hash of the named parameters, or of every parameter that changes a result."""
         d = asdict(self)
-        d.pop("extra", None)
         d.pop("name", None)
+        if names:
+            d = {k: d[k] for k in names}
         return hashlib.sha256(json.dumps(d, sort_keys=True).encode()).hexdigest()[:16]
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import as_long_ids, shares_author
-from .small import broadcast_if_small
 
 
 def flag_members(df: DataFrame, col: str, members: DataFrame, name: str) -> DataFrame:
@@ -15,7 +14,7 @@ def flag_members(df: DataFrame, col: str, members: DataFrame, name: str) -> Data
     (NULL keys are not members)."""
     m = members.select(F.col(members.columns[0]).alias("_member")).distinct().withColumn("_hit", F.lit(1))
     return (
-        df.join(broadcast_if_small(m), F.col(col) == F.col("_member"), "left")
+        df.join(m, F.col(col) == F.col("_member"), "left")
         .withColumn(name, F.coalesce(F.col("_hit"), F.lit(0)))
         .drop("_member", "_hit")
     )
@@ -41,8 +40,8 @@ def citing_edges_base(pubs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def with_discontinued(base: DataFrame, disc: DataFrame) -> DataFrame:
-    """Edges with ``is_disc`` = the citing paper's journal is discontinued (a
-    checked broadcast of the journal list, no shuffle of the edges)."""
+    """Edges with ``is_disc`` = the citing paper's journal is discontinued (a small
+    journal list is broadcast by its size, so the edges are not shuffled)."""
     return flag_members(base, "citing_srcid", disc, "is_disc").select(
         "citing", "cited", "is_self", F.col("is_disc").cast("int").alias("is_disc")
     )
@@ -53,35 +52,6 @@ def citing_edges(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataFrame:
     return with_discontinued(citing_edges_base(pubs, cfg), disc)
 
 
-def citing_edges_base_by_join(pubs: DataFrame, cfg: Config) -> DataFrame:
-    """Same result as ``citing_edges_base`` without carrying author-id arrays along
-    the edges: (citing paper, author) rows are semi-joined to (cited paper,
-    author) rows on (cited, author), so the cost is edges x authors of the citing
-    paper instead of both papers' author arrays copied into every edge row. For
-    corpora with very large author lists (``Config.extra['self_citation_by_join']``)."""
-    in_corpus = pubs.filter(F.col("year") >= cfg.min_cite_year).select(
-        F.col("eid").alias("citing"), F.explode(F.array_distinct("references")).alias("cited"),
-        F.col("source.srcid").alias("citing_srcid"),
-    ).join(pubs.select(F.col("eid").alias("cited")), "cited")
-    authors = pubs.select("eid", F.explode("au.auid").alias("a")).select(
-        "eid", F.col("a").try_cast("bigint").alias("auid")
-    ).filter(F.col("auid").isNotNull()).distinct()
-    citing_auth = authors.select(F.col("eid").alias("citing"), "auid")
-    cited_auth = authors.select(F.col("eid").alias("cited"), "auid")
-    shared = (
-        in_corpus.select("citing", "cited").join(citing_auth, "citing")
-        .join(cited_auth, ["cited", "auid"], "left_semi")
-        .select("citing", "cited").distinct().withColumn("_shared", F.lit(1))
-    )
-    return in_corpus.join(shared, ["citing", "cited"], "left").select(
-        "citing", "cited", F.coalesce("_shared", F.lit(0)).cast("int").alias("is_self"), "citing_srcid",
-    )
-
-
-def citing_edges_by_join(pubs: DataFrame, disc: DataFrame, cfg: Config) -> DataFrame:
-    return with_discontinued(citing_edges_base_by_join(pubs, cfg), disc)
-
-
 def self_citations(edges: DataFrame) -> DataFrame:
     """The self-citation edges (citing and cited paper share an author)."""
     return edges.filter(F.col("is_self") == 1).select("citing", "cited")

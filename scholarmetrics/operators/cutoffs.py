@@ -83,7 +83,7 @@ def cutoff_table(res: DataFrame, cfg: Config) -> DataFrame:
     """All 2019 cut-off columns per (level, subject); level in field/subfield/total."""
     long = _stack_2019(res, cfg)
     keys = ["scope", "level", "subject", "metric"]
-    hist = ordered_prefix(long, keys, [("value", False)], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
+    hist = ordered_prefix(long, keys, [("value", False)])
     nonnull = hist.groupBy(*keys).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(0)).alias("_cnt"))
     hist = _join_small(hist, nonnull, keys)
 
@@ -165,7 +165,7 @@ def cutoffs_lower(res: DataFrame, cfg: Config) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                             for m in ("nc_ws", "c_ws")])).alias("v"),
     ).select("level", "subject", "v.metric", "v.value")
-    hist = ordered_prefix(long, ["level", "subject", "metric"], [("value", True)], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
+    hist = ordered_prefix(long, ["level", "subject", "metric"], [("value", True)])
     hist = _join_small(hist, counts.select("level", "subject", "auth"), ["level", "subject"])
     aggs = []
     for m, n in (("nc_ws", "cites"), ("c_ws", "c")):

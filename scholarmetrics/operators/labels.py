@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .small import broadcast_if_small
 
 
 def latest_per_key(df: DataFrame, key: list[str] | str, order: list, cols: list[str]) -> DataFrame:
@@ -94,7 +93,7 @@ def author_affiliation(pubs: DataFrame, ipr: DataFrame) -> DataFrame:
             F.struct("year", "n", "max_datesort", (-F.col("affil_id")).alias("neg_id")),
         ).alias("b")
     )
-    names = broadcast_if_small(ipr.select(F.col("afid").alias("affil_id"), "preferred_name"))
+    names = ipr.select(F.col("afid").alias("affil_id"), "preferred_name")
     return (
         best.select(
             "auid", F.col("b.affil_id").alias("affil_id"), F.col("b.lab.affil_name").alias("affil_name"),
@@ -109,9 +108,7 @@ def author_affiliation(pubs: DataFrame, ipr: DataFrame) -> DataFrame:
 def institution_dedupe(inst_map: DataFrame, inst: DataFrame) -> DataFrame:
     """2017: one institution per affiliation id (the lowest id), with its name."""
     one = inst_map.groupBy("afid").agg(F.min("institution_id").alias("institution_id"))
-    names = broadcast_if_small(
-        inst.select("institution_id", F.col("name").alias("sv_name"), F.col("country_code").alias("sv_country_code"))
-    )
+    names = inst.select("institution_id", F.col("name").alias("sv_name"), F.col("country_code").alias("sv_country_code"))
     return one.join(names, "institution_id", "left").select("afid", "institution_id", "sv_name", "sv_country_code")
 
 
@@ -134,7 +131,7 @@ def author_affiliation_latest(pubs: DataFrame, inst_map: DataFrame, inst: DataFr
         ).alias("b")
     ).select("auid", "b.*")
     ia = institution_dedupe(inst_map, inst)
-    return best.join(broadcast_if_small(ia), "afid", "left").select(
+    return best.join(ia, "afid", "left").select(
         "auid",
         "last_eid_aff",
         F.col("institution_id").alias("inst_id"),

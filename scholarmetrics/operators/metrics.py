@@ -26,8 +26,7 @@ def _ranked_papers(auth: DataFrame, cfg: Config) -> DataFrame:
             F.struct(F.lit("ws").alias("v"), F.col("cites_ws").alias("c")),
         )).alias("x"),
     ).select("auid", "x.v", "eid", "x.c", "w")
-    return ordered_rows(slots, ["auid", "v"], [("c", False), ("eid", True)], ["w"], skew_safe=cfg.skew_safe,
-                        max_group_rows=cfg.max_group_rows)
+    return ordered_rows(slots, ["auid", "v"], [("c", False), ("eid", True)], ["w"])
 
 
 def h_and_hm(auth: DataFrame, cfg: Config) -> DataFrame:

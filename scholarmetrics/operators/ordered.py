@@ -2,38 +2,39 @@
 
 ``rank() OVER (PARTITION BY g ORDER BY k)`` sends every row of a group to one
 task. A prolific author, a large subject or the whole population (a global
-rank) then becomes a single sort. ``ordered_prefix`` computes the same numbers
-so that no task holds more than one range partition:
-
-1. rows with equal (group, order) keys are peers; they are pre-aggregated
-   (map-side partial aggregation), so a mass of ties is one row;
-2. the peer rows are range-partitioned on (group, order), so a hot group is
-   spread over many partitions, in order;
-3. a window per (group, partition) gives running sums inside each partition;
-4. per (group, partition) totals (at most groups x partitions rows) give, by a
-   small window over the partitions of a group, the offset of each partition
-   (the range-partitioned table is checkpointed first, so both uses see the
-   same partition ids);
-5. offset + local running sum = running sum over the whole group.
-
-The output has one row per peer key. ``_rank`` is SQL ``rank()`` (ties share,
-gaps follow) and ``_cum_<c>`` is the RANGE UNBOUNDED PRECEDING .. CURRENT ROW
-sum (peers included), exactly as the window functions define them.
-
-``skew_safe=False`` computes the same columns with one window per group, which
-is cheaper when no group is large; ``"auto"`` measures the largest group first
-(one small aggregate) and takes the range path only above ``max_group_rows``.
+rank) then becomes a single sort. ``ordered_rows`` computes the same numbers
+with one plan at every size, in which no task holds more than one range
+partition:
+
+1. rows are range-partitioned on (group, order keys, spread keys), so a hot group,
+   and with a unique spread key also a mass of ties, spans many partitions in
+   order; the partitioned rows are written once, so every later use sees the same
+   partition ids and a lost executor re-reads them;
+2. a window per (group, partition) gives local ranks and running sums;
+3. a table with one row per (group, partition) holds counts, totals and the first and
+   last key; a window over the partitions of a group gives each partition's
+   offset, and the tie block at either end its start and end over all partitions;
+4. rows add their partition's offset; rows of the first or last block take the
+   block's start and end instead.
+
+There is no aggregate over peers and no join back on a value: the boundary table
+joins on (group, partition), which is how the rows are partitioned already.
+
+``_rank`` is SQL ``rank()`` (ties share, gaps follow), ``_cum_<c>`` the RANGE
+UNBOUNDED PRECEDING .. CURRENT ROW sum (peers included) as the window functions
+define them, ``_size`` the rows of the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import write_once
+
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 
@@ -42,150 +43,88 @@ def _sort_col(name: str, ascending: bool) -> Column:
     return F.col(name).asc_nulls_first() if ascending else F.col(name).desc_nulls_last()
 
 
-def ordered_prefix(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Order,
-    sums: Sequence[str] = (),
-    *,
-    peers_unique: bool = False,
-    skew_safe: bool | str = True,
-    max_group_rows: int = 2_000_000,
-) -> DataFrame:
-    """One row per distinct (by, order) key with ``_n`` (peer rows), ``_rank``,
-    and per column c in ``sums``: ``_sum_c`` (over peers) and ``_cum_c``."""
-    by = list(by)
-    order = [(c, bool(a)) for c, a in order]
-    keys = by + [c for c, _ in order]
-    if peers_unique:
-        peers = df.select(*keys, F.lit(1).cast("long").alias("_n"), *[F.col(s).alias(f"_sum_{s}") for s in sums])
-    else:
-        peers = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_sum_{s}") for s in sums]
-        )
-    order_cols = [_sort_col(c, a) for c, a in order]
-    run_cols = ["_n"] + [f"_sum_{s}" for s in sums]
-
-    if skew_safe == "auto":
-        skew_safe = largest_group(df, by) > max_group_rows
-
-    if not skew_safe:
-        w = Window.partitionBy(*by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = peers.select("*", *[F.sum(c).over(w).alias(f"_run{c}") for c in run_cols])
-        return _finish(out, sums, offset=None)
-
-    # nullable group keys become (is-null flag, value-or-default) pairs so that the
-    # final join is a plain equi-join on the window's own partitioning (no reshuffle)
-    gk = []
+def _group_keys(df: DataFrame, by: Sequence[str]) -> dict[str, Column]:
+    """Nullable group columns as (is-null flag, value or default) pairs, for plain equi-joins."""
+    out: dict[str, Column] = {}
     for i, b in enumerate(by):
-        dt = peers.schema[b].dataType
+        dt = df.schema[b].dataType
         default = F.lit("").cast(dt) if isinstance(dt, T.StringType) else F.lit(0).cast(dt)
-        peers = peers.withColumns({f"_g{i}n": F.col(b).isNull(), f"_g{i}v": F.coalesce(F.col(b), default)})
-        gk += [f"_g{i}n", f"_g{i}v"]
-    ranged = peers.repartitionByRange(*[F.col(b).asc_nulls_first() for b in by], *order_cols).withColumn(
-        "_pid", F.spark_partition_id()
-    )
-    # The partition id is consumed twice (local running sums and per-partition
-    # totals). A reliable checkpoint in the shared folder fixes it once: both
-    # consumers read the same rows whatever the optimizer prunes, and a lost
-    # executor re-reads them instead of re-sampling the range bounds.
-    ranged = _materialize(ranged)
-    part = gk + ["_pid"]
-    w_local = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", *[F.sum(c).over(w_local).alias(f"_run{c}") for c in run_cols])
+        out |= {f"_g{i}n": F.col(b).isNull(), f"_g{i}v": F.coalesce(F.col(b), default)}
+    return out
 
-    # totals per (group, partition): the last running value; the window output is
-    # already partitioned on (group, partition), so this needs no exchange
-    totals = local.groupBy(*part).agg(*[F.max_by(f"_run{c}", "_run_n").alias(f"_tot{c}") for c in run_cols])
+
+def ordered_rows(df: DataFrame, by: Sequence[str], order: Order, sums: Sequence[str] = (), *,
+                 spread: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``df`` with ``_rank``, ``_size`` and ``_cum_<c>`` within ``by`` ordered by
+    ``order``. ``spread``: columns that tell tied rows apart (a unique key), so that
+    ties do not meet in one partition; they do not change the result."""
+    by = list(by)
+    order_cols = [_sort_col(c, a) for c, a in order]
+    groups = _group_keys(df, by)
+    ranged = df.withColumns(groups) if groups else df
+    ranged = ranged.repartitionByRange(
+        *[F.col(b).asc_nulls_first() for b in by], *order_cols, *[F.col(c).asc_nulls_first() for c in spread]
+    ).withColumn("_pid", F.spark_partition_id())
+    ranged = write_once(ranged, "ordered")
+
+    gk = list(groups)
+    part = gk + ["_pid"]
+    w = Window.partitionBy(*part).orderBy(*order_cols)
+    frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumns({"_lr": F.rank().over(w), **{f"_lc_{s}": F.sum(s).over(frame) for s in sums}})
+
+    key = F.struct(*[F.col(c) for c, _ in order])
+    bounds = local.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_lr").alias("_last_lr"),
+        F.min_by(key, "_lr").alias("_first"), F.max_by(key, "_lr").alias("_last"),
+        *[F.max_by(f"_lc_{s}", "_lr").alias(f"_tot_{s}") for s in sums],
+        *[F.min_by(f"_lc_{s}", "_lr").alias(f"_fc_{s}") for s in sums],
+    )
     # at most (number of range partitions) rows per group
     w_off = Window.partitionBy(*gk).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *part, *[F.coalesce(F.sum(f"_tot{c}").over(w_off), F.lit(0)).alias(f"_off{c}") for c in run_cols]
-    )
-    out = local.join(offsets, part, "inner").drop(*part)
-    return _finish(out, sums, offset="_off")
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group (one partial+final aggregate, #groups rows out)."""
-    if not by:
-        return int(df.count())
-    v = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return int(v or 0)
-
-
-def _materialize(df: DataFrame) -> DataFrame:
-    from ..sources.io import shared_dir
+    before = lambda c: F.coalesce(F.sum(c).over(w_off), F.lit(0))
+    bounds = bounds.withColumns({
+        "_off": before("_n"), "_size": F.sum("_n").over(Window.partitionBy(*gk)),
+        **{f"_off_{s}": before(f"_tot_{s}") for s in sums},
+    })
+    # the first and the last tie block of each partition; equal keys of a group are one block
+    ends = [
+        F.struct(F.lit(0).alias("end"), F.col("_first").alias("key"), F.col("_off").alias("start"),
+                 *[(F.col(f"_off_{s}") + F.col(f"_fc_{s}")).alias(f"cum_{s}") for s in sums]),
+        F.struct(F.lit(1).alias("end"), F.col("_last").alias("key"), (F.col("_off") + F.col("_last_lr") - 1).alias("start"),
+                 *[(F.col(f"_off_{s}") + F.col(f"_tot_{s}")).alias(f"cum_{s}") for s in sums]),
+    ]
+    keep = [*part, "_off", "_size", "_last_lr", *[f"_off_{s}" for s in sums]]
+    block = Window.partitionBy(*gk, "_b.key")
+    blocks = bounds.select(*keep, F.explode(F.array(*ends)).alias("_b")).withColumns({
+        "_start": F.min("_b.start").over(block),
+        **{f"_end_{s}": F.max_by(F.col(f"_b.cum_{s}"), F.struct("_pid", "_b.end")).over(block) for s in sums},
+    })
+    table = blocks.groupBy(*part).agg(
+        *[F.first(c).alias(c) for c in keep if c not in part],
+        F.max(F.when(F.col("_b.end") == 0, F.col("_start"))).alias("_first_start"),
+        *[F.max(F.when(F.col("_b.end") == 1, F.col(f"_end_{s}"))).alias(f"_last_end_{s}") for s in sums],
+    ).withColumnRenamed("_last_lr", "_table_lr")
+    out = local.join(table, part)
+    cols = {"_rank": F.when(F.col("_lr") == 1, F.col("_first_start") + 1).otherwise(F.col("_off") + F.col("_lr"))}
+    for s in sums:
+        cols[f"_cum_{s}"] = F.when(F.col("_lr") == F.col("_table_lr"), F.col(f"_last_end_{s}")).otherwise(
+            F.col(f"_off_{s}") + F.col(f"_lc_{s}"))
+    return out.withColumns(cols).select(*df.columns, "_rank", "_size", *[f"_cum_{s}" for s in sums])
 
-    shared_dir(df.sparkSession)  # makes sure a checkpoint folder is set (tests: a temporary one)
-    return df.checkpoint(eager=True)
 
+def ordered_prefix(df: DataFrame, by: Sequence[str], order: Order, sums: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct (by, order) key with ``_n`` (its rows), ``_rank``, and per
+    column c in ``sums`` ``_sum_c`` and ``_cum_c``: a histogram, built map-side first,
+    with ranks."""
+    keys = [*by, *[c for c, _ in order]]
+    peers = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    run = ordered_rows(peers, by, order, ["_n", *[f"_sum_{s}" for s in sums]])
+    return run.select(
+        *keys, "_n", *[f"_sum_{s}" for s in sums], (F.col("_cum__n") - F.col("_n") + 1).alias("_rank"),
+        *[F.col(f"_cum__sum_{s}").alias(f"_cum_{s}") for s in sums])
 
-def _finish(out: DataFrame, sums: Sequence[str], offset: str | None) -> DataFrame:
-    def total(c):
-        run = F.col(f"_run{c}")
-        return run + F.col(f"{offset}{c}") if offset else run
 
-    cols = {"_rank": total("_n") - F.col("_n") + 1}
-    for s in sums:
-        cols[f"_cum_{s}"] = total(f"_sum_{s}")
-    drop = [c for c in out.columns if c.startswith("_run") or c.startswith("_off")]
-    return out.withColumns(cols).drop(*drop)
-
-
-def attach(df: DataFrame, prefix: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Join prefix columns back to the original rows on the (nullable) keys."""
-    p = prefix.select(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(keys)], *cols)
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(p[f"_pk{i}"]) for i, k in enumerate(keys)])
-    return df.join(p, cond, "left").drop(*[f"_pk{i}" for i in range(len(keys))])
-
-
-def ordered_rows(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Order,
-    sums: Sequence[str] = (),
-    *,
-    skew_safe: bool | str = True,
-    max_group_rows: int = 2_000_000,
-) -> DataFrame:
-    """Every row of ``df`` with ``_rank`` (SQL rank) and ``_cum_<c>`` (RANGE
-    UNBOUNDED PRECEDING .. CURRENT ROW sum) within ``by`` ordered by ``order``.
-
-    Plain path: one window, exactly the window functions. Range path (a group
-    above ``max_group_rows``, or forced): ``ordered_prefix`` on the peers, joined
-    back to the rows."""
-    by = list(by)
-    keys = by + [c for c, _ in order]
-    if skew_safe == "auto":
-        skew_safe = largest_group(df, by) > max_group_rows
-    if not skew_safe:
-        w = Window.partitionBy(*by).orderBy(*[_sort_col(c, a) for c, a in order])
-        frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({"_rank": F.rank().over(w), **{f"_cum_{s}": F.sum(s).over(frame) for s in sums}})
-    pre = ordered_prefix(df.select(*keys, *sums), by, order, sums, skew_safe=True)
-    cols = ["_rank"] + [f"_cum_{s}" for s in sums]
-    return attach(df, pre.select(*keys, *cols), keys, cols)
-
-
-def rank_rows(
-    df: DataFrame, by: Sequence[str], order: Order, name: str = "rank", *, skew_safe: bool | str = True,
-    max_group_rows: int = 2_000_000,
-) -> DataFrame:
+def rank_rows(df: DataFrame, by: Sequence[str], order: Order, name: str = "rank", *, spread: Sequence[str] = ()) -> DataFrame:
     """Add SQL ``rank()`` over (PARTITION BY by ORDER BY order) to every row."""
-    return ordered_rows(df, by, order, skew_safe=skew_safe, max_group_rows=max_group_rows).withColumnRenamed(
-        "_rank", name)
-
-
-def add_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], Order]], *, skew_safe: bool | str = True,
-              max_group_rows: int = 2_000_000) -> DataFrame:
-    """Add several ranks at once: ``specs`` = [(name, by, order), ...]. Each rank is
-    computed on the peers of a narrow projection and all are joined back in one
-    chain, so the input appears 1 + len(specs) times in the plan instead of
-    doubling per rank."""
-    out = df
-    for name, by, order in specs:
-        keys = list(by) + [c for c, _ in order]
-        pre = ordered_prefix(df.select(*keys), by, order, skew_safe=skew_safe, max_group_rows=max_group_rows)
-        out = attach(out, pre.select(*keys, F.col("_rank").alias(name)), keys, [name])
-    return out
+    return ordered_rows(df, by, order, spread=spread).withColumnRenamed("_rank", name).drop("_size")

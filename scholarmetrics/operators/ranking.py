@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import ratio
-from .ordered import add_ranks, ordered_rows, rank_rows
+from .ordered import ordered_rows
 
 
 def author_profile(scored: DataFrame, names: DataFrame, affiliation: DataFrame, cfg: Config) -> DataFrame:
@@ -21,49 +21,49 @@ def author_profile(scored: DataFrame, names: DataFrame, affiliation: DataFrame,
     )
 
 
-def distributed_rank(df: DataFrame, col: str, name: str, by: str | None = None, ascending: bool = False,
-                     skew_safe: bool = True) -> DataFrame:
-    """SQL rank() of ``col`` (desc by default, NULL last) over all rows or within
-    ``by``, computed without a single-partition window (see ``ordered``)."""
-    return rank_rows(df, [by] if by else [], [(col, ascending)], name, skew_safe=skew_safe)
+# (result column, value, ranked inside the first subfield)
+RANKS = (("rank_ns", "c_ns", False), ("rank_ws", "c_ws", False),
+         ("rank_sm_subfield_1_ns", "c_ns", True), ("rank_sm_subfield_1_ws", "c_ws", True))
+SUBFIELD_SIZE = "count_sm_subfield_1"
+
+
+def _with_ranks(p: DataFrame, ranks: tuple, subject: str = "sm_subfield_1") -> DataFrame:
+    """``p`` with the given ranks and, with subfield ranks, the subfield's size.
+
+    The values are stacked as narrow (scope, group, value, author) rows and ranked in one
+    distributed pass (see ``ordered``), then pivoted back per author with one aggregate.
+    Authors without a subfield have no subfield rows."""
+    inside = any(i for _, _, i in ranks)
+    sub = F.col(subject).cast("string") if inside else F.lit(None).cast("string")
+    rows = [
+        F.when(sub.isNotNull() if i else F.lit(True),
+               F.struct(F.lit(name).alias("scope"), (sub if i else F.lit(None).cast("string")).alias("grp"), F.col(c).alias("value")))
+        for name, c, i in ranks
+    ]
+    stacked = p.select("author_id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("author_id", "x.*")
+    ranked = ordered_rows(stacked, ["scope", "grp"], [("value", False)], spread=["author_id"])
+    wide = ranked.groupBy("author_id").agg(
+        *[F.max(F.when(F.col("scope") == name, F.col("_rank"))).alias(name) for name, _, _ in ranks],
+        *([F.max(F.when(F.col("grp").isNotNull(), F.col("_size"))).alias(SUBFIELD_SIZE)] if inside else []),
+    )
+    return p.join(wide, "author_id", "left")
 
 
 def global_rank(p: DataFrame, cfg: Config) -> DataFrame:
     """rank_ns / rank_ws: rank by composite c desc over all profiled authors."""
-    return add_ranks(p, [("rank_ns", [], [("c_ns", False)]), ("rank_ws", [], [("c_ws", False)])], skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
+    return _with_ranks(p, RANKS[:2])
+
+
+def subfield_rank(p: DataFrame, cfg: Config, subject: str = "sm_subfield_1") -> DataFrame:
+    """Rank by c (ws, ns) and size inside the author's first subfield; NULL for
+    authors without a subfield."""
+    return _with_ranks(p, RANKS[2:], subject)
 
 
 def ranked_result(profile: DataFrame, cfg: Config) -> DataFrame:
-    """Profile + global ranks + ratios + subfield ranks + top-list flag.
-
-    The four ranks (c_ns and c_ws, over all authors and inside the first
-    subfield) are stacked as (scope, group, value) rows and ranked in one
-    skew-safe pass, then pivoted back per author with one aggregate."""
-    sub = F.col("sm_subfield_1")
-    stacked = profile.select(
-        "author_id",
-        F.explode(F.array(
-            F.struct(F.lit("rank_ns").alias("scope"), F.lit(None).cast("string").alias("grp"), F.col("c_ns").alias("value")),
-            F.struct(F.lit("rank_ws").alias("scope"), F.lit(None).cast("string").alias("grp"), F.col("c_ws").alias("value")),
-            F.struct(F.lit("_rns").alias("scope"), sub.alias("grp"), F.col("c_ns").alias("value")),
-            F.struct(F.lit("_rws").alias("scope"), sub.alias("grp"), F.col("c_ws").alias("value")),
-        )).alias("x"),
-    ).select("author_id", "x.*")
-    ranked = ordered_rows(stacked, ["scope", "grp"], [("value", False)], skew_safe=cfg.skew_safe,
-                          max_group_rows=cfg.max_group_rows)
-    ranks = ranked.groupBy("author_id").agg(
-        *[F.max(F.when(F.col("scope") == s, F.col("_rank"))).alias(s) for s in ("rank_ns", "rank_ws", "_rns", "_rws")]
-    )
-    r = citation_ratios(profile.join(ranks, "author_id", "left"))
-    sizes = profile.filter(sub.isNotNull()).groupBy("sm_subfield_1").agg(F.count(F.lit(1)).alias("_cnt"))
-    r = r.join(sizes, "sm_subfield_1", "left")  # one row per subject; AQE broadcasts by measured size
-    has = sub.isNotNull()
-    r = r.withColumns({
-        "rank_sm_subfield_1_ws": F.when(has, F.col("_rws")),
-        "rank_sm_subfield_1_ns": F.when(has, F.col("_rns")),
-        "count_sm_subfield_1": F.when(has, F.col("_cnt")),
-    }).drop("_rws", "_rns", "_cnt")
-    return r.withColumn("top_listed", top_list_predicate(cfg))
+    """Profile + global ranks + ratios + subfield ranks + top-list flag; all four
+    ranks come from one pass."""
+    return citation_ratios(_with_ranks(profile, RANKS)).withColumn("top_listed", top_list_predicate(cfg))
 
 
 def citation_ratios(p: DataFrame) -> DataFrame:
@@ -75,21 +75,6 @@ def citation_ratios(p: DataFrame) -> DataFrame:
     })
 
 
-def subfield_rank(p: DataFrame, cfg: Config, subject: str = "sm_subfield_1") -> DataFrame:
-    """Rank by c (ws, ns) and size inside the author's first subfield; NULL for
-    authors without a subfield."""
-    r = add_ranks(p, [("_rws", [subject], [("c_ws", False)]), ("_rns", [subject], [("c_ns", False)])],
-                  skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
-    sizes = p.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count(F.lit(1)).alias("_cnt"))
-    r = r.join(sizes, subject, "left")  # one row per subject; AQE broadcasts by measured size
-    has = F.col(subject).isNotNull()
-    return r.withColumns({
-        "rank_sm_subfield_1_ws": F.when(has, F.col("_rws")),
-        "rank_sm_subfield_1_ns": F.when(has, F.col("_rns")),
-        "count_sm_subfield_1": F.when(has, F.col("_cnt")),
-    }).drop("_rws", "_rns", "_cnt")
-
-
 def top_list_predicate(cfg: Config) -> Column:
     """In the top N by either rank, or in the top fraction of the first subfield
     by either rank (NULL parts count as false)."""

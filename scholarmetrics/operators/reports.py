@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import percent_label, ratio
 from .cutoffs import TOTAL, _cols
-from .ordered import rank_rows
-from .small import broadcast_if_small
+from .ordered import ordered_rows, rank_rows
 
 UNASSIGNED = "Unassigned"
 
@@ -31,7 +30,7 @@ def _report_cols(cfg: Config) -> list[str]:
 def field_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFrame:
     """Per field plus TOTAL: counts, shares (text), cut-offs; unclassified authors
     form the 'Unassigned' row. Ordered by domain (none last), field, TOTAL last."""
-    labels = broadcast_if_small(dictionary.select("domain", F.col("field").alias("_f")).distinct())
+    labels = dictionary.select("domain", F.col("field").alias("_f")).distinct()
     rows = cut.filter(F.col("level").isin("field", "total"))
     out = (
         rows.join(labels, rows["subject"] == labels["_f"], "left")
@@ -44,7 +43,7 @@ def field_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFram
 
 def subfield_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFrame:
     """Per subfield plus TOTAL, labelled with field and domain."""
-    labels = broadcast_if_small(dictionary.select(F.col("subfield").alias("_s"), "field", "domain"))
+    labels = dictionary.select(F.col("subfield").alias("_s"), "field", "domain")
     rows = cut.filter(F.col("level").isin("subfield", "total"))
     out = (
         rows.join(labels, rows["subject"] == labels["_s"], "left")
@@ -61,7 +60,7 @@ def subfield_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataF
 def subfield_report_2017(cut_lower: DataFrame, tree: DataFrame) -> DataFrame:
     """2017: subfield cut-offs joined (inner) to the subject hierarchy, so the
     unclassified group is not reported."""
-    t = broadcast_if_small(tree.select(F.col("field_code").alias("sm22"), F.col("subfield_code").cast("string").alias("_s")))
+    t = tree.select(F.col("field_code").alias("sm22"), F.col("subfield_code").cast("string").alias("_s"))
     rows = cut_lower.filter(F.col("level") == "subfield")
     return rows.join(t, rows["subject"] == t["_s"], "inner").select(
         "sm22", F.col("subject").alias("sm176"), F.col("subject_name").alias("sm176_name"),
@@ -102,11 +101,10 @@ def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float
     paper (NULL ratios still take the lowest ranks and count in the size), for
     authors below ``ceiling``."""
     s = res.filter(F.col("sm_subfield_1") == subfield)
-    r = rank_rows(s, [], [("cprat_ws", True)], "_r", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
-    size = s.count()  # one number: the subfield's size (NULL ratios included)
+    r = ordered_rows(s, [], [("cprat_ws", True)], spread=["author_id"])
     return r.filter(F.col("cprat_ws") < ceiling).select(
         "author_id", "cprat_ws",
-        F.when(F.col("cprat_ws").isNotNull(), ratio("_r", F.lit(size))).alias("cprat_perc"),
+        F.when(F.col("cprat_ws").isNotNull(), ratio("_rank", "_size")).alias("cprat_perc"),
         "nc_ws", "ncp_ws", "top_listed",
     )
 
@@ -114,8 +112,8 @@ def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float
 def null_rank(res: DataFrame, col: str, cfg: Config) -> DataFrame:
     """Ranks of a nullable column, ascending and descending, NULL rows unranked
     (ascending puts NULL first, so the first ranked value gets rank #NULL + 1)."""
-    r = rank_rows(res.select("author_id", col), [], [(col, True)], "_ra", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
-    r = rank_rows(r, [], [(col, False)], "_rd", skew_safe=cfg.skew_safe, max_group_rows=cfg.max_group_rows)
+    r = rank_rows(res.select("author_id", col), [], [(col, True)], "_ra", spread=["author_id"])
+    r = rank_rows(r, [], [(col, False)], "_rd", spread=["author_id"])
     has = F.col(col).isNotNull()
     return r.select("author_id", col, F.when(has, F.col("_ra")).alias("rank_asc"), F.when(has, F.col("_rd")).alias("rank_desc"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import is_core, ratio
-from .small import broadcast_if_small
 
 
 def paper_subject(pubs: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
@@ -28,10 +27,10 @@ def paper_subject(pubs: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
 
 def journal_subject(pubs: DataFrame, journal_map: DataFrame, tree: DataFrame, cfg: Config) -> DataFrame:
     """2017: subject from the journal of the paper; non-core types get none."""
-    t = broadcast_if_small(tree.select("subfield_code", "subfield", "field_code", "field"))
+    t = tree.select("subfield_code", "subfield", "field_code", "field")
     return (
         pubs.select("eid", "publication_type", F.col("source.srcid").alias("srcid"))
-        .join(broadcast_if_small(journal_map.select("srcid", "subfield_code")), "srcid", "left")
+        .join(journal_map.select("srcid", "subfield_code"), "srcid", "left")
         .withColumn("subfield_code", F.when(is_core("publication_type", cfg), F.col("subfield_code")))
         .join(t, "subfield_code", "left")
         .select("eid", "publication_type", "subfield_code", "subfield", "field_code", "field")

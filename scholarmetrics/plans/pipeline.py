@@ -5,7 +5,8 @@ in ``min_cite_year``) and the 2017 edition (``edition="2017"``). Stages are
 lazy; with ``stage=True`` (the default) the heavy ones (edges, eligible
 authorship, author metrics, profile, ranked result) are written as parquet to
 the shared folder and read back, which cuts the lineage between them and lets
-every report reuse them.
+every report reuse them. A stage is keyed by the identity of the inputs and by
+exactly the parameters that it depends on.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import score as S
 from ..operators import subjects as SJ
-from ..operators.small import broadcast_if_small
-from ..sources.fixtures import Inputs
+from ..sources.inputs import Inputs
 from ..sources.io import stage as _stage
 
+# the parameters that the staged results depend on
+AUTHORSHIP = ("min_cite_year", "max_year", "core_types", "min_core_papers", "auid_floor", "edition")
+METRICS = (*AUTHORSHIP, "min_year", "min_classified")
+
 
 @dataclass
 class Run:
@@ -37,24 +41,27 @@ class Run:
     cfg: Config
     maxima_override: DataFrame | None = None
     stage: bool = True
+    # identity of the inputs' data; ``inputs.key`` unless given. Staging needs one.
     inputs_key: str = ""
     # identity of the maxima used for the composite; part of the key of every
     # stage downstream of it (a fresh one when overriding without a name)
     maxima_key: str = ""
 
     def __post_init__(self):
+        self.inputs_key = self.inputs_key or self.inputs.key
+        if self.stage and not self.inputs_key:
+            raise ValueError("staging needs the identity of the inputs: Inputs.key or inputs_key")
         if not self.maxima_key:
             import uuid
 
             self.maxima_key = "own" if self.maxima_override is None else f"override-{uuid.uuid4().hex}"
 
-    def _maybe_stage(self, name: str, build, key: str | None = None) -> DataFrame:
-        """Stage under config + inputs, or under ``key`` + inputs for stages that
-        no config parameter changes (shared by the career and single-year runs)."""
+    def _maybe_stage(self, name: str, build, params: tuple[str, ...] | None, extra: str = "") -> DataFrame:
+        """Stage under the inputs' identity, the named parameters (None: all) and ``extra``."""
         if not self.stage:
             return build()
-        k = self.cfg.fingerprint() if key is None else key
-        return _stage(self.spark, build, name, f"{k}|{self.inputs_key}")
+        own = self.cfg.fingerprint() if params is None else self.cfg.fingerprint(*params) if params else ""
+        return _stage(self.spark, build, name, f"{own}|{extra}|{self.inputs_key}")
 
     @property
     def pubs(self) -> DataFrame:
@@ -72,8 +79,7 @@ class Run:
         # the costly part (reference explode, join, shared-author test) depends on
         # min_cite_year only: staged under that key, shared by runs that cite from
         # the same year; the discontinued flag is a broadcast join on top
-        f = C.citing_edges_base_by_join if self.cfg.extra.get("self_citation_by_join") else C.citing_edges_base
-        base = self._maybe_stage("edges", lambda: f(self.pubs, self.cfg), key=f"cite_from={self.cfg.min_cite_year}")
+        base = self._maybe_stage("edges", lambda: C.citing_edges_base(self.pubs, self.cfg), ("min_cite_year",))
         return C.with_discontinued(base, self.disc)
 
     @cached_property
@@ -100,7 +106,7 @@ class Run:
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return self._maybe_stage("authorship", lambda: A.eligible_slots(self.authorship, self.cfg))
+        return self._maybe_stage("authorship", lambda: A.eligible_slots(self.authorship, self.cfg), AUTHORSHIP)
 
     @cached_property
     def subjects(self) -> DataFrame:
@@ -108,9 +114,8 @@ class Run:
         s = SJ.author_subjects(self.eligible, self.cfg, sf, fd)
         if self.cfg.edition == "2017":
             tree = self.inputs.subject_tree
-            sfn = broadcast_if_small(tree.select(F.col("subfield_code").alias("_c"), F.col("subfield").alias("_n")))
-            fdn = broadcast_if_small(tree.select("field_code", "field").distinct()
-                                     .select(F.col("field_code").alias("_fc"), F.col("field").alias("_fn")))
+            sfn = tree.select(F.col("subfield_code").alias("_c"), F.col("subfield").alias("_n"))
+            fdn = tree.select("field_code", "field").distinct().select(F.col("field_code").alias("_fc"), F.col("field").alias("_fn"))
             s = (
                 s.join(sfn, F.col("sm_subfield_1") == F.col("_c"), "left").withColumnRenamed("_n", "sm_subfield_1_name").drop("_c")
                 .join(sfn, F.col("sm_subfield_2") == F.col("_c"), "left").withColumnRenamed("_n", "sm_subfield_2_name").drop("_c")
@@ -121,7 +126,7 @@ class Run:
     # ---- metrics and score ------------------------------------------------------------
     @cached_property
     def metrics(self) -> DataFrame:
-        return self._maybe_stage("author_metrics", lambda: M.author_metrics(self.eligible, self.edges, self.subjects, self.cfg))
+        return self._maybe_stage("author_metrics", lambda: M.author_metrics(self.eligible, self.edges, self.subjects, self.cfg), METRICS)
 
     @cached_property
     def logs(self) -> DataFrame:
@@ -139,7 +144,7 @@ class Run:
     @cached_property
     def names(self) -> DataFrame:
         # whole corpus, no year parameter: one stage for every configuration
-        return self._maybe_stage("author_names", lambda: L.author_names(self.pubs), key="names")
+        return self._maybe_stage("author_names", lambda: L.author_names(self.pubs), ())
 
     @cached_property
     def affiliation(self) -> DataFrame:
@@ -148,10 +153,10 @@ class Run:
             return self._maybe_stage(
                 "author_affiliation_2017",
                 lambda: L.author_affiliation_latest(self.pubs, self.inputs.inst_map, self.inputs.inst),
-                key="affiliation2017",
+                (),
             )
         return self._maybe_stage(
-            "author_affiliation", lambda: L.author_affiliation(self.pubs, self.inputs.ipr), key="affiliation2019"
+            "author_affiliation", lambda: L.author_affiliation(self.pubs, self.inputs.ipr), ()
         )
 
     # ---- profile, ranks, top list -------------------------------------------------------
@@ -159,22 +164,21 @@ class Run:
     def profile(self) -> DataFrame:
         return self._maybe_stage(
             "author_profile", lambda: R.author_profile(self.scored, self.names, self.affiliation, self.cfg),
-            key=f"{self.cfg.fingerprint()}|{self.maxima_key}",
+            (*METRICS, "min_papers"), self.maxima_key,
         )
 
     @cached_property
     def result(self) -> DataFrame:
         return self._maybe_stage("result", lambda: R.ranked_result(self.profile, self.cfg),
-                                 key=f"{self.cfg.fingerprint()}|{self.maxima_key}")
+                                 (*METRICS, "min_papers", "top_n", "top_frac"), self.maxima_key)
 
     @cached_property
     def cutoffs(self) -> DataFrame:
         """Cut-off table per field / subfield / TOTAL (2019 upper-bound or 2017
         lower-bound form), staged once and read by every report."""
-        k = f"{self.cfg.fingerprint()}|{self.maxima_key}"
         if self.cfg.edition == "2017":
-            return self._maybe_stage("cutoffs_lower", lambda: CO.cutoffs_lower(self.result, self.cfg), key=k)
-        return self._maybe_stage("cutoffs", lambda: CO.cutoff_table(self.result, self.cfg), key=k)
+            return self._maybe_stage("cutoffs_lower", lambda: CO.cutoffs_lower(self.result, self.cfg), None, self.maxima_key)
+        return self._maybe_stage("cutoffs", lambda: CO.cutoff_table(self.result, self.cfg), None, self.maxima_key)
 
     @cached_property
     def top(self) -> DataFrame:

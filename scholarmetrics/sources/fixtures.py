@@ -14,12 +14,11 @@ of the same author and ids outside the corpus, never from all pairs of a group.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .inputs import Inputs
 
 # Fixed values of the fixture derivation (shared with the oracle SQL).
 CORE_PRIORITY_TYPES = {"1": "ar", "2": "cp", "3": "re", "4": "ed"}  # anything else: "le"
@@ -31,10 +30,7 @@ BAD_AFFIL_SEQ_MOD = 97  # papers whose author-affiliation links point past the e
 BAD_AFFIL_SEQ = 99
 
 # Run configurations used by the registered queries (data span 1995-01 .. 2001-08).
-# max_group_rows: global ranks and the TOTAL percentile groups (~2,000 rows at sf0.01)
-# take the distributed range path, per-author groups (<= 50 rows) plain windows
-_FIXTURE_COMMON = dict(top_n=100, top_frac=0.02, min_core_papers=5, min_papers=2, min_classified=1, auid_floor=4,
-                       max_group_rows=1000)
+_FIXTURE_COMMON = dict(top_n=100, top_frac=0.02, min_core_papers=5, min_papers=2, min_classified=1, auid_floor=4)
 CAREER = Config(name="career", min_year=1996, min_cite_year=1997, max_year=2000, **_FIXTURE_COMMON)
 SINGLE_YEAR = Config(name="single_year", min_year=1996, min_cite_year=2000, max_year=2000, **_FIXTURE_COMMON)
 EDITION2017 = Config(
@@ -47,18 +43,6 @@ EDITION2017 = Config(
 SPARSE = Config(name="sparse", min_year=1995, min_cite_year=2001, max_year=1995, **{**_FIXTURE_COMMON, "min_core_papers": 1})
 
 
-@dataclass(frozen=True)
-class Inputs:
-    corpus: DataFrame  # nested papers
-    smc: DataFrame  # eid, subfield, field, domain (2019 per-paper subjects)
-    ipr: DataFrame  # afid, preferred_name
-    discontinued: DataFrame  # srcid
-    journal_map: DataFrame  # srcid, subfield_code (2017)
-    subject_tree: DataFrame  # subfield_code, subfield, field_code, field, domain
-    inst_map: DataFrame  # institution_id, afid (2017)
-    inst: DataFrame  # institution_id, name, country_code (2017)
-
-
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
@@ -77,11 +61,11 @@ def build_inputs(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     corpus = stage(spark, lambda: raw.corpus, "input_corpus", key)
     # the per-paper subjects derive from the written corpus, not from its plan again
     smc = _smc(corpus, _read(spark, sf_dir, "supplier"), raw.subject_tree)
-    frames = {**raw.__dict__, "corpus": corpus, "smc": smc}
+    frames = {**raw.tables(), "corpus": corpus, "smc": smc}
     return Inputs(**{
         name: df if name == "corpus" else stage(spark, (lambda df=df: df), f"input_{name}", key)
         for name, df in frames.items()
-    })
+    }, key=key)
 
 
 def _smc(corpus: DataFrame, supplier: DataFrame, tree: DataFrame) -> DataFrame:

@@ -93,20 +93,51 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Only on a local master, where driver
+    and executors are one process, a temporary folder is made when it is unset; elsewhere
+    that would leave each executor's part files on its own disk, so it is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="scholarmetrics-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d
     return d.rstrip("/")
 
 
+_SCRATCH: list[str] = []  # scratch folders made by this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/scholarmetrics/{uuid.uuid4().hex}/{name}"
+    """A fresh path in the shared folder; ``release_scratch`` deletes it with all others of this process."""
+    root = f"{shared_dir(spark)}/scholarmetrics/{uuid.uuid4().hex}"
+    _SCRATCH.append(root)
+    return f"{root}/{name}"
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete this process's scratch folders (at the end of a run, when no frame reads them any
+    more) and return their number. Stages stay: they are there to be reused."""
+    done = 0
+    while _SCRATCH:
+        fs, p = _hadoop_fs(spark, _SCRATCH.pop())
+        done += bool(fs.exists(p) and fs.delete(p, True))
+    return done
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to scratch in the shared folder and read back with its own schema: every use sees
+    the same rows and partition ids, and a lost executor re-reads instead of recomputing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # extra key component for a run that must not reuse earlier stages (the benchmark)
@@ -159,16 +190,24 @@ def stage(
     return spark.read.parquet(path)
 
 
+STAGE_KEY = "scholarmetrics.stage.key"
+
+
 def drop_stage_tables(spark: SparkSession, db: str, names: list[str]) -> None:
     """Start of a run that must rebuild its catalog stages."""
     for n in names:
         spark.sql(f"DROP TABLE IF EXISTS {db}.{n}")
 
 
-def stage_table(spark: SparkSession, build: Callable[[], DataFrame], db: str, name: str) -> DataFrame:
-    """Stage as a catalog table: built (saveAsTable) only if absent, then read
+def stage_table(spark: SparkSession, build: Callable[[], DataFrame], db: str, name: str, key: str) -> DataFrame:
+    """Stage as a catalog table under ``key`` (parameters and input fingerprint), kept with the code
+    version in a table property: built (saveAsTable) if absent or of another key, then read
     through the catalog."""
-    full = f"{db}.{name}"
-    if not spark.catalog.tableExists(full):
-        build().write.mode("overwrite").saveAsTable(full)
+    full, own = f"{db}.{name}", f"{key}|{code_version()}"
+    if spark.catalog.tableExists(full):
+        found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {full}").collect()}
+        if found.get(STAGE_KEY) == own:
+            return spark.table(full)
+    build().write.mode("overwrite").saveAsTable(full)
+    spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ('{STAGE_KEY}' = '{own}')")
     return spark.table(full)

@@ -19,9 +19,4 @@ def test_labels_and_fingerprint():
     assert (c.y1, c.y2, c.y3) == ("60", "96", "19")
     assert c.fingerprint() != c.with_(min_cite_year=2019).fingerprint()
     assert c.fingerprint() == c.with_(name="other").fingerprint()
-
-
-def test_skew_mode_validated():
-    with pytest.raises(ValueError):
-        Config(skew_safe="sometimes")
-    assert Config().skew_safe == "auto" and Config(skew_safe=False).skew_safe is False
+    assert c.fingerprint("min_year") == c.with_(top_n=5).fingerprint("min_year") != c.with_(min_year=1970).fingerprint("min_year")
