@@ -20,6 +20,8 @@ from scholarmetrics.sources.fixtures import (
     BAD_AFFIL_SEQ_MOD,
     CAREER,
     EDITION2017,
+    NO_AFFIL_ID_MOD,
+    NO_AFFIL_ID_REST,
     NULL_AUTHOR_MOD,
     OUTSIDE_ID_BASE,
     REFERENCE_OFFSETS,
@@ -75,7 +77,8 @@ fx_names AS (
          p_name AS indexed_name
   FROM fx_slots s LEFT JOIN part ON p_partkey = s.partkey),
 fx_affil AS (
-  SELECT DISTINCT s.eid, s.affiliation_seq, s.afid,
+  SELECT DISTINCT s.eid, s.affiliation_seq,
+         CASE WHEN s.afid % {NO_AFFIL_ID_MOD} = {NO_AFFIL_ID_REST} THEN NULL ELSE s.afid END AS afid,
          CASE WHEN s.afid % 13 = 5 THEN NULL WHEN s.afid % 11 = 7 THEN ''
               ELSE s_name || ', Dept ' || CAST(s.eid % 3 AS VARCHAR) END AS org,
          n_name AS country
@@ -261,7 +264,7 @@ def label_ctes(cfg) -> list[str]:
   SELECT DISTINCT x.auid, x.eid AS last_eid_aff, i.institution_id AS inst_id,
          COALESCE(i.sv_name, COALESCE(x.org, '')) AS inst_name, COALESCE(i.sv_country_code, x.country) AS cntry, x.afid AS affil_id
   FROM (SELECT s.auid, s.eid, a.afid, a.org, a.country,
-               rank() OVER (PARTITION BY s.auid ORDER BY p.datesort DESC, s.eid DESC, a.afid ASC, s.affiliation_seq ASC, s.authorseq ASC) AS rr
+               rank() OVER (PARTITION BY s.auid ORDER BY p.datesort DESC, s.eid DESC, a.afid ASC NULLS FIRST, s.affiliation_seq ASC, s.authorseq ASC) AS rr
         FROM fx_slots s JOIN fx_papers p ON p.eid = s.eid
         JOIN fx_affil a ON a.eid = s.eid AND a.affiliation_seq = s.affiliation_seq
         WHERE s.auid IS NOT NULL) x
@@ -284,7 +287,7 @@ def label_ctes(cfg) -> list[str]:
             """o_aff AS (
   SELECT c.auid, c.afid AS affil_id, c.affil_name, c.cntry, c.max_datesort, i.preferred_name,
          COALESCE(i.preferred_name, c.affil_name) AS inst_name
-  FROM (SELECT *, rank() OVER (PARTITION BY auid ORDER BY n DESC, max_datesort DESC, afid ASC) AS ar FROM o_affcnt) c
+  FROM (SELECT *, rank() OVER (PARTITION BY auid ORDER BY n DESC, max_datesort DESC, afid ASC NULLS FIRST) AS ar FROM o_affcnt) c
   LEFT JOIN fx_ipr i ON i.afid = c.afid WHERE c.ar = 1)""",
         ]
     return out

@@ -21,6 +21,12 @@ def latest_per_key(df: DataFrame, key: list[str] | str, order: list, cols: list[
     return df.groupBy(*key).agg(F.max_by(F.struct(*cols), ordering).alias("_best")).select(*key, "_best.*")
 
 
+def _ascending(col: str, name: str) -> list:
+    """Sort keys by which ``max_by`` prefers the smallest value, a missing one before all (as an
+    ascending sort puts NULL first)."""
+    return [F.col(col).isNull().cast("int").alias(f"{name}_null"), (-F.col(col)).alias(name)]
+
+
 def _slots(pubs: DataFrame, *cols: str) -> DataFrame:
     return pubs.select(*cols, F.explode("au").alias("a")).withColumn("auid", F.col("a.auid").try_cast("long"))
 
@@ -68,7 +74,7 @@ def _own_links(pubs: DataFrame) -> DataFrame:
 
 def author_affiliation(pubs: DataFrame, ipr: DataFrame) -> DataFrame:
     """2019: the affiliation an author used most often in the last year with a
-    usable affiliation (ties: latest date, then lowest id); name and country from
+    usable affiliation (ties: latest date, then a missing id, then the lowest); name and country from
     its latest record; preferred institution name where known."""
     rows = _own_links(pubs).filter(
         F.col("auid").isNotNull()
@@ -90,7 +96,7 @@ def author_affiliation(pubs: DataFrame, ipr: DataFrame) -> DataFrame:
     best = per_afid.groupBy("auid").agg(
         F.max_by(
             F.struct("affil_id", "lab", "max_datesort"),
-            F.struct("year", "n", "max_datesort", (-F.col("affil_id")).alias("neg_id")),
+            F.struct("year", "n", "max_datesort", *_ascending("affil_id", "k4")),
         ).alias("b")
     )
     names = ipr.select(F.col("afid").alias("affil_id"), "preferred_name")
@@ -113,8 +119,8 @@ def institution_dedupe(inst_map: DataFrame, inst: DataFrame) -> DataFrame:
 
 
 def author_affiliation_latest(pubs: DataFrame, inst_map: DataFrame, inst: DataFrame) -> DataFrame:
-    """2017: the affiliation of the author's latest paper (ties: highest eid, lowest
-    affiliation id, lowest link sequence, lowest position), labelled through the
+    """2017: the affiliation of the author's latest paper (ties: highest eid, a
+    missing affiliation id, the lowest one, lowest link sequence, lowest position), labelled through the
     institution map, else the organisation as printed."""
     rows = _own_links(pubs).filter(F.col("auid").isNotNull()).withColumn("afid", F.explode("aff.affiliation_ids"))
     best = rows.groupBy("auid").agg(
@@ -124,10 +130,8 @@ def author_affiliation_latest(pubs: DataFrame, inst_map: DataFrame, inst: DataFr
                 F.col("aff.affiliation_organization").alias("org"),
                 F.col("aff.affiliation_tag_country").alias("country"),
             ),
-            F.struct(
-                "datesort", "eid", (-F.col("afid")).alias("k3"),
-                (-F.col("l.affiliation_seq")).alias("k4"), (-F.col("a.authorseq")).alias("k5"),
-            ),
+            F.struct("datesort", "eid", *_ascending("afid", "k3"), *_ascending("l.affiliation_seq", "k4"),
+                     *_ascending("a.authorseq", "k5")),
         ).alias("b")
     ).select("auid", "b.*")
     ia = institution_dedupe(inst_map, inst)

@@ -26,6 +26,7 @@ OTHER_TYPE = "le"
 REFERENCE_OFFSETS = (1, 2, 3, 5, 8, 13, 21, 34)
 OUTSIDE_ID_BASE = 1_000_000_000
 NULL_AUTHOR_MOD = 211  # papers whose author ids are malformed
+NO_AFFIL_ID_MOD, NO_AFFIL_ID_REST = 19, 4  # suppliers whose affiliation records have no id
 BAD_AFFIL_SEQ_MOD = 97  # papers whose author-affiliation links point past the end
 BAD_AFFIL_SEQ = 99
 
@@ -134,6 +135,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
         return F.struct((i + 1).cast("int").alias("authorseq"), seq.cast("int").alias("affiliation_seq"))
 
     def affiliation(s):
+        known = F.when(s % NO_AFFIL_ID_MOD != NO_AFFIL_ID_REST, s)
         first = F.filter("slots", lambda x: x["l_suppkey"] == s)[0]
         org = (
             F.when(s % 13 == 5, F.lit(None).cast("array<string>"))
@@ -141,8 +143,8 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
             .otherwise(F.array(first["s_name"], F.concat(F.lit("Dept "), (eid % 3).cast("string"))))
         )
         return F.struct(
-            s.alias("afid"),
-            F.array(s).alias("affiliation_ids"),
+            known.alias("afid"),
+            F.array(known).alias("affiliation_ids"),
             org.alias("affiliation_organization"),
             first["s_country"].alias("affiliation_tag_country"),
         )

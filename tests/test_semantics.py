@@ -124,3 +124,19 @@ def test_latest_per_key(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, "c"), (2, 1, "d")], "k int, t int, v string")
     got = {r.k: r.v for r in latest_per_key(df, "k", ["t", "v"], ["v"]).collect()}
     assert got == {1: "b", 2: "d"}
+
+
+def test_missing_affiliation_id_wins_ties(spark):
+    """NULL sorts first in an ascending order, so it wins a tie against any id."""
+    from scholarmetrics.operators import labels as L
+
+    def row(eid, afs):
+        return (eid, 2000, dt.datetime(2000, 6, 1), "ar", (1,), [], [au("10", 1)], [(1, i + 1) for i in range(len(afs))],
+                [(a, [a], [f"Org {a}"], "CC") for a in afs])
+
+    corpus = spark.createDataFrame([row(1, [5, None])], CORPUS_SCHEMA)
+    ipr = spark.createDataFrame([(5, "Five")], "afid long, preferred_name string")
+    r = L.author_affiliation(corpus, ipr).first()
+    assert (r.affil_id, r.inst_name) == (None, "Org None")
+    none = spark.createDataFrame([], "institution_id int, afid long"), spark.createDataFrame([], "institution_id int, name string, country_code string")
+    assert L.author_affiliation_latest(corpus, *none).first().affil_id is None
