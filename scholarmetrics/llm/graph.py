@@ -32,3 +32,22 @@ def components(links: DataFrame) -> DataFrame:
         step += 1
     root = place.groupBy("at").agg(F.min("node").alias("component"))
     return materialize(place.join(root, "at").select("node", "component"), "components")
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links: only the graph of components that the
+    new links join is contracted."""
+    if labels is None:
+        return components(links)
+    a, b = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+    new = materialize(
+        links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+        .select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")), "new_links")
+    joined = components(new.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("old", "new")
+    nodes = labels.unionByName(
+        new.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")),
+                                     F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("n"))
+        .select("n.*")).distinct()
+    return materialize(
+        nodes.join(joined, nodes["component"] == joined["old"], "left")
+        .select("node", F.coalesce("new", "component").alias("component")), "extended")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .graph import components
+from .graph import extended
 
 PERMS, BANDS, ROWS = 80, 32, 5
 BLOCK = 1 << 17  # shingles hashed at a time (keeps the arrays in cache)
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFr
     texts = materialize(
         docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi"), "candidate_texts")
 
-    tested, links, labels, rounds = None, None, None, 0
+    tested, labels, rounds = None, None, 0
     left = _unsettled(members, None)
     while True:
         pairs = _hub_pairs(left, cfg)
@@ -283,14 +283,12 @@ def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFr
         rounds += 1
         if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = extended(labels, found)
         left = materialize(_unsettled(members, labels), f"unsettled_{rounds}")
     rest = materialize(_rest_pairs(left, texts, cfg).join(tested, ["hub", "rep"], "left_anti"), "rest_pairs")
     found = materialize(_confirmed(rest, texts, cfg), "rest_links")
     if not found.isEmpty():
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = extended(labels, found)
 
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(rep.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     if labels is None:
