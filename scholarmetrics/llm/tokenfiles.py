@@ -30,7 +30,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +39,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import scratch_path
-from .common import Numbered, materialize, table
+from .common import materialize, table
 
 END_ID = 0
 NULL_ID = -(2**63)
-KNOWN = 200_000  # distinct pieces whose ids a task remembers; then it starts anew
+KNOWN = 400_000  # distinct pieces of a generation that a worker remembers
+GROUP = 500  # new words encoded in one call of the library
 STEP = 500  # texts encoded and written at a time
 
 _CUT = re.compile(r"(?= [\w!-~])")
+FIRST = "\0"  # marks a piece without a leading space
 
 
 def default_tokenizer() -> str:
@@ -57,58 +58,86 @@ def default_tokenizer() -> str:
 
 
 def cut(text: str) -> list[str]:
-    """Pieces of a text that the pre-tokeniser never joins: cut before a space that a letter, digit
-    or ASCII sign follows. Where all white space is single spaces and line feeds between
-    printable characters, each line feed stands alone and splitting is enough."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        parts = line.split(" ")
-        if "" in parts or not line.isprintable():
-            return [p for p in _CUT.split(text) if p]
-        out.append("\n")
-        out.append(parts[0])
-        out += [" " + p for p in parts[1:]]
-    return out[1:]
+    """Keys of the pieces of a text, which the pre-tokeniser never joins. A key is a word that a space
+    precedes, a line feed with the word after it, or FIRST and the literal piece. Where all
+    white space is single spaces and line feeds between printable characters, splitting at the
+    spaces is enough; else the text is cut only before a space that a letter, digit or ASCII
+    sign follows."""
+    if not text:
+        return []
+    parts = text.replace("\n", " \n").split(" ")
+    if "" in parts or "\n " in text or "\n\n" in text or text[-1] == "\n" or not text.replace("\n", "").isprintable():
+        return [FIRST + p for p in _CUT.split(text) if p]
+    parts[0] = FIRST + parts[0]
+    return parts
+
+
+def piece(key: str) -> str:
+    return key[1:] if key[0] == FIRST else key if key[0] == "\n" else " " + key
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizers model; distinct pieces are encoded once."""
+    """Encodes texts with a tokenizers model. Every distinct piece is encoded once and kept as the bytes
+    of its ids; two generations of pieces bound the memory, and pieces in use stay."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.forget()
-
-    def forget(self) -> None:
-        self.number = Numbered()
-        self.flat, self.starts, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and the number of ids per text."""
-        if len(self.number) > KNOWN:
-            self.forget()
-        known, find = len(self.number), self.number.__getitem__
-        uses = [np.fromiter(map(find, cut(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
-        new = list(islice(self.number, known, None))
+        self.tokenizer, self.dtype = Tokenizer.from_str(definition), dtype
+        line = self.ids(["\n"])[0]
+        self.line_id = line[0] if len(line) == 1 else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self, keys: list[str]) -> None:
+        # words after a space are encoded many at a time, a line feed between them: it is a token of its own there
+        plain = [k for k in keys if k[0] not in "\0\n" and "<|" not in k] if self.line_id is not None else []
+        rest = list(set(keys).difference(plain))
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        for group, ids in zip(groups, self.ids(["\n".join([" " + k for k in g]) for g in groups]), strict=True):
+            a = np.array(ids, self.dtype)
+            ends = np.append(np.flatnonzero(a == self.line_id), len(a))
+            raw, width, start = a.tobytes(), a.itemsize, 0
+            for k, end in zip(group, ends.tolist(), strict=True):
+                self.young[k] = raw[start * width : end * width]
+                start = end + 1
+        for k, ids in zip(rest, self.ids([piece(k) for k in rest]), strict=True):
+            self.young[k] = np.array(ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        keys = [cut(t) if t else [] for t in texts]
+        if len(self.young) > KNOWN:
+            self.old, self.young = self.young, {}
+        missing = set().union(*keys).difference(self.young)
+        # a letter and the comma or stop after it are never one token: the word is encoded without it
+        tailed = [k for k in missing if k[-1] in ",." and k[-2:-1].isalpha()]
+        missing.difference_update(tailed)
+        missing.update([k[:-1] for k in tailed if k[:-1] not in self.young], [FIRST + t for t in ",." if FIRST + t not in self.young])
+        new = []
+        for k in missing:
+            known = self.old.get(k)
+            if known is None:
+                new.append(k)
+            else:
+                self.young[k] = known
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(counts.sum()))])
-        use = np.concatenate([np.empty(0, np.int32), *uses])
-        width = self.counts[use]
-        done = np.concatenate([[0], np.cumsum(width)])
-        gather = np.repeat(self.starts[use] - done[:-1], width) + np.arange(done[-1])
-        edge = np.concatenate([[0], np.cumsum([len(u) for u in uses], dtype=np.int64)]).astype(np.int64)
-        return self.flat[gather], np.diff(done[edge])
+            self._encode_new(new)
+        for k in tailed:
+            self.young[k] = self.young[k[:-1]] + self.young[FIRST + k[-1]]
+        get = self.young.__getitem__
+        return [b"".join(map(get, own)) for own in keys]
 
 
-def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
-    """The end id after each document."""
-    return np.insert(ids, np.cumsum(counts), end_id)
+def encoder_of(shared: dict) -> PieceEncoder:
+    """The worker's encoder: kept with its copy of the broadcast, so the tasks of a worker share it."""
+    if "encoder" not in shared:
+        shared["encoder"] = PieceEncoder(shared["definition"], shared["dtype"])
+    return shared["encoder"]
 
 
 # -- files -----------------------------------------------------------------------
@@ -130,8 +159,8 @@ class _Files:
     def _name(self, kind: str, temporary: bool) -> str:
         return f"{self.root}/{'.' + self.attempt + '-' if temporary else ''}part-{self.part:06d}.{kind}"
 
-    def write(self, kind: str, values: np.ndarray) -> None:
-        self.streams[kind].write(np.ascontiguousarray(values).tobytes())
+    def write(self, kind: str, values: bytes) -> None:
+        self.streams[kind].write(values)
 
     def commit(self) -> None:
         for kind, stream in self.streams.items():
@@ -151,19 +180,21 @@ def _load(folder: str, part: int, kind: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def _write(folder: str, definition, dtype: str, end_id: int):
+def _write(folder: str, tokenizer, dtype: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, files, docs, total, encoder = TaskContext.get().partitionId(), None, 0, 0, None
+        part, files, docs, total = TaskContext.get().partitionId(), None, 0, 0
+        end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 if files is None:
-                    files, encoder = _Files(folder, part, ["bin", "doc", "len"]), PieceEncoder(definition.value)
+                    files, encoder = _Files(folder, part, ["bin", "doc", "len"]), encoder_of(tokenizer.value)
                 rows = batch.slice(at, STEP)
-                ids, counts = encoder.encode(rows.column(1).to_pylist())
-                files.write("bin", _with_end(ids, counts, end_id).astype(dtype))
-                files.write("doc", rows.column(0).fill_null(NULL_ID).to_numpy().astype("<i8"))
-                files.write("len", (counts + 1).astype("<u8"))
-                docs, total = docs + rows.num_rows, total + len(ids) + rows.num_rows
+                ids = [own + end for own in encoder.encode(rows.column(1).to_pylist())]
+                lengths = np.array([len(own) for own in ids], "<u8") // len(end)
+                files.write("bin", b"".join(ids))
+                files.write("doc", rows.column(0).fill_null(NULL_ID).to_numpy().astype("<i8").tobytes())
+                files.write("len", lengths.tobytes())
+                docs, total = docs + rows.num_rows, total + int(lengths.sum())
         if files is not None:
             files.commit()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([docs]), pa.array([total])], names=["part", "docs", "ids"])
@@ -177,7 +208,7 @@ def _offsets(folder: str):
             for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lengths = _load(folder, part, "len", "<u8")
                 files = _Files(folder, part, ["off"])
-                files.write("off", (np.uint64(base) + np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64)).astype("<u8"))
+                files.write("off", (np.uint64(base) + np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64)).astype("<u8").tobytes())
                 files.commit()
             yield batch.select([0])
 
@@ -208,10 +239,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     spark = docs.sparkSession
     tokenizer = Tokenizer.from_file(tokenizer_path or default_tokenizer())
     dtype = id_type(tokenizer.get_vocab_size())
-    definition = spark.sparkContext.broadcast(tokenizer.to_str())
+    shared = spark.sparkContext.broadcast({"definition": tokenizer.to_str(), "dtype": dtype})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    parts = materialize(ordered.mapInArrow(_write(folder, definition, dtype, end_id), "part long, docs long, ids long"), "parts")
+    parts = materialize(ordered.mapInArrow(_write(folder, shared, dtype, end_id), "part long, docs long, ids long"), "parts")
     # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = materialize(parts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), "bases")

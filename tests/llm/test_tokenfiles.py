@@ -14,17 +14,20 @@ def reference():
     return Tokenizer.from_file(T.default_tokenizer())
 
 
-def test_pieces_encode_like_whole_texts():
+def test_pieces_encode_like_whole_texts(monkeypatch):
     r, tk = random.Random(3), reference()
     parts = ["a", "b", " ", " ", "\n", "\t", ",", ".", "'s", "'", "é", "日", " ", "​", "5", "<|endoftext|>", "!", "word", " the",
              "\r\n", "🙂", " ", "_"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(3000)] + [None, "", "x" * 5000, " " * 300]
-    enc = T.PieceEncoder(tk.to_str())
-    ids, n = enc.encode(texts)
-    edge = np.concatenate([[0], np.cumsum(n)])
-    for i, t in enumerate(texts):
-        assert ids[edge[i] : edge[i + 1]].tolist() == tk.encode(t or "", add_special_tokens=False).ids, repr(t)
-        assert "".join(T.cut(t or "")) == (t or "")
+    texts += ["\n".join(" ".join(r.choice(["a", "word,", "the", "é", "it's", "x<|endoftext|>", "5%"]) for _ in range(r.randrange(6)))
+                        for _ in range(r.randrange(5))) for _ in range(1500)]
+    for known in (100, T.KNOWN):
+        monkeypatch.setattr(T, "KNOWN", known)
+        enc = T.PieceEncoder(tk.to_str(), "<u2")
+        for at in range(0, len(texts), 400):
+            for t, ids in zip(texts[at : at + 400], enc.encode(texts[at : at + 400]), strict=True):
+                assert np.frombuffer(ids, "<u2").tolist() == tk.encode(t or "", add_special_tokens=False).ids, repr(t)
+                assert "".join(map(T.piece, T.cut(t or ""))) == (t or "")
 
 
 def test_files_read_back(spark):
