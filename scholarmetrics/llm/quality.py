@@ -173,13 +173,12 @@ def thresholds(hist: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFra
     the merged sketch of its language, and if that is small too, of the whole corpus."""
     own = _quantiles(hist, ["lang", "source"])
     lang = _quantiles(hist, ["lang"])
-    every = _quantiles(hist.withColumn("_all", F.lit(0)), ["_all"])
     stats = [c for c in own.columns if c not in ("lang", "source")]
-    j = (
-        own.select("lang", "source", F.struct(*stats).alias("own"), F.lit(0).alias("_all"))
-        .join(lang.select("lang", F.struct(*stats).alias("by_lang")), "lang", "left")
-        .join(every.select("_all", F.struct(*stats).alias("every")), "_all", "left")
-    )
+    # the corpus sketch is one row of numbers: literals, no join
+    row = _quantiles(hist.withColumn("_all", F.lit(0)), ["_all"]).first()
+    every = F.struct(*[F.lit(row[c] if row else None).cast("long").alias(c) for c in stats])
+    j = own.select("lang", "source", F.struct(*stats).alias("own")).join(
+        lang.select("lang", F.struct(*stats).alias("by_lang")), "lang", "left").withColumn("every", every)
     s = (
         F.when(F.col("own.docs") >= cfg.min_group, F.col("own"))
         .when(F.col("by_lang.docs") >= cfg.min_group, F.col("by_lang"))
@@ -242,3 +241,68 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), "m.n_words", "m.word_chars", "m.n_symbols",
         F.col("m.lines.dup").cast("long").alias("n_dup_lines"), "m.n_repeat_words", "base_failed", "kept",
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    CASE WHEN lang IS NULL THEN 'null' ELSE '=' || lang END AS lang,
+    CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS source,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT rid, p, array_to_string(list_slice(w, p, p + 4), ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+), rep AS (
+  SELECT rid, count(DISTINCT q) AS n_repeat FROM (
+    SELECT g.rid, unnest(range(g.p, g.p + 5)) AS q FROM g
+    JOIN (SELECT rid, g FROM g GROUP BY rid, g HAVING count(*) > 1) x ON g.rid = x.rid AND g.g = x.g
+  ) GROUP BY rid
+), m AS (
+  SELECT d.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep ON d.rid = rep.rid
+), r AS (
+  SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup,
+    100 * (word_chars + 100) // (n_words + 20) AS length_ FROM m
+), h0 AS (
+  SELECT lang, source, 'symbols' AS metric, symbols AS v FROM r UNION ALL SELECT lang, source, 'dup', dup FROM r
+  UNION ALL SELECT lang, source, 'length', length_ FROM r
+), h AS (
+  SELECT lang, source, metric, v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS bucket, count(*) AS n FROM h0 GROUP BY ALL
+), levels AS (
+  SELECT 0 AS level, lang, source, metric, bucket, n FROM h
+  UNION ALL SELECT 1, lang, '*', metric, bucket, sum(n) FROM h GROUP BY lang, metric, bucket
+  UNION ALL SELECT 2, '*', '*', metric, bucket, sum(n) FROM h GROUP BY metric, bucket
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS cum,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
+), q AS (
+  SELECT level, lang, source, metric, max(total) AS docs, min(CASE WHEN 100 * cum >= 10 * total THEN bucket END) AS q10,
+    min(CASE WHEN 100 * cum >= 50 * total THEN bucket END) AS q50, min(CASE WHEN 100 * cum >= 75 * total THEN bucket END) AS q75
+  FROM c GROUP BY level, lang, source, metric
+), f AS (
+  SELECT o.lang, o.source, o.metric,
+    CASE WHEN o.docs >= 100 THEN o.q10 WHEN l.docs >= 100 THEN l.q10 ELSE e.q10 END AS q10,
+    CASE WHEN o.docs >= 100 THEN o.q50 WHEN l.docs >= 100 THEN l.q50 ELSE e.q50 END AS q50,
+    CASE WHEN o.docs >= 100 THEN o.q75 WHEN l.docs >= 100 THEN l.q75 ELSE e.q75 END AS q75
+  FROM q o JOIN q l ON o.level = 0 AND l.level = 1 AND o.lang = l.lang AND o.metric = l.metric
+  JOIN q e ON e.level = 2 AND e.metric = o.metric
+), b AS (
+  SELECT lang, source,
+    max(CASE WHEN metric = 'symbols' THEN q50 + greatest(6 * (q50 - q10), 60) END) AS max_symbols,
+    max(CASE WHEN metric = 'dup' THEN q50 + greatest(6 * (q50 - q10), 400) END) AS max_dup,
+    max(CASE WHEN metric = 'length' THEN q50 + greatest(6 * (q50 - q10), 90) END) AS max_length,
+    max(CASE WHEN metric = 'length' THEN q50 - greatest(6 * (q75 - q50), 90) END) AS min_length
+  FROM f GROUP BY lang, source
+), v AS (
+  SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    symbols <= max_symbols AND dup <= max_dup AND length_ BETWEEN min_length AND max_length AS inside
+  FROM r JOIN b ON r.lang = b.lang AND r.source = b.source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM v
+"""
