@@ -301,6 +301,10 @@ def q_publish_table(spark, d):
     return _round(P.publish(_result(spark, d), CAREER))
 
 
+def q_publish_table_2017(spark, d):
+    return _round(P.publish(_result(spark, d, EDITION2017), EDITION2017))
+
+
 def q_career_top(spark, d):
     return _round(P.publish(_run(spark, d, CAREER).top, CAREER))
 

@@ -513,14 +513,25 @@ def pct_sql(n: str, d: str, suffix: str = "%") -> str:
             f"ELSE printf('%d.%02d{suffix.replace('%', '%%')}', {bp} // 100, {bp} % 100) END")
 
 
-def report_select(cfg) -> str:
-    cuts = [c for c in cut_cols(cfg, "all") if c.startswith("cites_") or c.startswith("c_")]
-    cols = ["c.auth", "c.auth_top_ns", f"{pct_sql('c.auth_top_ns', 'c.auth')} AS pct_top_ns", "c.auth_top",
-            f"{pct_sql('c.auth_top', 'c.auth')} AS pct_top", "c.auth_in_top_list",
-            f"{pct_sql('c.auth_in_top_list', 'c.auth')} AS pct_in_top_list"]
-    dbl = {f"c_{_pct(p)}" for p in cfg.percentiles} | set(cut_cols(cfg, "top"))
-    cols += [f"round(c.{x}, 6) AS {x}" if x in dbl else f"c.{x}" for x in cuts + cut_cols(cfg, "top")]
-    return ", ".join(cols)
+# The published report columns, label by label, for the report runs (top 100 of the fixtures).
+PUBLISHED_REPORT = {
+    "#Auth": "c.auth",
+    "#Auth top 100 (ns)": "c.auth_top_ns", "% in 100 (ns)": pct_sql("c.auth_top_ns", "c.auth"),
+    "#Auth top 100": "c.auth_top", "% in 100": pct_sql("c.auth_top", "c.auth"),
+    "#Auth in top-list": "c.auth_in_top_list", "% in top-list": pct_sql("c.auth_in_top_list", "c.auth"),
+    "Cites@25": "c.cites_25", "Cites@50": "c.cites_50", "Cites@75": "c.cites_75",
+    "Cites@90": "c.cites_90", "Cites@95": "c.cites_95", "Cites@99": "c.cites_99",
+    "c@25": "round(c.c_25, 3)", "c@50": "round(c.c_50, 3)", "c@75": "round(c.c_75, 3)",
+    "c@90": "round(c.c_90, 3)", "c@95": "round(c.c_95, 3)", "c@99": "round(c.c_99, 3)",
+    "top-list self%@95": "printf('%.2f %%', round(100 * c.top_list_selfp_95, 2))",
+    "top-list self%@99": "printf('%.2f %%', round(100 * c.top_list_selfp_99, 2))",
+    "top-list cprat@95": "round(c.top_list_cprat_95, 6)", "top-list cprat@99": "round(c.top_list_cprat_99, 6)",
+    "top-list cprat@95 (ns)": "round(c.top_list_cprat_ns_95, 6)", "top-list cprat@99 (ns)": "round(c.top_list_cprat_ns_99, 6)",
+}
+
+
+def report_select() -> str:
+    return ", ".join(f'{e} AS "{label}"' for label, e in PUBLISHED_REPORT.items())
 
 
 def publish_sql(cfg, where: str = "") -> str:
@@ -542,6 +553,27 @@ def publish_sql(cfg, where: str = "") -> str:
     return f"SELECT {', '.join(cols)} FROM o_res {where}"
 
 
+# The 2017-edition layout, label by label ({n}: the run's years).
+PUBLISHED_2017 = {
+    "author_id": "author_id", "authfull": "replace(authfull, '\"', '')", "inst_name": "replace(inst_name, '\"', '')", "cntry": "cntry",
+    "np{y1}{y3}": "np", "firstyr": "firstyr", "lastyr": "lastyr",
+    "rank (ns)": "rank_ns", "nc{y2}{y3} (ns)": "nc_ns", "h{y3} (ns)": "h_ns", "hm{y3} (ns)": "round(hm_ns, 6)", "nps (ns)": "nps",
+    "ncs (ns)": "ncs_ns", "cpsf (ns)": "npsf", "ncsf (ns)": "ncsf_ns", "npsfl (ns)": "npsfl", "ncsfl (ns)": "ncsfl_ns",
+    "c (ns)": "round(c_ns, 6)", "npciting (ns)": "ncp_ns", "cprat (ns)": "round(cprat_ns, 6)", "self%": pct_sql("nc_ws - nc_ns", "nc_ws", " %"),
+    "rank": "rank_ws", "nc{y2}{y3}": "nc_ws", "h{y3}": "h_ws", "hm{y3}": "round(hm_ws, 6)", "nps": "nps",
+    "ncs": "ncs_ws", "cpsf": "npsf", "ncsf": "ncsf_ws", "npsfl": "npsfl", "ncsfl": "ncsfl_ws",
+    "c": "round(c_ws, 6)", "npciting": "ncp_ws", "cprat": "round(cprat_ws, 6)",
+    "sm-1": "sm_subfield_1", "name1": "sm_subfield_1_name", "frac1": "round(sm_subfield_1_frac, 6)",
+    "sm-2": "sm_subfield_2", "name2": "sm_subfield_2_name", "frac2": "round(sm_subfield_2_frac, 6)",
+    "sm22": "sm_field", "name22": "sm_field_name", "frac22": "round(sm_field_frac, 6)",
+}
+
+
+def publish_2017_sql(cfg) -> str:
+    years = {"y1": cfg.y1, "y2": cfg.y2, "y3": cfg.y3}
+    return "SELECT " + ", ".join(f'{e} AS "{label.format(**years)}"' for label, e in PUBLISHED_2017.items()) + " FROM o_res"
+
+
 def result_oracles() -> dict[str, str]:
     c, y, s17, sp = CAREER, SINGLE_YEAR, EDITION2017, SPARSE
 
@@ -568,21 +600,21 @@ def result_oracles() -> dict[str, str]:
         "subfield_report_2017": qr(s17, "SELECT t.field_code AS sm22, l.subject AS sm176, l.subject_name AS sm176_name, l.* EXCLUDE (level, subject, subject_name) REPLACE ("
                                    + ", ".join(f"round(l.c_{_pct(p)}, 6) AS c_{_pct(p)}" for p in s17.percentiles)
                                    + ") FROM o_lcut l JOIN fx_tree t ON CAST(t.subfield_code AS VARCHAR) = l.subject WHERE l.level = 'subfield'", lower_ctes(s17)),
-        "field_report": qr(c, f"""SELECT d.domain, COALESCE(c.subject, 'Unassigned') AS field, {report_select(c)}
+        "field_report": qr(c, f"""SELECT d.domain AS "Domain", COALESCE(c.subject, 'Unassigned') AS "Field", {report_select()}
                                  FROM o_cut c LEFT JOIN (SELECT DISTINCT domain, field FROM o_dict) d ON d.field = c.subject
                                  WHERE c.level IN ('field', 'total')""", cutoff_ctes(c)),
-        "subfield_report": qr(c, f"""SELECT d.domain, d.field, COALESCE(c.subject, 'Unassigned') AS subfield, {report_select(c)}
+        "subfield_report": qr(c, f"""SELECT d.domain AS "Domain", d.field AS "Field", COALESCE(c.subject, 'Unassigned') AS "Subfield", {report_select()}
                                     FROM o_cut c LEFT JOIN o_dict d ON d.subfield = c.subject
                                     WHERE c.level IN ('subfield', 'total')""", cutoff_ctes(c)),
-        "dropout_stats": qr(c, f"""SELECT *, round(CAST(auths_top2p_ws_not_ns AS DOUBLE) / NULLIF(auths_top2p_ws, 0), 6) AS x1_fraction_2p_ws_2p_ns_dropout,
-                                    round(CAST(auths_top2p_ws_not_top_10p_ns AS DOUBLE) / NULLIF(auths_top2p_ws, 0), 6) AS x2_fraction_2p_ws_10p_ns_dropout
-            FROM (SELECT count(*) AS totalcount, count(CASE WHEN top_listed THEN 1 END) AS toplist_count,
-                   count(CASE WHEN top_listed THEN sm_subfield_1 END) AS toplist_count_w_subfield,
-                   count(CASE WHEN f_ws <= {_f(c.top_frac)} THEN 1 END) AS auths_top2p_ws,
-                   count(CASE WHEN f_ws <= {_f(c.top_frac)} AND f_ns > {_f(c.top_frac)} THEN 1 END) AS auths_top2p_ws_not_ns,
-                   count(CASE WHEN f_ws <= {_f(c.top_frac)} AND f_ns > {_f(0.1)} THEN 1 END) AS auths_top2p_ws_not_top_10p_ns,
-                   count(CASE WHEN top_listed AND cprat_ws >= p99 THEN 1 END) AS x3_cprat_above_p99_top_list,
-                   count(CASE WHEN top_listed AND sm_subfield_1 IS NOT NULL AND cprat_ws IS NOT NULL THEN 1 END) AS toplist_count_w_subfield_w_ws_cprat
+        "dropout_stats": qr(c, f"""SELECT *, round(CAST(n_leaving AS DOUBLE) / NULLIF(n_leading, 0), 6) AS x1_leaving_share,
+                                    round(CAST(n_falling AS DOUBLE) / NULLIF(n_leading, 0), 6) AS x2_falling_share
+            FROM (SELECT count(*) AS n_authors, count(CASE WHEN top_listed THEN 1 END) AS n_listed,
+                   count(CASE WHEN top_listed THEN sm_subfield_1 END) AS n_listed_classified,
+                   count(CASE WHEN top_listed AND sm_subfield_1 IS NOT NULL THEN cprat_ws END) AS n_listed_with_ratio,
+                   count(CASE WHEN f_ws <= {_f(c.top_frac)} THEN 1 END) AS n_leading,
+                   count(CASE WHEN f_ws <= {_f(c.top_frac)} AND f_ns > {_f(c.top_frac)} THEN 1 END) AS n_leaving,
+                   count(CASE WHEN f_ws <= {_f(c.top_frac)} AND f_ns > {_f(0.1)} THEN 1 END) AS n_falling,
+                   count(CASE WHEN top_listed AND cprat_ws >= p99 THEN 1 END) AS x3_concentrated
                   FROM (SELECT r.*, CAST(rank_sm_subfield_1_ws AS DOUBLE) / count_sm_subfield_1 AS f_ws,
                                CAST(rank_sm_subfield_1_ns AS DOUBLE) / count_sm_subfield_1 AS f_ns, x.top_list_cprat_99 AS p99
                         FROM o_res r LEFT JOIN (SELECT subject, top_list_cprat_99 FROM o_cut WHERE level = 'subfield') x
@@ -596,6 +628,7 @@ def result_oracles() -> dict[str, str]:
                    CASE WHEN cprat_ws IS NOT NULL THEN rank() OVER (ORDER BY cprat_ws DESC NULLS LAST) END AS rank_desc FROM o_res"""),
         "corpus_summary": qr(c, "SELECT count(*) AS n_authors, count(sm_field) AS n_with_field FROM o_res"),
         "publish_table": qr(c, publish_sql(c)),
+        "publish_table_2017": qr(s17, publish_2017_sql(s17)),
         "career_top": qr(c, publish_sql(c, "WHERE top_listed")),
         "single_year_top": qr(y, publish_sql(y, "WHERE top_listed")),
     }

@@ -28,6 +28,7 @@ class Config:
     auid_floor: int | None = 4
     top_n: int = 100_000
     top_frac: float = 0.02
+    wide_frac: float = 0.1  # the wider band of the drop-out statistics
     percentiles: tuple[float, ...] = (0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
     ratio_percentiles: tuple[float, ...] = (0.95, 0.99)
     # "2019": per-paper subjects, dominant last-year affiliation, upper-bound cut-offs
@@ -43,8 +44,8 @@ class Config:
             raise ValueError("min_cite_year must not precede min_year")
         if self.min_core_papers < 0 or self.min_papers < 0 or self.min_classified < 1:
             raise ValueError("paper thresholds must be non-negative, min_classified >= 1")
-        if not 0 < self.top_frac <= 1:
-            raise ValueError("top_frac must be in (0, 1]")
+        if not 0 < self.top_frac <= self.wide_frac <= 1:
+            raise ValueError("top_frac must be in (0, 1] and wide_frac in [top_frac, 1]")
         if self.top_n < 1:
             raise ValueError("top_n must be positive")
         for p in self.percentiles + self.ratio_percentiles:

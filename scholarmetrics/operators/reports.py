@@ -2,58 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import percent_label, ratio
-from .cutoffs import TOTAL, _cols
+from .cutoffs import TOTAL, _pct
 from .ordered import ordered_rows, rank_rows
 
 UNASSIGNED = "Unassigned"
 
 
-def _pcts(df: DataFrame) -> dict:
-    return {
-        "pct_top_ns": percent_label("auth_top_ns", "auth", "%"),
-        "pct_top": percent_label("auth_top", "auth", "%"),
-        "pct_in_top_list": percent_label("auth_in_top_list", "auth", "%"),
-    }
+def count_label(n: int) -> str:
+    """100000 -> '100k'."""
+    return f"{n // 1000}k" if n >= 1000 and n % 1000 == 0 else str(n)
 
 
-def _report_cols(cfg: Config) -> list[str]:
-    counts = ["auth", "auth_top_ns", "pct_top_ns", "auth_top", "pct_top", "auth_in_top_list", "pct_in_top_list"]
-    cuts = [c for c in _cols(cfg, "all") if c.startswith("cites_") or c.startswith("c_")]
-    return counts + cuts + _cols(cfg, "top")
+def _share_text(col: str) -> Column:
+    """A share as percent text with two decimals."""
+    return F.when(F.col(col).isNotNull(), F.format_string("%.2f %%", F.round(100 * F.col(col), 2)))
+
+
+def _published(cfg: Config) -> list[Column]:
+    """The published columns of a cut-off report, in their order: counts with their shares, citations
+    and composite (three decimals) at each percentile, and the ratios inside the top list."""
+    n = count_label(cfg.top_n)
+    out = [F.col("auth").alias("#Auth")]
+    for col, label, short in (("auth_top_ns", f"top {n} (ns)", f"{n} (ns)"), ("auth_top", f"top {n}", n),
+                              ("auth_in_top_list", "in top-list", "top-list")):
+        out += [F.col(col).alias(f"#Auth {label}"), percent_label(col, "auth", "%").alias(f"% in {short}")]
+    at = [(p, _pct(p)) for p in cfg.percentiles]
+    out += [F.col(f"cites_{d}").alias(f"Cites@{d}") for _, d in at]
+    out += [F.round(f"c_{d}", 3).alias(f"c@{d}") for _, d in at]
+    ratios = [_pct(p) for p in cfg.ratio_percentiles]
+    out += [_share_text(f"top_list_selfp_{d}").alias(f"top-list self%@{d}") for d in ratios]
+    out += [F.col(f"top_list_cprat_{d}").alias(f"top-list cprat@{d}") for d in ratios]
+    return out + [F.col(f"top_list_cprat_ns_{d}").alias(f"top-list cprat@{d} (ns)") for d in ratios]
 
 
 def field_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFrame:
-    """Per field plus TOTAL: counts, shares (text), cut-offs; unclassified authors
-    form the 'Unassigned' row. Ordered by domain (none last), field, TOTAL last."""
+    """Per field plus TOTAL, as published: counts, shares (text), cut-offs; unclassified
+    authors form the 'Unassigned' row. Ordered by domain (none last), field, TOTAL last."""
     labels = dictionary.select("domain", F.col("field").alias("_f")).distinct()
     rows = cut.filter(F.col("level").isin("field", "total"))
-    out = (
-        rows.join(labels, rows["subject"] == labels["_f"], "left")
-        .withColumns(_pcts(rows))
-        .withColumn("field", F.coalesce("subject", F.lit(UNASSIGNED)))
-        .select("domain", "field", *_report_cols(cfg))
-    )
-    return out.orderBy(F.coalesce("domain", F.lit("ZZ")), F.when(F.col("field") == TOTAL, "ZZ").otherwise(F.col("field")))
+    out = rows.join(labels, rows["subject"] == labels["_f"], "left").select(
+        F.col("domain").alias("Domain"), F.coalesce("subject", F.lit(UNASSIGNED)).alias("Field"), *_published(cfg))
+    return out.orderBy(F.coalesce("Domain", F.lit("ZZ")), F.when(F.col("Field") == TOTAL, "ZZ").otherwise(F.col("Field")))
 
 
 def subfield_report(cut: DataFrame, dictionary: DataFrame, cfg: Config) -> DataFrame:
-    """Per subfield plus TOTAL, labelled with field and domain."""
+    """Per subfield plus TOTAL, as published, labelled with field and domain."""
     labels = dictionary.select(F.col("subfield").alias("_s"), "field", "domain")
     rows = cut.filter(F.col("level").isin("subfield", "total"))
-    out = (
-        rows.join(labels, rows["subject"] == labels["_s"], "left")
-        .withColumns(_pcts(rows))
-        .withColumn("subfield", F.coalesce("subject", F.lit(UNASSIGNED)))
-        .select("domain", "field", "subfield", *_report_cols(cfg))
-    )
+    out = rows.join(labels, rows["subject"] == labels["_s"], "left").select(
+        F.col("domain").alias("Domain"), F.col("field").alias("Field"),
+        F.coalesce("subject", F.lit(UNASSIGNED)).alias("Subfield"), *_published(cfg))
     return out.orderBy(
-        F.coalesce("domain", F.lit("ZZ")), F.col("field").asc_nulls_first(),
-        F.when(F.col("subfield") == TOTAL, "ZZ").otherwise(F.col("subfield")),
+        F.coalesce("Domain", F.lit("ZZ")), F.col("Field").asc_nulls_first(),
+        F.when(F.col("Subfield") == TOTAL, "ZZ").otherwise(F.col("Subfield")),
     )
 
 
@@ -69,31 +75,32 @@ def subfield_report_2017(cut_lower: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def dropout_stats(res: DataFrame, cut: DataFrame, cfg: Config) -> DataFrame:
-    """One row: share of the top fraction of a subfield (ws) that drops out of it
-    without self-citations (x1), out of the top 10 % (x2), and top-listed authors
-    above their subfield's top-list p99 of cites per citing paper (x3)."""
-    p99 = f"top_list_cprat_{int(round(max(cfg.ratio_percentiles) * 100)):02d}"
-    c = cut.filter(F.col("level") == "subfield").select(F.col("subject").alias("_s"), F.col(p99).alias("_p99"))
-    j = res.join(c, res["sm_subfield_1"] == c["_s"], "left")
-    fws = F.try_divide(F.col("rank_sm_subfield_1_ws").cast("double"), F.col("count_sm_subfield_1").cast("double"))
-    fns = F.try_divide(F.col("rank_sm_subfield_1_ns").cast("double"), F.col("count_sm_subfield_1").cast("double"))
-    top = F.col("top_listed")
-    agg = j.agg(
-        F.count(F.lit(1)).alias("totalcount"),
-        F.count(F.when(top, True)).alias("toplist_count"),
-        F.count(F.when(top, F.col("sm_subfield_1"))).alias("toplist_count_w_subfield"),
-        F.count(F.when(fws <= cfg.top_frac, True)).alias("auths_top2p_ws"),
-        F.count(F.when((fws <= cfg.top_frac) & (fns > cfg.top_frac), True)).alias("auths_top2p_ws_not_ns"),
-        F.count(F.when((fws <= cfg.top_frac) & (fns > 0.1), True)).alias("auths_top2p_ws_not_top_10p_ns"),
-        F.count(F.when(top & (F.col("cprat_ws") >= F.col("_p99")), True)).alias("x3_cprat_above_p99_top_list"),
-        F.count(F.when(top & F.col("sm_subfield_1").isNotNull() & F.col("cprat_ws").isNotNull(), True)).alias(
-            "toplist_count_w_subfield_w_ws_cprat"
-        ),
+    """One row on how self-citations lift authors: of the authors in the top fraction of their
+    subfield with self-citations, the share that leaves it (x1), and the share that leaves
+    even the best ``wide_frac`` (x2), without them; and the top-listed authors whose cites per
+    citing paper reach their subfield's highest top-list cut-off (x3), with the numbers of
+    authors these refer to."""
+    highest = f"top_list_cprat_{_pct(max(cfg.ratio_percentiles))}"
+    limits = cut.filter(F.col("level") == "subfield").select(F.col("subject").alias("_s"), F.col(highest).alias("_limit"))
+    place = lambda v: ratio(f"rank_sm_subfield_1_{v}", "count_sm_subfield_1")
+    each = res.join(limits, res["sm_subfield_1"] == limits["_s"], "left").select(
+        F.col("top_listed").alias("listed"),
+        F.col("sm_subfield_1").isNotNull().alias("classified"),
+        F.col("cprat_ws").alias("per_paper"),
+        F.coalesce(place("ws") <= cfg.top_frac, F.lit(False)).alias("leads"),
+        (place("ns") > cfg.top_frac).alias("leaves"),
+        (place("ns") > cfg.wide_frac).alias("falls"),
+        F.coalesce(F.col("cprat_ws") >= F.col("_limit"), F.lit(False)).alias("concentrated"),
     )
-    return agg.withColumns({
-        "x1_fraction_2p_ws_2p_ns_dropout": ratio("auths_top2p_ws_not_ns", "auths_top2p_ws"),
-        "x2_fraction_2p_ws_10p_ns_dropout": ratio("auths_top2p_ws_not_top_10p_ns", "auths_top2p_ws"),
-    })
+    n = lambda cond: F.count_if(cond)
+    c = F.col
+    return each.agg(
+        F.count(F.lit(1)).alias("n_authors"), n(c("listed")).alias("n_listed"),
+        n(c("listed") & c("classified")).alias("n_listed_classified"),
+        n(c("listed") & c("classified") & c("per_paper").isNotNull()).alias("n_listed_with_ratio"),
+        n(c("leads")).alias("n_leading"), n(c("leads") & c("leaves")).alias("n_leaving"),
+        n(c("leads") & c("falls")).alias("n_falling"), n(c("listed") & c("concentrated")).alias("x3_concentrated"),
+    ).withColumns({"x1_leaving_share": ratio("n_leaving", "n_leading"), "x2_falling_share": ratio("n_falling", "n_leading")})
 
 
 def cprat_percentile(res: DataFrame, subfield: str, cfg: Config, ceiling: float = 4.0) -> DataFrame:

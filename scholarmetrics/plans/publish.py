@@ -33,8 +33,7 @@ def publish_names(cfg: Config) -> list[tuple[str, str]]:
             (f"c{sfx}", f"c_{v}"),
             (f"npciting{sfx}", f"ncp_{v}"),
             (f"cprat{sfx}", f"cprat_{v}"),
-            (f"np{y1}{y3} cited{y2}{y3}{sfx}", f"npc_{v}"),
-        ]
+        ] + ([] if cfg.edition == "2017" else [(f"np{y1}{y3} cited{y2}{y3}{sfx}", f"npc_{v}")])
 
     head = [
         ("author_id", "author_id"),
@@ -46,6 +45,12 @@ def publish_names(cfg: Config) -> list[tuple[str, str]]:
         ("lastyr", "lastyr"),
     ]
     self_pct = [("self%", "self_pct")]
+    if cfg.edition == "2017":
+        tail = []
+        for code, name, share, subject in (("sm-1", "name1", "frac1", "sm_subfield_1"), ("sm-2", "name2", "frac2", "sm_subfield_2"),
+                                           ("sm22", "name22", "frac22", "sm_field")):
+            tail += [(code, subject), (name, f"{subject}_name"), (share, f"{subject}_frac")]
+        return head + block("ns", " (ns)") + self_pct + block("ws", "") + tail
     tail = [
         (f"np{y1}{y3}_d", "np_d"),
         (f"nc{y2}{y3}_d", "nc_d"),
