@@ -29,6 +29,7 @@ from scholarmetrics.operators import ranking as R  # noqa: E402
 from scholarmetrics.operators import reports as RP  # noqa: E402
 from scholarmetrics.operators import score as S  # noqa: E402
 from scholarmetrics.operators import subjects as SJ  # noqa: E402
+from scholarmetrics.plans import outputs as OUT  # noqa: E402
 from scholarmetrics.plans import publish as P  # noqa: E402
 from scholarmetrics.plans.pipeline import Run  # noqa: E402
 from scholarmetrics.sources import io as IO  # noqa: E402
@@ -313,6 +314,42 @@ def q_single_year_top(spark, d):
     return _round(P.publish(_run(spark, d, SINGLE_YEAR).top, SINGLE_YEAR))
 
 
+def q_corpus_layout(spark, d):
+    """The corpus through its reader: written in the published folder layout and scanned back."""
+    base = IO.scratch_path(spark, "core")
+    build_inputs(spark, d).corpus.write.parquet(IO.corpus_path(base, "v1", "full", "ani", "20200506"))
+    return _papers(IO.read_corpus(spark, base, "v1", "full", "20200506"))
+
+
+def q_corpus_layout_2017(spark, d):
+    """The same papers in the 2017 layout, by their publication year (one after the sorting year)."""
+    base = IO.scratch_path(spark, "core")
+    old = build_inputs(spark, d).corpus.withColumnsRenamed(
+        {"year": "sort_year", "publication_type": "citation_type", "references": "citations"})
+    old.withColumn("pub_year", F.col("sort_year") + 1).write.parquet(IO.corpus_path(base, "v1", "full", "ani", "20170101"))
+    return _papers(IO.read_corpus(spark, base, "v1", "full", "20170101", layout="2017", year_col="pub_year"))
+
+
+def _papers(corpus):
+    return corpus.select("eid", "year", "publication_type", F.col("source.srcid").alias("srcid"),
+                         F.coalesce(F.size(F.array_distinct("references")), F.lit(0)).alias("n_references"),
+                         F.coalesce(F.size("au"), F.lit(0)).alias("n_authors"))
+
+
+def _outputs(spark, d):
+    r = _run(spark, d)
+    return r, OUT.write_outputs(r, IO.scratch_path(spark, "outputs"))
+
+
+def q_top_list_csv(spark, d):
+    r, out = _outputs(spark, d)
+    return _round(OUT.read_top_list(spark, out, r))
+
+
+def q_maxima_csv(spark, d):
+    return _round(OUT.read_run_maxima(spark, _outputs(spark, d)[1]))
+
+
 def q_csv_roundtrip(spark, d):
     cut = q_subject_cutoffs(spark, d)
     path = IO.scratch_path(spark, "subject_cutoffs.csv")

@@ -633,6 +633,14 @@ def result_oracles() -> dict[str, str]:
         "single_year_top": qr(y, publish_sql(y, "WHERE top_listed")),
     }
     d["csv_roundtrip"] = d["subject_cutoffs"]
+    d["top_list_csv"] = d["career_top"]
+    d["maxima_csv"] = base_oracles()["log_maxima"]
+    papers = """SELECT p.eid, CAST(p.year + {shift} AS INTEGER) AS year, p.publication_type, p.srcid,
+        CAST(coalesce(r.n, 0) AS INTEGER) AS n_references, CAST(coalesce(s.n, 0) AS INTEGER) AS n_authors
+      FROM fx_papers p LEFT JOIN (SELECT citing, count(*) AS n FROM fx_refs GROUP BY citing) r ON r.citing = p.eid
+      LEFT JOIN (SELECT eid, count(*) AS n FROM fx_slots GROUP BY eid) s ON s.eid = p.eid"""
+    d["corpus_layout"] = with_fixtures(select=papers.format(shift=0))
+    d["corpus_layout_2017"] = with_fixtures(select=papers.format(shift=1))
     d["table_roundtrip"] = base_oracles()["eligible_authors"]
     d["stage_reuse"] = base_oracles()["author_metrics"]
     d["latest_table"] = with_fixtures(select="SELECT * FROM fx_inst_map")

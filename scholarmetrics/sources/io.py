@@ -1,8 +1,8 @@
 """Sources and sinks: corpus scan, catalog tables, CSV reports, staged results.
 
 Scratch and stage locations come from the session: ``spark.checkpoint.dir``
-names the shared folder of the cluster. Only when it is unset (local tests) is
-a temporary folder created and registered as the checkpoint dir.
+names the shared folder of the cluster. Only on a local master is a temporary
+folder created when it is unset.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -51,11 +52,30 @@ def corpus_path(base: str, version: str, variant: str, table: str, stamp: str) -
     return f"{base.rstrip('/')}/{version}/{variant}/{table}_{stamp}"
 
 
+# The 2017 layout: two year columns, other names for the document type and the references.
+CORPUS_2017_SCHEMA = T.StructType([
+    T.StructField({"publication_type": "citation_type", "references": "citations", "year": "sort_year"}.get(f.name, f.name), f.dataType)
+    for f in CORPUS_SCHEMA.fields
+] + [T.StructField("pub_year", T.IntegerType())])
+YEAR_COLUMNS = {"2019": ("year",), "2017": ("sort_year", "pub_year")}
+
+
 def read_corpus(spark: SparkSession, base: str, version: str, variant: str = "full", stamp: str = "",
-                table: str = "ani") -> DataFrame:
-    """Columnar corpus scan with the declared nested schema (filters on year and
-    nested column pruning reach the parquet reader)."""
-    return spark.read.schema(CORPUS_SCHEMA).parquet(corpus_path(base, version, variant, table, stamp))
+                table: str = "ani", *, layout: str = "2019", year_col: str | None = None) -> DataFrame:
+    """Columnar corpus scan with the declared nested schema of its ``layout``, in the columns of
+    ``CORPUS_SCHEMA`` (filters on year and nested column pruning reach the parquet reader).
+    ``year_col`` chooses the year of the 2017 layout: ``sort_year`` (default) or ``pub_year``."""
+    if layout not in YEAR_COLUMNS:
+        raise ValueError(f"layout must be one of {sorted(YEAR_COLUMNS)}, not {layout!r}")
+    year = year_col or YEAR_COLUMNS[layout][0]
+    if year not in YEAR_COLUMNS[layout]:
+        raise ValueError(f"the {layout} layout has no year column {year!r}")
+    path = corpus_path(base, version, variant, table, stamp)
+    if layout == "2019":
+        return spark.read.schema(CORPUS_SCHEMA).parquet(path)
+    names = {"year": year, "publication_type": "citation_type", "references": "citations"}
+    return spark.read.schema(CORPUS_2017_SCHEMA).parquet(path).select(
+        *[F.col(names.get(c, c)).alias(c) for c in CORPUS_SCHEMA.names])
 
 
 def read_table(spark: SparkSession, db: str, name: str) -> DataFrame:

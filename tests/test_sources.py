@@ -56,3 +56,25 @@ def test_stage_is_reused(spark):
     assert len(calls) == 1 and a.count() == b.count() == 5
     IO.stage(spark, build, "reuse_test", f"{k}-2")
     assert len(calls) == 2
+
+
+def test_year_columns_are_checked(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="year column"):
+        IO.read_corpus(spark, "x", "v", year_col="sort_year")
+    with pytest.raises(ValueError, match="layout"):
+        IO.read_corpus(spark, "x", "v", layout="1999")
+
+
+def test_outputs_read_back(spark):
+    import __spark_entry__ as E
+    from scholarmetrics.plans import outputs as OUT
+
+    run = E._run(spark, SF_SMALL)
+    out = OUT.write_outputs(run, IO.scratch_path(spark, "out"))
+    assert OUT.read_result(spark, out).count() == run.result.count()
+    assert OUT.read_run_maxima(spark, out).first() == run.maxima.first()
+    field = OUT.read_cutoffs(spark, out.field_cutoffs, run)
+    assert {r.level for r in field.collect()} == {"field", "total"}
+    assert OUT.read_top_list(spark, out, run).count() == run.top.count()
