@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,12 @@ def authorship(
     cites: DataFrame,
     disc: DataFrame,
     cfg: Config,
-    subjects: DataFrame | None = None,
+    with_subjects: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Author slots of papers up to ``max_year`` (no lower bound), placeholder and
-    malformed author ids removed. Citation counts and subjects are joined per
-    paper (one shuffle on eid) before the author array is exploded.
+    malformed author ids removed. Citation counts are joined, and subjects added
+    by ``with_subjects``, per paper before the author array is exploded; the
+    corpus is scanned once.
 
     ``n_authors`` counts every slot of the paper, placeholders included; a
     repeated author keeps both slots.
@@ -39,9 +42,10 @@ def authorship(
     )
     papers = flag_members(papers, "srcid", disc, "is_disc_source")
     papers = papers.join(cites, "eid", "left")
-    if subjects is not None:
-        papers = papers.join(subjects.drop("publication_type"), "eid", "left")
-    extra = [c for c in (subjects.columns if subjects is not None else []) if c not in ("eid", "publication_type")]
+    given = papers.columns
+    if with_subjects is not None:
+        papers = with_subjects(papers)
+    extra = [c for c in papers.columns if c not in given]
     slots = papers.select(
         "eid", "year", "publication_type", "srcid", "is_disc_source",
         F.size("au").cast("int").alias("n_authors"),

@@ -9,34 +9,37 @@ from ..config import Config
 from ..functions import is_core, ratio
 
 
-def paper_subject(pubs: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
-    """2019: subject from the per-paper map. Only core types keep the subfield;
-    field and domain are kept for every type, as the subject volumes count them."""
-    return (
-        pubs.select("eid", "publication_type")
-        .join(smc.select("eid", "subfield", "field", "domain"), "eid", "left")
-        .select(
-            "eid",
-            "publication_type",
-            F.when(is_core("publication_type", cfg), F.col("subfield")).alias("subfield"),
-            "field",
-            "domain",
-        )
-    )
+def with_paper_subject(papers: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
+    """2019: ``papers`` (eid, publication_type, ...) with the subject from the per-paper map. Only
+    core types keep the subfield; field and domain are kept for every type, as the subject
+    volumes count them."""
+    return papers.join(smc.select("eid", "subfield", "field", "domain"), "eid", "left").withColumn(
+        "subfield", F.when(is_core("publication_type", cfg), F.col("subfield")))
 
 
-def journal_subject(pubs: DataFrame, journal_map: DataFrame, tree: DataFrame, cfg: Config) -> DataFrame:
-    """2017: subject from the journal of the paper; non-core types get none."""
-    t = tree.select("subfield_code", "subfield", "field_code", "field")
+def with_journal_subject(papers: DataFrame, journal_map: DataFrame, tree: DataFrame, cfg: Config) -> DataFrame:
+    """2017: ``papers`` (srcid, publication_type, ...) with the subject of their journal; non-core
+    types get none."""
     return (
-        pubs.select("eid", "publication_type", F.col("source.srcid").alias("srcid"))
-        .join(journal_map.select("srcid", "subfield_code"), "srcid", "left")
+        papers.join(journal_map.select("srcid", "subfield_code"), "srcid", "left")
         .withColumn("subfield_code", F.when(is_core("publication_type", cfg), F.col("subfield_code")))
-        .join(t, "subfield_code", "left")
-        .select("eid", "publication_type", "subfield_code", "subfield", "field_code", "field")
+        .join(tree.select("subfield_code", "subfield", "field_code", "field"), "subfield_code", "left")
     )
 
 
+def paper_subject(pubs: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
+    """Subject per paper, 2019."""
+    return with_paper_subject(pubs.select("eid", "publication_type"), smc, cfg).select(
+        "eid", "publication_type", "subfield", "field", "domain")
+
+
+def journal_subject(pubs: DataFrame, journal_map: DataFrame, tree: DataFrame, cfg: Config) -> DataFrame:
+    """Subject per paper, 2017."""
+    papers = pubs.select("eid", "publication_type", F.col("source.srcid").alias("srcid"))
+    return with_journal_subject(papers, journal_map, tree, cfg).select(
+        "eid", "publication_type", "subfield_code", "subfield", "field_code", "field")
+
+
 def subject_dictionary(smc: DataFrame) -> DataFrame:
     """subfield -> field, domain (deterministic: the smallest label if a subfield
     ever maps to more than one)."""

@@ -30,7 +30,8 @@ from ..sources.inputs import Inputs
 from ..sources.io import stage as _stage
 
 # the parameters that the staged results depend on
-AUTHORSHIP = ("min_cite_year", "max_year", "core_types", "min_core_papers", "auid_floor", "edition")
+FACT = ("min_cite_year", "max_year", "core_types", "auid_floor", "edition")
+AUTHORSHIP = (*FACT, "min_core_papers")
 METRICS = (*AUTHORSHIP, "min_year", "min_classified")
 
 
@@ -100,9 +101,17 @@ class Run:
         return ("subfield_code", "field_code") if self.cfg.edition == "2017" else ("subfield", "field")
 
     # ---- authorship -----------------------------------------------------------------
+    def _with_subjects(self, papers: DataFrame) -> DataFrame:
+        if self.cfg.edition == "2017":
+            found = SJ.with_journal_subject(papers, self.inputs.journal_map, self.inputs.subject_tree, self.cfg)
+            return found.drop("subfield", "field")
+        return SJ.with_paper_subject(papers, self.inputs.smc, self.cfg)
+
     @cached_property
     def authorship(self) -> DataFrame:
-        return A.authorship(self.pubs, self.cites, self.disc, self.cfg, self.paper_subjects)
+        """The authorship fact, staged: eligibility reads it twice."""
+        return self._maybe_stage(
+            "authorship_fact", lambda: A.authorship(self.pubs, self.cites, self.disc, self.cfg, self._with_subjects), FACT)
 
     @cached_property
     def eligible(self) -> DataFrame:

@@ -48,25 +48,32 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+_BUILT: dict[tuple[str, str, str], Inputs] = {}  # per application, data and stage namespace
+
+
 def build_inputs(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Inputs:
     """The input tables derived from ``sf_dir``; with ``materialize`` each is written
     once to the shared folder (like the production inputs, which are parquet
-    tables) and read back, so that queries scan it instead of re-deriving it."""
-    raw = _derive(spark, sf_dir)
+    tables) and read back, so that queries scan it instead of re-deriving it. A session
+    plans them once per state of the files."""
     if not materialize:
-        return raw
-    from .io import input_fingerprint, stage
+        return _derive(spark, sf_dir)
+    from . import io
 
     files = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier", "nation", "region")]
-    key = f"fixture|{sf_dir}|{input_fingerprint(spark, *files)}"
-    corpus = stage(spark, lambda: raw.corpus, "input_corpus", key)
-    # the per-paper subjects derive from the written corpus, not from its plan again
-    smc = _smc(corpus, _read(spark, sf_dir, "supplier"), raw.subject_tree)
-    frames = {**raw.tables(), "corpus": corpus, "smc": smc}
-    return Inputs(**{
-        name: df if name == "corpus" else stage(spark, (lambda df=df: df), f"input_{name}", key)
-        for name, df in frames.items()
-    }, key=key)
+    key = f"fixture|{sf_dir}|{io.input_fingerprint(spark, *files)}"
+    known = (spark.sparkContext.applicationId, key, io.STAGE_NAMESPACE)
+    if known not in _BUILT:
+        raw = _derive(spark, sf_dir)
+        corpus = io.stage(spark, lambda: raw.corpus, "input_corpus", key)
+        # the per-paper subjects derive from the written corpus, not from its plan again
+        smc = _smc(corpus, _read(spark, sf_dir, "supplier"), raw.subject_tree)
+        frames = {**raw.tables(), "corpus": corpus, "smc": smc}
+        _BUILT[known] = Inputs(**{
+            name: df if name == "corpus" else io.stage(spark, (lambda df=df: df), f"input_{name}", key)
+            for name, df in frames.items()
+        }, key=key)
+    return _BUILT[known]
 
 
 def _smc(corpus: DataFrame, supplier: DataFrame, tree: DataFrame) -> DataFrame:

@@ -107,3 +107,17 @@ def test_scratch_is_released(spark, monkeypatch):
 
 def test_config_has_no_size_switch():
     assert not {"skew_safe", "max_group_rows", "extra"} & set(Config.__dataclass_fields__)
+
+
+@pytest.mark.parametrize("cfg", [CAREER, EDITION2017], ids=["2019", "2017"])
+def test_authorship_scans_the_corpus_once(spark, cfg):
+    i = build_inputs(spark, SF_SMALL)
+    r = Run(spark, i, cfg)
+    cites = IO.write_once(r.cites, "cites")  # the citation counts are an input of the fact
+    from scholarmetrics.operators import authorship as A
+
+    fact = A.authorship(r.pubs, cites, r.disc, cfg, r._with_subjects)
+    scans = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert sum("au:array" in x or "source:struct" in x for x in scans(fact)) == 1
+    # eligibility reads the staged fact, never the corpus
+    assert not any("au:array" in x for x in scans(A.eligible_slots(r.authorship, cfg)))
