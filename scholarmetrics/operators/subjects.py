@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import is_core, ratio
+from ..sources.io import write_once
 
 
 def with_paper_subject(papers: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
@@ -49,18 +50,23 @@ def subject_dictionary(smc: DataFrame) -> DataFrame:
 def subject_volume(auth: DataFrame, key: str = "subfield") -> DataFrame:
     """Per (author, subject): the author's slots in the subject, and the slots of
     all given authors in that subject. NULL is a subject of its own here."""
-    mine = auth.groupBy("auid", key).agg(F.count(F.lit(1)).alias("n_author"))
-    overall = auth.groupBy(key).agg(F.count(F.lit(1)).alias("n_overall"))
+    return _volume(auth.groupBy("auid", key).agg(F.count(F.lit(1)).alias("n")), key)
+
+
+def _volume(counts: DataFrame, key: str) -> DataFrame:
+    """The same from counts ``n`` per author and (at least) ``key``."""
+    mine = counts.groupBy("auid", key).agg(F.sum("n").alias("n_author"))
+    overall = counts.groupBy(key).agg(F.sum("n").alias("n_overall"))
     # one row per subject (bounded by the classification); AQE broadcasts it by measured size
     o = overall.select(F.col(key).alias("_k"), "n_overall")
     return mine.join(o, mine[key].eqNullSafe(o["_k"]), "left").drop("_k")
 
 
-def _ranked(auth: DataFrame, key: str) -> DataFrame:
+def _ranked(counts: DataFrame, key: str) -> DataFrame:
     """Subjects of each author ranked: classified first, own volume desc, overall
     volume asc (the rarer subject wins a tie), then key asc. The window holds at
     most (number of subjects + 1) rows per author."""
-    vol = subject_volume(auth, key)
+    vol = _volume(counts, key)
     w = Window.partitionBy("auid").orderBy(
         F.col(key).isNull().asc(), F.col("n_author").desc(), F.col("n_overall").asc(), F.col(key).asc()
     )
@@ -74,14 +80,17 @@ def author_subjects(
     the author's classified slots (slots with a field). Subjects are assigned only
     with at least ``min_classified`` classified slots; a fraction is NULL where its
     subject is NULL."""
-    classified = auth.groupBy("auid").agg(F.count(field).alias("n_classified"))
-    sf = _ranked(auth, subfield).groupBy("auid").agg(
+    # slots per (author, subfield, field), written once: all five aggregates read these few rows
+    # and not the authorship fact
+    counts = write_once(auth.groupBy("auid", subfield, field).agg(F.count(F.lit(1)).alias("n")), "subject_counts")
+    classified = counts.groupBy("auid").agg(F.sum(F.when(F.col(field).isNotNull(), F.col("n")).otherwise(0)).alias("n_classified"))
+    sf = _ranked(counts, subfield).groupBy("auid").agg(
         F.max(F.when(F.col("r") == 1, F.col(subfield))).alias("sf1"),
         F.max(F.when(F.col("r") == 1, F.col("n_author"))).alias("sf1_n"),
         F.max(F.when(F.col("r") == 2, F.col(subfield))).alias("sf2"),
         F.max(F.when(F.col("r") == 2, F.col("n_author"))).alias("sf2_n"),
     )
-    fd = _ranked(auth, field).groupBy("auid").agg(
+    fd = _ranked(counts, field).groupBy("auid").agg(
         F.max(F.when(F.col("r") == 1, F.col(field))).alias("f1"),
         F.max(F.when(F.col("r") == 1, F.col("n_author"))).alias("f1_n"),
     )
