@@ -43,9 +43,9 @@ from .common import materialize, table
 
 END_ID = 0
 NULL_ID = -(2**63)
-KNOWN = 400_000  # distinct pieces of a generation that a worker remembers
+KNOWN = 700_000  # distinct pieces of a generation that a worker remembers
 GROUP = 500  # new words encoded in one call of the library
-STEP = 500  # texts encoded and written at a time
+STEP = 200  # texts encoded and written at a time
 
 _CUT = re.compile(r"(?= [\w!-~])")
 FIRST = "\0"  # marks a piece without a leading space
