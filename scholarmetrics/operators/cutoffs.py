@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import within_percentile_lower, within_percentile_upper
 from .ordered import ordered_prefix
 
 LEVELS_2019 = (("field", "sm_field"), ("subfield", "sm_subfield_1"), ("total", None))
@@ -88,7 +89,7 @@ def cutoff_table(res: DataFrame, cfg: Config) -> DataFrame:
     hist = _join_small(hist, nonnull, keys)
 
     def passes(p):
-        return F.try_divide((F.col("_cnt") - (F.col("_rank") - 1)).cast("double"), F.col("_cnt").cast("double")) >= F.lit(p)
+        return within_percentile_upper("_rank", "_cnt", p)
 
     aggs = []
     names = {"nc_ws": "cites", "c_ws": "c", "self_p": "selfp", "cprat_ws": "cprat", "cprat_ns": "cprat_ns"}
@@ -170,7 +171,7 @@ def cutoffs_lower(res: DataFrame, cfg: Config) -> DataFrame:
     aggs = []
     for m, n in (("nc_ws", "cites"), ("c_ws", "c")):
         for p in cfg.percentiles:
-            ok = F.try_divide(F.col("_rank").cast("double"), F.col("auth").cast("double")) >= F.lit(p)
+            ok = within_percentile_lower("_rank", "auth", p)
             v = F.min(F.when((F.col("metric") == m) & ok, F.col("value")))
             aggs.append((v.cast("long") if m == "nc_ws" else v).alias(f"{n}_{_pct(p)}"))
     cut = hist.groupBy("level", "subject").agg(*aggs)
