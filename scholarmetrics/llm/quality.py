@@ -208,13 +208,15 @@ def score(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
 def judged(scored: DataFrame, fences: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """Joined filtering: ``base_failed`` and ``kept`` per row."""
     j = scored.join(fences, ["lang", "source"], "left")
+    failed = _base(F.col("m"), cfg)
+    # the base rule enters as a bound that no text meets, so that the verdict is one predicate on both
+    # sides of the join: pushed below it on its own, it would compute the metrics twice more
     inside = (
-        (F.col("symbols") <= F.col("max_symbols"))
+        (F.col("symbols") <= F.when(failed, F.lit(-1)).otherwise(F.col("max_symbols")))
         & (F.col("dup") <= F.col("max_dup"))
         & F.col("length").between(F.col("min_length"), F.col("max_length"))
     )
-    failed = _base(F.col("m"), cfg)
-    return j.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(True))})
+    return j.withColumns({"base_failed": failed, "kept": F.coalesce(inside, ~failed)})
 
 
 def fences_of(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
