@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import releasing, table
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000  # benchmark words broadcast at a time
@@ -215,7 +215,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminateConfig
     for k, block in enumerate(blocks):
         more = k + 1 < len(blocks)
         ddl = f"{row_ddl}, {'_text string, ' if more else ''}matches {_MATCH_DDL}, n_words long, n_hit long"
-        rows = rows.select("_row", "_text", "matches").mapInArrow(_matcher(block, more), ddl)
+        rows = rows.select("_row", "_text", "matches").mapInArrow(releasing(_matcher(block, more)), ddl)
     return rows.select("_row", "n_words", "n_hit", "matches")
 
 

@@ -10,16 +10,18 @@ from .common import materialize
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of an undirected link table (a, b) of long ids; the component is its
-    smallest node. Each round every node moves to the neighbour (or itself) that comes first
-    in a fresh random order, so long chains shrink by a constant factor as well as stars do;
-    rounds grow with the logarithm of the largest component. Links and mappings stay in
+    smallest node. Each round every node moves to the neighbour (or itself) that comes first:
+    by id in even rounds, which contracts the stars around small ids at once, and in a fresh
+    random order in odd rounds, which shrinks long chains by a constant factor, so rounds grow
+    with the logarithm of the largest component at most. Links and mappings stay in
     written tables; the driver sees only whether any link is left."""
     edges = materialize(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "links")
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     place = both(edges).select(F.col("a").alias("node")).distinct().withColumn("at", F.col("node"))
     step = 0
     while not edges.isEmpty():
-        first = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("p"), F.col(c).alias("v"))
+        order = (lambda c: F.col(c)) if step % 2 == 0 else (lambda c: F.xxhash64(F.col(c), F.lit(step)))
+        first = lambda c: F.struct(order(c).alias("p"), F.col(c).alias("v"))
         near = both(edges).groupBy("a").agg(F.min(first("b")).alias("n"))
         move = materialize(near.select("a", F.least(F.col("n"), first("a"))["v"].alias("to")), f"move_{step}")
         place = materialize(

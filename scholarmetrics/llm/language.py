@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import releasing, table
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -81,7 +81,7 @@ def learn(labelled: DataFrame) -> dict:
     sums = (
         labelled.filter(F.col("lang").isNotNull())
         .select(F.col("lang").cast("string").alias("lang"), F.col("text"))
-        .mapInArrow(_count, "lang string, bucket int, n long")
+        .mapInArrow(releasing(_count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
     # one row per (language, bucket): bounded by MAX_LANGUAGES * BUCKETS
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text").alias("_text"))
     ddl = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
-    return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(model)), ddl)
+    return rows.mapInArrow(releasing(_identify(docs.sparkSession.sparkContext.broadcast(model))), ddl)
 
 
 def held_out(doc_id: Column) -> Column:

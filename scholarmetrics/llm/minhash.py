@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, releasing, table
 from .graph import extended
 
 PERMS, BANDS, ROWS = 80, 32, 5
@@ -135,7 +135,7 @@ def _sign_block(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
 
 def signatures(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     """Per row: set size, 128-bit set digest, band keys and sketch of the min-max signature."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_sign(cfg.words), _OUT_DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(releasing(_sign(cfg.words)), _OUT_DDL)
 
 
 def _verify(cfg: DedupConfig):
@@ -167,7 +167,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFram
         .join(t.withColumnRenamed("node", "hub").withColumnRenamed("text", "hub_text"), "hub")
         .select("hub", "rep", "hub_text", "rep_text")
     )
-    return wide.mapInArrow(_verify(cfg), "a long, b long").distinct()
+    return wide.mapInArrow(releasing(_verify(cfg)), "a long, b long").distinct()
 
 
 def _similar(n1: Column, n2: Column, s1: list[Column], s2: list[Column], cfg: DedupConfig) -> Column:
@@ -214,7 +214,7 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataF
     rows = (
         who.join(texts.withColumnRenamed("node", "rep"), "rep")
         .select(F.col("rep").alias("node"), "label", "sketch", "text")
-        .mapInArrow(_sets(cfg.words), "node long, label long, sketch struct<s0:long,s1:long,s2:long>, tokens array<long>")
+        .mapInArrow(releasing(_sets(cfg.words)), "node long, label long, sketch struct<s0:long,s1:long,s2:long>, tokens array<long>")
     )
     rows = materialize(rows, "rest_sets")
     n = F.size("tokens").cast("long")

@@ -35,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbered, table
+from .common import Numbered, releasing, table
 
 MARK = "▁"
-BLOCK_CHARS = 200_000  # characters of distinct chunks that are indexed at a time
-KNOWN_CHUNKS = 300_000  # distinct chunks whose ids a task remembers; then it starts anew
+BLOCK_CHARS = 120_000  # characters of distinct chunks that are indexed at a time
+KNOWN_CHUNKS = 200_000  # distinct chunks whose ids a task remembers; then it starts anew
 STEP = 1000  # texts encoded at a time
 MEMO_BITS = 20  # entries of the table of pairs already decided: 2 ** MEMO_BITS
 NEVER = np.int64(2**40)
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, model_path: str | Non
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(model_tables(model_path or default_model()))
     rows = docs.select(_kept(docs, docs.columns if keep is None else keep), F.col("text").alias("_text"))
-    return rows.mapInArrow(_encoder(model), f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, n_tokens long")
+    return rows.mapInArrow(releasing(_encoder(model)), f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, n_tokens long")
 
 
 def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -359,7 +359,7 @@ def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
     spark = tokens.sparkSession
     model = spark.sparkContext.broadcast(model_tables(model_path or default_model()))
     rows = tokens.select(_kept(tokens, tokens.columns))
-    return rows.mapInArrow(_decoder(model), f"_row {rows.schema['_row'].dataType.simpleString()}, decoded string")
+    return rows.mapInArrow(releasing(_decoder(model)), f"_row {rows.schema['_row'].dataType.simpleString()}, decoded string")
 
 
 def encoded(docs: DataFrame, model_path: str | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import scratch_path
-from .common import materialize, table
+from .common import materialize, releasing, table
 
 END_ID = 0
 NULL_ID = -(2**63)
@@ -242,7 +242,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     shared = spark.sparkContext.broadcast({"definition": tokenizer.to_str(), "dtype": dtype})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    parts = materialize(ordered.mapInArrow(_write(folder, shared, dtype, end_id), "part long, docs long, ids long"), "parts")
+    parts = materialize(ordered.mapInArrow(releasing(_write(folder, shared, dtype, end_id)), "part long, docs long, ids long"), "parts")
     # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = materialize(parts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), "bases")

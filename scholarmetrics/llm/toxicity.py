@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, releasing, table
 
 MAX_LEARN = 10_000
 CONTEXT = 6
@@ -318,7 +318,7 @@ def _scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text").alias("_text"))
     ddl = (f"_row {rows.schema['_row'].dataType.simpleString()}, exact double, misspelled double, score double, "
            "hits array<struct<word:string,edits:int,quoted:boolean>>")
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), ddl)
+    return rows.mapInArrow(releasing(_score(docs.sparkSession.sparkContext.broadcast(model))), ddl)
 
 
 def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
