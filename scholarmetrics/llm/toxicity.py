@@ -6,17 +6,20 @@ one non-deterministic automaton; its states are determinised lazily and shared b
 words, so a word costs one table step per character and most words leave the automaton
 after a few. A hit is exact or misspelled.
 
-Each hit is scored in a window of ``CONTEXT`` words: quotation (inside quotes, or after a
-reporting word) counts for a quarter, address (a second-person word) for more. A document's
-summed exact and misspelled evidence goes through a logistic model.
+Each hit is scored in a window of ``CONTEXT`` words: a misspelled term counts ``MISSPELLED``
+of an exact one, quotation (inside quotes, or after a reporting word) for a quarter, address
+(a second-person word) for more. The strongest hit, the summed evidence, and whether all of
+it is misspelled go through a logistic model, so that one clear hit is enough in a text
+that toxic texts with many hits were learnt from.
 
 Learning uses at most ``MAX_LEARN`` labelled documents (those of least hash of doc_id) for
 the lexicon and the model; nothing else is bounded. A term is learnt if it stands in toxic
 documents significantly more often than chance (binomial tail, corrected for the number of
 candidates) and with precision ``LEAST_PRECISION``. Its support is the number of distinct
 neighbour pairs around its first place in each toxic document, so copies of one document
-do not make its words terms. A small seed lexicon applies in any case; the model's prior keeps misspelled terms
-in force where labels show none.
+do not make its words terms. A small seed lexicon applies in any case; the prior keeps
+misspelled terms in force where labels show none, and clean documents with misspelled hits
+take it back.
 
 Defined results: null or empty text has no hits, hence the score of no evidence; labels
 that repeat a doc_id count once (toxic if any says so); null labels are not learnt.
@@ -50,8 +53,9 @@ SEED = ["asshole", "bastard", "bitch", "clown", "disgusting", "idiot", "imbecile
         "stupid", "trash", "worthless"]
 REPORTING = frozenset("said says wrote quoted quote quotes called term word phrase sagte schrieb zitat dijo dice escribió cita dit écrit citation".split())
 ADDRESS = frozenset("you your yours yourself ur du dein deine dich ihr tu te ti tus usted vous toi ton ta".split())
-PRIOR = np.array([-3.0, 5.0, 3.0])  # bias, exact evidence, misspelled evidence
-PRIOR_PRECISION = np.array([0.05, 0.2, 1.0])
+MISSPELLED = 0.8
+PRIOR = np.array([-4.0, 8.0, 1.0, 0.0])  # bias, strongest hit, summed evidence, all misspelled
+PRIOR_PRECISION = np.array([0.05, 0.05, 1.0, 0.2])
 
 _TOKEN = re.compile(r"\w+|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
@@ -157,29 +161,30 @@ class LexiconAutomaton:
         return best
 
 
-def evidence(text: str | None, automaton: LexiconAutomaton) -> tuple[float, float, list[tuple[str, int, bool]]]:
-    """Summed context scores of exact and of misspelled hits, and the hits (word, edits, quoted)."""
+def evidence(text: str | None, automaton: LexiconAutomaton) -> tuple[float, float, bool, list[tuple[str, int, bool]]]:
+    """The strongest hit's context score, the sum of all, whether all hits are misspelled, and the
+    hits (word, edits, quoted)."""
     if not text:
-        return 0.0, 0.0, []
+        return 0.0, 0.0, False, []
     tokens = _TOKEN.findall(text.lower())
     match = automaton.match
     found = [(i, e) for i, e in enumerate(map(match, tokens)) if e >= 0]
     if not found:
-        return 0.0, 0.0, []
-    sums, hits = [0.0, 0.0], []
+        return 0.0, 0.0, False, []
+    strength, amount, hits = 0.0, 0.0, []
     for i, e in found:
         before, after = tokens[max(0, i - CONTEXT) : i], tokens[i + 1 : i + 1 + CONTEXT]
         open_, close = any(t in _QUOTES for t in before), any(t in _QUOTES for t in after)
         quoted = (open_ and close) or any(t in REPORTING for t in before)
         addressed = any(t in ADDRESS for t in before) or any(t in ADDRESS for t in after)
-        sums[e > 0] += (0.25 if quoted else 1.0) * (1.25 if addressed and not quoted else 1.0)
+        score = (MISSPELLED if e else 1.0) * (0.25 if quoted else 1.25 if addressed else 1.0)
+        strength, amount = max(strength, score), amount + score
         hits.append((tokens[i], e, quoted))
-    return sums[0], sums[1], hits
+    return min(strength, 1.0), amount, all(e for _, e in found), hits
 
 
-def _features(exact: np.ndarray, fuzzy: np.ndarray) -> np.ndarray:
-    squash = lambda v: 1.0 - np.exp(-v)
-    return np.stack([np.ones_like(exact), squash(exact), squash(fuzzy)], axis=-1)
+def _features(strength: np.ndarray, amount: np.ndarray, misspelled: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(strength), strength, 1.0 - np.exp(-amount), misspelled.astype(float)], axis=-1)
 
 
 # -- learning ------------------------------------------------------------------
@@ -277,11 +282,11 @@ def learn(labelled: DataFrame) -> dict:
     """The model of rows (doc_id, text, toxic): lexicon and weights, from at most MAX_LEARN of them."""
     sample = materialize(labelled.select("text", "toxic"), "toxicity_sample")
     lexicon = learn_lexicon(sample)
-    seen = _scored(sample, {"lexicon": lexicon, "weights": PRIOR}, ["toxic"]).select("_row.toxic", "exact", "misspelled")
-    rows = seen.toPandas()  # at most MAX_LEARN rows of three numbers
+    seen = _scored(sample, {"lexicon": lexicon, "weights": PRIOR}, ["toxic"]).select("_row.toxic", "strength", "amount", "misspelled")
+    rows = seen.toPandas()  # at most MAX_LEARN rows of four numbers
     if rows.empty:
         return {"lexicon": lexicon, "weights": PRIOR}
-    x = _features(rows["exact"].to_numpy(float), rows["misspelled"].to_numpy(float))
+    x = _features(rows["strength"].to_numpy(float), rows["amount"].to_numpy(float), rows["misspelled"].to_numpy(float))
     return {"lexicon": lexicon, "weights": _fit(x, rows["toxic"].to_numpy(float))}
 
 
@@ -304,25 +309,27 @@ def _score(model):
         automaton, weights = LexiconAutomaton(m["lexicon"]), m["weights"]
         for batch in batches:
             found = [evidence(t.as_py(), automaton) for t in batch.column(1)]
-            exact, fuzzy = np.array([f[0] for f in found]), np.array([f[1] for f in found])
-            score = 1.0 / (1.0 + np.exp(-np.clip(_features(exact, fuzzy) @ weights, -30, 30)))
-            hits = [[{"word": w, "edits": e, "quoted": q} for w, e, q in f[2]] for f in found]
+            strength, amount, misspelled = (np.array([f[k] for f in found]) for k in range(3))
+            score = 1.0 / (1.0 + np.exp(-np.clip(_features(strength, amount, misspelled) @ weights, -30, 30)))
+            hits = [[{"word": w, "edits": e, "quoted": q} for w, e, q in f[3]] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(exact, pa.float64()), pa.array(fuzzy, pa.float64()), pa.array(score, pa.float64()),
-                 pa.array(hits, pa.list_(_HIT))], names=["_row", "exact", "misspelled", "score", "hits"])
+                [batch.column(0), pa.array(strength, pa.float64()), pa.array(amount, pa.float64()), pa.array(misspelled, pa.bool_()),
+                 pa.array(score, pa.float64()), pa.array(hits, pa.list_(_HIT))],
+                names=["_row", "strength", "amount", "misspelled", "score", "hits"])
 
     return run
 
 
 def _scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text").alias("_text"))
-    ddl = (f"_row {rows.schema['_row'].dataType.simpleString()}, exact double, misspelled double, score double, "
+    ddl = (f"_row {rows.schema['_row'].dataType.simpleString()}, strength double, amount double, misspelled boolean, score double, "
            "hits array<struct<word:string,edits:int,quoted:boolean>>")
     return rows.mapInArrow(releasing(_score(docs.sparkSession.sparkContext.broadcast(model))), ddl)
 
 
 def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """(_row: struct of the ``keep`` columns, all by default; exact, misspelled: summed evidence; score; hits)."""
+    """(_row: struct of the ``keep`` columns, all by default; strength of the strongest hit; amount of
+    evidence; misspelled: no hit is exact; score; hits)."""
     return _scored(docs, model, docs.columns if keep is None else keep)
 
 

@@ -40,8 +40,29 @@ def test_automaton_equals_edit_distance():
 def test_quotation_counts_less_than_abuse():
     a = X.LexiconAutomaton([("idiot", False)])
     abuse, quote = X.evidence("you are an idiot", a), X.evidence('he said "idiot" again', a)
-    assert abuse[0] > 1 > quote[0] > 0 and quote[2] == [("idiot", 0, True)]
-    assert X.evidence("what an idi0t here", a)[1] > 0
+    assert abuse[0] == 1 > quote[0] > 0 and abuse[1] > 1 and quote[3] == [("idiot", 0, True)]
+    typo = X.evidence("what an idi0t here", a)
+    assert quote[0] < typo[0] < 1 and typo[2] and not abuse[2]
+
+
+def test_one_clear_hit_is_enough_and_a_quotation_is_not(spark):
+    # learnt from toxic texts with many exact hits only
+    rows = [(prose(i, 40) + " idiot " + prose(i + 900, 9) + " moron scum " + prose(i + 700, 9), 1) for i in range(40)]
+    rows += [(prose(i, 60), 0) for i in range(1000, 1400)]
+    model = X.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    texts = [prose(1, 50) + " idiot " + prose(2, 30), prose(3, 50) + " idi0t " + prose(4, 30), prose(5, 30) + ' he said "idiot" ' + prose(6, 30),
+             prose(7, 50), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r["score"] >= 0.5 for r in sorted(X.score(df, model).collect(), key=lambda r: r["_row"]["i"])]
+    assert got == [True, True, False, False, False]
+
+
+def test_misspelled_hits_of_clean_documents_count_against_them(spark):
+    rows = [(prose(i, 40) + " loser " + prose(i + 900, 9), 1) for i in range(40)]
+    rows += [(prose(i, 60) + " closer " + prose(i, 5), 0) for i in range(1000, 1400)]
+    model = X.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    df = spark.createDataFrame([(prose(1, 20) + " closer " + prose(2, 9),), (prose(1, 20) + " loser " + prose(2, 9),)], "text string")
+    assert [r["score"] >= 0.5 for r in X.score(df, model).collect()] == [False, True]
 
 
 def test_copies_do_not_make_terms(spark):
@@ -65,7 +86,7 @@ def test_held_out_labels(spark):
 
 def test_hard_rows(spark):
     model = {"lexicon": [("idiot", False)], "weights": X.PRIOR}
-    d = clashing(hard(spark), ["score", "hits", "exact", "_text"])
+    d = clashing(hard(spark), ["score", "hits", "strength", "_text"])
     rows = X.score(d, model).collect()
     assert len(rows) == d.count() and len({r["score"] for r in rows}) == 1 and rows[0]["score"] < 0.5
     assert X.score(empty(spark), model).count() == 0
