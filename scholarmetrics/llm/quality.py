@@ -220,9 +220,15 @@ def judged(scored: DataFrame, fences: DataFrame, cfg: QualityConfig = QualityCon
 
 
 def fences_of(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """Thresholds learnt from all documents (sketch written once to shared scratch)."""
+    """Thresholds learnt from all documents (sketch and fences written once to shared scratch)."""
     rows = score(docs, cfg).select("lang", "source", "symbols", "dup", "length")
-    return thresholds(materialize(sketch(rows), "quality_sketch"), cfg)
+    return _written(thresholds(materialize(sketch(rows), "quality_sketch"), cfg))
+
+
+def _written(fences: DataFrame) -> DataFrame:
+    """The fences (one narrow row per group) in a few files, so that the planner knows their size:
+    few groups are broadcast by it, and the documents are not shuffled by (lang, source)."""
+    return materialize(fences.coalesce(4), "quality_fences")
 
 
 def quality_filter(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
@@ -238,7 +244,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # narrow rows (no text), written once: read by the sketch and by the verdicts
     rows = materialize(scored.select(F.struct("_row.doc_id").alias("_row"), "m", "lang", "source", "symbols", "dup",
                                      "length"), "quality_metrics")
-    fences = thresholds(sketch(rows), cfg)
+    fences = _written(thresholds(sketch(rows), cfg))
     return judged(rows, fences, cfg).select(
         F.col("_row.doc_id").alias("doc_id"), "m.n_words", "m.word_chars", "m.n_symbols",
         F.col("m.lines.dup").cast("long").alias("n_dup_lines"), "m.n_repeat_words", "base_failed", "kept",
