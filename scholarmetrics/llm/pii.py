@@ -86,6 +86,27 @@ _NOT_IN_WORD, _WORD_ENDS = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _CARD_WORDS = "card|visa|credit|karte|carte|tarjeta"
 
+# Characters of an IBAN by country; a code in no list is proposed with any length.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{last}{_WORD_ENDS}"
+
+
+# the country's length comes first, so a word or amount after an IBAN is not taken into it; any other
+# length ends before a group that starts one
+_IBAN_OF_COUNTRY = f"(?:{'|'.join(_iban_of(n, c) for n, c in _IBAN_LENGTHS.items())})"
+_IBAN = (rf"{_NOT_IN_WORD}(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_IBAN_OF_COUNTRY})\x20?[A-Z0-9]{{4}}){{2,7}}"
+         rf"(?:\x20?[A-Z0-9]{{1,3}})?{_WORD_ENDS})")
+
 # The order of kinds in the result, and the proposals.
 ORDER = ["email", "ip", "card", "phone", "iban", "ssn"]
 KINDS = [
@@ -96,8 +117,7 @@ KINDS = [
     Kind("card", _CARD, r"[0-9](?:[\x20-]?[0-9]){15}", _card(16, 19), _CARD_WORDS, 0.8),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]",
          lambda p: F.length(_digits(p)).between(8, 15), "phone|tel|call|mobile|fax", 0.7),
-    Kind("iban", _NOT_IN_WORD + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?" + _WORD_ENDS,
-         r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", _mod97, "iban|bank|konto|compte|cuenta", 0.8, False),
+    Kind("iban", _IBAN, r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", _mod97, "iban|bank|konto|compte|cuenta", 0.8, False),
     Kind("ssn", _NOT_IN_WORD + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _WORD_ENDS,
          r"[0-9]{3}-[0-9]{2}-", _ssn, "ssn|social security", 0.5, False),
     Kind("card", r"(?<![0-9])(?:[0-9]{4}\x20[0-9]{4}\x20[0-9]{4}\x20[0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{16,19})(?![0-9])",

@@ -75,6 +75,24 @@ def test_added_spans(spark, text, spans):
     assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]] == spans
 
 
+def test_iban_ends_at_its_country_length(spark):
+    cases = [
+        ("IBAN BE68 5390 0754 7034 BIC GKCCBEBB", ["iban:5:24"]),
+        ("BE68 5390 0754 7034 BIC GKCCBEBB", ["iban:0:19"]),
+        ("ES9121000418450200051332 BIC", ["iban:0:24"]),
+        ("ES91 2100 0418 4502 0005 1332 500 EUR", ["iban:0:29"]),
+        ("AT61 1904 3002 3457 3201 PAID 2024", ["iban:0:24"]),
+        ("HU42 1177 3016 1111 1018 0000 0000 BY", ["iban:0:34"]),
+        ("BE68 5390 0754 7034 GB82 WEST 1234 5698 7654 32 DE89370400440532013000", ["iban:0:19", "iban:20:47", "iban:48:70"]),
+        ("AB12 3456 7890 BE68 5390 0754 7034", ["iban:15:34"]),
+        ("BE68 5390 0754 7035 BIC", []),
+    ]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "text string").coalesce(1)
+    found = {r["_row"]["text"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] == "iban"] for r in P.find_pii(df).collect()}
+    assert found == dict(cases)
+    assert [r.text.count("[IBAN]") for r in P.redact(df).collect()] == [len(s) for _, s in cases]
+
+
 def test_context_raises_the_score(spark):
     r = P.find_pii(spark.createDataFrame([("card 4111111111111111",), ("4111111111111111",)], "text string")).collect()
     assert [x["spans"][0]["score"] for x in r] == [1.0, 0.8]
