@@ -6,10 +6,10 @@ model (languages x ``BUCKETS`` log probabilities, so bounded by the number of la
 broadcast.
 
 For a document, expectation-maximisation estimates the share of every language from the
-trigram likelihoods. Sets of the 1, 2, ... ``MAX_SET`` languages with the largest shares
-are refitted and compared by penalised likelihood (``PENALTY`` x log of the number of
-trigrams for each further language); the prediction is the largest share of the chosen
-set. Documents are inferred together in blocks, vectorised over their distinct trigrams.
+trigram likelihoods. Sets of the 1, 2, ... languages with the largest shares, as far as these
+reach ``LEAST_SHARE``, are refitted and compared by penalised likelihood (``PENALTY`` x log of
+the number of trigrams for each further language); the prediction is the largest share of the
+chosen set. Every fit runs until its likelihood settles. Documents are inferred together in blocks, vectorised over their distinct trigrams.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; a language
 seen in no learning row is never predicted; without any learning row everything is ``und``;
@@ -30,9 +30,9 @@ from .common import releasing, table
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-EM_ROUNDS = 6
-REFIT_ROUNDS = 3
-MAX_SET = 3
+EM_ROUNDS = 6  # rounds between two looks at the likelihood
+REFIT_ROUNDS = 3  # the same for a set, which starts near its shares
+SETTLED = 0.01  # a fit ends when these rounds gain less log likelihood
 LEAST_SHARE = 0.02  # a language below this share is no candidate for a larger set
 PENALTY = 3.0
 EVIDENCE = 30  # trigrams counted as independent evidence in the score
@@ -105,7 +105,7 @@ def learn(labelled: DataFrame) -> dict:
 
 
 def _em(r: np.ndarray, c: np.ndarray, starts: np.ndarray, size: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares after ``rounds`` rounds, and the log likelihood (up to the rows' scaling) before the last."""
+    """Shares after ``rounds`` rounds, and the their log likelihood (up to the rows' scaling)."""
     total = np.add.reduceat(c, starts)[:, None]
     for _ in range(rounds):
         q = r * np.repeat(pi, size, axis=0)
@@ -113,7 +113,21 @@ def _em(r: np.ndarray, c: np.ndarray, starts: np.ndarray, size: np.ndarray, pi:
         q *= (c / s)[:, None]
         pi = np.add.reduceat(q, starts, axis=0) / total
     s = (r * np.repeat(pi, size, axis=0)).sum(1)
-    return pi, np.add.reduceat(c * np.log(s), starts)
+    return pi, np.add.reduceat(c * np.log(s), starts, dtype=np.float64)
+
+
+def _fit(r: np.ndarray, c: np.ndarray, size: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and log likelihood as of ``_em`` when ``rounds`` more rounds gain less than ``SETTLED``."""
+    pi, ll = pi.copy(), np.full(len(size), -np.inf)
+    rest = np.arange(len(size))
+    while len(rest):
+        pi[rest], now = _em(r, c, np.cumsum(size) - size, size, pi[rest], rounds)
+        gains = now - ll[rest] >= SETTLED
+        ll[rest] = now
+        if not gains.all():
+            inside = np.repeat(gains, size)
+            r, c, size, rest = r[inside], c[inside], size[gains], rest[gains]
+    return pi, ll
 
 
 def infer(docs: list[tuple[np.ndarray, np.ndarray]], model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +145,12 @@ def infer(docs: list[tuple[np.ndarray, np.ndarray]], model: dict) -> tuple[np.nd
     size = np.array([len(docs[i][0]) for i in rows])
     starts = np.cumsum(size) - size
     lp = log_p[u]
-    single = np.add.reduceat(lp * c[:, None], starts, axis=0).astype(np.float64)
+    single = np.add.reduceat(lp * c[:, None], starts, axis=0, dtype=np.float64)
     number = np.add.reduceat(c, starts).astype(np.float64)
     top = lp.max(1)
     r = np.exp(lp - top[:, None])  # scaled per trigram: shares are unchanged
-    scale = np.add.reduceat(c * top, starts).astype(np.float64)
-    pi, _ = _em(r, c, starts, size, np.full((len(rows), k), 1.0 / k, np.float32), EM_ROUNDS)
+    scale = np.add.reduceat(c * top, starts, dtype=np.float64)
+    pi, _ = _fit(r, c, size, np.full((len(rows), k), 1.0 / k, np.float32), EM_ROUNDS)
     mean = single / number[:, None]
     e = np.exp((mean - mean.max(1, keepdims=True)) * np.minimum(number, EVIDENCE)[:, None])
     best = np.argmax(single, axis=1)
@@ -144,7 +158,7 @@ def infer(docs: list[tuple[np.ndarray, np.ndarray]], model: dict) -> tuple[np.nd
     chosen[np.arange(len(rows)), best] = 1.0
     value = single[np.arange(len(rows)), best]
     rank = np.argsort(-pi, axis=1, kind="stable")
-    for m in range(2, min(MAX_SET, k) + 1):
+    for m in range(2, k + 1):
         cand = np.flatnonzero(np.take_along_axis(pi, rank[:, m - 1 : m], 1)[:, 0] >= LEAST_SHARE)
         if not len(cand):
             break
@@ -154,7 +168,7 @@ def infer(docs: list[tuple[np.ndarray, np.ndarray]], model: dict) -> tuple[np.nd
         start /= start.sum(1, keepdims=True)
         inside = np.repeat(np.isin(np.arange(len(rows)), cand), size)
         sz = size[cand]
-        got, ll = _em(r[inside], c[inside], np.cumsum(sz) - sz, sz, start.astype(np.float32), REFIT_ROUNDS)
+        got, ll = _fit(r[inside], c[inside], sz, start.astype(np.float32), REFIT_ROUNDS)
         ll = ll + scale[cand] - PENALTY * (m - 1) * np.log(number[cand])
         up = ll > value[cand]
         chosen[cand[up]], value[cand[up]] = got[up], ll[up]

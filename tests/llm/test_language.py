@@ -47,6 +47,32 @@ def test_em_shares_equal_a_plain_loop():
         assert np.allclose(pi[k], want, atol=1e-4)
 
 
+def made_model(k):
+    p = np.random.default_rng(1).dirichlet(np.full(L.BUCKETS, 0.05), k)
+    return p, {"names": [f"l{i}" for i in range(k)], "log_p": np.log(p.T + 1e-9).astype(np.float32), "prior": np.full(k, 1 / k)}
+
+
+def test_sets_of_more_than_three_languages():
+    p, model = made_model(8)
+    rng = np.random.default_rng(2)
+    docs = []
+    for m in (1, 2, 4, 6, 8):
+        docs.append(L._distinct(np.concatenate([rng.choice(L.BUCKETS, 500, p=p[i]) for i in range(m)]).astype(np.uint16)))
+    shares, _ = L.infer(docs, model)
+    for m, s in zip((1, 2, 4, 6, 8), shares, strict=True):
+        assert np.flatnonzero(s).tolist() == list(range(m))
+        assert np.allclose(s[:m], 1 / m, atol=0.03)
+
+
+def test_fits_run_until_the_likelihood_settles():
+    rng = np.random.default_rng(3)
+    r, c = (0.9 + 0.1 * rng.random((400, 3))).astype(np.float32), rng.integers(1, 50, 400).astype(np.float32)
+    size, start = np.array([100, 300]), np.full((2, 3), 1 / 3, np.float32)
+    _, ll = L._fit(r, c, size, start, 3)
+    _, further = L._em(r, c, np.array([0, 100]), size, L._fit(r, c, size, start, 3)[0], 3)
+    assert (further - ll < L.SETTLED).all() and (ll >= L._em(r, c, np.array([0, 100]), size, start, 3)[1]).all()
+
+
 def test_hard_rows(spark):
     model = L.learn(learning(spark))
     d = clashing(hard(spark), ["lang_pred", "score", "_text"])
