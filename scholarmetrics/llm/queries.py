@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontaminate, language, minhash, pages, pieces, pii, quality, tokenfiles, toxicity, urls
+from . import codes, decontaminate, language, minhash, pages, phrases, pieces, pii, quality, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_token_files": tokenfiles.query,
     "op8_html_extraction": pages.query,
     "op9_quality_rules": quality.query,
+    "op11_phrase_collocations": phrases.query,
     "op13_vector_codes": codes.query,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
+    "op11_phrase_collocations": phrases.ORACLE_SQL,
     "op13_vector_codes": codes.ORACLE_SQL,
 }
