@@ -3,11 +3,10 @@
 Nodes are 4-grams, edges are the longest grams (5 words) between overlapping nodes, weighted by
 their occurrences; everything is per language.
 
-1. Words are counted. A phrase that occurs ``min_count`` times holds only words and word pairs
-   that do, so a second pass counts the pairs of such words by hash. Two bitmaps of a fixed
-   size (``WORD_BITS``, ``PAIR_BITS``) say which words and pairs can be frequent; a collision
-   only lets a rare one through, and a frequent one is never lost.
-2. A third pass emits, at every word, the longest gram of at most 5 words that starts there and
+1. One pass counts the words, and the word pairs by hash. A phrase that occurs ``min_count`` times
+   holds only pairs that do. A bitmap of a fixed size (``PAIR_BITS``) says which pairs can be
+   frequent; a collision only lets a rare one through, and a frequent one is never lost.
+2. A second pass emits, at every word, the longest gram of at most 5 words that starts there and
    has only such pairs: an edge if it has 5 words, else a piece-end correction (the piece, or
    the part of it that can hold a phrase, ends there). Aggregated, these are the graph.
 3. Node flow gives all shorter counts: an m-gram occurs as often as the (m + 1)-grams that
@@ -17,8 +16,8 @@ their occurrences; everything is per language.
    ``min_count`` finds the start of each path; paths of less flow hold no candidate. A node on a
    path that carries all its flow lies inside an equally frequent longer phrase.
 
-Counting tasks aggregate what they read before the shuffle; nothing is gathered but the two
-bitmaps. A path is as long as a repeated passage, which lies in one text.
+Counting tasks aggregate what they read before the shuffle; nothing is gathered but the
+bitmap. A path is as long as a repeated passage, which lies in one text.
 
 Defined results: a null or empty text has no words; a null language is ``und``; documents of
 equal id are counted each; doc_id and further columns are not read; texts of any length are
@@ -40,9 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import Numbered, materialize, releasing, table
 
-WORD_BITS, PAIR_BITS = 25, 26  # bitmaps of 4 and 8 MB
-STEP_BYTES = 4 << 20  # text counted at a time
+PAIR_BITS = 26  # a bitmap of 8 MB
+STEP_BYTES = 1 << 19  # text counted at a time
 KNOWN = 600_000  # distinct words that a task holds
+PENDING = 1 << 20  # distinct pairs that a task holds
 
 # Signs that end a piece; every other character but space and tab belongs to a word.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -96,34 +96,24 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text"))
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    """Spark's xxhash64(lang, word), unsigned."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), 42))
-
-
 class _Hashes(dict):
-    """word -> its hash, or 0 where the word can't be frequent."""
+    """word -> its hash, 0 for BREAK."""
 
-    def __init__(self, lang: str, allowed: np.ndarray):
+    def __init__(self, lang: str):
         super().__init__({BREAK: 0})
-        self.lang, self.allowed = lang, allowed
+        self.seed = xxhash.xxh64_intdigest(lang.encode(), 42)
 
     def __missing__(self, word):
-        h = word_hash(self.lang, word)
-        at = h & ((1 << WORD_BITS) - 1)
-        self[word] = h = h if self.allowed[at >> 3] >> (at & 7) & 1 else 0
+        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
         return h
 
 
-def _hashed(known: dict[str, _Hashes], lang: str, words: list[bytes], allowed: np.ndarray) -> np.ndarray:
+def _pairs(known: dict[str, _Hashes], lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word with the next, and whether they are of one piece."""
     mine = known.get(lang)
     if mine is None or len(mine) > KNOWN:
-        mine = known[lang] = _Hashes(lang, allowed)
-    return np.fromiter(map(mine.__getitem__, words), np.uint64, len(words))
-
-
-def _pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with the next, and whether both can be frequent."""
+        mine = known[lang] = _Hashes(lang)
+    h = np.fromiter(map(mine.__getitem__, words), np.uint64, len(words))
     a, b = h[:-1], h[1:]
     mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (a >> np.uint64(31))
     mixed = (mixed + b) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,33 +123,60 @@ def _pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- passes ---------------------------------------------------------------------------
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _PairCounts:
+    """Counts of pair hashes, merged as they come in."""
+
+    def __init__(self):
+        self.h, self.n, self.size = [], [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        one, n = np.unique(h, return_counts=True)
+        self.h.append(one)
+        self.n.append(n)
+        self.size += len(one)
+        if self.size > 2 * PENDING:
+            self.merge()
+
+    def merge(self) -> None:
+        h, n = np.concatenate(self.h), np.concatenate(self.n)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        self.h, self.n, self.size = [h[first]], [np.add.reduceat(n[order], first)], len(first)
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        h, n = self.h[0], self.n[0]
+        none = pa.nulls(len(h), pa.string())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "h", "n"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as (lang, gram, null, n), pairs as (null, null, h, n)."""
     counts: dict[str, Counter] = {}
+    known: dict[str, _Hashes] = {}
+    pairs = _PairCounts()
 
     def flush(lang: str) -> pa.RecordBatch:
         c = counts.pop(lang)
         c.pop(BREAK, None)
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(c)), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())],
-            names=["lang", "gram", "n"])
+            [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.nulls(len(c), pa.int64()),
+             pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "h", "n"])
 
     for lang, words in _steps(batches):
         counts.setdefault(lang, Counter()).update(words)
         if len(counts[lang]) > KNOWN:
             yield flush(lang)
+        pair, ok = _pairs(known, lang, words)
+        pairs.add(pair[ok])
+        if pairs.size > PENDING and len(pairs.h) == 1:  # merged, and still many
+            yield pairs.rows()
+            pairs = _PairCounts()
     for lang in list(counts):
         yield flush(lang)
-
-
-def _count_pairs(allowed):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Hashes] = {}
-        for lang, words in _steps(batches):
-            pair, ok = _pairs(_hashed(known, lang, words, allowed.value))
-            h, n = np.unique(pair[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    return run
+    if pairs.h:
+        yield pairs.rows()
 
 
 def longest_grams(ids: np.ndarray, joined: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -179,12 +196,12 @@ def longest_grams(ids: np.ndarray, joined: np.ndarray, most: int) -> Iterator[tu
         at, rank = at[goes_on], rank[goes_on]
 
 
-def _emit(allowed_words, allowed_pairs, most: int):
+def _emit(allowed, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Hashes] = {}
-        bits = allowed_pairs.value
+        bits = allowed.value
         for lang, words in _steps(batches):
-            pair, joined = _pairs(_hashed(known, lang, words, allowed_words.value))
+            pair, joined = _pairs(known, lang, words)
             at = pair & np.uint64((1 << PAIR_BITS) - 1)
             joined &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             number = Numbered()
@@ -212,22 +229,18 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 # -- graph ------------------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of every word, written once."""
-    one = _rows(docs).mapInArrow(releasing(_count_words), "lang string, gram string, n long")
-    return materialize(one.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
+def counts(docs: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
+    """Written once: (lang, gram, null, n) of every word and (null, null, h, n) of every frequent pair hash."""
+    one = _rows(docs).mapInArrow(releasing(_count), "lang string, gram string, h long, n long")
+    every = one.groupBy("lang", "gram", "h").agg(F.sum("n").alias("n"))
+    return materialize(every.filter(F.col("h").isNull() | (F.col("n") >= cfg.min_count)), "counts")
 
 
-def graph(docs: DataFrame, words: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
+def graph(docs: DataFrame, counted: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
     """(lang, gram, m, n), written once: the edges (m = max_words) and the corrections (shorter grams that
     a piece, or the part of it that can hold a phrase, ends with)."""
-    spark = docs.sparkSession
-    frequent = words.filter(F.col("n") >= cfg.min_count).select(F.xxhash64("lang", "gram").alias("h"))
-    allowed = spark.sparkContext.broadcast(_bitmap(frequent, WORD_BITS))
-    pairs = _rows(docs).mapInArrow(releasing(_count_pairs(allowed)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    allowed_pairs = spark.sparkContext.broadcast(_bitmap(pairs.filter(F.col("n") >= cfg.min_count), PAIR_BITS))
-    one = _rows(docs).mapInArrow(
-        releasing(_emit(allowed, allowed_pairs, cfg.max_words)), "lang string, gram string, m int, n long")
+    allowed = docs.sparkSession.sparkContext.broadcast(_bitmap(counted.filter(F.col("h").isNotNull()), PAIR_BITS))
+    one = _rows(docs).mapInArrow(releasing(_emit(allowed, cfg.max_words)), "lang string, gram string, m int, n long")
     return materialize(one.groupBy("lang", "gram", "m").agg(F.sum("n").alias("n")), "grams")
 
 
@@ -285,8 +298,9 @@ def _nodes_of(paths: DataFrame, m: int) -> DataFrame:
 
 def collocations(docs: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best ``top`` phrases of each language."""
-    words = word_counts(docs)
-    found = flows(graph(docs, words, cfg), cfg)
+    counted = counts(docs, cfg)
+    words = counted.filter(F.col("h").isNull()).select("lang", "gram", "n")
+    found = flows(graph(docs, counted, cfg), cfg)
     enough = F.col("n") >= cfg.min_count
     heavy = {m: materialize(f.filter(enough).select("lang", "gram", "n", F.lit(m).alias("m")), f"heavy_{m}") for m, f in found.items()}
     paths = materialize(unary_paths(heavy[cfg.max_words], heavy[cfg.max_words - 1], cfg), "paths") if cfg.max_words > 2 else None
@@ -305,11 +319,11 @@ def collocations(docs: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFra
         every = every.unionByName(heavy[m])
     kept = every if longer is None else every.join(longer, ["lang", "gram"], "left").filter(F.coalesce("most", F.lit(0)) < F.col("n")).drop("most")
 
-    counts = every.filter(F.col("m") < cfg.max_words).select("lang", "gram", "n").unionByName(words.filter(enough))
+    known = every.filter(F.col("m") < cfg.max_words).select("lang", "gram", "n").unionByName(words.filter(enough))
     cut = kept.select("lang", "gram", F.col("n").alias("a"), "m", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     cut = cut.select("lang", "gram", "a", "k", F.expr("substring_index(gram, ' ', k)").alias("first"), F.expr("substring_index(gram, ' ', k - m)").alias("rest"))
-    left = counts.select("lang", F.col("gram").alias("first"), F.col("n").alias("l"))
-    right = counts.select("lang", F.col("gram").alias("rest"), F.col("n").alias("r"))
+    left = known.select("lang", F.col("gram").alias("first"), F.col("n").alias("l"))
+    right = known.select("lang", F.col("gram").alias("rest"), F.col("n").alias("r"))
     # one row per language, several times, so that the rows of a large language do not meet in one task
     salts = 32
     totals = words.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", "n", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

@@ -62,6 +62,16 @@ def test_equals_brute_force(spark, cfg):
     assert sorted(map(tuple, got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == brute(rows, cfg)
 
 
+def test_pair_counts_merge(monkeypatch):
+    monkeypatch.setattr(P, "PENDING", 50)
+    r, c = np.random.default_rng(1), P._PairCounts()
+    given = [r.integers(0, 300, 40).astype(np.uint64) for _ in range(30)]
+    for h in given:
+        c.add(h)
+    rows = c.rows()
+    assert dict(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())) == Counter(np.concatenate(given).tolist())
+
+
 def test_small_steps_and_full_bitmaps_change_nothing(spark, monkeypatch):
     rows, cfg = sample(4, 60), P.PhraseConfig(min_count=3)
     bits = np.full(1 << (P.PAIR_BITS - 3), 255, np.uint8)  # every word and pair may be frequent
@@ -93,7 +103,7 @@ def test_flows_and_paths(spark):
     rows, cfg = sample(5, 120), P.PhraseConfig(min_count=5)
     docs = spark.createDataFrame(rows, "lang string, text string")
     f = grams_of(rows, 5)
-    found = P.flows(P.graph(docs, P.word_counts(docs), cfg), cfg)
+    found = P.flows(P.graph(docs, P.counts(docs, cfg), cfg), cfg)
     for m, t in found.items():  # node flow plus corrections gives every frequent count
         got = {(r.lang, r.gram): r.n for r in t.collect()}
         want = {(lang, " ".join(g)): n for lang, c in f.items() for g, n in c.items() if len(g) == m and n >= cfg.min_count}
@@ -104,9 +114,3 @@ def test_flows_and_paths(spark):
     edges = Counter((p.lang, " ".join(w[i : i + 5]), p.n) for p in paths for w in [p.phrase.split()] for i in range(len(w) - 4))
     assert set(edges) == {(r.lang, r.gram, r.n) for r in heavy[5].collect()} and set(edges.values()) == {1}
     assert any(prose(77, 60) in p.phrase for p in paths if p.lang == "en")
-
-
-def test_hash_is_sparks(spark):
-    for lang, word in (("en", "héllo"), ("und", "x" * 100), ("fr", "日本")):
-        h = spark.createDataFrame([(lang, word)], "l string, w string").select(F.xxhash64("l", "w")).first()[0]
-        assert h & (2**64 - 1) == P.word_hash(lang, word.encode())
