@@ -141,8 +141,8 @@ class _PairCounts:
         h, n = np.concatenate(self.h), np.concatenate(self.n)
         order = np.argsort(h, kind="stable")
         h = h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        self.h, self.n, self.size = [h[first]], [np.add.reduceat(n[order], first)], len(first)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        self.h, self.n, self.size = [h[first]], [np.add.reduceat(n[order], first) if len(h) else n], len(first)
 
     def rows(self) -> pa.RecordBatch:
         self.merge()
