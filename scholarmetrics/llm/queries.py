@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontaminate, language, minhash, pages, phrases, pieces, pii, quality, tokenfiles, toxicity, urls
+from . import codes, decontaminate, language, minhash, packing, pages, phrases, pieces, pii, quality, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_html_extraction": pages.query,
     "op9_quality_rules": quality.query,
     "op11_phrase_collocations": phrases.query,
+    "op12_packing": packing.query,
     "op13_vector_codes": codes.query,
 }
 
