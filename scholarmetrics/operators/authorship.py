@@ -32,7 +32,7 @@ def authorship(
     corpus is scanned once.
 
     ``n_authors`` counts every slot of the paper, placeholders included; a
-    repeated author keeps both slots.
+    repeated author keeps both slots, and ``repeats`` marks the papers that have one.
     """
     # only two fields of the author structs travel through the joins; built from the
     # nested columns so the parquet reader prunes the rest (names, initials)
@@ -52,6 +52,7 @@ def authorship(
         F.coalesce("n_cit", F.lit(0)).cast("long").alias("cites_ws"),
         F.coalesce("n_cit_ns", F.lit(0)).cast("long").alias("cites_ns"),
         F.coalesce("n_cit_disc", F.lit(0)).cast("long").alias("cites_disc"),
+        (F.size(F.array_distinct("au.auid")) < F.size("au")).alias("repeats"),
         *extra,
         F.explode("au").alias("a"),
     )

@@ -6,7 +6,9 @@ lazy; with ``stage=True`` (the default) the heavy ones (edges, eligible
 authorship, author metrics, profile, ranked result) are written as parquet to
 the shared folder and read back, which cuts the lineage between them and lets
 every report reuse them. A stage is keyed by the identity of the inputs and by
-exactly the parameters that it depends on.
+exactly the parameters that it depends on. The tables with one row per author (names,
+affiliation, metrics, profile) are bucketed and sorted by author id: the author store, whose
+tables join without a shuffle.
 """
 
 from __future__ import annotations
@@ -57,12 +59,12 @@ class Run:
 
             self.maxima_key = "own" if self.maxima_override is None else f"override-{uuid.uuid4().hex}"
 
-    def _maybe_stage(self, name: str, build, params: tuple[str, ...] | None, extra: str = "") -> DataFrame:
-        """Stage under the inputs' identity, the named parameters (None: all) and ``extra``."""
+    def _maybe_stage(self, name: str, build, params: tuple[str, ...] | None, extra: str = "", by: str | None = None) -> DataFrame:
+        """Stage under the inputs' identity, the named parameters (None: all) and ``extra``; ``by`` buckets it."""
         if not self.stage:
             return build()
         own = self.cfg.fingerprint() if params is None else self.cfg.fingerprint(*params) if params else ""
-        return _stage(self.spark, build, name, f"{own}|{extra}|{self.inputs_key}")
+        return _stage(self.spark, build, name, f"{own}|{extra}|{self.inputs_key}", by=by)
 
     @property
     def pubs(self) -> DataFrame:
@@ -135,7 +137,7 @@ class Run:
     # ---- metrics and score ------------------------------------------------------------
     @cached_property
     def metrics(self) -> DataFrame:
-        return self._maybe_stage("author_metrics", lambda: M.author_metrics(self.eligible, self.edges, self.subjects, self.cfg), METRICS)
+        return self._maybe_stage("author_metrics", lambda: M.author_metrics(self.eligible, self.edges, self.subjects, self.cfg), METRICS, by="auid")
 
     @cached_property
     def logs(self) -> DataFrame:
@@ -153,7 +155,7 @@ class Run:
     @cached_property
     def names(self) -> DataFrame:
         # whole corpus, no year parameter: one stage for every configuration
-        return self._maybe_stage("author_names", lambda: L.author_names(self.pubs), ())
+        return self._maybe_stage("author_names", lambda: L.author_names(self.pubs), (), by="auid")
 
     @cached_property
     def affiliation(self) -> DataFrame:
@@ -162,10 +164,10 @@ class Run:
             return self._maybe_stage(
                 "author_affiliation_2017",
                 lambda: L.author_affiliation_latest(self.pubs, self.inputs.inst_map, self.inputs.inst),
-                (),
+                (), by="auid",
             )
         return self._maybe_stage(
-            "author_affiliation", lambda: L.author_affiliation(self.pubs, self.inputs.ipr), ()
+            "author_affiliation", lambda: L.author_affiliation(self.pubs, self.inputs.ipr), (), by="auid"
         )
 
     # ---- profile, ranks, top list -------------------------------------------------------
@@ -173,7 +175,7 @@ class Run:
     def profile(self) -> DataFrame:
         return self._maybe_stage(
             "author_profile", lambda: R.author_profile(self.scored, self.names, self.affiliation, self.cfg),
-            (*METRICS, "min_papers"), self.maxima_key,
+            (*METRICS, "min_papers"), self.maxima_key, by="author_id",
         )
 
     @cached_property

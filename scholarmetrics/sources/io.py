@@ -133,6 +133,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: list[str] = []  # scratch folders made by this process
+_TABLES: list[str] = []  # scratch tables of this process
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -145,6 +146,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def release_scratch(spark: SparkSession) -> int:
     """Delete this process's scratch folders (at the end of a run, when no frame reads them any
     more) and return their number. Stages stay: they are there to be reused."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     done = 0
     while _SCRATCH:
         fs, p = _hadoop_fs(spark, _SCRATCH.pop())
@@ -160,6 +163,27 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of the author tables: the session's shuffle partitions, so that aggregates by author line up."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _save_buckets(df: DataFrame, table: str, path: str, by: str, n: int, clustered: bool) -> None:
+    rows = df if clustered else df.repartition(n, by)
+    rows.write.mode("overwrite").bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(table)
+
+
+def write_buckets(df: DataFrame, name: str, by: str, *, clustered: bool = False) -> DataFrame:
+    """``df`` written to scratch as a table bucketed and sorted by ``by``: tables written so join on it
+    without a shuffle. ``clustered``: the rows come out of an aggregate or join by ``by``, so
+    each bucket's rows are in one partition already."""
+    spark = df.sparkSession
+    table = f"sm_{name}_{uuid.uuid4().hex}"
+    _save_buckets(df, table, scratch_path(spark, name), by, bucket_count(spark), clustered)
+    _TABLES.append(table)
+    return spark.table(table)
+
+
 # extra key component for a run that must not reuse earlier stages (the benchmark)
 STAGE_NAMESPACE = ""
 
@@ -178,36 +202,80 @@ def input_fingerprint(spark: SparkSession, *paths: str) -> str:
 
 
 def code_version() -> str:
-    """Hash of the library source, so a staged result is never reused across code changes."""
+    """Hash of the library source (without the training-data operators, which no stage uses), so a
+    staged result is never reused across code changes."""
     import hashlib
     import pathlib
 
     h = hashlib.sha256()
     root = pathlib.Path(__file__).resolve().parents[1]
     for f in sorted(root.rglob("*.py")):
-        h.update(f.read_bytes())
+        if "llm" not in f.relative_to(root).parts:
+            h.update(f.read_bytes())
     return h.hexdigest()[:12]
 
 
+SCHEMA_FILE = "_schema.json"  # next to a stage's files; readers skip names with an underscore
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _hadoop_fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop_fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def stage(
     spark: SparkSession,
     build: Callable[[], DataFrame],
     name: str,
     key: str,
     base: str | None = None,
+    *,
+    by: str | None = None,
+    files: int | None = None,
 ) -> DataFrame:
     """Materialise ``build()`` as parquet under (name, key) in the shared folder and
-    read it back; reuse an earlier complete write (``_SUCCESS`` present). Cuts the
-    lineage, so a lost executor does not recompute the upstream stages, and lets
-    several reports share one computation."""
+    read it back with the schema it was written with; reuse an earlier complete write
+    (``_SUCCESS`` present). Cuts the lineage, so a lost executor does not recompute the
+    upstream stages, and lets several reports share one computation.
+
+    ``files``: write that many files, dealt round-robin. ``by``: write a table bucketed and
+    sorted by that column (``write_buckets``), so that stages of the same ``by`` join without
+    a shuffle; the number of buckets is part of the key."""
     import hashlib
+    import json
 
-    k = hashlib.sha256(f"{key}|{code_version()}|{STAGE_NAMESPACE}".encode()).hexdigest()[:16]
+    if by is not None and files is not None:
+        raise ValueError("a bucketed stage has the files of its buckets")
+    n = bucket_count(spark) if by else 0
+    k = hashlib.sha256(f"{key}|{code_version()}|{STAGE_NAMESPACE}|{by}|{n}|{files}".encode()).hexdigest()[:16]
     root = (base or f"{shared_dir(spark)}/scholarmetrics/stages").rstrip("/")
-    path = f"{root}/{name}_{k}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path, table = f"{root}/{name}_{k}", f"sm_stage_{name}_{k}"
+    if not path_exists(spark, f"{path}/{SCHEMA_FILE}") or not path_exists(spark, f"{path}/_SUCCESS"):
+        df = build()
+        if by:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _save_buckets(df, table, path, by, n, clustered=False)
+        else:
+            (df if files is None else df.repartition(files)).write.mode("overwrite").parquet(path)
+        _write_text(spark, f"{path}/{SCHEMA_FILE}", df.schema.json())
+    if by:
+        if not spark.catalog.tableExists(table):  # written by an earlier session
+            schema = T.StructType.fromJson(json.loads(_read_text(spark, f"{path}/{SCHEMA_FILE}")))
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+        return spark.table(table)
+    return spark.read.schema(T.StructType.fromJson(json.loads(_read_text(spark, f"{path}/{SCHEMA_FILE}")))).parquet(path)
 
 
 STAGE_KEY = "scholarmetrics.stage.key"
