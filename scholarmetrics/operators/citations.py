@@ -1,12 +1,26 @@
-"""The citation graph: edges, self-citation flags, citations per paper."""
+"""The citation graph: edges, self-citation flags, citations per paper.
+
+A reference finds its cited paper in one shuffle join. Author lists of at most ``FEW``
+authors, a bounded width, take part in it and settle whether the two papers share an author.
+A longer list never travels: the authors of the edge's other paper become rows (citing,
+cited, author), and one that matches an author slot of the long paper makes the edge a
+self-citation. A paper with thousands of authors thus costs one row a slot, with a key that
+is spread by author, not an array on each of its edges.
+
+Papers cited by a large share of all references (at most ``HOT_PAPERS``, found by a mergeable
+frequent-items sketch of fixed size) are salted explicitly: their references are dealt to
+``SALTS`` partitions by the citing paper, and their own rows are copied to each. The sketch
+decides where rows go, never what is joined.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import as_long_ids, shares_author
+from ..sources.io import write_once
 
 
 def flag_members(df: DataFrame, col: str, members: DataFrame, name: str) -> DataFrame:
@@ -20,23 +34,80 @@ def flag_members(df: DataFrame, col: str, members: DataFrame, name: str) -> Data
     )
 
 
+FEW = 16  # authors of a list that travels with an edge
+# papers with at least 1 / HOT_PAPERS of all references; a sketch of TRACKED items finds them
+HOT_PAPERS, TRACKED, SALTS = 1000, 1 << 13, 64
+
+
+def frequent_ids(df: DataFrame, col: str) -> list[int]:
+    """The ids that hold at least 1 / HOT_PAPERS of the rows: at most HOT_PAPERS."""
+    r = df.agg(F.expr(f"approx_top_k({col}, {HOT_PAPERS}, {TRACKED})").alias("top"), F.count(F.col(col)).alias("n")).first()
+    return [t["item"] for t in r["top"] or [] if t["count"] * HOT_PAPERS >= r["n"]]
+
+
+class Salting:
+    """Deals the rows of hot ids to SALTS partitions: ``many`` gives a row of the large side its salt,
+    ``one`` copies a row of the other side to every salt of its id."""
+
+    def __init__(self, hot: list[int]):
+        self.hot = hot
+
+    def many(self, key: str, spread: str) -> Column:
+        salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+        return F.when(F.col(key).isin(self.hot), salt).otherwise(F.lit(0)) if self.hot else F.lit(0)
+
+    def one(self, key: str) -> Column:
+        every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        return F.explode(F.when(F.col(key).isin(self.hot), every).otherwise(F.array(F.lit(0))) if self.hot else F.array(F.lit(0)))
+
+
+def _references(pubs: DataFrame, cfg: Config) -> DataFrame:
+    return pubs.filter(F.col("year") >= cfg.min_cite_year)
+
+
+def _short_list(p: DataFrame) -> Column:
+    """The paper's author ids; empty where it has none, NULL where they are more than FEW."""
+    few = F.coalesce(F.size("au"), F.lit(0)) <= FEW
+    return F.when(few, F.coalesce(as_long_ids("au.auid"), F.array().cast("array<bigint>")))
+
+
+def _found(pubs: DataFrame, cfg: Config, salting: Salting) -> DataFrame:
+    """(citing, cited, citing_srcid, is_self, short, long): the references inside the corpus. is_self is NULL
+    where an author list is too long to travel; such an edge has the id of that paper (the cited
+    one, if both are) in ``long`` and the other's authors, if they are few, in ``short``."""
+    refs = _references(pubs, cfg).select(
+        F.col("eid").alias("citing"), F.col("source.srcid").alias("citing_srcid"), _short_list(pubs).alias("mine"),
+        F.explode(F.array_distinct("references")).alias("cited")).withColumn("salt", salting.many("cited", "citing"))
+    papers = pubs.select(F.col("eid").alias("cited"), _short_list(pubs).alias("theirs"), salting.one("eid").alias("salt"))
+    both = F.col("mine").isNotNull() & F.col("theirs").isNotNull()
+    return refs.join(papers, ["cited", "salt"]).select(
+        "citing", "cited", "citing_srcid", F.when(both, shares_author("mine", "theirs").cast("int")).alias("is_self"),
+        F.when(~both, F.coalesce("mine", "theirs")).alias("short"),
+        F.when(~both, F.when(F.col("theirs").isNull(), F.col("cited")).otherwise(F.col("citing"))).alias("long"))
+
+
+def _flag_by_rows(edges: DataFrame, pubs: DataFrame, salting: Salting) -> DataFrame:
+    """The edges with a ``long`` paper, with is_self: 1 where an author of the other paper has a slot on it."""
+    slots = pubs.filter(F.size("au") > FEW).select("eid", F.explode(F.array_distinct(as_long_ids("au.auid"))).alias("auid")).filter(F.col("auid").isNotNull())
+    keys = ["citing", "cited", "citing_srcid", "long"]
+    one = edges.filter(F.col("short").isNotNull()).select(*keys, F.explode_outer("short").alias("auid"))
+    two = edges.filter(F.col("short").isNull()).join(slots.withColumnRenamed("eid", "citing"), "citing", "left").select(*keys, "auid")
+    rows = one.unionByName(two).withColumn("salt", salting.many("long", "citing"))
+    theirs = slots.select(F.col("eid").alias("long"), "auid", salting.one("eid").alias("salt"), F.lit(1).alias("hit"))
+    return rows.join(theirs, ["long", "auid", "salt"], "left").groupBy("citing", "cited", "citing_srcid").agg(
+        F.coalesce(F.max("hit"), F.lit(0)).alias("is_self"))
+
+
 def citing_edges_base(pubs: DataFrame, cfg: Config) -> DataFrame:
     """One row per distinct (citing, cited) pair: the citing paper is from
     ``min_cite_year`` on (no upper bound), the cited paper is in the corpus (any
     year); ``is_self`` = citing and cited share a known author; ``citing_srcid``
     = journal of the citing paper. Depends on ``min_cite_year`` only."""
-    citing = pubs.filter(F.col("year") >= cfg.min_cite_year).select(
-        F.col("eid").alias("citing"),
-        F.explode(F.array_distinct("references")).alias("cited"),
-        F.col("source.srcid").alias("citing_srcid"),
-        as_long_ids("au.auid").alias("citing_auids"),
-    )
-    cited = pubs.select(F.col("eid").alias("cited"), as_long_ids("au.auid").alias("cited_auids"))
-    return citing.join(cited, "cited").select(
-        "citing", "cited",
-        shares_author("citing_auids", "cited_auids").cast("int").alias("is_self"),
-        "citing_srcid",
-    )
+    salting = Salting(frequent_ids(_references(pubs, cfg).select(F.explode("references").alias("cited")), "cited"))
+    found = write_once(_found(pubs, cfg, salting), "references")  # read twice
+    settled = found.filter(F.col("long").isNull()).select("citing", "cited", "citing_srcid", "is_self")
+    return settled.unionByName(_flag_by_rows(found.filter(F.col("long").isNotNull()), pubs, salting)).select(
+        "citing", "cited", "is_self", "citing_srcid")
 
 
 def with_discontinued(base: DataFrame, disc: DataFrame) -> DataFrame:
