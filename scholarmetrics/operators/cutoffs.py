@@ -2,11 +2,12 @@
 
 The notebooks rank every metric in a window per subject (five ranks per
 grouping, three more for the top-list subset, the TOTAL in one task) and take
-a conditional ``min``. Here all groupings and metrics are stacked into one long
-table (level, subject, scope, metric, value); the values are pre-aggregated to a
-histogram and ranked once with ``ordered_prefix``, so no subject and not the
-TOTAL is ever sorted in a single task. The conditional ``min`` / ``count`` then
-run as one grouped aggregate over the histogram.
+a conditional ``min``. Here the result is scanned once: its values become an exact
+histogram with one cell per (metric, field, subfield, value), merged map-side, that counts
+all authors, the top-listed ones and those in the top N. GROUPING SETS over the cells give
+the histograms per field, per subfield and in total, which are ranked once by a distributed
+running sum (``ordered_rows``), for both scopes at a time, so no subject and not the TOTAL
+is ever sorted in a single task. Cut-offs and counts then are one grouped aggregate.
 
 2019 (upper-bound form): value v is within the top fraction p when
 ``(n - (rank_desc - 1)) / n >= p`` with n = non-null values of the group;
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import within_percentile_lower, within_percentile_upper
-from .ordered import ordered_prefix
+from ..sources.io import write_once
+from .ordered import ordered_rows
 
-LEVELS_2019 = (("field", "sm_field"), ("subfield", "sm_subfield_1"), ("total", None))
+FIELD, SUBFIELD = "sm_field", "sm_subfield_1"
+LEVELS = ("field", "subfield", "total")
 ALL_METRICS = ("nc_ws", "c_ws", "self_p", "cprat_ws", "cprat_ns")
 TOP_METRICS = ("self_p", "cprat_ws", "cprat_ns")
 TOTAL = "TOTAL"
@@ -33,40 +36,34 @@ def _pct(p: float) -> str:
     return f"{int(round(p * 100)):02d}"
 
 
-def _levels(res: DataFrame, levels, cast_subject: bool = False) -> Column:
-    def subj(col):
-        if col is None:
-            return F.lit(TOTAL)
-        c = F.col(col)
-        return c.cast("string") if cast_subject else c
-
-    return F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), subj(c).alias("subject")) for lv, c in levels]))
-
-
-def _stack_2019(res: DataFrame, cfg: Config) -> DataFrame:
-    vals = [F.struct(F.lit("all").alias("scope"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-            for m in ALL_METRICS]
-    vals += [F.when(F.col("top_listed"), F.struct(F.lit("top").alias("scope"), F.lit(m).alias("metric"),
-                                                   F.col(m).cast("double").alias("value")))
-             for m in TOP_METRICS]
-    return (
-        res.select(*ALL_METRICS, "top_listed", _levels(res, LEVELS_2019).alias("g"))
-        .select("g.level", "g.subject", F.explode(F.filter(F.array(*vals), lambda x: x.isNotNull())).alias("v"))
-        .select("level", "subject", "v.scope", "v.metric", "v.value")
-    )
-
-
-def _group_counts(res: DataFrame, cfg: Config, levels, cast_subject=False) -> DataFrame:
-    return (
-        res.select("rank_ns", "rank_ws", "top_listed", _levels(res, levels, cast_subject).alias("g"))
-        .groupBy("g.level", "g.subject")
-        .agg(
-            F.count(F.lit(1)).alias("auth"),
-            F.count(F.when(F.col("rank_ns") <= cfg.top_n, True)).alias("auth_top_ns"),
-            F.count(F.when(F.col("rank_ws") <= cfg.top_n, True)).alias("auth_top"),
-            F.nullif(F.count(F.when(F.col("top_listed"), True)), F.lit(0)).alias("auth_in_top_list"),
-        )
-    )
+def value_histogram(res: DataFrame, metrics: tuple[str, ...], cfg: Config, names: tuple[str, str] | None = None) -> DataFrame:
+    """(level, subject, metric, value, n, n_top, n_top_ns, n_top_ws), written once: authors, top-listed
+    authors and authors in the top N by either rank at each value of each metric, per field, per
+    subfield and in total. ``names``: columns that label the field and the subfield (as ``name``)."""
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    named = {"_fn": F.col(names[0]), "_sn": F.col(names[1])} if names else {}
+    flags = {"_top": F.col("top_listed") if "top_listed" in res.columns else F.lit(False),
+             "_ns": F.col("rank_ns") <= cfg.top_n, "_ws": F.col("rank_ws") <= cfg.top_n}
+    rows = res.withColumns(flags | named).select(FIELD, SUBFIELD, *flags, *named, values.alias("v")).select("*", "v.metric", "v.value")
+    counts = {"n": F.lit(1), "n_top": F.col("_top"), "n_top_ns": F.col("_ns"), "n_top_ws": F.col("_ws")}
+    cells = rows.groupBy("metric", FIELD, SUBFIELD, "value").agg(
+        *[F.count(F.when(c, 1) if k != "n" else c).alias(k) for k, c in counts.items()], *[F.max(c).alias(c) for c in named])
+    by = [["metric", "value", FIELD], ["metric", "value", SUBFIELD], ["metric", "value"]]
+    sets = cells.groupingSets(by, "metric", "value", FIELD, SUBFIELD).agg(
+        *[F.sum(k).alias(k) for k in counts], *[F.max(c).alias(c) for c in named],
+        F.grouping(FIELD).alias("_no_field"), F.grouping(SUBFIELD).alias("_no_subfield"))
+    in_field, in_subfield = F.col("_no_field") == 0, F.col("_no_subfield") == 0
+    level = lambda f, sf, total: F.when(in_field, f).when(in_subfield, sf).otherwise(total)
+    text = lambda c: F.col(c).cast("string") if names else F.col(c)
+    label = [level(F.col("_fn"), F.col("_sn"), F.lit(TOTAL)).alias("name")] if names else []
+    return write_once(sets.select(
+        level(*[F.lit(x) for x in LEVELS]).alias("level"), level(text(FIELD), text(SUBFIELD), F.lit("" if names else TOTAL)).alias("subject"),
+        *label, "metric", "value", *counts), "value_histogram")
+
+
+def _counts(aggs: dict[str, str]) -> list[Column]:
+    """Authors of a group, by the metric that every author has a row of."""
+    return [F.sum(F.when(F.col("metric") == "nc_ws", F.col(c))).cast("long").alias(n) for n, c in aggs.items()]
 
 
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,30 +79,30 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 def cutoff_table(res: DataFrame, cfg: Config) -> DataFrame:
     """All 2019 cut-off columns per (level, subject); level in field/subfield/total."""
-    long = _stack_2019(res, cfg)
-    keys = ["scope", "level", "subject", "metric"]
-    hist = ordered_prefix(long, keys, [("value", False)])
-    nonnull = hist.groupBy(*keys).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(0)).alias("_cnt"))
-    hist = _join_small(hist, nonnull, keys)
-
-    def passes(p):
-        return within_percentile_upper("_rank", "_cnt", p)
-
-    aggs = []
+    keys = ["level", "subject", "metric"]
+    hist = value_histogram(res, ALL_METRICS, cfg)
+    known = lambda c: F.sum(F.when(F.col("value").isNotNull(), F.col(c)).otherwise(0))
+    sizes = hist.groupBy(*keys).agg(known("n").alias("_cnt_all"), known("n_top").alias("_cnt_top"))
+    run = _join_small(ordered_rows(hist, keys, [("value", False)], ["n", "n_top"]), sizes, keys)
+    # rank by value, descending: one more than the authors above
+    run = run.withColumns({"_rank_all": F.col("_cum_n") - F.col("n") + 1, "_rank_top": F.col("_cum_n_top") - F.col("n_top") + 1})
+
+    def passes(scope, m, p):
+        return (F.col("metric") == m) & F.col("value").isNotNull() & within_percentile_upper(f"_rank_{scope}", f"_cnt_{scope}", p)
+
+    aggs = _counts({"auth": "n", "auth_top_ns": "n_top_ns", "auth_top": "n_top_ws", "auth_in_top_list": "n_top"})
     names = {"nc_ws": "cites", "c_ws": "c", "self_p": "selfp", "cprat_ws": "cprat", "cprat_ns": "cprat_ns"}
     for m in ALL_METRICS:
         ps = cfg.percentiles if m in ("nc_ws", "c_ws") else cfg.ratio_percentiles
         for p in ps:
-            v = F.min(F.when((F.col("scope") == "all") & (F.col("metric") == m) & passes(p), F.col("value")))
+            v = F.min(F.when(passes("all", m, p), F.col("value")))
             aggs.append((v.cast("long") if m == "nc_ws" else v).alias(f"{names[m]}_{_pct(p)}"))
     for m in TOP_METRICS:
         for p in cfg.ratio_percentiles:
-            sel = (F.col("scope") == "top") & (F.col("metric") == m) & passes(p) & F.col("value").isNotNull()
+            sel = passes("top", m, p) & (F.col("n_top") > 0)
             aggs.append(F.min(F.when(sel, F.col("value"))).alias(f"top_list_{names[m]}_{_pct(p)}"))
-            aggs.append(F.sum(F.when(sel, F.col("_n")).otherwise(0)).cast("long").alias(f"auth_in_top_list_{names[m]}_{_pct(p)}"))
-    cut = hist.groupBy("level", "subject").agg(*aggs)
-    counts = _group_counts(res, cfg, LEVELS_2019)
-    return _join_small(counts, cut, ["level", "subject"])
+            aggs.append(F.sum(F.when(sel, F.col("n_top")).otherwise(0)).cast("long").alias(f"auth_in_top_list_{names[m]}_{_pct(p)}"))
+    return run.groupBy("level", "subject").agg(*aggs).withColumn("auth_in_top_list", F.nullif("auth_in_top_list", F.lit(0)))
 
 
 def _cols(cfg: Config, kind: str) -> list[str]:
@@ -139,40 +136,17 @@ def toplist_above(res: DataFrame, cfg: Config) -> DataFrame:
 
 # ---- 2017 (lower-bound form) ---------------------------------------------------------
 
-LEVELS_2017 = (("field", "sm_field"), ("subfield", "sm_subfield_1"), ("total", None))
-
-
 def cutoffs_lower(res: DataFrame, cfg: Config) -> DataFrame:
     """2017 cut-offs of cites and c: smallest value whose ascending rank over all
     rows of the group (NULL first) reaches the fraction p."""
-    names = {"field": "sm_field_name", "subfield": "sm_subfield_1_name"}
-    lv = F.explode(F.array(*[
-        F.struct(
-            F.lit(lv).alias("level"),
-            (F.col(c).cast("string") if c else F.lit("")).alias("subject"),
-            (F.col(names[lv]) if c else F.lit(TOTAL)).alias("subject_name"),
-        )
-        for lv, c in LEVELS_2017
-    ]))
-    base = res.select("rank_ns", "rank_ws", "nc_ws", "c_ws", lv.alias("g")).select("g.*", "rank_ns", "rank_ws", "nc_ws", "c_ws")
-    counts = base.groupBy("level", "subject").agg(
-        F.max("subject_name").alias("subject_name"),
-        F.count(F.lit(1)).alias("auth"),
-        F.count(F.when(F.col("rank_ns") <= cfg.top_n, True)).alias("auth_top_ns"),
-        F.count(F.when(F.col("rank_ws") <= cfg.top_n, True)).alias("auth_top"),
-    )
-    long = base.select(
-        "level", "subject",
-        F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                            for m in ("nc_ws", "c_ws")])).alias("v"),
-    ).select("level", "subject", "v.metric", "v.value")
-    hist = ordered_prefix(long, ["level", "subject", "metric"], [("value", True)])
-    hist = _join_small(hist, counts.select("level", "subject", "auth"), ["level", "subject"])
-    aggs = []
+    keys = ["level", "subject", "metric"]
+    hist = value_histogram(res, ("nc_ws", "c_ws"), cfg, ("sm_field_name", "sm_subfield_1_name"))
+    sizes = hist.groupBy(*keys).agg(F.sum("n").alias("_cnt"))
+    run = _join_small(ordered_rows(hist, keys, [("value", True)], ["n"]), sizes, keys).withColumn("_rank", F.col("_cum_n") - F.col("n") + 1)
+    aggs = [F.max("name").alias("subject_name"), *_counts({"auth": "n", "auth_top_ns": "n_top_ns", "auth_top": "n_top_ws"})]
     for m, n in (("nc_ws", "cites"), ("c_ws", "c")):
         for p in cfg.percentiles:
-            ok = within_percentile_lower("_rank", "auth", p)
+            ok = within_percentile_lower("_rank", "_cnt", p)
             v = F.min(F.when((F.col("metric") == m) & ok, F.col("value")))
             aggs.append((v.cast("long") if m == "nc_ws" else v).alias(f"{n}_{_pct(p)}"))
-    cut = hist.groupBy("level", "subject").agg(*aggs)
-    return _join_small(counts, cut, ["level", "subject"])
+    return run.groupBy("level", "subject").agg(*aggs)
