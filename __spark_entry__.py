@@ -247,6 +247,13 @@ def q_top_n_either(spark, d):
     )
 
 
+def q_place_on_scale(spark, d):
+    """Authors absent from the published top list, placed on its scale."""
+    r = _run(spark, d)
+    published = r.top.select("author_id", "c_ns", "c_ws")
+    return _round(R.place_on_scale(r.profile.join(published.select("author_id"), "author_id", "left_anti"), published))
+
+
 def q_subject_cutoffs(spark, d):
     return _round(_run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "all")))
 
@@ -321,6 +328,13 @@ def q_corpus_layout(spark, d):
     return _papers(IO.read_corpus(spark, base, "v1", "full", "20200506"))
 
 
+def q_corpus_by_year(spark, d):
+    """The corpus partitioned by year, and a run's edges from it: year bounds select folders."""
+    base = IO.scratch_path(spark, "core")
+    IO.write_corpus(build_inputs(spark, d).corpus, base, "v2", "full", "20200506")
+    return C.paper_citations(C.citing_edges(IO.read_corpus(spark, base, "v2", "full", "20200506"), build_inputs(spark, d).discontinued, CAREER))
+
+
 def q_corpus_layout_2017(spark, d):
     """The same papers in the 2017 layout, by their publication year (one after the sorting year)."""
     base = IO.scratch_path(spark, "core")

@@ -626,6 +626,14 @@ def result_oracles() -> dict[str, str]:
         "null_rank": qr(sp, """SELECT author_id, round(cprat_ws, 6) AS cprat_ws,
                    CASE WHEN cprat_ws IS NOT NULL THEN rank() OVER (ORDER BY cprat_ws ASC NULLS FIRST) END AS rank_asc,
                    CASE WHEN cprat_ws IS NOT NULL THEN rank() OVER (ORDER BY cprat_ws DESC NULLS LAST) END AS rank_desc FROM o_res"""),
+        "place_on_scale": qr(c, """SELECT p.author_id, round(p.c_ns, 6) AS c_ns, round(p.c_ws, 6) AS c_ws,
+                   a_ns + 1 AS rank_ns, round(100.0 * (n_ns - a_ns) / n_ns, 6) AS percentile_ns, n_ns AS n_published_ns,
+                   a_ws + 1 AS rank_ws, round(100.0 * (n_ws - a_ws) / n_ws, 6) AS percentile_ws, n_ws AS n_published_ws
+            FROM (SELECT n.author_id, n.c_ns, n.c_ws,
+                         (SELECT count(*) FROM o_res t WHERE t.top_listed AND t.c_ns > n.c_ns) AS a_ns,
+                         (SELECT count(*) FROM o_res t WHERE t.top_listed AND t.c_ws > n.c_ws) AS a_ws,
+                         (SELECT count(c_ns) FROM o_res WHERE top_listed) AS n_ns, (SELECT count(c_ws) FROM o_res WHERE top_listed) AS n_ws
+                  FROM o_res n WHERE NOT n.top_listed) p"""),
         "corpus_summary": qr(c, "SELECT count(*) AS n_authors, count(sm_field) AS n_with_field FROM o_res"),
         "publish_table": qr(c, publish_sql(c)),
         "publish_table_2017": qr(s17, publish_2017_sql(s17)),
@@ -641,6 +649,7 @@ def result_oracles() -> dict[str, str]:
       LEFT JOIN (SELECT eid, count(*) AS n FROM fx_slots GROUP BY eid) s ON s.eid = p.eid"""
     d["corpus_layout"] = with_fixtures(select=papers.format(shift=0))
     d["corpus_layout_2017"] = with_fixtures(select=papers.format(shift=1))
+    d["corpus_by_year"] = base_oracles()["paper_citations"]
     d["table_roundtrip"] = base_oracles()["eligible_authors"]
     d["stage_reuse"] = base_oracles()["author_metrics"]
     d["latest_table"] = with_fixtures(select="SELECT * FROM fx_inst_map")

@@ -94,3 +94,31 @@ def top_list(result: DataFrame, cfg: Config) -> DataFrame:
 def top_n_either(result: DataFrame, cfg: Config) -> DataFrame:
     """2017: top N by either rank (ties kept, so possibly more than N)."""
     return result.filter((F.col("rank_ws") <= cfg.top_n) | (F.col("rank_ns") <= cfg.top_n))
+
+
+def place_on_scale(new: DataFrame, published: DataFrame) -> DataFrame:
+    """Where the composite scores of ``new`` authors would stand in a ``published`` table (both with
+    author_id, c_ns, c_ws): ``rank_*`` = 1 + published authors with a higher score (SQL rank: a tie
+    takes the published rank), ``percentile_*`` = per cent of the published authors with no higher
+    score, and ``n_published_*``; NULL for a NULL score, and no percentile in an empty table.
+
+    An as-of join of two sorted sides without a pair of rows: both are range-partitioned together
+    by (variant, score), new rows before published ones of the same score, and a distributed
+    running count of the published rows gives every new row the number ahead of it."""
+    stack = lambda df, flag: df.select(
+        "author_id", F.lit(flag).alias("is_published"),
+        F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"c_{v}").alias("score")) for v in ("ns", "ws")])).alias("s"),
+    ).select("author_id", "is_published", "s.variant", "s.score").filter(F.col("score").isNotNull())
+    both = stack(new, 0).unionByName(stack(published, 1))
+    run = ordered_rows(both, ["variant"], [("score", False), ("is_published", True)], ["is_published"], spread=["author_id"])
+    size = published.agg(*[F.count(f"c_{v}").alias(v) for v in ("ns", "ws")]).first()
+    ahead = run.filter(F.col("is_published") == 0).groupBy("author_id").agg(
+        *[F.max(F.when(F.col("variant") == v, F.col("_cum_is_published"))).alias(f"_ahead_{v}") for v in ("ns", "ws")])
+    cols = {}
+    for v in ("ns", "ws"):
+        known = F.col(f"_ahead_{v}").isNotNull()
+        n = F.lit(size[v]).cast("long")
+        cols[f"rank_{v}"] = F.col(f"_ahead_{v}") + 1
+        cols[f"percentile_{v}"] = ratio(100 * (n - F.col(f"_ahead_{v}")), n)
+        cols[f"n_published_{v}"] = F.when(known, n)
+    return new.select("author_id", "c_ns", "c_ws").join(ahead, "author_id", "left").withColumns(cols).drop("_ahead_ns", "_ahead_ws")

@@ -63,7 +63,8 @@ YEAR_COLUMNS = {"2019": ("year",), "2017": ("sort_year", "pub_year")}
 def read_corpus(spark: SparkSession, base: str, version: str, variant: str = "full", stamp: str = "",
                 table: str = "ani", *, layout: str = "2019", year_col: str | None = None) -> DataFrame:
     """Columnar corpus scan with the declared nested schema of its ``layout``, in the columns of
-    ``CORPUS_SCHEMA`` (filters on year and nested column pruning reach the parquet reader).
+    ``CORPUS_SCHEMA`` (filters on year and nested column pruning reach the parquet reader; where the
+    table is partitioned by year, see ``write_corpus``, they select folders).
     ``year_col`` chooses the year of the 2017 layout: ``sort_year`` (default) or ``pub_year``."""
     if layout not in YEAR_COLUMNS:
         raise ValueError(f"layout must be one of {sorted(YEAR_COLUMNS)}, not {layout!r}")
@@ -72,12 +73,31 @@ def read_corpus(spark: SparkSession, base: str, version: str, variant: str = "fu
         raise ValueError(f"the {layout} layout has no year column {year!r}")
     path = corpus_path(base, version, variant, table, stamp)
     if layout == "2019":
-        return spark.read.schema(CORPUS_SCHEMA).parquet(path)
+        return spark.read.schema(CORPUS_SCHEMA).parquet(path).select(*CORPUS_SCHEMA.names)
     names = {"year": year, "publication_type": "citation_type", "references": "citations"}
     return spark.read.schema(CORPUS_2017_SCHEMA).parquet(path).select(
         *[F.col(names.get(c, c)).alias(c) for c in CORPUS_SCHEMA.names])
 
 
+def write_corpus(corpus: DataFrame, base: str, version: str, variant: str = "full", stamp: str = "", table: str = "ani",
+                 rows_per_file: int = 5_000_000) -> str:
+    """Write ``corpus`` where ``read_corpus`` finds it, partitioned by year: a folder for each year, so year
+    bounds select folders (PartitionFilters) and a join on a few years prunes at run time. Rows
+    are range-partitioned by (year, eid), so a year spans the tasks it needs and each task
+    writes few files. Returns the path."""
+    path = corpus_path(base, version, variant, table, stamp)
+    rows = corpus.select(*CORPUS_SCHEMA.names).repartitionByRange("year", "eid")
+    rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
+    return path
+
+
+def only_years(corpus: DataFrame, years: DataFrame) -> DataFrame:
+    """The papers of the years in the one-column frame ``years`` (an equi-join on the partition column:
+    Spark reads only their folders, chosen at run time)."""
+    y = years.select(F.col(years.columns[0]).cast("int").alias("_year")).distinct()
+    return corpus.join(F.broadcast(y), corpus["year"] == y["_year"], "left_semi")  # at most one row per year
+
+
 def read_table(spark: SparkSession, db: str, name: str) -> DataFrame:
     return spark.table(f"{db}.{name}")
 
