@@ -26,6 +26,7 @@ from scholarmetrics.operators import cutoffs as CO  # noqa: E402
 from scholarmetrics.operators import labels as L  # noqa: E402
 from scholarmetrics.operators import metrics as M  # noqa: E402
 from scholarmetrics.operators import ranking as R  # noqa: E402
+from scholarmetrics.operators import refresh as RF  # noqa: E402
 from scholarmetrics.operators import reports as RP  # noqa: E402
 from scholarmetrics.operators import score as S  # noqa: E402
 from scholarmetrics.operators import subjects as SJ  # noqa: E402
@@ -77,6 +78,26 @@ def q_paper_citations(spark, d):
     return _run(spark, d).cites
 
 
+SNAPSHOT_YEAR = 2000  # the earlier snapshot holds the papers up to this year
+
+
+def _refreshed(spark, d):
+    i = build_inputs(spark, d)
+    earlier = RF.full_state(i.corpus.filter(F.col("year") <= SNAPSHOT_YEAR), CAREER)
+    return earlier, RF.refresh(earlier, i.corpus, CAREER)
+
+
+def q_refreshed_edges(spark, d):
+    """The edges of the whole corpus, refreshed from those of an earlier snapshot."""
+    return C.with_discontinued(_refreshed(spark, d)[1].state.edges, build_inputs(spark, d).discontinued)
+
+
+def q_refreshed_citations(spark, d):
+    disc = build_inputs(spark, d).discontinued
+    earlier, r = _refreshed(spark, d)
+    return RF.refreshed_citations(C.paper_citations(C.with_discontinued(earlier.edges, disc)), r, disc)
+
+
 def q_discontinued_flags(spark, d):
     r = _run(spark, d)
     return C.discontinued_flags(r.pubs, r.edges, r.disc)

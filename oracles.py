@@ -649,6 +649,8 @@ def result_oracles() -> dict[str, str]:
       LEFT JOIN (SELECT eid, count(*) AS n FROM fx_slots GROUP BY eid) s ON s.eid = p.eid"""
     d["corpus_layout"] = with_fixtures(select=papers.format(shift=0))
     d["corpus_layout_2017"] = with_fixtures(select=papers.format(shift=1))
+    d["refreshed_edges"] = base_oracles()["citing_edges"]
+    d["refreshed_citations"] = base_oracles()["paper_citations"]
     d["corpus_by_year"] = base_oracles()["paper_citations"]
     d["table_roundtrip"] = base_oracles()["eligible_authors"]
     d["stage_reuse"] = base_oracles()["author_metrics"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import as_long_ids, shares_author
+from ..functions.membership import may_hold
 from ..sources.io import write_once
 
 
@@ -71,19 +72,39 @@ def _short_list(p: DataFrame) -> Column:
     return F.when(few, F.coalesce(as_long_ids("au.auid"), F.array().cast("array<bigint>")))
 
 
-def _found(pubs: DataFrame, cfg: Config, salting: Salting) -> DataFrame:
-    """(citing, cited, citing_srcid, is_self, short, long): the references inside the corpus. is_self is NULL
-    where an author list is too long to travel; such an edge has the id of that paper (the cited
-    one, if both are) in ``long`` and the other's authors, if they are few, in ``short``."""
-    refs = _references(pubs, cfg).select(
-        F.col("eid").alias("citing"), F.col("source.srcid").alias("citing_srcid"), _short_list(pubs).alias("mine"),
-        F.explode(F.array_distinct("references")).alias("cited")).withColumn("salt", salting.many("cited", "citing"))
-    papers = pubs.select(F.col("eid").alias("cited"), _short_list(pubs).alias("theirs"), salting.one("eid").alias("salt"))
+def references_of(papers: DataFrame) -> DataFrame:
+    """(citing, citing_srcid, mine, cited): every distinct reference, with the citing paper's short author list."""
+    return papers.select(
+        F.col("eid").alias("citing"), F.col("source.srcid").alias("citing_srcid"), _short_list(papers).alias("mine"),
+        F.explode(F.array_distinct("references")).alias("cited"))
+
+
+def _inside(refs: DataFrame, pubs: DataFrame, bits: int) -> DataFrame:
+    """``refs`` without most of those that leave the corpus, dropped before any shuffle."""
+    hashed = refs.withColumn("_h", F.xxhash64("cited"))
+    return may_hold(hashed, "_h", pubs.select(F.xxhash64("eid").alias("h")), bits, "_in").filter("_in").drop("_h", "_in")
+
+
+def _resolved(refs: DataFrame, pubs: DataFrame, salting: Salting, how: str = "inner") -> DataFrame:
+    """(citing, cited, citing_srcid, is_self, short, long, found): the references (``references_of``) inside the
+    corpus, or with ``how`` = "left" all of them. is_self is NULL where an author list is too long to
+    travel; such an edge has the id of that paper (the cited one, if both are) in ``long`` and
+    the other's authors, if they are few, in ``short``."""
+    refs = refs.withColumn("salt", salting.many("cited", "citing"))
+    papers = pubs.select(F.col("eid").alias("cited"), _short_list(pubs).alias("theirs"), F.lit(True).alias("found"), salting.one("eid").alias("salt"))
     both = F.col("mine").isNotNull() & F.col("theirs").isNotNull()
-    return refs.join(papers, ["cited", "salt"]).select(
+    return refs.join(papers, ["cited", "salt"], how).select(
         "citing", "cited", "citing_srcid", F.when(both, shares_author("mine", "theirs").cast("int")).alias("is_self"),
         F.when(~both, F.coalesce("mine", "theirs")).alias("short"),
-        F.when(~both, F.when(F.col("theirs").isNull(), F.col("cited")).otherwise(F.col("citing"))).alias("long"))
+        F.when(~both, F.when(F.col("theirs").isNull(), F.col("cited")).otherwise(F.col("citing"))).alias("long"),
+        F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def _with_flags(resolved: DataFrame, pubs: DataFrame, salting: Salting) -> DataFrame:
+    """(citing, cited, is_self, citing_srcid) of ``_resolved`` edges that were found."""
+    settled = resolved.filter(F.col("long").isNull()).select("citing", "cited", "citing_srcid", "is_self")
+    return settled.unionByName(_flag_by_rows(resolved.filter(F.col("long").isNotNull()), pubs, salting)).select(
+        "citing", "cited", "is_self", "citing_srcid")
 
 
 def _flag_by_rows(edges: DataFrame, pubs: DataFrame, salting: Salting) -> DataFrame:
@@ -98,16 +119,21 @@ def _flag_by_rows(edges: DataFrame, pubs: DataFrame, salting: Salting) -> DataFr
         F.coalesce(F.max("hit"), F.lit(0)).alias("is_self"))
 
 
-def citing_edges_base(pubs: DataFrame, cfg: Config) -> DataFrame:
+def citing_edges_base(pubs: DataFrame, cfg: Config, outside_bits: int | None = None) -> DataFrame:
     """One row per distinct (citing, cited) pair: the citing paper is from
     ``min_cite_year`` on (no upper bound), the cited paper is in the corpus (any
     year); ``is_self`` = citing and cited share a known author; ``citing_srcid``
-    = journal of the citing paper. Depends on ``min_cite_year`` only."""
-    salting = Salting(frequent_ids(_references(pubs, cfg).select(F.explode("references").alias("cited")), "cited"))
-    found = write_once(_found(pubs, cfg, salting), "references")  # read twice
-    settled = found.filter(F.col("long").isNull()).select("citing", "cited", "citing_srcid", "is_self")
-    return settled.unionByName(_flag_by_rows(found.filter(F.col("long").isNotNull()), pubs, salting)).select(
-        "citing", "cited", "is_self", "citing_srcid")
+    = journal of the citing paper. Depends on ``min_cite_year`` only.
+
+    ``outside_bits``: drop references that leave the corpus before the shuffle, by a bitmap of
+    2 ** outside_bits bits of the corpus ids (27: 16 MB). Worth it where many do."""
+    citing = _references(pubs, cfg)
+    salting = Salting(frequent_ids(citing.select(F.explode("references").alias("cited")), "cited"))
+    refs = references_of(citing)
+    if outside_bits is not None:
+        refs = _inside(refs, pubs, outside_bits)
+    found = write_once(_resolved(refs, pubs, salting).drop("found"), "references")  # read twice
+    return _with_flags(found, pubs, salting)
 
 
 def with_discontinued(base: DataFrame, disc: DataFrame) -> DataFrame:

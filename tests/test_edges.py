@@ -77,3 +77,15 @@ def test_sketch_never_returns_too_many(spark):
 def test_no_long_list_travels(spark, papers):
     pubs = spark.createDataFrame(papers, CORPUS_SCHEMA)
     assert pubs.select(F.max(F.size(C._short_list(pubs)))).first()[0] <= C.FEW
+
+
+def test_references_that_leave_the_corpus_are_dropped_early(spark, papers):
+    pubs = spark.createDataFrame(papers, CORPUS_SCHEMA)
+    want = brute(papers)
+    for bits in (15, 20, 27):  # a full bitmap drops little, and nothing that counts
+        assert {tuple(r) for r in edges(C.citing_edges_base(pubs, CFG, outside_bits=bits)).collect()} == want
+    refs = C.references_of(C._references(pubs, CFG))
+    kept = C._inside(refs, pubs, 27)
+    assert kept.columns == refs.columns and len(want) <= kept.count() < refs.count()
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Python" not in text

@@ -40,7 +40,7 @@ def test_year_bounds_select_folders(spark, by_year):
     i = build_inputs(spark, SF_SMALL)
     run = Run(spark, type(i)(**{**i.tables(), "corpus": corpus}, key="by-year"), CAREER, stage=False)
     # edges: the citing side reads only the years from min_cite_year on
-    found = C._found(corpus, CAREER, C.Salting([]))
+    found = C._resolved(C.references_of(C._references(corpus, CAREER)), corpus, C.Salting([]))
     assert any("PartitionFilters: [isnotnull(year" in s and f">= {CAREER.min_cite_year}" in s for s in scans(found))
     cites = IO.write_once(C.paper_citations(run.edges), "cites")
     fact = A.authorship(corpus, cites, run.disc, CAREER)
