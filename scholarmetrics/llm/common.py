@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,40 @@ def unpacked(df: DataFrame, columns: list[str], alias: str = "_row") -> list[Col
     return [F.col(alias).getField(c).alias(c) for c in columns]
 
 
+def _bitmap_parts(hashes: DataFrame, bits: int) -> DataFrame:
+    """(b, bits): the set bits of block b, 4 KB each; at most 2 ** (bits - 15) rows."""
+    place = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
+    return hashes.groupBy(F.shiftright(place, 15).cast("int").alias("b")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def may_hold(df: DataFrame, key: str, values: DataFrame, bits: int, name: str) -> DataFrame:
+    """``df`` with the flag ``name``: false where the long column ``key`` is surely not among ``values``
+    (one long column). The bitmap is broadcast, of a size that ``bits`` bounds; no Python."""
+    place = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    low = place.bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.col("_m.bits").substr((F.floor(low / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    parts = _bitmap_parts(values, bits).select(F.col("b").alias("_b"), F.struct("bits").alias("_m"))
+    hit = F.call_function("shiftright", byte, (low % 8)).bitwiseAND(F.lit(1)) == 1
+    joined = df.join(F.broadcast(parts), F.shiftright(place, 15).cast("int") == F.col("_b"), "left")
+    return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """One bit per value of the only column (a long hash) modulo 2 ** bits, as bytes: a set of a fixed size
+    that may hold more, never less. At most 2 ** (bits - 15) rows of 4 KB reach the driver."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in _bitmap_parts(hashes, bits).toLocalIterator():
+        out[r["b"] << 12 : (r["b"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (64-bit) a ``bitmap`` holds."""
+    at = hashes.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 class Numbered(dict):
     """Gives every new key the next number."""
 

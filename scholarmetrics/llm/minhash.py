@@ -6,8 +6,10 @@ values per hash evaluation, each colliding with probability J. ``2 * PERMS`` val
 ``BANDS`` bands of ``ROWS`` values (all rows of a band come from different permutations);
 two sets with J = 0.8 miss every band with probability below 3e-6.
 
-Equal sets collapse to one representative first (the smallest doc_id), so thousands of
-copies cost one signature in the buckets. Inside a bucket no all-pairs list is emitted:
+Equal sets collapse to one class first (a node, represented by its smallest doc_id), so
+thousands of copies cost one signature in the buckets. A bitmap of a fixed size tells which
+bucket keys occur twice, another one which documents are candidates, so bands and texts of
+the others are never shuffled. Inside a bucket no all-pairs list is emitted:
 members are linked to one hub of the bucket, links are confirmed on the full shingle sets,
 components are contracted, and the hub round repeats on buckets that still hold several
 components until it adds nothing. What remains are pairs of different components among the
@@ -17,8 +19,11 @@ set size (exact) or by a 160-bit sketch of the signature, which a link fails wit
 probability below 1e-7. No link is taken from signatures alone.
 
 Defined results: null or empty text (no words) has an empty set and links with nothing; a
-text shorter than a shingle is one shingle; rows that share a doc_id are one document; rows
-without doc_id link with nothing and stay; an empty table gives an empty result.
+text shorter than a shingle is one shingle; rows of one doc_id with different sets are linked
+each by its own set, so no text is lost with another one of the same id (a component's id is
+the smallest doc_id of its rows); repeated rows stay together; rows without doc_id link with
+nothing and stay; an empty table gives an empty result. Columns besides doc_id and text are
+not read, and ``dedup_filter`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,10 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing, table
+from .common import bitmap, has_bit, materialize, may_hold, packed, releasing, table, unpacked
 from .graph import extended
 
 PERMS, BANDS, ROWS = 80, 32, 5
+KEY_BITS, NODE_BITS = 27, 26  # bitmaps of 16 and 8 MB
 BLOCK = 1 << 17  # shingles hashed at a time (keeps the arrays in cache)
 SKETCH_SLACK = 37  # differing sketch bits allowed: mean 16, five and a half deviations at J = 0.8
 
@@ -71,6 +77,11 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+def digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a non-empty set."""
+    return np.add.reduce(_mixed(s)), np.bitwise_xor.reduce(s * _MUL[0])
+
+
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """(len(sets), 2 * PERMS): minima, then maxima, of each permutation over non-empty sets."""
     sig = np.empty((len(sets), 2 * PERMS), np.uint64)
@@ -123,7 +134,7 @@ def _sign_block(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         lowest[:, : 2 * PERMS] = (sig >> np.uint64(17)).astype(np.uint8) & 1
         bits[full] = np.packbits(lowest, axis=1).view(np.uint64)
         for i, s in zip(full, own, strict=True):
-            d1[i], d2[i] = np.add.reduce(_mixed(s)), np.bitwise_xor.reduce(s * _MUL[0])
+            d1[i], d2[i] = digest(s)
     counts = np.array([BANDS if len(s) else 0 for s in sets], np.int32)
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].ravel().view(np.int64) if full else np.empty(0, np.int64)))
@@ -138,6 +149,41 @@ def signatures(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(releasing(_sign(cfg.words)), _OUT_DDL)
 
 
+def _shared_keys(bits):
+    """(node, key) rows of nodes (node, bands) whose key may occur twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1)
+            keys = bands.flatten().to_numpy(zero_copy_only=False)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands.value_lengths().to_numpy(zero_copy_only=False))
+            keep = has_bit(bits.value, np.ascontiguousarray(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(keys[keep])], names=["node", "key"])
+
+    return run
+
+
+def _candidate_texts(bits, k: int):
+    """(doc_id, d1, d2, text) of the rows whose doc_id the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            held = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            held = held[has_bit(bits.value, ids.take(pa.array(held)).to_numpy(zero_copy_only=False))]
+            for at in range(0, len(held), 1000):
+                part = batch.take(pa.array(held[at : at + 1000]))
+                sets = [shingles(t.as_py(), k) for t in part.column(1).cast(pa.binary())]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                d = np.array([digest(sets[i]) for i in full], np.uint64).reshape(-1, 2).view(np.int64)
+                part = part.take(pa.array(full, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), part.column(1)],
+                    names=["doc_id", "d1", "d2", "text"])
+
+    return run
+
+
 def _verify(cfg: DedupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -180,12 +226,14 @@ def _similar(n1: Column, n2: Column, s1: list[Column], s2: list[Column], cfg: De
 _SKETCH = ["s0", "s1", "s2"]
 
 
-def _hub_pairs(members: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """Each member with the hub of its bucket (least label, then least id) if their labels differ."""
-    hub = members.groupBy("key").agg(F.min(F.struct("label", "rep", "n", *_SKETCH)).alias("h"))
-    j = members.join(hub, "key").filter(F.col("label") != F.col("h.label"))
-    ok = _similar(F.col("n"), F.col("h.n"), [F.col(c) for c in _SKETCH], [F.col(f"h.{c}") for c in _SKETCH], cfg)
-    return j.filter(ok).select(F.col("h.rep").alias("hub"), "rep").distinct()
+def _hub_pairs(members: DataFrame, nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Each member with the hub of its bucket (least label, then least node) if their labels differ."""
+    hub = members.groupBy("key").agg(F.min(F.struct("label", "rep")).alias("h"))
+    pairs = members.join(hub, "key").filter(F.col("label") != F.col("h.label")).select(F.col("h.rep").alias("hub"), "rep").distinct()
+    n = nodes.select("node", F.struct("n", *_SKETCH).alias("s"))
+    j = pairs.join(n.toDF("rep", "rs"), "rep").join(n.toDF("hub", "hs"), "hub")
+    ok = _similar(F.col("rs.n"), F.col("hs.n"), [F.col(f"rs.{c}") for c in _SKETCH], [F.col(f"hs.{c}") for c in _SKETCH], cfg)
+    return j.filter(ok).select("hub", "rep")
 
 
 def _sets(k: int):
@@ -203,16 +251,17 @@ def _sets(k: int):
     return run
 
 
-def _rest_pairs(members: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
+def _rest_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Pairs of different labels among the members of unsettled buckets that can still be links: an
     exact prefix join. Shingles are ordered by how many of these sets hold them; two sets of
     similarity t share a shingle in short prefixes of that order, at positions that leave room for
     the overlap t asks for. A passage that many documents share is frequent, so it stands past the
     prefixes and makes no pairs."""
     p = cfg.percent
-    who = members.groupBy("rep").agg(F.min("label").alias("label"), F.min(F.struct(*_SKETCH)).alias("sketch"))
+    who = members.groupBy("rep").agg(F.min("label").alias("label"))
+    sketch = nodes.select(F.col("node").alias("rep"), F.struct(*_SKETCH).alias("sketch"))
     rows = (
-        who.join(texts.withColumnRenamed("node", "rep"), "rep")
+        who.join(sketch, "rep").join(texts.withColumnRenamed("node", "rep"), "rep")
         .select(F.col("rep").alias("node"), "label", "sketch", "text")
         .mapInArrow(releasing(_sets(cfg.words)), "node long, label long, sketch struct<s0:long,s1:long,s2:long>, tokens array<long>")
     )
@@ -253,28 +302,40 @@ def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return m.join(several, "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with the same
-    set), component_id (smallest doc_id reachable by links), kept."""
+def _linked(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, rep, component) of each row of ``docs``, rep and component NULL
+    where it links with nothing."""
+    spark = docs.sparkSession
+    broadcast = spark.sparkContext.broadcast
     sigs = materialize(signatures(docs, cfg), "signatures")
     usable = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("d1", "d2").agg(
         F.min(F.struct("doc_id", "n_shingles", *_SKETCH, "bands")).alias("r"))
-    rep = classes.select("d1", "d2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"),
-                         *[F.col(f"r.{c}").alias(c) for c in _SKETCH], F.col("r.bands").alias("bands"))
-    rep = materialize(rep, "representatives")
-    keyed = rep.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("key")
-    members = keyed.join(shared, "key", "left_semi")
-    members = materialize(members.join(rep.select("rep", "n", *_SKETCH), "rep"), "members")
-    nodes = members.select(F.col("rep").alias("node")).distinct()
-    texts = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi"), "candidate_texts")
+    rep = materialize(classes.select(
+        "d1", "d2", F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), *[F.col(f"r.{c}").alias(c) for c in _SKETCH],
+        F.col("r.bands").alias("bands")), "representatives")
+    # a node has the number of its smallest doc_id, so hubs are the earliest documents; where two classes
+    # (may) share that, a hash of both
+    several = materialize(rep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"), "shared_ids")
+    node = F.when(F.col("_several"), F.xxhash64("doc_id", "d1", "d2")).otherwise(F.col("doc_id"))
+    nodes = may_hold(rep, "doc_id", several, NODE_BITS, "_several").withColumn("node", node).drop("_several")
+    twice = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    twice = materialize(twice, "shared_keys")
+    shared = broadcast(bitmap(twice, KEY_BITS))
+    keyed = nodes.select("node", "bands").mapInArrow(releasing(_shared_keys(shared)), "rep long, key long")
+    members = materialize(keyed.join(twice, "key", "left_semi"), "members")
+    mine = materialize(
+        nodes.select("node", "doc_id", "d1", "d2").join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "candidates")
+    held = broadcast(bitmap(mine.select("doc_id"), NODE_BITS))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
+        releasing(_candidate_texts(held, cfg.words)), "doc_id long, d1 long, d2 long, text string")
+    same = ["doc_id", "d1", "d2"]
+    texts = materialize(texts.dropDuplicates(same).join(mine, same).select("node", "text"), "candidate_texts")
 
     tested, labels, rounds = None, None, 0
     left = _unsettled(members, None)
     while True:
-        pairs = _hub_pairs(left, cfg)
+        pairs = _hub_pairs(left, nodes, cfg)
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "rep"], "left_anti")
         pairs = materialize(pairs, f"hub_pairs_{rounds}")
@@ -285,27 +346,62 @@ def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFr
             break
         labels = extended(labels, found)
         left = materialize(_unsettled(members, labels), f"unsettled_{rounds}")
-    rest = materialize(_rest_pairs(left, texts, cfg).join(tested, ["hub", "rep"], "left_anti"), "rest_pairs")
+    rest = materialize(_rest_pairs(left, nodes, texts, cfg).join(tested, ["hub", "rep"], "left_anti"), "rest_pairs")
     found = materialize(_confirmed(rest, texts, cfg), "rest_links")
     if not found.isEmpty():
         labels = extended(labels, found)
 
-    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(rep.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+    rep = nodes.select("node", "d1", "d2", F.col("doc_id").alias("rep"))
     if labels is None:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+        rep = rep.withColumn("component", F.col("rep"))
     else:
-        out = out.join(labels.toDF("rep", "component"), "rep", "left")
-    linked = F.col("n_shingles") > 0
-    cls = F.when(linked & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
-    comp = F.when(linked & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cls.alias("class_id"), comp.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(comp).alias("kept"))
+        own = labels.toDF("node", "root").join(rep.select("node", "rep"), "node")
+        least = own.groupBy("root").agg(F.min("rep").alias("component"))
+        rep = rep.join(own.join(least, "root").select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(rep.drop("node"), ["d1", "d2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", "d1", "d2", F.when(linked, F.col("rep")).alias("rep"), F.when(linked, F.col("component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with the same
+    set), component_id (smallest doc_id reachable by links), kept."""
+    component = F.coalesce("component", "doc_id")
+    return _linked(docs, cfg).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), component.alias("component_id"),
+                                     F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _with_digest(columns: list[str], k: int):
+    """Rows (_row, doc_id, text) with the digest of the text's set in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), k) for t in batch.column(2).cast(pa.binary())]
+            d = np.array([digest(s) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))],
+                names=columns)
+
+    return run
 
 
 def dedup_filter(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """``docs`` without the documents that are not the smallest doc_id of their component."""
-    gone = near_duplicates(docs, cfg).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` without the rows whose doc_id is not the smallest of their component. A doc_id with a row
+    that goes and another that stays is told apart by the sets of its rows. Only rows whose
+    doc_id a bitmap of the removed ones may hold are shuffled."""
+    gone = materialize(
+        _linked(docs, cfg).filter(F.col("component") != F.col("doc_id")).select(F.col("doc_id").alias("_id"), "d1", "d2").distinct(), "removed")
+    ids = gone.select("_id").distinct()
+    rows = packed(docs).select("_row", F.col("_row.doc_id").cast("long").alias("_id"))
+    several = materialize(
+        rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id").join(ids, "_id", "left_semi"), "repeated_ids")
+    rows = may_hold(rows, "_id", ids, NODE_BITS, "_maybe")
+    kept = rows.filter(~F.col("_maybe")).select("_row").unionByName(
+        rows.filter(F.col("_maybe")).join(ids, "_id", "left_anti").select("_row"))
+    again = rows.filter(F.col("_maybe")).join(several, "_id", "left_semi").select("_row", "_id", F.col("_row.text").alias("_text"))
+    schema = again.select("_row", "_id").schema.add("d1", "long").add("d2", "long")
+    told = again.mapInArrow(releasing(_with_digest(["_row", "_id", "d1", "d2"], cfg.words)), schema)
+    return kept.unionByName(told.join(gone, ["_id", "d1", "d2"], "left_anti").select("_row")).select(*unpacked(docs, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

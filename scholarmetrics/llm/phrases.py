@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Numbered, materialize, releasing, table
+from .common import Numbered, bitmap, has_bit, materialize, releasing, table
 
 PAIR_BITS = 26  # a bitmap of 8 MB
 STEP_BYTES = 1 << 19  # text counted at a time
-KNOWN = 600_000  # distinct words that a task holds
-PENDING = 1 << 20  # distinct pairs that a task holds
+KNOWN = 400_000  # distinct words that a task holds
+PENDING = 1 << 19  # distinct pairs that a task holds
 
 # Signs that end a piece; every other character but space and tab belongs to a word.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -202,8 +202,7 @@ def _emit(allowed, most: int):
         bits = allowed.value
         for lang, words in _steps(batches):
             pair, joined = _pairs(known, lang, words)
-            at = pair & np.uint64((1 << PAIR_BITS) - 1)
-            joined &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            joined &= has_bit(bits, pair)
             number = Numbered()
             ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             for m, places, n in longest_grams(ids, joined, most):
@@ -215,17 +214,6 @@ def _emit(allowed, most: int):
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """One bit per hash (column h) modulo 2 ** bits, as bytes. At most 2 ** (bits - 15) rows reach the driver."""
-    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    parts = hashes.groupBy(F.shiftright(place, 15).cast("int").alias("b")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts.toLocalIterator():
-        out[r["b"] << 12 : (r["b"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 # -- graph ------------------------------------------------------------------------------
 
 
@@ -239,7 +227,7 @@ def counts(docs: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
 def graph(docs: DataFrame, counted: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
     """(lang, gram, m, n), written once: the edges (m = max_words) and the corrections (shorter grams that
     a piece, or the part of it that can hold a phrase, ends with)."""
-    allowed = docs.sparkSession.sparkContext.broadcast(_bitmap(counted.filter(F.col("h").isNotNull()), PAIR_BITS))
+    allowed = docs.sparkSession.sparkContext.broadcast(bitmap(counted.filter(F.col("h").isNotNull()).select("h"), PAIR_BITS))
     one = _rows(docs).mapInArrow(releasing(_emit(allowed, cfg.max_words)), "lang string, gram string, m int, n long")
     return materialize(one.groupBy("lang", "gram", "m").agg(F.sum("n").alias("n")), "grams")
 

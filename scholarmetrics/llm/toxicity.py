@@ -4,25 +4,32 @@ The lexicon is a trie of terms (whole words, or stems that any ending may follow
 Levenshtein automata of all terms, with an edit bound by term length, run over the trie as
 one non-deterministic automaton; its states are determinised lazily and shared by all
 words, so a word costs one table step per character and most words leave the automaton
-after a few. A hit is exact or misspelled.
+after a few. A hit is exact or misspelled; a misspelling keeps the term's first and last
+letter (or a digit in its place), as other words differ there ("closer", "tras" are not
+"loser", "trash"), and may have an ending. The states are built anew beyond ``STATES``.
 
 Each hit is scored in a window of ``CONTEXT`` words: a misspelled term counts ``MISSPELLED``
 of an exact one, quotation (inside quotes, or after a reporting word) for a quarter, address
-(a second-person word) for more. The strongest hit, the summed evidence, and whether all of
-it is misspelled go through a logistic model, so that one clear hit is enough in a text
-that toxic texts with many hits were learnt from.
+(a second-person word) for more. The strongest hit and the summed evidence go through a
+logistic model, so that one clear hit is enough in a text that toxic texts with many hits
+were learnt from.
 
-Learning uses at most ``MAX_LEARN`` labelled documents (those of least hash of doc_id) for
-the lexicon and the model; nothing else is bounded. A term is learnt if it stands in toxic
+Learning uses at most ``MAX_LEARN`` labelled documents (those of least hash of doc_id), one
+row each, for the lexicon and the model; nothing else is bounded. A candidate stands in toxic
 documents significantly more often than chance (binomial tail, corrected for the number of
 candidates) and with precision ``LEAST_PRECISION``. Its support is the number of distinct
 neighbour pairs around its first place in each toxic document, so copies of one document
-do not make its words terms. A small seed lexicon applies in any case; the prior keeps
-misspelled terms in force where labels show none, and clean documents with misspelled hits
-take it back.
-
-Defined results: null or empty text has no hits, hence the score of no evidence; labels
-that repeat a doc_id count once (toxic if any says so); null labels are not learnt.
+do not make its words terms. Candidates are taken by support, the most specific first, and
+must be significant in the toxic documents that no term taken before explains, so words that
+merely stand beside the terms are not learnt. A term keeps its misspellings unless
+they stand in more than ``CLEAN_SHARE`` of the clean documents ("closer" for "loser"). A small
+seed lexicon applies where labels do not speak against it.
+
+Defined results: null or empty text has no hits, hence the score of no evidence; very long
+texts are scored whole; repeated rows are scored each; labels that repeat a doc_id count once
+(toxic if any says so), and of rows that repeat a doc_id the least text is learnt; null
+labels are not learnt; equal support goes to the longer term, then by spelling; an empty table
+gives an empty result; other columns pass through inside ``_row`` and never clash.
 """
 
 from __future__ import annotations
@@ -41,12 +48,14 @@ from .common import materialize, releasing, table
 
 MAX_LEARN = 10_000
 CONTEXT = 6
-STEM_LENGTHS = range(4, 9)
+STEM_LENGTHS = range(6, 9)  # shorter stems are whole words of innocent texts too
 LEAST_LENGTH = 4
 LEAST_PRECISION = 0.97
 SIGNIFICANCE = 0.01
-MAX_TERMS = 2000  # size bound of the broadcast lexicon; the most frequent terms stay
+CLEAN_SHARE = 0.001
 MEMO = 400_000  # words remembered by a task; the memo starts anew when full
+STATES = 200_000  # states of the automaton that a task holds
+UNUSED, OTHER = "\0", "\1"  # letters of no term, and characters that are no letters
 
 # Seed terms, reporting words, words of address.
 SEED = ["asshole", "bastard", "bitch", "clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum",
@@ -54,8 +63,8 @@ SEED = ["asshole", "bastard", "bitch", "clown", "disgusting", "idiot", "imbecile
 REPORTING = frozenset("said says wrote quoted quote quotes called term word phrase sagte schrieb zitat dijo dice escribió cita dit écrit citation".split())
 ADDRESS = frozenset("you your yours yourself ur du dein deine dich ihr tu te ti tus usted vous toi ton ta".split())
 MISSPELLED = 0.8
-PRIOR = np.array([-4.0, 8.0, 1.0, 0.0])  # bias, strongest hit, summed evidence, all misspelled
-PRIOR_PRECISION = np.array([0.05, 0.05, 1.0, 0.2])
+PRIOR = np.array([-4.0, 8.0, 1.0])  # bias, strongest hit, summed evidence
+PRIOR_PRECISION = np.array([0.05, 0.05, 1.0])
 
 _TOKEN = re.compile(r"\w+|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
@@ -69,18 +78,25 @@ def edits_allowed(term: str, stem: bool) -> int:
 class LexiconAutomaton:
     """Lazily determinised intersection of the terms' Levenshtein automata with their trie."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[tuple[str, bool]] = frozenset()):
+        """``exact``: the terms without misspellings."""
         self.child: list[dict[str, int]] = [{}]
         self.word_end: list[int] = [-1]  # edits allowed where a whole word ends, else -1
         self.stem_end: list[int] = [-1]
         self.budget: list[int] = [0]  # most edits of any term below a node
+        self.term_at: dict[tuple[int, bool], tuple[str, bool]] = {}
+        self.last: list[dict[str, int]] = [{}]  # final letters, which must be met
         for term, stem in terms:
-            k, node, path = edits_allowed(term, stem), 0, [0]
-            for c in term:
-                nxt = self.child[node].get(c)
+            k, node, path = 0 if (term, stem) in exact else edits_allowed(term, stem), 0, [0]
+            for i, c in enumerate(term):
+                edge = self.child if i + 1 < len(term) else self.last
+                # whole words and stems of one spelling end in two nodes
+                key = c if i + 1 < len(term) else (c, stem)
+                nxt = edge[node].get(key)
                 if nxt is None:
-                    nxt = self.child[node][c] = len(self.child)
-                    self.child.append({})
+                    nxt = edge[node][key] = len(self.child)
+                    for table in (self.child, self.last):
+                        table.append({})
                     self.word_end.append(-1)
                     self.stem_end.append(-1)
                     self.budget.append(0)
@@ -88,17 +104,21 @@ class LexiconAutomaton:
                 path.append(node)
             end = self.stem_end if stem else self.word_end
             end[node] = max(end[node], k)
+            self.term_at[node, stem] = (term, stem)
             for p in path:
                 self.budget[p] = max(self.budget[p], k)
         self.letters = frozenset(c for t, _ in terms for c in t)
+        self.memo: dict[str, int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.items: list[frozenset] = []
         self.step: list[dict[str, int]] = []
         self.final: list[int] = []  # edits of the best whole-word match, -1 if none
         self.stem: list[int] = []  # edits of the best stem match so far, -1 if none
         self.dead = self._state({})
-        self.start = self._state(self._closed({0: 0}))
-        self.memo: dict[str, int] = {}
+        self.start = self._state({0: 0})
 
     def _closed(self, items: dict[int, int]) -> dict[int, int]:
         """Adds what skipping term characters reaches."""
@@ -126,23 +146,35 @@ class LexiconAutomaton:
 
     def _move(self, state: int, c: str) -> int:
         out: dict[int, int] = {}
+
+        def reach(node: int, e: int) -> None:
+            if e <= self.budget[node] and e < out.get(node, 99):
+                out[node] = e
+
         for node, e in self.items[state]:
-            if e + 1 <= self.budget[node] and e + 1 < out.get(node, 99):
-                out[node] = e + 1  # a character too many
+            if node:
+                reach(node, e + 1)  # a character too many, not before the first
             for letter, nxt in self.child[node].items():
-                cost = e if letter == c else e + 1
-                if cost <= self.budget[nxt] and cost < out.get(nxt, 99):
-                    out[nxt] = cost
+                if letter == c or node or c == OTHER:
+                    reach(nxt, e if letter == c else e + 1)
+            for (letter, _), nxt in self.last[node].items():
+                if letter == c or c == OTHER:
+                    reach(nxt, e if letter == c else e + 1)
         return self._state(self._closed(out))
 
+    def _symbol(self, c: str) -> str:
+        return c if c in self.letters else UNUSED if c.isalpha() else OTHER
+
     def match(self, word: str) -> int:
         """Least edits of a term that the word spells (0: exact), -1 if none."""
         known = self.memo.get(word)
         if known is not None:
             return known
+        if len(self.items) > STATES:
+            self._reset()
         state, best = self.start, 99
         for c in word:
-            c = c if c in self.letters else "\0"
+            c = self._symbol(c)
             nxt = self.step[state].get(c)
             if nxt is None:
                 nxt = self.step[state][c] = self._move(state, c)
@@ -161,6 +193,20 @@ class LexiconAutomaton:
         return best
 
 
+    def terms_of(self, word: str) -> set[tuple[str, bool]]:
+        """Every term that the word spells or misspells (for learning; ``match`` is the fast way)."""
+        state, found = self.start, set()
+        for k in range(len(word) + 1):
+            for node, e in self.items[state]:
+                if 0 <= e <= self.stem_end[node]:
+                    found.add(self.term_at[node, True])
+                if k == len(word) and 0 <= e <= self.word_end[node]:
+                    found.add(self.term_at[node, False])
+            if k < len(word):
+                state = self._move(state, self._symbol(word[k]))
+        return found
+
+
 def evidence(text: str | None, automaton: LexiconAutomaton) -> tuple[float, float, bool, list[tuple[str, int, bool]]]:
     """The strongest hit's context score, the sum of all, whether all hits are misspelled, and the
     hits (word, edits, quoted)."""
@@ -183,8 +229,8 @@ def evidence(text: str | None, automaton: LexiconAutomaton) -> tuple[float, floa
     return min(strength, 1.0), amount, all(e for _, e in found), hits
 
 
-def _features(strength: np.ndarray, amount: np.ndarray, misspelled: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones_like(strength), strength, 1.0 - np.exp(-amount), misspelled.astype(float)], axis=-1)
+def _features(strength: np.ndarray, amount: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(strength), strength, 1.0 - np.exp(-amount)], axis=-1)
 
 
 # -- learning ------------------------------------------------------------------
@@ -233,35 +279,86 @@ def _tail(t: int, n: int, p: float) -> float:
     return math.exp(top) * sum(math.exp(v - top) for v in logs)
 
 
+def _held(wanted):
+    """(doc, term, near) of the wanted terms in each text: the first place of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, terms, near = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = [t for t in _TOKEN.findall((text or "").lower()) if t not in _QUOTES]
+                seen = set()
+                for term, i in _terms_of(tokens):
+                    if term in wanted.value and term not in seen:
+                        seen.add(term)
+                        docs.append(doc)
+                        terms.append(term)
+                        near.append(f"{tokens[i - 1] if i else ''} {tokens[i + 1] if i + 1 < len(tokens) else ''}")
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(terms, pa.string()), pa.array(near, pa.string())],
+                                             names=["doc", "term", "near"])
+
+    return run
+
+
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     """Terms (term, is stem) from a bounded sample (text, toxic)."""
-    spark = sample.sparkSession
+    broadcast = sample.sparkSession.sparkContext.broadcast
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    seed = [(t, False) for t in SEED]
     if not n_toxic or not n_clean:
-        return seed
+        return [(t, False) for t in SEED]
     rows = sample.filter("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, near string")
     support = rows.groupBy("term").agg(F.count_distinct("near").alias("t")).filter("t >= 3")
     toxic = {r["term"]: r["t"] for r in support.toLocalIterator()}  # bounded by the sample
-    counted = sample.filter("toxic = 0").select("text").mapInArrow(
-        _clean_terms(spark.sparkContext.broadcast(frozenset(toxic))), "term string, n long")
+    counted = sample.filter("toxic = 0").select("text").mapInArrow(_clean_terms(broadcast(frozenset([*toxic, *SEED]))), "term string, n long")
     clean = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     p = n_toxic / (n_toxic + n_clean)
-    chosen: list[tuple[int, str]] = []
-    stems: set[str] = set()
-    # stems from short to long, then words: a term that an accepted stem covers adds nothing
-    for term in sorted(toxic, key=lambda x: (x[-1] != "*", len(x), x)):
-        body = term.rstrip("*")
-        t, c = toxic[term], clean.get(term, 0)
-        if t / (t + c) < LEAST_PRECISION or any(body[:n] in stems for n in STEM_LENGTHS if n <= len(body)):
-            continue
-        if _tail(t, t + c, p) * len(toxic) < SIGNIFICANCE:
-            chosen.append((t, term))
-            if term[-1] == "*":
-                stems.add(body)
-    best = [term for _, term in sorted(chosen, key=lambda x: (-x[0], x[1]))[:MAX_TERMS]]
-    return sorted({*seed, *((x.rstrip("*"), x[-1] == "*") for x in best)})
+    precise = lambda t, c: t / (t + c) >= LEAST_PRECISION
+    significant = lambda t, c: _tail(t, t + c, p) * len(toxic) < SIGNIFICANCE
+    candidates = {x for x, t in toxic.items() if precise(t, clean.get(x, 0)) and significant(t, clean.get(x, 0))}
+    numbered = sample.filter("toxic = 1").select(F.monotonically_increasing_id().alias("doc"), "text")
+    places: dict[str, dict[int, str]] = {x: {} for x in candidates}
+    for r in numbered.mapInArrow(_held(broadcast(frozenset(candidates))), "doc long, term string, near string").toLocalIterator():
+        places[r["term"]][r["doc"]] = r["near"]
+    chosen, explained = [], set()
+    for term in sorted(candidates, key=lambda x: (-toxic[x], -len(x.rstrip("*")), x)):
+        left = {near for doc, near in places[term].items() if doc not in explained}
+        if len(left) >= 3 and significant(len(left), clean.get(term, 0)):
+            chosen.append((term.rstrip("*"), term[-1] == "*"))
+            explained.update(places[term])
+    seed = [t for t in SEED if clean.get(t, 0) < 3 or precise(toxic.get(t, 0), clean[t])]
+    return sorted({*chosen, *((t, False) for t in seed)})
+
+
+def _misspelt(lexicon: list[tuple[str, bool]]):
+    """(term, stem, n): texts with a misspelling of the term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, count, known = LexiconAutomaton(lexicon), Counter(), {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = set()
+                for w in set(_TOKEN.findall((text or "").lower())):
+                    if automaton.match(w) > 0:
+                        if w not in known:
+                            known[w] = automaton.terms_of(w)
+                        found |= known[w]
+                count.update(found)
+        keys = list(count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.bool_()), pa.array([count[k] for k in keys], pa.int64())],
+            names=["term", "stem", "n"])
+
+    return run
+
+
+def learn_exact(sample: DataFrame, lexicon: list[tuple[str, bool]]) -> frozenset[tuple[str, bool]]:
+    """The terms whose misspellings stand in more than CLEAN_SHARE of the clean texts: only their own
+    spelling counts."""
+    clean = sample.filter("toxic = 0").select("text")
+    counted = clean.mapInArrow(_misspelt(lexicon), "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    limit = CLEAN_SHARE * clean.count()
+    return frozenset((r["term"], r["stem"]) for r in counted.toLocalIterator() if r["n"] > limit)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -279,15 +376,16 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learn(labelled: DataFrame) -> dict:
-    """The model of rows (doc_id, text, toxic): lexicon and weights, from at most MAX_LEARN of them."""
+    """The model of rows (doc_id, text, toxic): lexicon, terms without misspellings and weights, from at
+    most MAX_LEARN rows."""
     sample = materialize(labelled.select("text", "toxic"), "toxicity_sample")
     lexicon = learn_lexicon(sample)
-    seen = _scored(sample, {"lexicon": lexicon, "weights": PRIOR}, ["toxic"]).select("_row.toxic", "strength", "amount", "misspelled")
-    rows = seen.toPandas()  # at most MAX_LEARN rows of four numbers
-    if rows.empty:
-        return {"lexicon": lexicon, "weights": PRIOR}
-    x = _features(rows["strength"].to_numpy(float), rows["amount"].to_numpy(float), rows["misspelled"].to_numpy(float))
-    return {"lexicon": lexicon, "weights": _fit(x, rows["toxic"].to_numpy(float))}
+    model = {"lexicon": lexicon, "exact": learn_exact(sample, lexicon), "weights": PRIOR}
+    rows = _scored(sample, model, ["toxic"]).select("_row.toxic", "strength", "amount").toPandas()  # at most MAX_LEARN rows of three numbers
+    if not rows.empty:
+        x = _features(rows["strength"].to_numpy(float), rows["amount"].to_numpy(float))
+        model["weights"] = _fit(x, rows["toxic"].to_numpy(float))
+    return model
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -295,7 +393,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     choice is the same on every run. The chosen ids (16 bytes each) are broadcast."""
     each = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     few = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LEARN)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 # -- scoring ---------------------------------------------------------------------
@@ -306,11 +405,11 @@ _HIT = pa.struct([("word", pa.string()), ("edits", pa.int32()), ("quoted", pa.bo
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        automaton, weights = LexiconAutomaton(m["lexicon"]), m["weights"]
+        automaton, weights = LexiconAutomaton(m["lexicon"], m.get("exact", frozenset())), m["weights"]
         for batch in batches:
             found = [evidence(t.as_py(), automaton) for t in batch.column(1)]
             strength, amount, misspelled = (np.array([f[k] for f in found]) for k in range(3))
-            score = 1.0 / (1.0 + np.exp(-np.clip(_features(strength, amount, misspelled) @ weights, -30, 30)))
+            score = 1.0 / (1.0 + np.exp(-np.clip(_features(strength, amount) @ weights, -30, 30)))
             hits = [[{"word": w, "edits": e, "quoted": q} for w, e, q in f[3]] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(strength, pa.float64()), pa.array(amount, pa.float64()), pa.array(misspelled, pa.bool_()),

@@ -80,3 +80,34 @@ def test_components_of_long_chain(spark):
     links = spark.range(200).selectExpr("id as a", "id + 1 as b").unionByName(spark.range(1).selectExpr("1000L as a", "900L as b"))
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 900, 900: 900}
+
+
+def test_no_text_goes_with_another_of_the_same_id(spark):
+    a, b = prose(501, 40), prose(502, 40)
+    near = lambda t: t + " one more"
+    cases = [
+        ([(3, a), (5, a), (5, b), (9, b)], {(3, a), (5, b)}),
+        ([(3, a), (5, near(a)), (5, b), (9, near(b))], {(3, a), (5, b)}),
+        ([(2, near(a)), (5, a), (5, b)], {(2, near(a)), (5, b)}),  # two classes with the same smallest id
+        ([(5, a), (5, b), (5, a), (6, "")], {(5, a), (5, b), (6, "")}),
+        ([(1, a), (5, a), (5, ""), (5, None), (None, a)], {(1, a), (5, ""), (5, None), (None, a)}),
+    ]
+    for rows, want in cases:
+        d = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), ["_id", "d1", "node", "_row", "_maybe", "b", "bits"])
+        kept = M.dedup_filter(d)
+        assert kept.columns == d.columns and {(r.doc_id, r.text) for r in kept.collect()} == want, rows
+        by_row = M.near_duplicates(d).collect()
+        assert len(by_row) == len(rows)
+
+
+def test_bitmap_never_misses(spark):
+    from scholarmetrics.llm.common import bitmap, has_bit, may_hold
+    import numpy as np
+
+    held = [0, 1, 7, 8, 32767, 32768, -1, 2**62, -(2**63), 123456789]
+    values = spark.createDataFrame([(v,) for v in held], "h long")
+    bits = bitmap(values, 26)
+    assert has_bit(bits, np.array(held, np.int64)).all() and np.unpackbits(bits).sum() == len({v % 2**26 for v in held})
+    asked = held + [2, 9, 40000, -2, None]
+    got = {r.k: r.hit for r in may_hold(spark.createDataFrame([(v,) for v in asked], "k long"), "k", values, 26, "hit").collect()}
+    assert got == {v: v is not None and v % 2**26 in {h % 2**26 for h in held} for v in asked}

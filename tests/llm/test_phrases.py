@@ -75,7 +75,7 @@ def test_pair_counts_merge(monkeypatch):
 def test_small_steps_and_full_bitmaps_change_nothing(spark, monkeypatch):
     rows, cfg = sample(4, 60), P.PhraseConfig(min_count=3)
     bits = np.full(1 << (P.PAIR_BITS - 3), 255, np.uint8)  # every word and pair may be frequent
-    monkeypatch.setattr(P, "_bitmap", lambda hashes, n: bits)
+    monkeypatch.setattr(P, "bitmap", lambda hashes, n: bits)
     got = P.collocations(spark.createDataFrame(rows, "lang string, text string"), cfg)
     assert sorted(map(tuple, got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == brute(rows, cfg)
 
