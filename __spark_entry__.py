@@ -250,7 +250,7 @@ def q_citation_ratios_sparse(spark, d):
 
 
 def q_subfield_rank(spark, d):
-    return _result(spark, d).select(
+    return R.subfield_rank(_run(spark, d).profile, CAREER).select(
         "author_id", "sm_subfield_1", "rank_sm_subfield_1_ws", "rank_sm_subfield_1_ns", "count_sm_subfield_1"
     )
 
@@ -276,15 +276,15 @@ def q_place_on_scale(spark, d):
 
 
 def q_subject_cutoffs(spark, d):
-    return _round(_run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "all")))
+    return _round(CO.subject_cutoffs(_run(spark, d).cutoffs, CAREER))
 
 
 def q_toplist_cutoffs(spark, d):
-    return _round(_run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "top")))
+    return _round(CO.toplist_cutoffs(_run(spark, d).cutoffs, CAREER))
 
 
 def q_toplist_above(spark, d):
-    return _run(spark, d).cutoffs.select("level", "subject", *CO._cols(CAREER, "above"))
+    return CO.toplist_above(_run(spark, d).cutoffs, CAREER)
 
 
 def q_cutoffs_lower(spark, d):
@@ -393,10 +393,7 @@ def q_csv_roundtrip(spark, d):
 
 
 def q_table_roundtrip(spark, d):
-    import uuid
-
-    db = f"sm_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{IO.scratch_path(spark, db)}'")
+    db = IO.scratch_database(spark)
     IO.drop_stage_tables(spark, db, ["temp_eligible"])
     r = _run(spark, d)
     IO.stage_table(spark, lambda: A.eligible_authors(r.authorship, CAREER), db, "temp_eligible", f"{CAREER.fingerprint()}|{r.inputs_key}")
@@ -412,10 +409,7 @@ def q_stage_reuse(spark, d):
 
 
 def q_latest_table(spark, d):
-    import uuid
-
-    db = f"sm_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{IO.scratch_path(spark, db)}'")
+    db = IO.scratch_database(spark)
     im = build_inputs(spark, d).inst_map
     im.withColumn("institution_id", F.col("institution_id") + 1000).write.saveAsTable(f"{db}.institution_affiliation_20200101")
     im.write.saveAsTable(f"{db}.institution_affiliation_20200506")

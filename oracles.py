@@ -306,6 +306,14 @@ LOG_NAMES = [f"l{k}_{v}" for v in ("ns", "ws") for k in ("nc", "h", "hm", "ncs",
 MAX_NAMES = [f"max_l{k}_{v}" for v in ("ws", "ns") for k in ("nc", "h", "hm", "ncs", "ncsf", "ncsfl")]
 
 
+# Published maxima of ln(x+1), career to 2019; with self-citations first, then without, in
+# the order nc, h, hm, ncs, ncsf, ncsfl.
+PUBLISHED_CAREER_MAXIMA = (
+    12.72619888417912, 5.645446897643238, 4.752253158267069, 11.933686327637512, 12.172588248212824, 12.284856099137546,
+    12.665956492066586, 5.594711379601839, 4.708950125153382, 11.933686327637512, 12.163478247897753, 12.27893734514078,
+)
+
+
 def r6(cols) -> str:
     return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
 
@@ -368,10 +376,7 @@ def base_oracles() -> dict[str, str]:
         "institution_dedupe": q(EDITION2017, "SELECT * FROM o_inst1", labels=True),
         "dup_check": q(c, "SELECT eid, auid, count(*) AS n FROM o_auth GROUP BY eid, auid HAVING count(*) > 1"),
     }
-    from scholarmetrics.operators.score import PUBLISHED_MAXIMA
-
-    vals = PUBLISHED_MAXIMA["career_2019"]
-    fixed = ", ".join(f"CAST({v!r} AS DOUBLE) AS {n}" for v, n in zip(vals, MAX_NAMES))
+    fixed = ", ".join(f"CAST({v!r} AS DOUBLE) AS {n}" for v, n in zip(PUBLISHED_CAREER_MAXIMA, MAX_NAMES, strict=True))
     d["composite_fixed_max"] = with_fixtures(
         *[f"o_max AS (SELECT {fixed})" if x.startswith("o_max AS") else x for x in metric_ctes(c)],
         select="SELECT auid, round(c_ns, 6) AS c_ns, round(c_ws, 6) AS c_ws FROM o_scored",
@@ -475,10 +480,19 @@ def cutoff_ctes(cfg) -> list[str]:
     ]
 
 
-def cut_cols(cfg, kind: str) -> list[str]:
-    from scholarmetrics.operators.cutoffs import _cols
+# The cut-off columns of the 2020 edition, written out.
+CUT_COLS = {
+    "all": """auth auth_top_ns auth_top auth_in_top_list cites_25 cites_50 cites_75 cites_90 cites_95 cites_99
+              c_25 c_50 c_75 c_90 c_95 c_99 selfp_95 selfp_99 cprat_95 cprat_99 cprat_ns_95 cprat_ns_99""".split(),
+    "top": """top_list_selfp_95 top_list_selfp_99 top_list_cprat_95 top_list_cprat_99
+              top_list_cprat_ns_95 top_list_cprat_ns_99""".split(),
+    "above": """auth_in_top_list_selfp_95 auth_in_top_list_selfp_99 auth_in_top_list_cprat_95 auth_in_top_list_cprat_99
+                auth_in_top_list_cprat_ns_95 auth_in_top_list_cprat_ns_99""".split(),
+}
+
 
-    return _cols(cfg, kind)
+def cut_cols(cfg, kind: str) -> list[str]:
+    return CUT_COLS[kind]
 
 
 def lower_ctes(cfg) -> list[str]:
@@ -534,23 +548,29 @@ def report_select() -> str:
     return ", ".join(f'{e} AS "{label}"' for label, e in PUBLISHED_REPORT.items())
 
 
-def publish_sql(cfg, where: str = "") -> str:
-    from scholarmetrics.plans.publish import publish_names
+# The 2020-edition layout, label by label ({y1}, {y2}, {y3}: the run's years).
+PUBLISHED_2020 = {
+    "author_id": "author_id", "authfull": "replace(authfull, '\"', '')", "inst_name": "replace(inst_name, '\"', '')", "cntry": "cntry",
+    "np{y1}{y3}": "np", "firstyr": "firstyr", "lastyr": "lastyr",
+    "rank (ns)": "rank_ns", "nc{y2}{y3} (ns)": "nc_ns", "h{y3} (ns)": "h_ns", "hm{y3} (ns)": "round(hm_ns, 6)", "nps (ns)": "nps",
+    "ncs (ns)": "ncs_ns", "cpsf (ns)": "npsf", "ncsf (ns)": "ncsf_ns", "npsfl (ns)": "npsfl", "ncsfl (ns)": "ncsfl_ns",
+    "c (ns)": "round(c_ns, 6)", "npciting (ns)": "ncp_ns", "cprat (ns)": "round(cprat_ns, 6)", "np{y1}{y3} cited{y2}{y3} (ns)": "npc_ns",
+    "self%": pct_sql("nc_ws - nc_ns", "nc_ws", " %"),
+    "rank": "rank_ws", "nc{y2}{y3}": "nc_ws", "h{y3}": "h_ws", "hm{y3}": "round(hm_ws, 6)", "nps": "nps",
+    "ncs": "ncs_ws", "cpsf": "npsf", "ncsf": "ncsf_ws", "npsfl": "npsfl", "ncsfl": "ncsfl_ws",
+    "c": "round(c_ws, 6)", "npciting": "ncp_ws", "cprat": "round(cprat_ws, 6)", "np{y1}{y3} cited{y2}{y3}": "npc_ws",
+    "np{y1}{y3}_d": "np_d", "nc{y2}{y3}_d": "nc_d",
+    "sm-subfield-1": "sm_subfield_1", "sm-subfield-1-frac": "round(sm_subfield_1_frac, 6)",
+    "sm-subfield-2": "sm_subfield_2", "sm-subfield-2-frac": "round(sm_subfield_2_frac, 6)",
+    "sm-field": "sm_field", "sm-field-frac": "round(sm_field_frac, 6)",
+    "rank sm-subfield-1": "rank_sm_subfield_1_ws", "rank sm-subfield-1 (ns)": "rank_sm_subfield_1_ns",
+    "sm-subfield-1 count": "count_sm_subfield_1",
+}
 
-    special = {
-        "strip:authfull": "replace(authfull, '\"', '')",
-        "strip:inst_name": "replace(inst_name, '\"', '')",
-        "self_pct": pct_sql("nc_ws - nc_ns", "nc_ws", " %"),
-    }
-    doubles = {"hm_ns", "hm_ws", "c_ns", "c_ws", "cprat_ns", "cprat_ws", "sm_subfield_1_frac", "sm_subfield_2_frac", "sm_field_frac"}
-    cols = []
-    for label, src in publish_names(cfg):
-        if src in special:
-            e = special[src]
-        else:
-            e = f"round({src}, 6)" if src in doubles else src
-        cols.append(f'{e} AS "{label}"')
-    return f"SELECT {', '.join(cols)} FROM o_res {where}"
+
+def publish_sql(cfg, where: str = "") -> str:
+    years = {"y1": cfg.y1, "y2": cfg.y2, "y3": cfg.y3}
+    return "SELECT " + ", ".join(f'{e} AS "{label.format(**years)}"' for label, e in PUBLISHED_2020.items()) + f" FROM o_res {where}"
 
 
 # The 2017-edition layout, label by label ({n}: the run's years).

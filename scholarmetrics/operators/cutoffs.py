@@ -118,20 +118,20 @@ def _cols(cfg: Config, kind: str) -> list[str]:
     return [f"auth_in_top_list_{n}_{_pct(p)}" for n in ("selfp", "cprat", "cprat_ns") for p in cfg.ratio_percentiles]
 
 
-def subject_cutoffs(res: DataFrame, cfg: Config) -> DataFrame:
-    """Authors, top-N counts, cites and c at the percentiles, self-share and
+def subject_cutoffs(cut: DataFrame, cfg: Config) -> DataFrame:
+    """Of a ``cutoff_table``: authors, top-N counts, cites and c at the percentiles, self-share and
     cites-per-citing-paper at the ratio percentiles, per field, subfield and total."""
-    return cutoff_table(res, cfg).select("level", "subject", *_cols(cfg, "all"))
+    return cut.select("level", "subject", *_cols(cfg, "all"))
 
 
-def toplist_cutoffs(res: DataFrame, cfg: Config) -> DataFrame:
-    """The ratio cut-offs computed inside the top list only."""
-    return cutoff_table(res, cfg).select("level", "subject", *_cols(cfg, "top"))
+def toplist_cutoffs(cut: DataFrame, cfg: Config) -> DataFrame:
+    """Of a ``cutoff_table``: the ratio cut-offs computed inside the top list only."""
+    return cut.select("level", "subject", *_cols(cfg, "top"))
 
 
-def toplist_above(res: DataFrame, cfg: Config) -> DataFrame:
-    """Top-listed authors at or above each top-list cut-off."""
-    return cutoff_table(res, cfg).select("level", "subject", *_cols(cfg, "above"))
+def toplist_above(cut: DataFrame, cfg: Config) -> DataFrame:
+    """Of a ``cutoff_table``: top-listed authors at or above each top-list cut-off."""
+    return cut.select("level", "subject", *_cols(cfg, "above"))
 
 
 # ---- 2017 (lower-bound form) ---------------------------------------------------------

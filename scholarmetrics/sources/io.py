@@ -154,6 +154,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _SCRATCH: list[str] = []  # scratch folders made by this process
 _TABLES: list[str] = []  # scratch tables of this process
+_DATABASES: list[str] = []  # and scratch databases
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -163,11 +164,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
+def scratch_database(spark: SparkSession) -> str:
+    """A fresh catalog database in the shared folder, dropped by ``release_scratch``."""
+    db = f"sm_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_path(spark, db)}'")
+    _DATABASES.append(db)
+    return db
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete this process's scratch folders (at the end of a run, when no frame reads them any
     more) and return their number. Stages stay: they are there to be reused."""
     while _TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _DATABASES:
+        spark.sql(f"DROP DATABASE IF EXISTS {_DATABASES.pop()} CASCADE")
     done = 0
     while _SCRATCH:
         fs, p = _hadoop_fs(spark, _SCRATCH.pop())

@@ -1,7 +1,5 @@
 """Plans of the ranked results with the default configuration, and safe stage reuse."""
 
-import uuid
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,8 +65,7 @@ def test_stage_keys_hold_what_the_stage_depends_on(spark):
 
 
 def test_catalog_stage_follows_its_key(spark):
-    db = f"t_{uuid.uuid4().hex[:10]}"
-    spark.sql(f"CREATE DATABASE {db} LOCATION '{IO.scratch_path(spark, db)}'")
+    db = IO.scratch_database(spark)
     try:
         build = lambda n: IO.stage_table(spark, lambda: spark.range(n), db, "t", f"key-{n}")
         assert build(3).count() == 3 and build(7).count() == 7
@@ -78,6 +75,18 @@ def test_catalog_stage_follows_its_key(spark):
         spark.sql(f"DROP DATABASE {db} CASCADE")
 
 
+def test_scratch_tables_and_databases_are_dropped(spark, monkeypatch):
+    for name in ("_SCRATCH", "_TABLES", "_DATABASES"):
+        monkeypatch.setattr(IO, name, [])
+    db = IO.scratch_database(spark)
+    spark.range(3).write.saveAsTable(f"{db}.t")
+    own = IO.write_buckets(spark.range(5), "own", "id")
+    assert own.count() == 5 and spark.catalog.databaseExists(db)
+    table = IO._TABLES[0]
+    IO.release_scratch(spark)
+    assert not spark.catalog.databaseExists(db) and not spark.catalog.tableExists(table)
+
+
 def test_no_shared_folder_is_an_error_on_a_cluster(monkeypatch):
     class Context:
         master = "yarn"

@@ -39,7 +39,7 @@ def test_composite_range_and_ranks(res):
 
 
 def test_cutoffs_monotone(res, spark):
-    cut = CO.subject_cutoffs(res, CAREER).collect()
+    cut = CO.subject_cutoffs(CO.cutoff_table(res, CAREER), CAREER).collect()
     for r in cut:
         vals = [r[f"cites_{p}"] for p in ("25", "50", "75", "90", "95", "99") if r[f"cites_{p}"] is not None]
         assert vals == sorted(vals)
