@@ -324,6 +324,7 @@ def _linked(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
     shared = broadcast(bitmap(twice, KEY_BITS))
     keyed = nodes.select("node", "bands").mapInArrow(releasing(_shared_keys(shared)), "rep long, key long")
     members = materialize(keyed.join(twice, "key", "left_semi"), "members")
+    shared.unpersist()
     mine = materialize(
         nodes.select("node", "doc_id", "d1", "d2").join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "candidates")
     held = broadcast(bitmap(mine.select("doc_id"), NODE_BITS))
@@ -331,6 +332,7 @@ def _linked(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
         releasing(_candidate_texts(held, cfg.words)), "doc_id long, d1 long, d2 long, text string")
     same = ["doc_id", "d1", "d2"]
     texts = materialize(texts.dropDuplicates(same).join(mine, same).select("node", "text"), "candidate_texts")
+    held.unpersist()
 
     tested, labels, rounds = None, None, 0
     left = _unsettled(members, None)
@@ -387,21 +389,20 @@ def _with_digest(columns: list[str], k: int):
 
 def dedup_filter(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     """``docs`` without the rows whose doc_id is not the smallest of their component. A doc_id with a row
-    that goes and another that stays is told apart by the sets of its rows. Only rows whose
-    doc_id a bitmap of the removed ones may hold are shuffled."""
+    that goes and another that stays is told apart by the sets of its rows."""
     gone = materialize(
         _linked(docs, cfg).filter(F.col("component") != F.col("doc_id")).select(F.col("doc_id").alias("_id"), "d1", "d2").distinct(), "removed")
     ids = gone.select("_id").distinct()
     rows = packed(docs).select("_row", F.col("_row.doc_id").cast("long").alias("_id"))
+    kept = rows.join(ids, "_id", "left_anti").select("_row")
     several = materialize(
         rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id").join(ids, "_id", "left_semi"), "repeated_ids")
-    rows = may_hold(rows, "_id", ids, NODE_BITS, "_maybe")
-    kept = rows.filter(~F.col("_maybe")).select("_row").unionByName(
-        rows.filter(F.col("_maybe")).join(ids, "_id", "left_anti").select("_row"))
-    again = rows.filter(F.col("_maybe")).join(several, "_id", "left_semi").select("_row", "_id", F.col("_row.text").alias("_text"))
-    schema = again.select("_row", "_id").schema.add("d1", "long").add("d2", "long")
-    told = again.mapInArrow(releasing(_with_digest(["_row", "_id", "d1", "d2"], cfg.words)), schema)
-    return kept.unionByName(told.join(gone, ["_id", "d1", "d2"], "left_anti").select("_row")).select(*unpacked(docs, docs.columns))
+    if not several.isEmpty():
+        again = rows.join(several, "_id", "left_semi").select("_row", "_id", F.col("_row.text").alias("_text"))
+        schema = again.select("_row", "_id").schema.add("d1", "long").add("d2", "long")
+        told = again.mapInArrow(releasing(_with_digest(["_row", "_id", "d1", "d2"], cfg.words)), schema)
+        kept = kept.unionByName(told.join(gone, ["_id", "d1", "d2"], "left_anti").select("_row"))
+    return kept.select(*unpacked(docs, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
