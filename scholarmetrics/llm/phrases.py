@@ -41,7 +41,7 @@ from .common import Numbered, bitmap, has_bit, materialize, releasing, table
 
 PAIR_BITS = 26  # a bitmap of 8 MB
 STEP_BYTES = 1 << 19  # text counted at a time
-KNOWN = 400_000  # distinct words that a task holds
+KNOWN = 120_000  # distinct words of a language that a task holds
 PENDING = 1 << 19  # distinct pairs that a task holds
 
 # Signs that end a piece; every other character but space and tab belongs to a word.
