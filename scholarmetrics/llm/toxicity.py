@@ -28,7 +28,7 @@ seed lexicon applies where labels do not speak against it.
 Defined results: null or empty text has no hits, hence the score of no evidence; very long
 texts are scored whole; repeated rows are scored each; labels that repeat a doc_id count once
 (toxic if any says so), and of rows that repeat a doc_id the least text is learnt; null
-labels are not learnt; equal support goes to the longer term, then by spelling; an empty table
+labels are not learnt; an empty table
 gives an empty result; other columns pass through inside ``_row`` and never clash.
 """
 
@@ -52,7 +52,7 @@ STEM_LENGTHS = range(6, 9)  # shorter stems are whole words of innocent texts to
 LEAST_LENGTH = 4
 LEAST_PRECISION = 0.97
 SIGNIFICANCE = 0.01
-CLEAN_SHARE = 0.001
+CLEAN_SHARE = 0.0005
 MEMO = 400_000  # words remembered by a task; the memo starts anew when full
 STATES = 200_000  # states of the automaton that a task holds
 UNUSED, OTHER = "\0", "\1"  # letters of no term, and characters that are no letters
@@ -279,27 +279,6 @@ def _tail(t: int, n: int, p: float) -> float:
     return math.exp(top) * sum(math.exp(v - top) for v in logs)
 
 
-def _held(wanted):
-    """(doc, term, near) of the wanted terms in each text: the first place of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, terms, near = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = [t for t in _TOKEN.findall((text or "").lower()) if t not in _QUOTES]
-                seen = set()
-                for term, i in _terms_of(tokens):
-                    if term in wanted.value and term not in seen:
-                        seen.add(term)
-                        docs.append(doc)
-                        terms.append(term)
-                        near.append(f"{tokens[i - 1] if i else ''} {tokens[i + 1] if i + 1 < len(tokens) else ''}")
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(terms, pa.string()), pa.array(near, pa.string())],
-                                             names=["doc", "term", "near"])
-
-    return run
-
-
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     """Terms (term, is stem) from a bounded sample (text, toxic)."""
     broadcast = sample.sparkSession.sparkContext.broadcast
@@ -315,17 +294,15 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     p = n_toxic / (n_toxic + n_clean)
     precise = lambda t, c: t / (t + c) >= LEAST_PRECISION
     significant = lambda t, c: _tail(t, t + c, p) * len(toxic) < SIGNIFICANCE
-    candidates = {x for x, t in toxic.items() if precise(t, clean.get(x, 0)) and significant(t, clean.get(x, 0))}
-    numbered = sample.filter("toxic = 1").select(F.monotonically_increasing_id().alias("doc"), "text")
-    places: dict[str, dict[int, str]] = {x: {} for x in candidates}
-    for r in numbered.mapInArrow(_held(broadcast(frozenset(candidates))), "doc long, term string, near string").toLocalIterator():
-        places[r["term"]][r["doc"]] = r["near"]
-    chosen, explained = [], set()
-    for term in sorted(candidates, key=lambda x: (-toxic[x], -len(x.rstrip("*")), x)):
-        left = {near for doc, near in places[term].items() if doc not in explained}
-        if len(left) >= 3 and significant(len(left), clean.get(term, 0)):
-            chosen.append((term.rstrip("*"), term[-1] == "*"))
-            explained.update(places[term])
+    chosen, stems = [], set()
+    # stems from short to long, then words: a term that an accepted stem covers adds nothing
+    for term in sorted(toxic, key=lambda x: (x[-1] != "*", len(x), x)):
+        body, t, c = term.rstrip("*"), toxic[term], clean.get(term, 0)
+        if not precise(t, c) or any(body[:n] in stems for n in STEM_LENGTHS if n <= len(body)) or not significant(t, c):
+            continue
+        chosen.append((body, term[-1] == "*"))
+        if term[-1] == "*":
+            stems.add(body)
     seed = [t for t in SEED if clean.get(t, 0) < 3 or precise(toxic.get(t, 0), clean[t])]
     return sorted({*chosen, *((t, False) for t in seed)})
 

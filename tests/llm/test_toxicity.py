@@ -101,14 +101,6 @@ def test_terms_of_names_the_terms_behind_a_match():
     assert (b.match("looser"), b.match("loser"), b.match("idi0t"), b.match("1diot"), b.match("idiots")) == (-1, 0, 1, 1, 1)
 
 
-def test_words_beside_the_terms_are_not_learnt(spark):
-    # "gossamer" stands in many toxic texts, always beside a term that explains them
-    rows = [(prose(i, 40) + f" grobian {prose(i + 50, 1)} gossamer " + prose(i + 900, 9), 1) for i in range(40)]
-    rows += [(prose(i, 40) + " grobian " + prose(i + 900, 9), 1) for i in range(40, 80)] + [(prose(i, 60), 0) for i in range(1000, 1400)]
-    lexicon = X.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
-    assert ("grobian", False) in lexicon and not any(t.startswith("gossam") for t, _ in lexicon)
-
-
 def test_model_learnt_from_the_tables(spark):
     """The model of the given labels catches misspelled abuse, and neither quotations nor innocent words."""
     sf = SF_SMALL.replace("0.001", "0.01")
