@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import is_core
+from ..functions import as_long_ids, is_core
 from .citations import flag_members
 
 
@@ -34,11 +34,13 @@ def authorship(
     ``n_authors`` counts every slot of the paper, placeholders included; a
     repeated author keeps both slots, and ``repeats`` marks the papers that have one.
     """
-    # only two fields of the author structs travel through the joins; built from the
+    # only two flat lists of the author structs travel through the joins; built from the
     # nested columns so the parquet reader prunes the rest (names, initials)
     papers = pubs.filter(F.col("year") <= cfg.max_year).select(
         "eid", "year", "publication_type", F.col("source.srcid").alias("srcid"),
-        F.arrays_zip(F.col("au.auid").alias("auid"), F.col("au.authorseq").alias("authorseq")).alias("au"),
+        F.size("au").cast("int").alias("n_authors"),
+        (F.size(F.array_distinct("au.auid")) < F.size("au")).alias("repeats"),
+        as_long_ids("au.auid").alias("_auids"), F.col("au.authorseq").alias("_seqs"),
     )
     papers = flag_members(papers, "srcid", disc, "is_disc_source")
     papers = papers.join(cites, "eid", "left")
@@ -48,16 +50,16 @@ def authorship(
     extra = [c for c in papers.columns if c not in given]
     slots = papers.select(
         "eid", "year", "publication_type", "srcid", "is_disc_source",
-        F.size("au").cast("int").alias("n_authors"),
+        "n_authors",
         F.coalesce("n_cit", F.lit(0)).cast("long").alias("cites_ws"),
         F.coalesce("n_cit_ns", F.lit(0)).cast("long").alias("cites_ns"),
         F.coalesce("n_cit_disc", F.lit(0)).cast("long").alias("cites_disc"),
-        (F.size(F.array_distinct("au.auid")) < F.size("au")).alias("repeats"),
+        "repeats",
         *extra,
-        F.explode("au").alias("a"),
+        F.explode(F.arrays_zip(F.col("_auids").alias("auid"), F.col("_seqs").alias("authorseq"))).alias("a"),
     )
     return (
-        slots.withColumns({"auid": F.col("a.auid").try_cast("long"), "authorseq": F.col("a.authorseq")})
+        slots.withColumns({"auid": F.col("a.auid"), "authorseq": F.col("a.authorseq")})
         .drop("a")
         .filter(valid_author("auid", cfg))
     )
@@ -76,8 +78,10 @@ def eligible_authors(auth: DataFrame, cfg: Config) -> DataFrame:
 
 
 def eligible_slots(auth: DataFrame, cfg: Config) -> DataFrame:
-    """Authorship rows of eligible authors (semi-join, no columns added)."""
-    return auth.join(eligible_authors(auth, cfg).select("auid"), "auid", "left_semi")
+    """Authorship rows of the ``eligible_authors`` (no columns added). An author's core slots are counted
+    beside its rows, so ``auth`` is computed and shuffled once; a long group spills."""
+    n_core = F.count(F.when(is_core("publication_type", cfg), F.col("eid"))).over(Window.partitionBy("auid"))
+    return auth.withColumn("_n_core", n_core).filter(F.col("_n_core") >= cfg.min_core_papers).drop("_n_core")
 
 
 def dup_check(df: DataFrame, key: list[str] | str) -> DataFrame:

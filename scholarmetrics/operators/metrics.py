@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import in_span
-from ..sources.io import write_buckets
+from ..sources.io import bucket_count, write_buckets
 
 # hm compares a running sum of 1/n_authors with an integer; rounding the sum
 # keeps floating noise (1/3 + 1/3 + 1/3 != 1) from flipping the comparison
 SUM_DIGITS = 9
 # authors with at least 1 / HOT_SHARE of all slots, so at most HOT_SHARE of them, are dealt to SALTS partitions
 HOT_SHARE, SALTS = 1000, 64
+PAIR_TASKS = 4  # tasks of (author, citing paper) pairs per bucket of authors
 
 
 def citation_histogram(auth: DataFrame) -> DataFrame:
@@ -102,7 +103,9 @@ def _by_paper(auth: DataFrame, settled: DataFrame) -> DataFrame:
         "auid", "eid", "cites_ns", "cites_ws", (F.lit(1.0) / F.col("n_authors")).alias("w"),
         F.when(is_hot, F.pmod(F.xxhash64("eid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"))
     cites = lambda x: F.when(x["kind"].endswith("ns"), F.col("cites_ns")).otherwise(F.col("cites_ws"))
-    rows = papers.join(wanted, ["auid", "salt"]).select(
+    # without hot authors the sides meet where their tables hold them
+    met = papers.join(wanted, ["auid", "salt"]) if hot else papers.drop("salt").join(wanted, "auid")
+    rows = met.select(
         "auid", "salt", "eid", "w", F.explode(F.filter("wants", lambda x: x["c"] == cites(x))).alias("x")
     ).select("auid", "salt", "eid", F.col("x.kind").alias("kind"), F.col("x.c").alias("c"), F.col("x.start").alias("start"),
              F.when(F.col("x.kind").startswith("h"), F.lit(1.0)).otherwise(F.col("w")).alias("w"))
@@ -190,14 +193,23 @@ def citing_papers(auth: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct papers citing any of the author's papers (ws), and those with at
     least one non-self citation to them (ns). Deduplicated by (author, citing
     paper) aggregation rather than per-author id arrays; bitmaps of the ids were
-    measured and move more bytes, since an author's citing papers lie far apart."""
+    measured and move more bytes, since an author's citing papers lie far apart.
+
+    The pairs are dealt by author before they are aggregated (hardly any two of a task are
+    equal, so a map-side pass would only fill its memory), and an author's counts come from
+    one task; those of an author with a large share of all slots from ``SALTS`` tasks."""
     e = edges.select(F.col("cited").alias("eid"), "citing", "is_self")
-    pairs = (
-        auth.select("auid", "eid")
-        .join(e, "eid")
-        .groupBy("auid", "citing")
-        .agg(F.max(1 - F.col("is_self")).alias("ns"))
-    )
+    per_author = auth.groupBy("auid").agg(F.count(F.lit(1)).alias("n"))
+    total = auth.count()
+    hot = [r["auid"] for r in per_author.filter(F.col("n") * HOT_SHARE >= total).select("auid").collect()]  # at most HOT_SHARE
+    pairs = auth.select("auid", "eid").join(e, "eid").select("auid", "citing", (1 - F.col("is_self")).alias("ns"))
+    dealt = ["auid"]
+    if hot:
+        salt = F.pmod(F.xxhash64("citing"), F.lit(SALTS)).cast("int")
+        pairs = pairs.withColumn("salt", F.when(F.col("auid").isin(hot), salt).otherwise(F.lit(0)))
+        dealt.append("salt")
+    # a multiple of the buckets: each task holds authors of one bucket, and a small table of pairs
+    pairs = pairs.repartition(PAIR_TASKS * bucket_count(auth.sparkSession), *dealt).groupBy(*dealt, "citing").agg(F.max("ns").alias("ns"))
     return pairs.groupBy("auid").agg(
         F.count(F.lit(1)).alias("ncp_ws"), F.sum("ns").cast("long").alias("ncp_ns")
     )

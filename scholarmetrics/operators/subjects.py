@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import is_core, ratio
-from ..sources.io import write_once
+from ..sources.io import write_buckets
 
 
 def with_paper_subject(papers: DataFrame, smc: DataFrame, cfg: Config) -> DataFrame:
@@ -57,8 +57,9 @@ def _volume(counts: DataFrame, key: str) -> DataFrame:
     """The same from counts ``n`` per author and (at least) ``key``."""
     mine = counts.groupBy("auid", key).agg(F.sum("n").alias("n_author"))
     overall = counts.groupBy(key).agg(F.sum("n").alias("n_overall"))
-    # one row per subject (bounded by the classification); AQE broadcasts it by measured size
-    o = overall.select(F.col(key).alias("_k"), "n_overall")
+    # one row per subject, so the classification bounds the broadcast; a join that is planned as a
+    # shuffle first would deal every author's counts to a few subjects
+    o = F.broadcast(overall.select(F.col(key).alias("_k"), "n_overall"))
     return mine.join(o, mine[key].eqNullSafe(o["_k"]), "left").drop("_k")
 
 
@@ -80,9 +81,9 @@ def author_subjects(
     the author's classified slots (slots with a field). Subjects are assigned only
     with at least ``min_classified`` classified slots; a fraction is NULL where its
     subject is NULL."""
-    # slots per (author, subfield, field), written once: all five aggregates read these few rows
-    # and not the authorship fact
-    counts = write_once(auth.groupBy("auid", subfield, field).agg(F.count(F.lit(1)).alias("n")), "subject_counts")
+    # slots per (author, subfield, field), written once by author: all five aggregates read these few
+    # rows and not the authorship fact, and only those per subject shuffle
+    counts = write_buckets(auth.groupBy("auid", subfield, field).agg(F.count(F.lit(1)).alias("n")), "subject_counts", "auid")
     classified = counts.groupBy("auid").agg(F.sum(F.when(F.col(field).isNotNull(), F.col("n")).otherwise(0)).alias("n_classified"))
     sf = _ranked(counts, subfield).groupBy("auid").agg(
         F.max(F.when(F.col("r") == 1, F.col(subfield))).alias("sf1"),

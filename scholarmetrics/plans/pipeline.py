@@ -7,8 +7,8 @@ authorship, author metrics, profile, ranked result) are written as parquet to
 the shared folder and read back, which cuts the lineage between them and lets
 every report reuse them. A stage is keyed by the identity of the inputs and by
 exactly the parameters that it depends on. The tables with one row per author (names,
-affiliation, metrics, profile) are bucketed and sorted by author id: the author store, whose
-tables join without a shuffle.
+affiliation, metrics, profile) and the author slots are bucketed and sorted by author id: the
+author store, whose tables join and aggregate by author without a shuffle.
 """
 
 from __future__ import annotations
@@ -109,15 +109,19 @@ class Run:
             return found.drop("subfield", "field")
         return SJ.with_paper_subject(papers, self.inputs.smc, self.cfg)
 
+    def _authorship(self) -> DataFrame:
+        return A.authorship(self.pubs, self.cites, self.disc, self.cfg, self._with_subjects)
+
     @cached_property
     def authorship(self) -> DataFrame:
-        """The authorship fact, staged: eligibility reads it twice."""
-        return self._maybe_stage(
-            "authorship_fact", lambda: A.authorship(self.pubs, self.cites, self.disc, self.cfg, self._with_subjects), FACT)
+        """The authorship fact of all authors, staged by author."""
+        return self._maybe_stage("authorship_fact", self._authorship, FACT, by="auid")
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return self._maybe_stage("authorship", lambda: A.eligible_slots(self.authorship, self.cfg), AUTHORSHIP)
+        """The slots of eligible authors, staged by author: they are shuffled once, on the way from the
+        papers, and all aggregates by author read them where they are."""
+        return self._maybe_stage("authorship", lambda: A.eligible_slots(self._authorship(), self.cfg), AUTHORSHIP, by="auid")
 
     @cached_property
     def subjects(self) -> DataFrame:

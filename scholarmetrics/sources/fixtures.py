@@ -188,8 +188,9 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
     outside = orders.filter(F.col("o_orderkey") % 5 == 0).select(
         F.col("o_orderkey").alias("citing"), (F.col("o_orderkey") + OUTSIDE_ID_BASE).alias("cited")
     )
+    # dealt by the citing paper once: duplicates meet there, and its list is made there
     refs = (
-        by_offset.unionByName(same_author).unionByName(outside).distinct()
+        by_offset.unionByName(same_author).unionByName(outside).repartition("citing").distinct()
         .groupBy("citing")
         .agg(F.collect_list("cited").alias("r"))
         # every reference listed twice, as duplicated reference lists occur in the source

@@ -1,6 +1,7 @@
 """Metrics from mergeable parts, and the author store: joins by author move nothing."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,8 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from scholarmetrics.operators import authorship as A
 from scholarmetrics.operators import metrics as M
 from scholarmetrics.operators import ranking as R
+from scholarmetrics.operators import subjects as SJ
 from scholarmetrics.plans.pipeline import Run
 from scholarmetrics.sources import io as IO
 from scholarmetrics.sources.fixtures import CAREER, build_inputs
@@ -124,6 +127,28 @@ def test_author_metrics_and_profile_join_without_a_shuffle(spark, no_broadcast):
     assert "SortMergeJoin" in plan(profile) and "Exchange" not in plan(profile)
 
 
+def test_author_slots_are_shuffled_once(spark, no_broadcast):
+    r = E._run(spark, SF_SMALL)
+    by_author = (M.author_volume(r.eligible, CAREER), M.author_positions(r.eligible), M.citation_histogram(r.eligible))
+    assert all("Exchange" not in plan(df) for df in by_author)
+    assert "hashpartitioning(auid" not in plan(SJ.author_subjects(r.eligible, CAREER))
+    # pairs are dealt by author, without a map-side table of them
+    assert not re.search(r"hashpartitioning\(auid#\d+L?, citing", plan(M.citing_papers(r.eligible, r.edges)))
+
+
+def test_references_are_dealt_by_paper_once(spark, no_broadcast):
+    assert not re.search(r"hashpartitioning\(citing#\d+L?, cited", plan(build_inputs(spark, SF_SMALL, materialize=False).corpus))
+
+
+def test_eligible_slots_are_those_of_eligible_authors(spark):
+    rows = [(a, 10 * a + e, "ar" if e < a else "ed", 2000) for a in range(9) for e in range(8)] + [(5, None, "ar", 2000)] * 3
+    auth = spark.createDataFrame(rows + rows[:3], "auid long, eid long, publication_type string, year int")
+    want = auth.join(A.eligible_authors(auth, CAREER).select("auid"), "auid", "left_semi")
+    got = A.eligible_slots(auth, CAREER)
+    assert got.columns == auth.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*auth.columns).collect())) and got.count() < auth.count()
+
+
 def test_bucketed_stage_is_found_by_a_new_session(spark, tmp_path):
     build = lambda: spark.range(100).select((F.col("id") % 10).alias("auid"), F.struct("id", F.lit("a").alias("t")).alias("s"))
     first = IO.stage(spark, build, "t", "k", base=str(tmp_path), by="auid")
