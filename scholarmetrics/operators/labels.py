@@ -3,6 +3,9 @@
 Every "best record per author" choice is a ``max_by`` over a struct of sort
 keys inside ``groupBy(auid)``: a partial (map-side) aggregation, so a prolific
 author is reduced before the shuffle instead of being sorted in one task.
+
+An affiliation comes from an author's last records alone. Their dates are found first, from two
+narrow columns, and a bitmap of a fixed size drops most earlier records before any label moves.
 """
 
 from __future__ import annotations
@@ -10,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.membership import may_hold
+
+BITS = 26  # the bitmap that selects an author's last records: 8 MB
 
 
 def latest_per_key(df: DataFrame, key: list[str] | str, order: list, cols: list[str]) -> DataFrame:
@@ -72,6 +78,14 @@ def _own_links(pubs: DataFrame) -> DataFrame:
     )
 
 
+def _last(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` without most of those below their author's greatest ``by`` (NULL is the smallest). All rows
+    of the greatest are kept; some others pass the bitmap, so a choice by ``by`` first must follow."""
+    last = rows.groupBy("auid").agg(F.max(by).alias(by))
+    found = may_hold(rows.withColumn("_h", F.xxhash64("auid", by)), "_h", last.select(F.xxhash64("auid", by).alias("h")), BITS, "_in")
+    return found.filter("_in").drop("_h", "_in")
+
+
 def author_affiliation(pubs: DataFrame, ipr: DataFrame) -> DataFrame:
     """2019: the affiliation an author used most often in the last year with a
     usable affiliation (ties: latest date, then a missing id, then the lowest); name and country from
@@ -82,16 +96,15 @@ def author_affiliation(pubs: DataFrame, ipr: DataFrame) -> DataFrame:
         & F.col("aff.affiliation_organization").isNotNull()
         & (F.size("aff.affiliation_organization") > 0)
     )
-    per_afid = rows.groupBy("auid", "year", F.col("aff.afid").alias("affil_id")).agg(
+    # dealt by author once: both aggregates find an author's rows in one partition
+    rows = _last(rows, "year").select(
+        "auid", "year", "datesort", "eid", F.col("a.authorseq").alias("authorseq"), F.col("aff.afid").alias("affil_id"),
+        F.array_join("aff.affiliation_organization", ", ").alias("affil_name"), F.col("aff.affiliation_tag_country").alias("cntry"),
+    ).repartition("auid")
+    per_afid = rows.groupBy("auid", "year", "affil_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("datesort").alias("max_datesort"),
-        F.max_by(
-            F.struct(
-                F.array_join("aff.affiliation_organization", ", ").alias("affil_name"),
-                F.col("aff.affiliation_tag_country").alias("cntry"),
-            ),
-            F.struct("datesort", "eid", F.col("a.authorseq")),
-        ).alias("lab"),
+        F.max_by(F.struct("affil_name", "cntry"), F.struct("datesort", "eid", "authorseq")).alias("lab"),
     )
     best = per_afid.groupBy("auid").agg(
         F.max_by(
@@ -123,7 +136,7 @@ def author_affiliation_latest(pubs: DataFrame, inst_map: DataFrame, inst: DataFr
     missing affiliation id, the lowest one, lowest link sequence, lowest position), labelled through the
     institution map, else the organisation as printed."""
     rows = _own_links(pubs).filter(F.col("auid").isNotNull()).withColumn("afid", F.explode("aff.affiliation_ids"))
-    best = rows.groupBy("auid").agg(
+    best = _last(rows, "datesort").groupBy("auid").agg(
         F.max_by(
             F.struct(
                 F.col("eid").alias("last_eid_aff"), "afid",

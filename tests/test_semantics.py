@@ -6,6 +6,7 @@ in a discontinued journal. P6 (1995) precedes min_year. P7 is a non-core type.
 """
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,31 @@ def test_missing_affiliation_id_wins_ties(spark):
     assert (r.affil_id, r.inst_name) == (None, "Org None")
     none = spark.createDataFrame([], "institution_id int, afid long"), spark.createDataFrame([], "institution_id int, name string, country_code string")
     assert L.author_affiliation_latest(corpus, *none).first().affil_id is None
+
+
+def test_only_last_records_reach_the_affiliation(spark):
+    """Earlier records are dropped before the shuffle; NULL is the smallest year and date."""
+    from scholarmetrics.operators import labels as L
+
+    rows = [(a, y, 100 * a + i) for a in range(200) for i, y in enumerate([None, 1990, 1995, 2000 + a % 3, 2000 + a % 3])]
+    rows += [(900, None, 1), (900, None, 2)]
+    got = L._last(spark.createDataFrame(rows, "auid long, year int, eid long"), "year").collect()
+    want = {r for r in rows if r[1] == (None if r[0] == 900 else 2000 + r[0] % 3)}
+    assert want <= {tuple(r) for r in got} and len(got) < len(want) + 20
+
+
+def test_affiliation_of_the_last_usable_year(spark):
+    from scholarmetrics.operators import labels as L
+
+    def row(eid, year, afid, org, seq=1):
+        when = dt.datetime(year, 6, 1) if year else None
+        return (eid, year, when, "ar", (1,), [], [au("10", 1), au("11", 2)], [(1, seq), (2, 1)], [(afid, [afid], org, f"C{eid}")])
+
+    corpus = spark.createDataFrame(
+        [row(1, 1990, 5, ["A"]), row(2, 2000, 6, ["B", "b"]), row(3, 2000, 7, ["C"]), row(4, 2000, 6, ["D"]), row(5, 2001, 8, None),
+         row(6, 2002, 9, ["E"], seq=4), row(7, None, 9, ["F"])], CORPUS_SCHEMA)
+    ipr = spark.createDataFrame([(5, "Five")], "afid long, preferred_name string")
+    got = {r.auid: (r.affil_id, r.inst_name, r.cntry, r.max_datesort) for r in L.author_affiliation(corpus, ipr).collect()}
+    assert got == {10: (6, "D", "C4", dt.datetime(2000, 6, 1)), 11: (9, "E", "C6", dt.datetime(2002, 6, 1))}
+    text = L.author_affiliation(corpus, ipr)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(auid#\d+L?, year", text)
