@@ -80,7 +80,8 @@ def eligible_authors(auth: DataFrame, cfg: Config) -> DataFrame:
 def eligible_slots(auth: DataFrame, cfg: Config) -> DataFrame:
     """Authorship rows of the ``eligible_authors`` (no columns added). An author's core slots are counted
     beside its rows, so ``auth`` is computed and shuffled once; a long group spills."""
-    n_core = F.count(F.when(is_core("publication_type", cfg), F.col("eid"))).over(Window.partitionBy("auid"))
+    core = is_core("publication_type", cfg) & F.col("eid").isNotNull()  # moves with the rows: a flag, not the id
+    n_core = F.count(F.when(core, F.lit(True))).over(Window.partitionBy("auid"))
     return auth.withColumn("_n_core", n_core).filter(F.col("_n_core") >= cfg.min_core_papers).drop("_n_core")
 
 

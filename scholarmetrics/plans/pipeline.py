@@ -35,6 +35,8 @@ from ..sources.io import stage as _stage
 FACT = ("min_cite_year", "max_year", "core_types", "auid_floor", "edition")
 AUTHORSHIP = (*FACT, "min_core_papers")
 METRICS = (*AUTHORSHIP, "min_year", "min_classified")
+# columns of the authorship fact that no aggregate by author reads: they are not shuffled to the authors
+PAPER_ONLY = ("publication_type", "srcid", "domain")
 
 
 @dataclass
@@ -121,7 +123,8 @@ class Run:
     def eligible(self) -> DataFrame:
         """The slots of eligible authors, staged by author: they are shuffled once, on the way from the
         papers, and all aggregates by author read them where they are."""
-        return self._maybe_stage("authorship", lambda: A.eligible_slots(self._authorship(), self.cfg), AUTHORSHIP, by="auid")
+        build = lambda: A.eligible_slots(self._authorship(), self.cfg).drop(*PAPER_ONLY)
+        return self._maybe_stage("authorship", build, AUTHORSHIP, by="auid")
 
     @cached_property
     def subjects(self) -> DataFrame:

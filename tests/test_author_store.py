@@ -149,6 +149,12 @@ def test_eligible_slots_are_those_of_eligible_authors(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*auth.columns).collect())) and got.count() < auth.count()
 
 
+def test_slots_bring_no_paper_columns_to_the_authors(spark):
+    r = E._run(spark, SF_SMALL)
+    assert not {"publication_type", "srcid", "domain"} & set(r.eligible.columns)
+    assert {"publication_type", "srcid"} <= set(r.authorship.columns)
+
+
 def test_bucketed_stage_is_found_by_a_new_session(spark, tmp_path):
     build = lambda: spark.range(100).select((F.col("id") % 10).alias("auid"), F.struct("id", F.lit("a").alias("t")).alias("s"))
     first = IO.stage(spark, build, "t", "k", base=str(tmp_path), by="auid")
