@@ -102,11 +102,21 @@ def _resolved(refs: DataFrame, pubs: DataFrame, salting: Salting, how: str = "in
 
 def _with_flags(resolved: DataFrame, pubs: DataFrame, salting: Salting) -> DataFrame:
     """(citing, cited, is_self, citing_srcid) of ``_resolved`` edges that were found."""
-    settled = resolved.filter(F.col("long").isNull()).select("citing", "cited", "citing_srcid", "is_self")
-    return settled.unionByName(_flag_by_rows(resolved.filter(F.col("long").isNotNull()), pubs, salting)).select(
+    return settled(resolved).unionByName(_flag_by_rows(resolved.filter(F.col("long").isNotNull()), pubs, salting)).select(
         "citing", "cited", "is_self", "citing_srcid")
 
 
+def settled(resolved: DataFrame) -> DataFrame:
+    """The edges of ``resolved_references`` that the short author lists settle."""
+    return resolved.filter(F.col("long").isNull()).select("citing", "cited", "citing_srcid", "is_self")
+
+
+def flagged_by_rows(resolved: DataFrame, pubs: DataFrame) -> DataFrame:
+    """The other edges of ``resolved_references``, those with a long paper."""
+    rows = resolved.filter(F.col("long").isNotNull())
+    return _flag_by_rows(rows, pubs, Salting(frequent_ids(rows, "long")))
+
+
 def _flag_by_rows(edges: DataFrame, pubs: DataFrame, salting: Salting) -> DataFrame:
     """The edges with a ``long`` paper, with is_self: 1 where an author of the other paper has a slot on it."""
     slots = pubs.filter(F.size("au") > FEW).select("eid", F.explode(F.array_distinct(as_long_ids("au.auid"))).alias("auid")).filter(F.col("auid").isNotNull())
@@ -127,13 +137,19 @@ def citing_edges_base(pubs: DataFrame, cfg: Config, outside_bits: int | None = N
 
     ``outside_bits``: drop references that leave the corpus before the shuffle, by a bitmap of
     2 ** outside_bits bits of the corpus ids (27: 16 MB). Worth it where many do."""
+    found = write_once(resolved_references(pubs, cfg, outside_bits), "references")  # read twice
+    return settled(found).unionByName(flagged_by_rows(found, pubs)).select("citing", "cited", "is_self", "citing_srcid")
+
+
+def resolved_references(pubs: DataFrame, cfg: Config, outside_bits: int | None = None) -> DataFrame:
+    """The references inside the corpus with is_self where the author lists are short (``_resolved``): to be
+    written once, for ``settled`` and ``flagged_by_rows`` to read."""
     citing = _references(pubs, cfg)
     salting = Salting(frequent_ids(citing.select(F.explode("references").alias("cited")), "cited"))
     refs = references_of(citing)
     if outside_bits is not None:
         refs = _inside(refs, pubs, outside_bits)
-    found = write_once(_resolved(refs, pubs, salting).drop("found"), "references")  # read twice
-    return _with_flags(found, pubs, salting)
+    return _resolved(refs, pubs, salting).drop("found")
 
 
 def with_discontinued(base: DataFrame, disc: DataFrame) -> DataFrame:

@@ -84,7 +84,13 @@ class Run:
         # the costly part (reference explode, join, shared-author test) depends on
         # min_cite_year only: staged under that key, shared by runs that cite from
         # the same year; the discontinued flag is a broadcast join on top
-        base = self._maybe_stage("edges", lambda: C.citing_edges_base(self.pubs, self.cfg), ("min_cite_year",))
+        if not self.stage:
+            return C.citing_edges(self.pubs, self.disc, self.cfg)
+        # the resolved references are the stage: the edges are read from it, not written again
+        by = ("min_cite_year",)
+        found = self._maybe_stage("references", lambda: C.resolved_references(self.pubs, self.cfg), by)
+        long = self._maybe_stage("edges_of_long_lists", lambda: C.flagged_by_rows(found, self.pubs), by)
+        base = C.settled(found).unionByName(long)
         return C.with_discontinued(base, self.disc)
 
     @cached_property

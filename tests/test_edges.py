@@ -89,3 +89,15 @@ def test_references_that_leave_the_corpus_are_dropped_early(spark, papers):
     assert kept.columns == refs.columns and len(want) <= kept.count() < refs.count()
     text = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Python" not in text
+
+
+def test_staged_edges_are_written_once(spark):
+    """A run reads its edges from the resolved references; they are not copied to a stage of their own."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    staged, plain = E._run(spark, SF_SMALL), E._run(spark, SF_SMALL, stage=False)
+    assert not any("/stages/edges_" in f and "long_lists" not in f for f in staged.edges.inputFiles())
+    assert any("/stages/references_" in f for f in staged.edges.inputFiles())
+    cols = ["citing", "cited", "is_self", "is_disc"]
+    assert sorted(map(tuple, staged.edges.select(*cols).collect())) == sorted(map(tuple, plain.edges.select(*cols).collect()))
