@@ -14,7 +14,7 @@ of the same author and ids outside the corpus, never from all pairs of a group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -24,6 +24,7 @@ from .inputs import Inputs
 CORE_PRIORITY_TYPES = {"1": "ar", "2": "cp", "3": "re", "4": "ed"}  # anything else: "le"
 OTHER_TYPE = "le"
 REFERENCE_OFFSETS = (1, 2, 3, 5, 8, 13, 21, 34)
+REFERENCE_BLOCK = 4096  # keys of a block in which references are looked up
 OUTSIDE_ID_BASE = 1_000_000_000
 NULL_AUTHOR_MOD = 211  # papers whose author ids are malformed
 NO_AFFIL_ID_MOD, NO_AFFIL_ID_REST = 19, 4  # suppliers whose affiliation records have no id
@@ -165,17 +166,19 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
     )
 
     # ---- references ----------------------------------------------------------------------
-    o_date = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("k_date"))
+    # offsets reach back a bounded way, so orders are dealt by block of keys, each with those just before
+    # it, and the one at an offset is looked up there: no row per offset is shuffled
+    block = lambda k: F.floor(k / REFERENCE_BLOCK)
+    key, back = F.col("citing"), max(REFERENCE_OFFSETS)
+    dealt = orders.filter(F.col("o_orderkey").isNotNull()).select(F.col("o_orderkey").alias("citing"), "o_orderdate").withColumn(
+        "block", F.explode(F.array_distinct(F.array(block(key), block(key + back)))))
+    near = Window.partitionBy("block").orderBy("citing")
+    earlier = [F.when(F.min("o_orderdate").over(near.rangeBetween(-d, -d)) < F.col("o_orderdate"), key - d) for d in REFERENCE_OFFSETS]
     by_offset = (
-        orders.select(
-            F.col("o_orderkey").alias("citing"),
-            "o_orderdate",
-            F.explode(F.array(*[F.lit(d) for d in REFERENCE_OFFSETS])).alias("d"),
-        )
-        .withColumn("k", F.col("citing") - F.col("d"))
-        .join(o_date, "k")
-        .filter(F.col("k_date") < F.col("o_orderdate"))
-        .select("citing", F.col("k").alias("cited"))
+        dealt.select("citing", "block", F.array(*earlier).alias("cited"))
+        .filter(F.col("block") == block(key))
+        .select("citing", F.explode("cited").alias("cited"))
+        .filter(F.col("cited").isNotNull())
     )
     valid_slot = li.filter((F.col("l_orderkey") % NULL_AUTHOR_MOD) != 0)
     first_of_author = valid_slot.groupBy("l_partkey").agg(F.min("l_orderkey").alias("cited"))

@@ -140,6 +140,22 @@ def test_references_are_dealt_by_paper_once(spark, no_broadcast):
     assert not re.search(r"hashpartitioning\(citing#\d+L?, cited", plan(build_inputs(spark, SF_SMALL, materialize=False).corpus))
 
 
+def test_earlier_papers_are_found_by_block(spark, no_broadcast, monkeypatch):
+    """The orders at fixed key offsets, as a plain join finds them, with blocks that the offsets cross."""
+    from scholarmetrics.sources import fixtures as FX
+
+    monkeypatch.setattr(FX, "REFERENCE_BLOCK", 50, raising=False)
+    corpus = build_inputs(spark, SF_SMALL, materialize=False).corpus
+    assert not re.search(r"hashpartitioning\(k#", plan(corpus))  # no row per offset is shuffled
+    date = {r.o_orderkey: r.o_orderdate for r in spark.read.parquet(f"{SF_SMALL}/orders.parquet").collect()}
+    want = {(e, e - d) for e in date for d in FX.REFERENCE_OFFSETS if e - d in date and date[e - d] < date[e]}
+    got = {(r.eid, c) for r in corpus.select("eid", F.explode("references").alias("c")).collect() for c in [r.c]}
+    assert want <= got
+    same_author = got - want - {(e, e + FX.OUTSIDE_ID_BASE) for e in date}
+    authors = {r.eid: {x for x in r.ids or [] if x.isdigit()} for r in corpus.select("eid", F.col("au.auid").alias("ids")).collect()}
+    assert all(authors[a] & authors[b] for a, b in same_author)
+
+
 def test_eligible_slots_are_those_of_eligible_authors(spark):
     rows = [(a, 10 * a + e, "ar" if e < a else "ed", 2000) for a in range(9) for e in range(8)] + [(5, None, "ar", 2000)] * 3
     auth = spark.createDataFrame(rows + rows[:3], "auid long, eid long, publication_type string, year int")
