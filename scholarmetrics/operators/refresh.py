@@ -9,8 +9,8 @@ paper), and only what changed is worked on:
   changed or removed: such a reference is an old edge or an old outside reference;
 * everything else is carried over as it stands.
 
-Papers are selected by a bitmap of a fixed size before any shuffle, so the unchanged part of
-the corpus is scanned for its ids and never moved. Citation counts are sums, so they follow
+Papers, edges and outside references are selected by a bitmap of a fixed size before any shuffle,
+so the unchanged part of the corpus and of the graph is scanned for its ids and never moved. Citation counts are sums, so they follow
 by adding what came and subtracting what went.
 """
 
@@ -81,6 +81,19 @@ def _papers(pubs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.filter("_in").drop("_h", "_in").join(ids.toDF("eid").distinct(), "eid", "left_semi")
 
 
+def _near(df: DataFrame, ids: dict[str, DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may have a column's value among its one-column frame in ``ids``, written once,
+    and the others, which surely have none; only the first need a join."""
+    flags = []
+    marked = df
+    for side, values in ids.items():
+        flags.append(f"_in_{side}")
+        hashed = marked.withColumn("_h", F.xxhash64(side))
+        marked = may_hold(hashed, "_h", values.select(F.xxhash64(values.columns[0]).alias("h")), BITS, flags[-1]).drop("_h")
+    hit = F.greatest(*flags) if len(flags) > 1 else F.col(flags[0])
+    return write_once(marked.filter(hit).drop(*flags), name), marked.filter(~hit).drop(*flags)
+
+
 def refresh(state: GraphState, pubs: DataFrame, cfg: Config) -> Refreshed:
     """The state of the snapshot ``pubs``, equal to ``full_state`` of it (the same ``min_cite_year``)."""
     diff = write_once(changes(state.papers, pubs), "changes")
@@ -90,24 +103,28 @@ def refresh(state: GraphState, pubs: DataFrame, cfg: Config) -> Refreshed:
     present = diff.filter(F.col("kind") != "removed").select("eid")
 
     # references of unchanged papers whose other end moved
-    steady = by(state.edges, "citing", touched, "left_anti")
+    near_edges, far_edges = _near(state.edges, {"citing": touched, "cited": touched}, "near_edges")
+    near_out, far_out = _near(state.outside, {"citing": touched, "cited": added}, "near_outside")
+    steady = by(near_edges, "citing", touched, "left_anti")
+    steady_out = by(near_out, "citing", touched, "left_anti")
     moved = by(steady, "cited", touched, "left_semi").select(*OUTSIDE).unionByName(
-        by(by(state.outside, "citing", touched, "left_anti"), "cited", added, "left_semi").select(*OUTSIDE))
+        by(steady_out, "cited", added, "left_semi").select(*OUTSIDE))
     moved = write_once(moved, "moved")
     lists = _papers(pubs, moved.select("citing")).select(F.col("eid").alias("citing"), F.struct(C._short_list(pubs).alias("mine")).alias("l"))
     again = moved.join(lists, "citing").select("citing", "citing_srcid", F.col("l.mine").alias("mine"), "cited")
     # all references of added and changed papers
     refs = write_once(C.references_of(C._references(_papers(pubs, present), cfg)).unionByName(again), "references")
 
-    near = write_once(_papers(pubs, refs.select("cited").unionByName(refs.select("citing").toDF("cited"))).select("eid", "au"), "near")
+    slim = pubs.select("eid", F.arrays_zip(F.col("au.auid").alias("auid")).alias("au"))  # the ids of authors, not their names
+    near = write_once(_papers(slim, refs.select("cited").unionByName(refs.select("citing").toDF("cited"))), "near")
     salting = C.Salting(C.frequent_ids(refs, "cited"))
     resolved = write_once(C._resolved(refs, near, salting, "left"), "resolved")
     came = write_once(C._with_flags(resolved.filter("found"), near, salting).select(*EDGE), "came")
-    kept = by(steady, "cited", touched, "left_anti")
-    outside = by(by(state.outside, "citing", touched, "left_anti"), "cited", added, "left_anti").unionByName(
+    kept = far_edges.select(*EDGE).unionByName(by(steady, "cited", touched, "left_anti").select(*EDGE))
+    outside = far_out.select(*OUTSIDE).unionByName(by(steady_out, "cited", added, "left_anti").select(*OUTSIDE)).unionByName(
         resolved.filter(~F.col("found")).select(*OUTSIDE))
-    new = _written(kept.select(*EDGE).unionByName(came), outside, pubs)
-    went = by(state.edges, "citing", touched, "left_semi").select(*EDGE).unionByName(by(steady, "cited", touched, "left_semi").select(*EDGE))
+    new = _written(kept.unionByName(came), outside, pubs)
+    went = by(near_edges, "citing", touched, "left_semi").select(*EDGE).unionByName(by(steady, "cited", touched, "left_semi").select(*EDGE))
     return Refreshed(new, went, came)
 
 

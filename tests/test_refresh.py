@@ -101,3 +101,13 @@ def test_unchanged_papers_are_not_shuffled(spark, case):
     ids = before.filter("eid = 4").select("eid")
     text = RF._papers(before, ids)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and RF._papers(before, ids).count() == 1
+
+
+def test_unchanged_edges_are_not_joined(spark):
+    edges = spark.range(2000).select(F.col("id").alias("citing"), (F.col("id") * 7).alias("cited")).unionByName(
+        spark.createDataFrame([(5, None)], "citing long, cited long"))
+    ids = spark.createDataFrame([(21,), (None,)], "eid long")
+    near, far = RF._near(edges, {"citing": ids, "cited": ids}, "near")
+    found = {tuple(r) for r in near.collect()}
+    assert {(21, 147), (3, 21)} <= found and len(found) < 10
+    assert near.count() + far.count() == 2001 and not {21} & {x for r in far.collect() for x in r}
