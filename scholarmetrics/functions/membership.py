@@ -20,12 +20,20 @@ def bitmap_blocks(values: DataFrame, bits: int) -> DataFrame:
         F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << BLOCK) - 1))).alias("bits"))
 
 
+def bitmap_words(values: DataFrame, bits: int) -> DataFrame:
+    """``bitmap_blocks`` as arrays of long words, of which one can be read without a copy of its block."""
+    word = lambda i: F.conv(F.hex(F.col("bits").substr(i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.lit((1 << (BLOCK - 6)) - 1)), word)
+    return bitmap_blocks(values, bits).select("b", words.alias("words"))
+
+
 def may_hold(df: DataFrame, key: str, values: DataFrame, bits: int, name: str) -> DataFrame:
     """``df`` with the flag ``name``: false where the long column ``key`` is surely not among ``values``."""
     place = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
     low = place.bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int")
-    byte = F.conv(F.hex(F.col("_m.bits").substr((F.floor(low / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    blocks = bitmap_blocks(values, bits).select(F.col("b").alias("_b"), F.struct("bits").alias("_m"))
-    hit = F.call_function("shiftright", byte, (low % 8)).bitwiseAND(F.lit(1)) == 1
+    # byte 0 of a word is its highest; bit 0 of a byte its lowest
+    shift = (7 - F.shiftright(low, 3).bitwiseAND(F.lit(7))) * 8 + low.bitwiseAND(F.lit(7))
+    blocks = bitmap_words(values, bits).toDF("_b", "_words")
+    hit = F.call_function("shiftright", F.get("_words", F.shiftright(low, 6)), shift).bitwiseAND(F.lit(1)) == 1
     joined = df.join(F.broadcast(blocks), F.shiftright(place, BLOCK).cast("int") == F.col("_b"), "left")
     return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
