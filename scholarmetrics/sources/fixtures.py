@@ -88,6 +88,11 @@ def _smc(corpus: DataFrame, supplier: DataFrame, tree: DataFrame) -> DataFrame:
     )
 
 
+def _repeats(df: DataFrame, key: str) -> bool:
+    """Whether a key has several rows."""
+    return not df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > 1).isEmpty()
+
+
 def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"
@@ -98,20 +103,24 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
-    sup = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", "s_name", "s_nationkey", F.col("n_name").alias("s_country")
-    )
-
     # ---- author slots, nested per paper -------------------------------------------------
+    # price and date tell two equal slots of a paper apart; that shows in the names alone, where a key has
+    # several, so otherwise they do not move
+    keyed = ((part, "p_partkey"), (supplier, "s_suppkey"), (nation, "n_nationkey"))
+    ties = ["l_extendedprice", "l_shipdate"] if any(_repeats(t, k) for t, k in keyed) else []
+    # labels of suppliers are joined where the slots of a paper meet: a supplier table under the session's
+    # broadcast threshold goes there, and neither the slots nor the labels are shuffled for it
+    country = F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("s_country")))
+    settled = supplier.join(country, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     slot = (
-        li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-        .join(sup, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *ties)
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+        .drop("p_partkey").repartition("l_orderkey")
+        .join(settled, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        .join(country, F.col("s_nationkey") == F.col("n_nationkey"), "left")
         .select(
             F.col("l_orderkey").alias("eid"),
-            F.struct(
-                "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
-                "p_name", "p_brand", "s_name", "s_country",
-            ).alias("s"),
+            F.struct("l_linenumber", "l_partkey", "l_suppkey", *ties, "p_name", "p_brand", "s_name", "s_country").alias("s"),
         )
     )
     per_paper = slot.groupBy("eid").agg(F.sort_array(F.collect_list("s")).alias("slots"))
@@ -134,7 +143,10 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
             name.alias("indexed_name"),
         )
 
-    sups = F.array_sort(F.array_distinct(F.transform("slots", lambda x: x["l_suppkey"])))
+    # a missing supplier stands last
+    found = F.array_distinct("slots.l_suppkey")
+    known_sups = F.sort_array(F.array_compact(found))
+    sups = F.when(F.size(known_sups) == F.size(found), known_sups).otherwise(F.concat(known_sups, F.array(F.lit(None).cast("long"))))
 
     def au_af(x, i):
         seq = F.when((eid % BAD_AFFIL_SEQ_MOD) == 0, F.lit(BAD_AFFIL_SEQ)).otherwise(
@@ -144,7 +156,8 @@ def _derive(spark: SparkSession, sf_dir: str) -> Inputs:
 
     def affiliation(s):
         known = F.when(s % NO_AFFIL_ID_MOD != NO_AFFIL_ID_REST, s)
-        first = F.filter("slots", lambda x: x["l_suppkey"] == s)[0]
+        # its first slot; a missing supplier has none, which is an error
+        first = F.col("slots")[F.coalesce(F.array_position("slots.l_suppkey", s), F.lit(0)).cast("int") - 1]
         org = (
             F.when(s % 13 == 5, F.lit(None).cast("array<string>"))
             .when(s % 11 == 7, F.array().cast("array<string>"))
